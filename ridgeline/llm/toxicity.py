@@ -33,12 +33,12 @@ from ridgeline.llm.langid import held_out
 DIM = 1 << 20
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 12_000
-LEAST_TEXTS = 4  # of the fit sample, for a word to get a weight
+LEAST_TEXTS = 8  # of the fit sample, for a word to get a weight
+LEAST_Z = 3.0  # standard errors between its shares of positive and unlabelled texts
 MEMBERS = 3
 STEPS = 150
 RATE = 0.08
 SHRINK = 2e-4
-SLACK = 0.0
 
 #: A-Z become a-z, other ASCII characters than letters become blanks.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -73,18 +73,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: Rows, unlabelled: Rows, prior: float, width: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk with the sigmoid loss by full-batch Adam steps."""
+    """Minimise the non-negative risk with the logistic loss by full-batch Adam steps."""
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         zp, zu = positive.times(w) + b, unlabelled.times(w) + b
         sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = su.mean() - prior * sp.mean()  # loss of calling x negative is sigmoid(z)
-        dp, du = sp * (1 - sp) / len(positive), su * (1 - su) / len(unlabelled)
-        if negative >= -SLACK:
-            cp, cu = -2 * prior * dp, du
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        if negative >= 0:  # slopes of prior * R_pos(+1) - prior * R_pos(-1) add up to a constant
+            cp, cu = np.full(len(positive), -prior / len(positive)), su / len(unlabelled)
         else:
-            cp, cu = prior * dp, -du
+            cp, cu = prior * sp / len(positive), -su / len(unlabelled)
         g = np.append(positive.gather(cp, width) + unlabelled.gather(cu, width) + SHRINK * w, cp.sum() + cu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -92,6 +91,19 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, width: int, steps: int =
     return w, b
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Word hashes whose share of positive texts clearly differs from that of unlabelled ones.
+
+    Most words of a corpus are rare and say nothing; weights for them would only remember the
+    texts of the fit sample.
+    """
+    n, m = len(positive), len(unlabelled)
+    a, b = (np.bincount(np.concatenate(rows), minlength=DIM) for rows in (positive, unlabelled))
+    share = (a + b) / (n + m)
+    error = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
+    return np.flatnonzero((np.abs(a / n - b / m) > LEAST_Z * error) & (a + b >= LEAST_TEXTS))
+
+
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Weights by word hash and the bias, from rows of the learned folds."""
     reviewed = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where(~held_out("id")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -116,14 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     sample = positive.union(unlabelled).mapInArrow(extract, "kind int, words array<int>").toArrow().combine_chunks()
     kind = sample.column("kind").to_numpy()
     rows = [x.values.to_numpy() for x in sample.column("words")]
-    texts_with = np.bincount(np.concatenate(rows), minlength=DIM) if rows else np.zeros(DIM)
-    kept = np.flatnonzero(texts_with >= LEAST_TEXTS)
-    place = np.full(DIM, -1)
-    place[kept] = np.arange(len(kept))
-    rows = [(p := place[r])[p >= 0] for r in rows]
     pos, unl = ([rows[i] for i in np.flatnonzero(kind == k)] for k in (1, 0))
     if not pos or not unl:
         return np.zeros(DIM, np.float32), -40.0
+    kept = telling(pos, unl)
+    place = np.full(DIM, -1)
+    place[kept] = np.arange(len(kept))
+    pos, unl = ([(p := place[r])[p >= 0] for r in rows] for rows in (pos, unl))
     weights, bias = np.zeros(DIM, np.float32), 0.0
     members = min(MEMBERS, len(unl))
     for k in range(members):  # each member has its own share of the unlabelled texts
