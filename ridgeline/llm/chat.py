@@ -11,9 +11,10 @@ prefix sum also cuts a conversation into segments of ``SEGMENT`` budgets; window
 with each segment (with its history), so segments are laid out side by side, each in a stream
 that holds one window.
 
-The template is ``<|role|>text<|end|>`` and a line break for each turn.  Inside roles and texts a
+The template is ``<|role|>text<|end|>`` and a line break for each turn.  Inside texts a
 backslash is doubled, and one is put behind the first character of every control string, so
-that no text can hold one; dropping them gives the text back.
+that no text can hold one (in roles, before all but letters and digits); dropping them gives
+the text back.
 
 Defined results: null roles and texts are empty; turns go by ``turn`` (null first), then role and
 text; a null ``conv_id`` is a conversation; the system turn is the first turn if its role is
@@ -45,6 +46,7 @@ MARK_TOKENS = 8  # counted for the marks of each turn
 #: Strings that chat templates use as control tokens.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
 _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
+_MARKED = re.compile("[^0-9A-Za-z]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 END = "<|end|>\n"
 _TURN = re.compile(r"<\|(.*?)\|>(.*?)<\|end\|>\n", re.S)
@@ -62,7 +64,8 @@ def unescape(text: str) -> str:
 
 
 def _mark(role: str) -> str:
-    return f"<|{escape(role).replace('|', chr(92) + '|')}|>"
+    """The mark of a role; in it a backslash stands before everything but letters and digits."""
+    return f"<|{_MARKED.sub(lambda m: chr(92) + m[0], role)}|>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,55 +115,53 @@ def windows(conversations: DataFrame, tokenizer_path: str, budget: int = BUDGET,
     filled = every.join(later.select(F.col("conv_id").alias("lc"), F.col("segment").alias("ls")), F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("segment") == F.col("ls")), "left_semi").unionByName(rows.where("segment = 0"))
     order = ["conv_id", "segment", "use", "before", "turn", "role", "text"]
     ordered = filled.select(*order, "n_tokens").repartition("conv_id", "segment").sortWithinPartitions(*order)
-    return ordered.mapInArrow(lambda batches: _lay_out(batches, budget, history), WINDOW)
+    return ordered.mapInArrow(functools.partial(_lay_out, budget=budget, history=history), WINDOW)
 
 
 class _Layout:
-    """Windows of one segment, turn by turn."""
+    """Windows of one segment, turn by turn; a turn is (role, text, tokens)."""
 
-    def __init__(self, conv_id, segment):
-        self.conv_id, self.segment, self.window = conv_id, segment, 0
-        self.system, self.past, self.past_tokens, self.new, self.tokens = None, deque(), 0, [], 0
+    def __init__(self, conv_id, segment, budget: int, history: int):
+        self.conv_id, self.segment, self.budget, self.history = conv_id, segment, budget, history
+        self.system, self.past, self.past_tokens = None, deque(), 0
+        self.repeated, self.new, self.used, self.window = [], [], 0, 0
 
-    def remember(self, turn: tuple, history: int) -> None:
+    def remember(self, turn: tuple) -> None:
         self.past.append(turn)
         self.past_tokens += turn[2]
-        while self.past and self.past_tokens > history:
+        self.forget(self.history)
+
+    def forget(self, room: int) -> None:
+        while self.past and self.past_tokens > room:
             self.past_tokens -= self.past.popleft()[2]
 
-    def add(self, use: int, before: int, turn: tuple, budget: int, history: int):
-        if use == 0:
-            self.system = turn
-        elif use == 1:
-            self.remember(turn, history)
-        else:
-            own = self.tokens + (self.system[2] if self.system else 0) + self.past_tokens
-            if self.new and own + turn[2] > budget:
-                yield self.close(history)
-            self.new.append(turn)
-            self.tokens += turn[2]
-            if self.segment == 0 and before == 0 and turn[0] == "system":
-                self.pending_system = turn
-
-    pending_system = None
-
-    def close(self, history: int) -> dict:
-        repeated = [self.system] * (self.system is not None) + list(self.past)
-        budgeted = {"conv_id": self.conv_id, "segment": self.segment, "window": self.window, "n_tokens": self.tokens + sum(t[2] for t in repeated), "n_repeated": len(repeated)}
+    def add(self, turn: tuple, is_system: bool) -> dict | None:
+        """Take a new turn; returns the window that it closes, if it does."""
+        closed = self.close() if self.new and self.used + turn[2] > self.budget else None
+        if not self.new:
+            self.forget(max(0, self.budget - turn[2] - (self.system[2] if self.system else 0)))
+            self.repeated = [self.system] * (self.system is not None) + list(self.past)
+            self.used = sum(t[2] for t in self.repeated)
+        self.new.append((turn, is_system))
+        self.used += turn[2]
+        return closed
+
+    def close(self) -> dict:
         parts, at, targets = [], 0, []
-        for k, (role, text, _) in enumerate([*repeated, *self.new]):
+        for k, (role, text, _) in enumerate([*self.repeated, *(t for t, _ in self.new)]):
             mark, body = _mark(role), escape(text)
-            if k >= len(repeated) and role == "assistant":
+            if k >= len(self.repeated) and role == "assistant":
                 targets.append({"start": at + len(mark), "end": at + len(mark) + len(body)})
             parts += [mark, body, END]
             at += len(mark) + len(body) + len(END)
-        for turn in self.new:
-            if turn is not self.pending_system:
-                self.remember(turn, history)
-        if self.pending_system is not None:
-            self.system, self.pending_system = self.pending_system, None
-        self.window, self.new, self.tokens = self.window + 1, [], 0
-        return budgeted | {"text": "".join(parts), "targets": targets}
+        out = {"conv_id": self.conv_id, "segment": self.segment, "window": self.window, "text": "".join(parts), "n_tokens": self.used, "n_repeated": len(self.repeated), "targets": targets}
+        for turn, is_system in self.new:
+            if is_system:
+                self.system = turn
+            else:
+                self.remember(turn)
+        self.new, self.window = [], self.window + 1
+        return out
 
 
 def _lay_out(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
@@ -169,20 +170,20 @@ def _lay_out(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> It
         for row in batch.to_pylist():
             if layout is None or (layout.conv_id, layout.segment) != (row["conv_id"], row["segment"]):
                 if layout is not None and layout.new:
-                    out.append(layout.close(history))
-                layout = _Layout(row["conv_id"], row["segment"])
-            room = min(history, budget - row["n_tokens"] - (layout.system[2] if layout.system else 0)) if row["use"] == 2 and not layout.new else history
-            while layout.past and layout.past_tokens > max(0, room):
-                layout.past_tokens -= layout.past.popleft()[2]
-            out += layout.add(row["use"], row["before"], (row["role"], row["text"], row["n_tokens"]), budget, history)
-            room = budget - row["n_tokens"] - (layout.system[2] if layout.system else 0)
-            while row["use"] == 2 and len(layout.new) == 1 and layout.past and layout.past_tokens > max(0, room):
-                layout.past_tokens -= layout.past.popleft()[2]  # a long new turn leaves less room for history
+                    out.append(layout.close())
+                layout = _Layout(row["conv_id"], row["segment"], budget, history)
+            turn = (row["role"], row["text"], row["n_tokens"])
+            if row["use"] == 0:
+                layout.system = turn
+            elif row["use"] == 1:
+                layout.remember(turn)
+            elif closed := layout.add(turn, row["before"] == 0 and row["role"] == "system"):
+                out.append(closed)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOW_ARROW)
             out = []
     if layout is not None and layout.new:
-        yield pa.RecordBatch.from_pylist([layout.close(history)], schema=_WINDOW_ARROW)
+        yield pa.RecordBatch.from_pylist([layout.close()], schema=_WINDOW_ARROW)
 
 
 def parse(text: str) -> list[tuple[str, str]]:

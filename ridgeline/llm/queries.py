@@ -30,6 +30,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import warc
+
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import toxicity
@@ -37,6 +45,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ridgeline.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :probe), (-1L, 1L, 'assistant', :probe) AS t(conv_id, turn, role, text)", {"probe": probe})
+    return chat.format_and_read_back(spark, turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

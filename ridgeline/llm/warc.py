@@ -102,7 +102,7 @@ class _Writer:
             self.close()
             self.store.create_dir(self.folder, recursive=True)
             self.name, self.at = files.attempt_name(TaskContext.get().partitionId(), ".warc.gz"), 0
-            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
+            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}", compression=None)
         self.out.write(record)
         self.rows.append(row | {"file": self.name, "offset": self.at, "n_bytes": len(record)})
         self.at += len(record)
@@ -199,7 +199,7 @@ def read_archives(index: DataFrame, source: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
-                with store.open_input_stream(f"{folder}/{name}") as stream:
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as stream:
                     for record in members(stream):
                         fields, payload = unpack(record)
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
