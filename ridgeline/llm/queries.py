@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, token_records, toxicity, warc
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -20,8 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm import decontaminate
-
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -32,25 +33,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm import warc
-
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm import toxicity
-
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from ridgeline.llm import chat
-
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :probe), (-1L, 1L, 'assistant', :probe) AS t(conv_id, turn, role, text)", {"probe": probe})
@@ -58,25 +51,39 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_site_lines(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_site_lines"] = line_dedup.oracle_sql()
 
-    from ridgeline.llm import token_records
 
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_ids(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm import simhash
-
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
-def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm import langid
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("row.doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
+ORACLES["op8_mixing"] = mixing.oracle_sql()
+
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identified(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
