@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ridgeline.session import materialize
 
 ROUNDS = 12
-TEMPERATURE = 0.7
+TEMPERATURE = 0.9
 DIMENSIONS = ("source", "lang", "topic")
 DIGITS = 6
 

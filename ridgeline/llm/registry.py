@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ridgeline.llm import queries
 
-QUERIES: dict = dict(queries.QUERIES)
+QUERIES: dict = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES: dict = dict(queries.ORACLES)
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
