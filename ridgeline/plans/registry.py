@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ridgeline.plans import surface
+
+QUERIES: dict = {**surface.QUERIES}
+ORACLES: dict = {**surface.ORACLES}
 FLAGSHIP = "class_shares"
