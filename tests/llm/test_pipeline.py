@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import mixing
 from ridgeline.session import materialize
-from tests.llm.duck import oracle
+from tests.duck import oracle
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_simhash import slow_components, slow_print
 from tests.llm.test_token_records import expected
