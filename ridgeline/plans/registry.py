@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import surface
+from ridgeline.plans import network, surface
 
-QUERIES: dict = {**surface.QUERIES}
-ORACLES: dict = {**surface.ORACLES}
+QUERIES: dict = {**surface.QUERIES, **network.QUERIES}
+ORACLES: dict = {**surface.ORACLES, **network.ORACLES}
 FLAGSHIP = "class_shares"
