@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.tasks import slim
+
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
@@ -254,19 +256,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     """
     from pyspark.sql.types import StructField, StructType
 
-    blocks = _blocks(benchmark, window, item_col, item_text_col)
+    blocks, at = _blocks(benchmark, window, item_col, item_text_col), docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.value for b in blocks]
         for batch in batches:
-            for start, texts in _slices(batch.column(1).cast(pa.large_binary())):
+            for start, texts in _slices(batch.column(0).field(at).cast(pa.large_binary())):
                 found = _judge(_Shard(texts), held, window)
                 row = batch.column(0).slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([row, *found.values()], names=["row", *found])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = StructType([StructField("row", docs.schema), *StructType.fromDDL(FOUND).fields])
-    return rows.mapInArrow(judge, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(slim(judge), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -297,6 +298,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    each = rows.mapInArrow(find, "item_id string, item_start long, n_words long, doc_id long, doc_start long")
+    each = rows.mapInArrow(slim(find), "item_id string, item_start long, n_words long, doc_id long, doc_start long")
     best = each.groupBy("item_id", "item_start").agg(F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_start")).alias("best"))
     return best.select("item_id", "item_start", (-F.col("best.n")).alias("n_words"), "best.doc_id", "best.doc_start")

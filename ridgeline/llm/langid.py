@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ridgeline.llm.tasks import slim
+
 DIM = 1 << 15
 MOST_LANGUAGES = 256
 SMOOTHING = 0.5
@@ -120,7 +122,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(counts[code])], names=["lang", "code", "n"])
 
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    total = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    total = rows.mapInArrow(slim(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang, code, n = (total.column(c) for c in ("lang", "code", "n"))
     languages = sorted(set(lang.to_pylist()))
     if len(languages) > MOST_LANGUAGES:
@@ -138,15 +140,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every input row as the struct ``row``, with ``lang_pred``, ``score`` and ``ambiguous``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(1)]
+            texts = batch.column(0).field(at).cast(pa.string())
+            found = [shared.value.predict(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["row", "lang_pred", "score", "ambiguous"])
 
     schema = StructType([StructField("row", docs.schema), *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(predict, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(slim(predict), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:

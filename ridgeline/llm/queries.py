@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, token_records, toxicity, warc
+from ridgeline.llm.tasks import small_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,6 +19,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.tasks import slim
 from ridgeline.session import materialize
 
 RADIUS = 4
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(hash_texts, "doc_id long, fingerprint long")
+    return rows.mapInArrow(slim(hash_texts), "doc_id long, fingerprint long")
 
 
 def _flips(bits: list[int], most: int) -> list[list[int]]:

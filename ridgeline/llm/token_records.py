@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import files
 from ridgeline.llm.crc32c import crc32c, masked
+from ridgeline.llm.tasks import slim
 from ridgeline.session import materialize, run_path
 
 END_ID = 1
@@ -53,7 +54,7 @@ class Encoder:
     remembered.  Memory is bounded: of the words, the last one or two ``limit`` are kept.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core
         from tokenizers import Tokenizer
 
@@ -156,7 +157,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(write, INDEX_SCHEMA), "token-index")
+    return materialize(ordered.mapInArrow(slim(write), INDEX_SCHEMA), "token-index")
 
 
 def read_records(index: DataFrame, target: str, width: str = "<u2") -> DataFrame:
@@ -191,7 +192,7 @@ def read_records(index: DataFrame, target: str, width: str = "<u2") -> DataFrame
                 lo = hi
 
     placed = index.repartition("file").sortWithinPartitions("file", "offset")
-    return placed.mapInArrow(read, f"{INDEX_SCHEMA}, ids binary")
+    return placed.mapInArrow(slim(read), f"{INDEX_SCHEMA}, ids binary")
 
 
 def record_digests(index: DataFrame, target: str, width: str = "<u2") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.langid import held_out
+from ridgeline.llm.tasks import slim
 
 DIM = 1 << 20
 MOST_POSITIVE = 4_000
@@ -125,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             words = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int32()))], names=["kind", "words"])
 
-    sample = positive.union(unlabelled).mapInArrow(extract, "kind int, words array<int>").toArrow().combine_chunks()
+    sample = positive.union(unlabelled).mapInArrow(slim(extract), "kind int, words array<int>").toArrow().combine_chunks()
     kind = sample.column("kind").to_numpy()
     rows = [x.values.to_numpy() for x in sample.column("words")]
     pos, unl = ([rows[i] for i in np.flatnonzero(kind == k)] for k in (1, 0))
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, score double")
+    return rows.mapInArrow(slim(judge), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
