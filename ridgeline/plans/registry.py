@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import network, surface
+from ridgeline.plans import field, network, surface
 
-QUERIES: dict = {**surface.QUERIES, **network.QUERIES}
-ORACLES: dict = {**surface.ORACLES, **network.ORACLES}
+QUERIES: dict = {**surface.QUERIES, **network.QUERIES, **field.QUERIES}
+ORACLES: dict = {**surface.ORACLES, **network.ORACLES, **field.ORACLES}
 FLAGSHIP = "class_shares"
