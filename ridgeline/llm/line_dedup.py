@@ -24,6 +24,8 @@ from ridgeline.session import materialize
 
 RATIO = 0.3
 LEAST_PAGES = 5
+BROADCAST_BYTES = 32 << 20
+SALTS = 32
 
 #: What of a page is not text, and which tags end a line.
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -46,16 +48,32 @@ def lines(html: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
+def _key(line: Column) -> Column:
+    """128 bits of hash stand for a line, so that counting moves no text."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
+def _with_host(pages: DataFrame, boilerplate: DataFrame) -> DataFrame:
+    """Pages beside their host's row: broadcast if all rows are known to be small, else joined with salt,
+    so that the pages of one host go to many tasks."""
+    size = boilerplate.agg(F.sum(F.octet_length("host") + F.size("drop") * 16 + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(boilerplate), "host", "left")
+    salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", (F.rand(0) * SALTS).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
 def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, host, n_lines, n_dropped, text``: each page's lines without its site's boilerplate."""
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     parsed = materialize(parsed, "page-lines")
     totals = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    counts = parsed.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    each = parsed.select("host", F.explode(F.transform(F.array_distinct("lines"), _key)).alias("line"))
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("n"))
     common = counts.join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
-    boilerplate = common.groupBy("host").agg(F.collect_list("line").alias("drop"))
-    joined = parsed.join(boilerplate, "host", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), x)))
+    boilerplate = materialize(common.groupBy("host").agg(F.collect_list("line").alias("drop")), "boilerplate")
+    joined = _with_host(parsed, boilerplate)
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), _key(x))))
     return joined.select("page_id", "host", F.size("lines").alias("n_lines"), (F.size("lines") - F.size(kept)).alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
 
 

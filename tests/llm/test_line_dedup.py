@@ -13,6 +13,11 @@ def test_whole_table(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] > 0
 
 
+def test_hosts_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    same(queries.op5_site_lines(spark, SF), SF, queries.ORACLES["op5_site_lines"])
+
+
 def test_rules_and_odd_rows(spark):
     page = lambda *x: "<!-- a\n --><body><p>" + "</p><p>".join(x) + "</p><script>no()</script>"
     rows = [(i, f"http://Site.example/{i}?q", page("Menu", f"text {i}", "Menu", "&lt;b&gt;" if i < 2 else f"own {i}")) for i in range(6)]
