@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.cellwise import slope_class
-from ridgeline.operators.stats import percentile
+from ridgeline.operators.stats import percentiles
 
 BREAKS = (20.0, 35.0, 60.0, 100.0)
 
@@ -17,7 +17,7 @@ def classify(cells: DataFrame, breaks: tuple[float, ...] = BREAKS, roughness: st
     out = cells.withColumn("class", slope_class(F.col("slope"), breaks))
     tests = [(n, p) for n, p in ((roughness, 90), (wetness, 95)) if n]
     if tests:
-        limits = out.where("class > 0").agg(*(percentile(F.col(n), p).alias(f"__{n}") for n, p in tests))
+        limits = percentiles(out.where("class > 0"), {f"__{n}": (F.col(n), p) for n, p in tests})
         out = out.join(F.broadcast(limits))
         for n, _ in tests:
             out = out.withColumn("class", F.when(F.col("class").between(1, 3) & (F.col(n).cast("double") > F.col(f"__{n}")), F.col("class") + 1).otherwise(F.col("class"))).drop(f"__{n}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
-from ridgeline.operators.stats import limit, percentile
+from ridgeline.operators.stats import percentiles
 
 
 @dataclass(frozen=True)
@@ -35,15 +35,18 @@ class ScoreOptions:
 
 
 def scene_limits(cells: DataFrame, o: ScoreOptions) -> DataFrame:
-    """One row with every percentile that the score and the risk need, in one pass."""
-    wanted = {
-        "plan99": F.lit(o.plan_limit) if o.plan_limit > 0 else limit(F.col("plan"), 99), "profile99": F.lit(o.profile_limit) if o.profile_limit > 0 else limit(F.col("profile"), 99),
-        "plan95": limit(F.col("plan"), 95), "profile95": limit(F.col("profile"), 95),
-        **{f"{n}95": limit(F.when(F.col("valid"), F.col(n)), 95) for n in o.optional},
-    }
+    """One row with every percentile that the score and the risk need."""
+    size = lambda v: F.abs(v.cast("double"))
+    sized = {"plan99": (F.col("plan"), 99), "profile99": (F.col("profile"), 99), "plan95": (F.col("plan"), 95), "profile95": (F.col("profile"), 95), **{f"{n}95": (F.when(F.col("valid"), F.col(n)), 95) for n in o.optional}}
+    fixed = {n: v for n, v in (("plan99", o.plan_limit), ("profile99", o.profile_limit)) if v > 0}
+    wanted = {n: (size(v), p) for n, (v, p) in sized.items() if n not in fixed}
     if o.extra:
-        wanted |= {"extra5": percentile(F.when(F.col("valid"), F.col(o.extra)), 5), "extra95": percentile(F.when(F.col("valid"), F.col(o.extra)), 95)}
-    return cells.agg(*(v.alias(f"limit_{k}") for k, v in wanted.items()))
+        wanted |= {n: (F.when(F.col("valid"), F.col(o.extra)), p) for n, p in (("extra5", 5), ("extra95", 95))}
+    found = percentiles(cells, wanted).join(F.broadcast(cells.agg(*(F.max(size(v)).alias(f"max_{n}") for n, (v, _) in sized.items()))))  # one row each
+    # A percentile of 0 gives way to the maximum, and that to 1.
+    chosen = {n: F.lit(fixed[n]) if n in fixed else F.coalesce(F.when(F.col(n) > 0, F.col(n)), F.when(F.col(f"max_{n}") > 0, F.col(f"max_{n}")), F.lit(1.0)) for n in sized}
+    chosen |= {n: F.col(n) for n in ("extra5", "extra95") if o.extra}
+    return found.select(*(v.alias(f"limit_{n}") for n, v in chosen.items()))
 
 
 def score(cells: DataFrame, o: ScoreOptions = ScoreOptions()) -> DataFrame:

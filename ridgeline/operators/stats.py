@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.session import materialize
+
 PERCENTS = (5, 25, 50, 75, 95)
+IN_ONE_TASK = 20_000_000  # values that one aggregation may hold
 
 
 def percentile(v: Column, p: float) -> Column:
@@ -13,6 +16,42 @@ def percentile(v: Column, p: float) -> Column:
     return F.percentile(v.cast("double"), F.lit(p / 100.0))
 
 
+def order_statistics(rows: DataFrame, key: str, value: str, percents: list[float]) -> DataFrame:
+    """``key, percent, value``: exact percentiles of each key, however many values there are.
+
+    Values are counted, and the counts are dealt out by ranges of key and value.  Totals of the
+    ranges are added up first, so that running counts need no other range, and only the ranks
+    that are asked for are kept: no task holds more than a range.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = materialize(counts.repartitionByRange("k", "v").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("k", "range").agg(F.sum("n").alias("t"))
+    by_range = Window.partitionBy("k").orderBy("range")  # a row for each range
+    bases = totals.select("k", "range", (F.sum("t").over(by_range) - F.col("t")).alias("base"), F.sum("t").over(Window.partitionBy("k")).alias("all"))
+    within = Window.partitionBy("k", "range").orderBy("v")
+    running = placed.join(bases, ["k", "range"]).withColumn("to", F.col("base") + F.sum("n").over(within)).withColumn("from", F.col("to") - F.col("n"))
+    # Rank p (n - 1) lies between two order statistics.
+    asked = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("percent"), (F.col("all") - 1).cast("double").alias("top")) for p in percents)))
+    ranks = running.select("k", "v", "from", "to", asked.alias("a")).withColumn("rank", F.col("a.percent") / 100.0 * F.col("a.top"))
+    low, high = ((F.col("from") <= f("rank")) & (f("rank") < F.col("to")) for f in (F.floor, F.ceil))
+    found = ranks.where(low | high).groupBy("k", F.col("a.percent").alias("percent")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"))
+    between = F.col("rank") - F.floor("rank")
+    return found.select(F.col("k").alias(key), "percent", (F.col("lo") + (F.col("hi") - F.col("lo")) * between).alias(value))
+
+
+def percentiles(cells: DataFrame, wanted: dict[str, tuple[Column, float]], most: int = IN_ONE_TASK) -> DataFrame:
+    """One row with each wanted percentile.
+
+    Up to ``most`` cells one aggregation holds the values of a raster; above, ranges do.
+    """
+    if cells.count() <= most:
+        return cells.agg(*(percentile(v, p).alias(n) for n, (v, p) in wanted.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in wanted.items())))
+    found = order_statistics(cells.select(each.alias("e")).select("e.*"), "name", "v", sorted({p for _, p in wanted.values()}))
+    pick = lambda n, p: F.max(F.when((F.col("name") == n) & (F.col("percent") == float(p)), F.col("v"))).alias(n)
+    return found.agg(*(pick(n, p) for n, (_, p) in wanted.items()))
+
+
 def diagnostics(cells: DataFrame, names: list[str]) -> DataFrame:
     """One row for each raster: counts, range, mean, population deviation and percentiles."""
     long = cells.select(F.explode(F.array(*(F.struct(F.lit(n).alias("raster"), F.col(n).cast("double").alias("v")) for n in names))).alias("e")).select("e.*")
@@ -33,11 +72,19 @@ def limit(v: Column, percent: float) -> Column:
     return _first_positive(percentile(size, percent), F.max(size))
 
 
-def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score") -> DataFrame:
-    """``band, low, high, n, threshold``: the percentile of the score in each altitude band with enough cells."""
+def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score", most: int | None = None) -> DataFrame:
+    """``band, low, high, n, threshold``: the percentile of the score in each altitude band with enough cells.
+
+    ``most``: with more cells than this, ranges of scores take the place of one task for each band.
+    """
     size = max(50.0, size)
     band = F.floor(F.col(z).cast("double") / size)
-    found = cells.where(F.col(score).isNotNull() & F.col(z).isNotNull()).groupBy(band.alias("band")).agg(F.count("*").alias("n"), percentile(F.col(score), percent).alias("threshold"))
+    rows = cells.where(F.col(score).isNotNull() & F.col(z).isNotNull()).select(band.alias("band"), F.col(score).alias("threshold"))
+    if most is not None and rows.count() > most:
+        counts = rows.groupBy("band").agg(F.count("*").alias("n"))
+        found = order_statistics(rows, "band", "threshold", [percent]).join(counts, "band")
+    else:
+        found = rows.groupBy("band").agg(F.count("*").alias("n"), percentile(F.col("threshold"), percent).alias("threshold"))
     return found.where(F.col("n") >= least_cells).select("band", (F.col("band") * size).alias("low"), ((F.col("band") + 1) * size).alias("high"), "n", "threshold")
 
 
@@ -49,7 +96,7 @@ def select_zones(cells: DataFrame, percent: float = 75.0, size: float | None = 2
     if threshold is not None:
         return cells.withColumn("zone", F.coalesce(F.col("score") >= F.lit(threshold).cast("float"), F.lit(False)))
     if size is None:
-        limits = cells.agg(percentile(F.col("score"), percent).alias("__t"))
+        limits = percentiles(cells, {"__t": (F.col("score"), percent)})
         joined = cells.join(F.broadcast(limits))
     else:
         limits = band_thresholds(cells, percent, size, least_cells).select(F.col("band").alias("__band"), F.col("threshold").alias("__t"))
