@@ -12,7 +12,8 @@ and each task sends only a spanning star of what it linked: at most one row for
 fingerprint and prefix, however large the groups of copies.
 
 Equal fingerprints are one node, so exact copies cost nothing.  Components come from
-alternating large-star and small-star rounds over tables in the shared folder.
+alternating large-star and small-star rounds over tables in the shared folder
+(``ridgeline.operators.fixpoint.connected``).
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked
 like any other; rows that share a ``doc_id`` are one document; a component's id is its
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.tasks import slim
+from ridgeline.operators.fixpoint import connected
 from ridgeline.session import materialize
 
 RADIUS = 4
@@ -194,29 +196,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("prefix").applyInArrow(_local_stars(bits, radius), "a long, b long").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (columns ``a``, ``b``); the root is the smallest node.
-
-    Large-star and small-star rounds; each is a grouping with map-side minimum and a join, so
-    a node with very many links is never gathered.  A round's table is written to the shared
-    folder, and rounds end when the links no longer change.
-    """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    state = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s")).first()
-        if now == state or not now.n:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = materialize(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.where("a <> b").distinct(), "small-star")
-
-
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``prints`` (``doc_id, fingerprint``)."""
     prints = materialize(prints, "fingerprints")
