@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.operators import classes, distance, sequences, terrain, validation
+from ridgeline.plans import scene
 from ridgeline.plans.surface import CLASS_SQL, SLOPE, relief
-from ridgeline.sources.grid import ORDERS_SQL, Grid
+from ridgeline.session import materialize
+from ridgeline.sources.grid import ORDERS_SQL, Grid, analytic_scene
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -129,3 +131,45 @@ def corner_cells(spark, sf_dir):
 def straight_lines(spark, sf_dir):
     t = triangles(spark, sf_dir).where("y2 < y1 AND x2 > x1 + 200")
     return sequences.straight(t, 10, ["fid"]).select("fid", F.col("seq").cast("long").alias("seq"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Whole scenes; the fixpoints inside them have no SQL (see tests/test_golden.py for their values).
+
+_PI2 = "6.283185307179586::DOUBLE"
+
+
+@query(f"""WITH g AS (SELECT i // 300 AS r, i % 300 AS c, (i % 300) * 30.0::DOUBLE AS x, (i // 300) * 30.0::DOUBLE AS y FROM range(90000) t(i)),
+b AS (SELECT *, sin(x * {_PI2} / 7000) * 900 + 4500 AS bed FROM g)
+SELECT r, c, round(CAST(900 + (9000 - y) * 0.045::DOUBLE + exp(-(power(x - 2700, 2) + power(y - 2400, 2)) / (2 * 1450.0::DOUBLE * 1450)) * 780 + exp(-(power(x - 6600, 2) + power(y - 6300, 2)) / (2 * 1650.0::DOUBLE * 1650)) * 560
+  + sin(x * {_PI2} / 2100) * cos(y * {_PI2} / 2700) * 95 + sin((x + y) * {_PI2} / 1300) * 38 - exp(-power(y - bed, 2) / (2 * 430.0::DOUBLE * 430)) * 230
+  + (1 - 2 / (exp(2 * ((y - 6900) / 40)) + 1)) * exp(-power(x - 4200, 2) / (2 * 1100.0::DOUBLE * 1100)) * 130 AS FLOAT)::DOUBLE, 2) AS z FROM b""")
+def analytic_relief(spark, sf_dir):
+    cells, _ = analytic_scene(spark)
+    return cells.select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"))
+
+
+SCENE = scene.SceneOptions(stream_basin_km2=0.1, band_size=100.0, least_patch_ha=0.2)
+
+
+def whole_scene(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    return materialize(scene.surface(cells, grid, SCENE, "blocked"), "scene"), grid
+
+
+@query()
+def scene_classes(spark, sf_dir):
+    made, _ = whole_scene(spark, sf_dir)
+    return made.groupBy("class", "zone", "channel").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("score"), F.round(F.avg("risk"), 4).alias("risk"))
+
+
+@query()
+def scene_zones(spark, sf_dir):
+    made, grid = whole_scene(spark, sf_dir)
+    return scene.zones(made, grid, SCENE).select("region", "n_cells", "area_m2", "area_ha", F.size("rings").alias("rings"))
+
+
+@query()
+def scene_route(spark, sf_dir):
+    made, grid = whole_scene(spark, sf_dir)
+    end = 30.0 * (grid.rows - 3)
+    return scene.route(made, grid, [(grid.x0 + 45.0, grid.y0 - 45.0), (grid.x0 + end, grid.y0 - end)], SCENE)["attributes"]
