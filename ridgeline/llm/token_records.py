@@ -54,7 +54,7 @@ class Encoder:
     remembered.  Memory is bounded: of the words, the last one or two ``limit`` are kept.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core
         from tokenizers import Tokenizer
 
