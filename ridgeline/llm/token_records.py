@@ -63,11 +63,13 @@ class Encoder:
         self.limit = limit
         self.words, self.older_words = {}, {}
         self.pieces, self.older_pieces = {}, {}
-        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        specials = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = regex.compile("|".join(map(regex.escape, specials)) or "(?!)")
         self.by_piece = self._pieces_are_enough()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.packers = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(17)]
 
     def _pieces_are_enough(self) -> bool:
         """Whether the file lower-cases, splits as PIECES does and maps bytes, so pieces stand alone."""
@@ -75,12 +77,12 @@ class Encoder:
         return PIECES.pattern in state.replace("\\\\", "\\") and '"Lowercase"' in state and '"ByteLevel"' in state
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, self.width).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece) or self.older_pieces.get(piece)
         if got is None:
-            mapped = "".join(map(self.byte_chars.__getitem__, piece.encode()))
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join(map(self.byte_chars.__getitem__, piece.encode()))
             got = self._ids([t.id for t in self.tokenizer.model.tokenize(mapped)])
         self.pieces[piece] = got
         return got
@@ -88,8 +90,9 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         # Up to U+00FF lower-casing is plain and no characters combine; all else is left to the library.
-        if self.by_piece and max(text) <= "ÿ" and not any(s in text for s in self.specials):
-            return b"".join(map(self._piece, PIECES.findall(text.lower())))
+        if self.by_piece and (word.isascii() or max(text) <= "ÿ") and not self.special.search(text):
+            # ASCII letters alone are one piece.
+            return self._piece(text.lower()) if word.isalpha() else b"".join([self._piece(p) for p in PIECES.findall(text.lower())])
         return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
