@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ridgeline.operators import classes, distance, sequences, terrain, validation
 from ridgeline.plans import scene
 from ridgeline.plans.surface import CLASS_SQL, SLOPE, relief
-from ridgeline.session import materialize
+from ridgeline.session import materialize, run_path
+from ridgeline.sources import geotiff
 from ridgeline.sources.grid import ORDERS_SQL, Grid, analytic_scene
 
 QUERIES: dict = {}
@@ -40,6 +41,15 @@ def resampled_nearest(spark, sf_dir):
     return distance.resample(cells, grid, target, "z", "nearest")
 
 
+@query(f"WITH {ORDERS_SQL} SELECT r, c, z::DOUBLE AS z FROM cells")
+def geotiff_round_trip(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    target = run_path(spark, "relief-tiles")
+    geotiff.write_geotiff(cells, grid, "z", target)
+    back, _ = geotiff.read_geotiff(spark, target)
+    return back.select("r", "c", F.col("z").cast("double").alias("z"))
+
+
 TRIANGLES = """tri AS (SELECT s_suppkey AS fid, 500000 + (s_suppkey * 37 % 900) + 0.3::DOUBLE AS ax, 7500000 - (s_suppkey * 53 % 900) - 0.7::DOUBLE AS ay FROM supplier),
 sides AS (SELECT fid, ax AS x1, ay AS y1, ax + 211.7::DOUBLE AS x2, ay - 31.1::DOUBLE AS y2 FROM tri UNION ALL SELECT fid, ax + 211.7::DOUBLE, ay - 31.1::DOUBLE, ax + 83.9::DOUBLE, ay - 187.3::DOUBLE FROM tri UNION ALL SELECT fid, ax + 83.9::DOUBLE, ay - 187.3::DOUBLE, ax, ay FROM tri)"""
 
