@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
+from ridgeline.operators.distance import distance_to
 from ridgeline.operators.fixpoint import TILE, chains, shifted, tile_fixpoint, to_cells, to_tiles
 from ridgeline.operators.regions import regions
 from ridgeline.operators.stencil import OFFSETS, with_neighbours
@@ -20,6 +21,7 @@ from ridgeline.session import materialize
 from ridgeline.sources.grid import Grid
 
 STEPS = list(OFFSETS.values())
+DETOUR_RATIO, DETOUR_METRES = 1.25, 500.0
 
 
 def edges(cells: DataFrame, grid: Grid, cost: str = "cost", z: str | None = None) -> DataFrame:
@@ -233,3 +235,22 @@ def detour(path: DataFrame, grid: Grid, by: list[str], limit: float, slope: str
     above = (F.col(slope) > limit) | (F.lag(slope).over(over) > limit)
     steps = path.withColumns({"__m": F.when(above, step)})
     return steps.groupBy(*by).agg(F.max(slope).alias("steepest"), F.coalesce(F.sum("__m"), F.lit(0.0)).alias("metres_above"))
+
+
+def slope_detour(path: DataFrame, free: DataFrame, grid: Grid, by: list[str], limit: float, slope: str = "slope", z: str = "z") -> DataFrame:
+    """A route beside the one without the slope limit: lengths, their ratio, and ``detour`` where the limit forces a long way round.
+
+    ``steepest`` and ``metres_above`` are those of the route without the limit.
+    """
+    length = lambda p, name: path_metrics(p, grid, by, z).select(*by, F.col("length_m").alias(name))
+    both = length(path, "length_m").join(length(free, "free_length_m"), by).join(detour(free, grid, by, limit, slope), by)
+    ratio = F.try_divide("length_m", "free_length_m")
+    long = (ratio >= DETOUR_RATIO) & (F.col("length_m") - F.col("free_length_m") >= DETOUR_METRES) & (F.col("metres_above") > 0)
+    return both.withColumns({"ratio": ratio, "detour": F.coalesce(long, F.lit(False))})
+
+
+def corridor_extent(wide: DataFrame, path: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """``area_ha, farthest_m``: one row of a corridor's area and its greatest distance from the route, on complete ``cells``."""
+    marked = cells.select("r", "c").join(path.select("r", "c", F.lit(True).alias("on")).distinct(), ["r", "c"], "left")
+    away = distance_to(marked, grid, "on").select("r", "c", "distance")
+    return wide.join(away, ["r", "c"]).agg((F.count("*") * grid.cell_area / 1e4).alias("area_ha"), F.coalesce(F.max("distance"), F.lit(0.0)).alias("farthest_m"))

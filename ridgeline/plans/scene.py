@@ -95,19 +95,29 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
     window = [(min(p[k] for p in ends) - margin, max(p[k] for p in ends) + margin) for k in (0, 1)]
     crop = materialize(cells.where(F.col("r").between(*window[0]) & F.col("c").between(*window[1])), "crop")
     timed = "z" if o.cost_model == "tobler" else None
-    found = materialize(routing.route(crop, grid, ends, z=timed, optimise=o.optimise_order), "route")
+    order = routing.waypoint_order(crop, grid, ends, z=timed) if o.optimise_order and len(ends) > 3 else range(len(ends))
+    stops = [ends[i] for i in order]
+    found = materialize(routing.route(crop, grid, stops, z=timed), "route")
     path = found.join(crop.drop("distance"), ["r", "c"])
-    order = found.select("leg", "seq", "r", "c").withColumn("k", F.col("leg") * (1 << 32) + F.col("seq"))
+    line_order = found.select("leg", "seq", "r", "c").withColumn("k", F.col("leg") * (1 << 32) + F.col("seq"))
     whole = path.withColumn("all", F.lit(0)).withColumn("seq", F.col("leg") * (1 << 32) + F.col("seq"))
     metrics = routing.path_metrics(whole, grid, ["all"])
     cost = found.groupBy("leg").agg(F.max("distance").alias("d")).agg(F.sum("d").alias("cost"))
     attributes = metrics.join(F.broadcast(cost)).withColumns({"field_hours": F.col("hours") * (fn.BEST_SPEED / o.field_speed_kmh), "time_text": fn.hours_text(F.col("hours"))}).drop("all")
     out = {"path": found, "attributes": attributes, "ends": snapped}
+    open_ = F.col("valid") & F.col("slope").isNotNull() & ~F.col("barrier") & (F.col("water").isNull() if o.streams else F.lit(True))
+    free_cost = fn.route_cost(F.col("raw_score").cast("double"), o.cost_model, o.contrast, F.col("penalty")).cast("float")
+    if crop.where(open_ & ~F.col("passable")).limit(1).count():
+        unlimited = materialize(crop.withColumn("cost", F.when(open_, free_cost)), "unlimited")
+        free = materialize(routing.route(unlimited, grid, stops, z=timed), "free-route").join(crop.drop("distance"), ["r", "c"])
+        free = free.withColumn("all", F.lit(0)).withColumn("seq", F.col("leg") * (1 << 32) + F.col("seq"))
+        out["detour"] = routing.slope_detour(whole, free, grid, ["all"], o.score.slope_max).drop("all")
     if o.streams:
-        line = order.select(F.lit(0).alias("all"), F.col("k").alias("seq"), "r", "c")
+        line = line_order.select(F.lit(0).alias("all"), F.col("k").alias("seq"), "r", "c")
         streams = crop.where("channel").select("r", "c", F.col("basin_km2").alias("area"))
         axis = sequences.with_corners(line, ["all"], streams).join(streams, ["r", "c"], "left")
         out["crossings"] = sequences.merge_contacts(sequences.contacts(axis.withColumn("on", F.col("area").isNotNull()), ["all"], "on", "area"), ["all"], grid)
     if o.alternatives:
-        out["alternatives"] = routing.corridor(crop, grid, list(zip(ends, ends[1:])), o.alternatives, z=timed)
+        out["alternatives"] = materialize(routing.corridor(crop, grid, list(zip(stops, stops[1:])), o.alternatives, z=timed), "alternatives")
+        out["alternatives_extent"] = routing.corridor_extent(out["alternatives"], found, crop, grid)
     return out
