@@ -7,13 +7,16 @@ archives with fresh record ids and dates.  ``read_archives`` streams archives ba
 at a time, and ``resolve`` joins revisit records to their responses.
 
 Every record is a gzip member of its own, as archive readers expect.  Files are written by the
-tasks; a Parquet index, committed by Spark, says which files and records count.
+tasks; a Parquet index, committed by Spark, says which files and records count.  Archives are
+read by pieces of about ``PIECE_BYTES``, so tasks follow the bytes of the archives and not the
+number of files.
 
 Defined results: null html is an empty payload and a null url an empty target; payloads are
 equal if their SHA-1 and length are; of equal payloads the largest ``page_id`` is the response
-(null is smallest), and of rows that share it one; revisits shorter than ``least_bytes`` are not
-made; line breaks in a url are percent-encoded; an empty table gives no records; other columns
-are not read.
+(null is smallest), and of rows that share it one, so repeated rows are revisits of one of them;
+revisits shorter than ``least_bytes`` are not made; a very long payload is one record, which its
+task holds whole; line breaks in a url are percent-encoded; an empty table gives no records;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import files
+from ridgeline.llm.skew import join_counted
 from ridgeline.session import materialize, run_path
 
 LEAST_BYTES = 1000
 ROLL_BYTES = 256 << 20
 CHUNK = 1 << 20
+PIECE_BYTES = 4 << 20  # of an archive, read by one task
 GZIP_LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -144,17 +149,26 @@ def _fresh(record_id: str):
 def decide(index: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Index rows with ``new_id``, and ``refers_to_id`` (a new id) for those that become revisits.
 
-    Only headers move.  The grouping by digest keeps one row for each digest and task, so a
-    payload that a third of all pages share is no large group; the join back is on digests that
-    occur more than once.
+    Only headers move.  The grouping by digest keeps one row for each digest and task; the join
+    back is on digests that occur more than once, and those that a large share of all pages
+    have are broadcast, so no task gathers the pages of one payload.
     """
     order = F.struct("page_id", "record_id")
     groups = index.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(order).alias("original"), F.count("*").alias("n")).where("n > 1")
-    joined = index.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn("original_id", F.col("original.record_id"))
+    joined = join_counted(index, materialize(groups, "equal-payloads"), ["payload_digest", "payload_bytes"]).withColumn("original_id", F.col("original.record_id"))
     revisit = F.col("original_id").isNotNull() & (F.col("original_id") != F.col("record_id"))
     return joined.select(*(F.col(c) for c in index.columns), _fresh("record_id").alias("new_id"), F.when(revisit, _fresh("original_id")).alias("refers_to_id"))
 
 
+def _piece():
+    return F.floor(F.col("offset") / PIECE_BYTES)
+
+
+def _pieces(index: DataFrame) -> int:
+    """How many tasks the archives that ``index`` names are worth."""
+    return max(1, -(-(index.agg(F.sum("n_bytes")).first()[0] or 0) // PIECE_BYTES))
+
+
 def deduplicate(index: DataFrame, source: str, target: str, date: str = "2024-01-02T00:00:00Z", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write archives of responses and revisits from the archives that ``index`` names; returns their index.
 
@@ -183,24 +197,27 @@ def deduplicate(index: DataFrame, source: str, target: str, date: str = "2024-01
             if held is not None:
                 held.close()
 
-    placed = decide(index, least_bytes).repartition("file").sortWithinPartitions("file", "offset")
+    # A stated number of partitions: left to itself, Spark would size them by the few bytes of the index.
+    placed = decide(index, least_bytes).repartition(_pieces(index), "file", _piece()).sortWithinPartitions("file", "offset")
     return materialize(placed.mapInArrow(rewrite, INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame, source: str) -> DataFrame:
-    """The records of the files that ``index`` names, streamed from front to back.
+    """The records of the files that ``index`` names, each piece of a file streamed from front to back.
 
     A response's length and digest are taken from its payload, and the digest must be the one
-    in its header; a revisit has no payload, so its length is null.
+    in its header; a revisit has no payload, so its length is null.  A piece must hold as many
+    records as the index says.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = files.open_store(source)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows = []
-                with store.open_input_stream(f"{folder}/{name}", compression=None) as stream:
-                    for record in members(stream):
+            for piece in batch.to_pylist():
+                rows, n = [], 0
+                with store.open_input_file(f"{folder}/{piece['file']}") as whole:
+                    for record in members(_Span(whole, piece["first"], piece["past"])):
+                        n += 1
                         fields, payload = unpack(record)
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                         full = fields["warc-type"] == "response"
@@ -214,17 +231,35 @@ def read_archives(index: DataFrame, source: str) -> DataFrame:
                         if len(rows) >= 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_ARROW)
                             rows = []
+                if n != piece["n"]:
+                    raise ValueError(f"{piece['file']} has {n} records from byte {piece['first']} to {piece['past']}, not {piece['n']}")
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_ARROW)
 
-    return index.select("file").distinct().repartition("file").mapInArrow(read, RECORD)
+    spans = index.groupBy("file", _piece().alias("piece")).agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("n_bytes")).alias("past"), F.count("*").alias("n"))
+    return spans.repartition(_pieces(index), "file", "piece").select("file", "first", "past", "n").mapInArrow(read, RECORD)
+
+
+class _Span:
+    """The bytes of an open file between two places."""
+
+    def __init__(self, whole, at: int, past: int):
+        self.whole, self.at, self.past = whole, at, past
+
+    def read(self, n: int) -> bytes:
+        got = self.whole.read_at(min(n, self.past - self.at), self.at)
+        self.at += len(got)
+        return got
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """Records with ``refers_to`` (the response's page id) and the full payload's length for revisits."""
     responses = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", F.lit(None).cast("long").alias("refers_to"))
-    originals = responses.select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("full_bytes"), F.col("page_id").alias("refers_to"))
-    revisits = records.where("record_type = 'revisit'").join(originals, "refers_to_id", "left").select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "record_id", "refers_to")
-    return responses.unionByName(revisits)
+    revisits = records.where("record_type = 'revisit'")
+    wanted = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    originals = responses.select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("full_bytes"), F.col("page_id").alias("original"))
+    found = materialize(wanted.join(originals, "refers_to_id"), "originals")
+    resolved = join_counted(revisits.drop("payload_bytes"), found, ["refers_to_id"])
+    return responses.unionByName(resolved.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "record_id", F.col("original").alias("refers_to")))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -232,3 +267,14 @@ def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = LEAST_B
     first, second = run_path(spark, "warc-pages"), run_path(spark, "warc-deduplicated")
     index = deduplicate(write_pages(pages, first), first, second, least_bytes=least_bytes)
     return resolve(materialize(read_archives(index, second), "warc-records"))
+
+
+#: DuckDB SQL over ``pages`` for ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> original THEN original END AS refers_to
+FROM o
+"""

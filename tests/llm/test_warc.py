@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import files, queries, warc
 from ridgeline.session import run_path
+from tests.duck import same
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,9 @@ def run(spark, pages):
 
 def test_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
-    assert sorted((tuple(r)[:5] for r in queries.op2_warc_revisits(spark, SF).collect()), key=str) == brute(rows)
+    got = queries.op2_warc_revisits(spark, SF)
+    assert sorted((tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == brute(rows)
+    same(got, SF, queries.ORACLES["op2_warc_revisits"])
 
 
 def test_copies_and_odd_rows(spark):
@@ -44,6 +47,25 @@ def test_copies_and_odd_rows(spark):
     assert run(spark, pages.limit(0)) == []
 
 
+def test_common_payload_and_long_text(spark):
+    """A payload that most pages have, and one longer than a piece of an archive."""
+    rows = [(i, "http://c/", "c" * 1500) for i in range(3000)] + [(9000, "http://l/", "".join(map(str, range(1_500_000)))), (9001, "", "r" * 1200), (9002, "", "r" * 1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert run(spark, pages) == brute(rows)
+
+
+def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", hashlib.sha512(str(i).encode()).hexdigest() * 20) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    a, b = run_path(spark, "a"), run_path(spark, "b")
+    monkeypatch.setattr(warc, "PIECE_BYTES", 2000)
+    index = warc.deduplicate(warc.write_pages(pages, a), a, b)
+    size = index.agg(F.sum("n_bytes")).first()[0]
+    read = warc.read_archives(index, b).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() > size / 2000 / 4 > 5
+    assert read.count() == 200 and {r.page_id for r in read.collect()} == set(range(200))
+
+
 def test_archives_hold_fresh_headers_and_few_payloads(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "w" * 5000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     a, b = run_path(spark, "a"), run_path(spark, "b")
