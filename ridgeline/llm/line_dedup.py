@@ -11,8 +11,10 @@ and pages only meet that row; no line of a page is ever shuffled back.
 
 Defined results: null html has no lines; a null or unreadable url has the empty host, which is
 a host like any other; lines are trimmed and empty ones ignored; a line repeated in a page
-counts once and is dropped everywhere; hosts with fewer than ``least_pages`` pages lose nothing;
-rows that share a ``page_id`` are pages of their own; other columns are not read.
+counts once and is dropped everywhere; a line on fewer than ``least_pages`` pages of its host stays,
+whatever its ratio, since one page alone shows no boilerplate; a ratio equal to the limit is kept;
+rows that share a ``page_id`` are pages of their own; very long pages are read whole; other columns
+are not read.  The host is without user name and port.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from ridgeline.session import materialize
 
 RATIO = 0.3
-LEAST_PAGES = 5
+LEAST_PAGES = 2  # with a line, for it to be dropped
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 #: What of a page is not text, and which tags end a line.
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 BREAKS = r"(?is)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|[\r\n]+"
@@ -35,7 +38,7 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&a
 
 
 def host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
 def lines(html: Column) -> Column:
@@ -67,9 +70,9 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = L
     """``page_id, host, n_lines, n_dropped, text``: each page's lines without its site's boilerplate."""
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     parsed = materialize(parsed, "page-lines")
-    totals = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    totals = parsed.groupBy("host").agg(F.count("*").alias("pages"))
     each = parsed.select("host", F.explode(F.transform(F.array_distinct("lines"), _key)).alias("line"))
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     common = counts.join(totals, "host").where(F.col("n") / F.col("pages") > ratio)
     boilerplate = materialize(common.groupBy("host").agg(F.collect_list("line").alias("drop")), "boilerplate")
     joined = _with_host(parsed, boilerplate)
@@ -87,12 +90,12 @@ def oracle_sql(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
     trim = "regexp_replace(x, '^[ \\t]+|[ \\t]+$', '', 'g')"
     return f"""
 WITH parsed AS (
-  SELECT row_number() OVER () AS k, page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS host,
+  SELECT row_number() OVER () AS k, page_id, coalesce(lower(regexp_extract(url, {quote(HOST)}, 1)), '') AS host,
          list_filter(list_transform(string_split({text}, chr(10)), lambda x: {trim}), lambda x: x <> '') AS lines
   FROM pages),
-totals AS (SELECT host, count(*) AS pages FROM parsed GROUP BY host HAVING count(*) >= {least_pages}),
+totals AS (SELECT host, count(*) AS pages FROM parsed GROUP BY host),
 each AS (SELECT host, unnest(list_distinct(lines)) AS line FROM parsed),
-counts AS (SELECT host, line, count(*) AS n FROM each GROUP BY host, line),
+counts AS (SELECT host, line, count(*) AS n FROM each GROUP BY host, line HAVING count(*) >= {least_pages}),
 common AS (SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n / pages > {ratio} GROUP BY host),
 kept AS (
   SELECT page_id, p.host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, x)) END AS rest

@@ -22,11 +22,14 @@ def test_rules_and_odd_rows(spark):
     page = lambda *x: "<!-- a\n --><body><p>" + "</p><p>".join(x) + "</p><script>no()</script>"
     rows = [(i, f"http://Site.example/{i}?q", page("Menu", f"text {i}", "Menu", "&lt;b&gt;" if i < 2 else f"own {i}")) for i in range(6)]
     rows += [(20 + i, f"https://small.example/{i}", page("Menu")) for i in range(4)]
+    rows += [(40, "https://one.example/", page("Menu")), (41, "https://me@two.example:80/a", page("Menu", "left")), (42, "https://TWO.example:443", page("Menu", "right")), (43, "http://[::1]:8080/x", page("long " * 50_000))]
     rows += [(None, None, None), (30, "nonsense", ""), (3, "http://site.example", page("x  y", "\tMenu ")), (3, "http://site.example", page("x  y", "\tMenu "))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "lines": F.lit(1), "text": F.lit(None)})
     got = line_dedup.drop_site_lines(pages)
     same(got, SF, line_dedup.oracle_sql(), {"pages": pd.DataFrame(rows, columns=["page_id", "url", "html"])})
-    by = {r.page_id: r for r in got.collect()}
+    rows = got.collect()
+    by = {r.page_id: r for r in rows}
     assert by[1].text == "text 1\n<b>" and by[1].n_dropped == 2  # 2 of 8 pages is within the ratio
-    assert by[21].text == "Menu" and by[3].text == "x  y" and by[None].n_lines == 0
+    assert by[21].text == "" and sorted(r.text for r in rows if r.page_id == 3) == ["text 3\nown 3", "x  y", "x  y"] and by[None].n_lines == 0
+    assert by[40].text == "Menu" and (by[41].text, by[42].text) == ("left", "right") and by[42].host == "two.example" and by[43].host == "[::1]" and len(by[43].text) > 200_000
     assert line_dedup.drop_site_lines(pages.limit(0)).count() == 0
