@@ -13,18 +13,21 @@ tasks', and the driver gets one table of at most ``DIM`` numbers for each langua
 Defined results: text that is null or has no letter is ``und`` with score 0; rows with null
 language are not learned from; without any labelled row every text is ``und``; one learned
 language is given to every text with letters; equally near languages resolve to the one that
-sorts first; all columns of the input are kept, whatever their names.
+sorts first, and are ambiguous; repeated rows count each time they occur, and are judged alike;
+very long texts are read whole, their weights summed up a part at a time; more than
+``MOST_LANGUAGES`` languages are an error, since the model's size follows their number; all columns
+of the input are kept, whatever their names.  A letter is a character of Unicode category L.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -39,7 +42,7 @@ AMBIGUOUS = 0.05  # least difference of weighted loss between the nearest codewo
 UNDETERMINED = "und"
 FOLDS = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes of ASCII characters that are no letters become blanks.
 _BLANKS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
