@@ -13,9 +13,11 @@ The fit sees a bounded sample (``most_positive``, ``most_unlabelled`` rows of th
 folds, chosen by a hash of the id); the class prior is taken over all reviewed rows there, and
 every whole text is scored.  The weights have a fixed size, whatever the corpus.
 
-Defined results: null and empty texts score as texts without words; null ids are in a learned
-fold; conflicting labels of one id count as toxic; null labels are ignored; without positives
-every score is 0; other columns are not read.
+Defined results: null and empty texts score as texts without words; very long texts are read
+whole, as the set of their words; null ids are in a learned fold; conflicting labels of one id
+count as toxic; null labels are ignored; without positives every score is 0; if every reviewed
+text is toxic, the prior is 1; rows that share an id each count in the fit, and equal texts score
+alike; ids whose hashes tie for a place in the sample go by the id; other columns are not read.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     seen = reviewed.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not seen.toxic:
         return np.zeros(DIM, np.float32), -40.0
-    prior = min(0.5, seen.toxic / seen.n)
+    prior = seen.toxic / seen.n
     turn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(~held_out("id"))
     chosen = reviewed.where("toxic = 1").where(turn < 1.2 * most_positive / seen.toxic).orderBy(turn, "id").limit(most_positive).select("id")

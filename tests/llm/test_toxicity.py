@@ -33,6 +33,39 @@ def test_risk_is_corrected_for_the_prior():
     assert (z == truth).mean() > 0.97
 
 
+def test_scores_against_brute_force(spark):
+    """Every score by plain sums over the words of the text, for the model that the query learns."""
+    import math
+
+    small = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    weights, bias = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = {w for w in "".join(c.lower() if "A" <= c <= "Z" else " " if c < "\x80" and not c.isalpha() else c for c in r.text or "").encode().split()}
+        want[r.doc_id] = 1 / (1 + math.exp(-(bias + sum(float(weights[k]) for k in {int(toxicity.features(w)[0]) for w in words}))))
+    got = queries.op3_toxicity(spark, small).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_fit_against_slow_gradient():
+    """The first steps equal those of the risk's numeric slope."""
+    rng = np.random.default_rng(3)
+    pos, unl = ([np.unique(rng.integers(0, 8, 4)) for _ in range(n)] for n in (6, 15))
+    prior, width = 0.3, 8
+
+    def risk(v):
+        z = lambda rows: np.array([v[r].sum() + v[-1] for r in rows])
+        loss = lambda x: np.logaddexp(0, -x)
+        negative = loss(-z(unl)).mean() - prior * loss(-z(pos)).mean()
+        return prior * loss(z(pos)).mean() + max(0.0, negative) + toxicity.SHRINK / 2 * (v[:-1] ** 2).sum(), negative
+
+    w, b = toxicity.fit(toxicity.Rows(pos), toxicity.Rows(unl), prior, width, steps=1)
+    v = np.zeros(width + 1)
+    slope = np.array([(risk(v + h)[0] - risk(v - h)[0]) / 2e-6 for h in np.eye(width + 1) * 1e-6])
+    assert risk(v)[1] > 0 and np.allclose(np.append(w, b), -toxicity.RATE * np.sign(slope), atol=1e-3)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (4, "bad " * 10), (4, "bad")], "doc_id long, text string").withColumn("score", F.lit("s"))
     none = spark.createDataFrame([], "doc_id long, toxic int")
