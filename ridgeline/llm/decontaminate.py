@@ -7,28 +7,36 @@ least a window long gets the whole range of equal windows, thus all their places
 
 Words are ids of the benchmark's own vocabulary; any other word ends a match, so it gets id 0
 and no suffix that starts with it is kept.  Documents are never shuffled: the benchmark goes
-to the tasks, in blocks of bounded size whose number follows the benchmark.
+to the tasks, in blocks of bounded size.  A pass over the documents takes at most
+``BLOCKS_A_PASS`` of them, so neither the driver nor a task holds more of a large benchmark; the
+passes' findings are put together by row.
 
 Defined results: null or empty text has no words and is never contaminated; null or empty
 items are ignored and a null ``item_id`` counts as the empty string; items that share an id are
-one item; rows with equal ``doc_id`` are judged one by one; all columns of the input are kept as
-they are, whatever their names.
+one item; rows with equal ``doc_id`` are judged one by one; a very long text is one shard, read
+whole; of equally long matches a document gives its first, and of items that have it the first by
+id and start; all columns of the input are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ridgeline.llm.tasks import slim
+from ridgeline.session import materialize
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
+BLOCKS_A_PASS = 8
 
 #: A-Z become a-z; other ASCII characters than digits and letters become blanks; the rest stays.
 WORD_TABLE = bytes(
@@ -38,8 +46,9 @@ WORD_TABLE = bytes(
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 FOUND = (
     "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, "
-    "longest_words long, longest_item string, longest_item_start long, longest_start long"
+    "longest struct<n_words:long,item:string,item_start:long,start:long>"
 )
+_LONGEST = pa.struct([("n_words", pa.int64()), ("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64())])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,6 +85,30 @@ class Block:
             self.window_items[which[k]].add(self.names[self.item[s]])
         self.windows = np.array(distinct, np.int64)
         self.depth = int(size.max(initial=1))
+        # Suffixes in sorted order: a 0 behind each item ends its suffixes.
+        bounded, spot = np.zeros(len(words) + len(items), np.int64), place + self.item
+        bounded[spot] = self.words
+        back = np.full(len(bounded), -1)
+        back[spot] = place
+        self.sorted_suffixes = back[suffix_array(bounded, self.depth)]
+        self.firsts: dict[bytes, int] = {}
+
+    def rank(self, suffix: int) -> tuple[str, int]:
+        """Item id and start in it."""
+        return self.names[self.item[suffix]], int(suffix - self.first[self.item[suffix]])
+
+    def equal_range(self, suffix: int, width: int) -> tuple[int, int]:
+        """The range of sorted suffixes that begin with the same ``width`` words."""
+        key, bounds = self.words[suffix : suffix + width].tolist(), []
+        for after in (False, True):
+            lo, hi = 0, len(self.sorted_suffixes)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                s = self.sorted_suffixes[mid]
+                other = self.words[s : min(s + width, self.end[s])].tolist()
+                lo, hi = (mid + 1, hi) if other < key or after and other == key else (lo, mid)
+            bounds.append(lo)
+        return bounds[0], bounds[1]
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -145,46 +178,97 @@ def _lower_bound(words, order, lo, hi, query, start, end, after=False) -> np.nda
     return lo
 
 
-def search(block: Block, words: np.ndarray, window: int):
-    """Look up every suffix of the block's items in the text ``words`` (its last word must be 0).
+class Found:
+    """What the suffixes of a block's items have in common with the text of a shard."""
+
+    def __init__(self, block: Block, words: np.ndarray):
+        """Look every suffix up in the text ``words``, whose last word must be 0."""
+        self.block, self.text = block, words
+        self.order = suffix_array(words, block.depth)
+        first = words[self.order]
+        self.lo, self.hi = np.searchsorted(first, block.words, "left"), np.searchsorted(first, block.words, "right")
+        n = len(block.words)
+        self.longest, self.at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if len(self.order):
+            self.at = _lower_bound(words, self.order, self.lo, self.hi, block.words, np.arange(n), block.end)
+            for near in (self.at, self.at - 1):
+                common, _ = _compare(words, self.order[np.clip(near, 0, len(self.order) - 1)], block.words, np.arange(n), block.end)
+                self.longest = np.maximum(self.longest, common)
+
+    def places(self, suffixes: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the first ``width`` words of the suffixes: which suffix, and where in the text."""
+        past = suffixes + width
+        lo, hi = self.lo[suffixes], self.hi[suffixes]
+        left = _lower_bound(self.text, self.order, lo, hi, self.block.words, suffixes, past)
+        right = _lower_bound(self.text, self.order, lo, hi, self.block.words, suffixes, past, after=True)
+        count = right - left
+        slots = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.repeat(np.arange(len(suffixes)), count), self.order[slots]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All places of all windows: which window, where, and its width."""
+        s = self.block.windows
+        hit = np.flatnonzero(self.longest[s] >= self.block.width[s])
+        which, at = self.places(s[hit], self.block.width[s[hit]])
+        return hit[which], at, self.block.width[s[hit]][which]
+
+    def longest_by_document(self, document: np.ndarray, n: int) -> list[tuple[int, int, int] | None]:
+        """For each of ``n`` documents its longest match: words, suffix and place in the text.
+
+        A suffix of the text shares most with the item suffixes that sort beside it, so each
+        place of the text needs two comparisons only, whatever the number of equal documents.
+        """
+        out: list[tuple[int, int, int] | None] = [None] * n
+        if not len(self.order) or not self.longest.any():
+            return out
+        block, places = self.block, self.order
+        suffixes = block.sorted_suffixes
+        # Item suffixes among the text's: those that sort before a place of the text are counted.
+        before = np.searchsorted(self.at[suffixes], np.arange(len(places)), "right")
+        best, which = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for k in (before - 1, before):
+            s = suffixes[np.clip(k, 0, len(suffixes) - 1)]
+            common, _ = _compare(self.text, places, block.words, s, block.end[s])
+            better = common > best
+            best[better], which[better] = common[better], s[better]
+        owner = document[places]
+        some = np.flatnonzero(best)
+        some = some[np.lexsort((places[some], -best[some], owner[some]))]
+        for i in some[np.unique(owner[some], return_index=True)[1]]:
+            out[owner[i]] = (int(best[i]), self.first_equal(which[i], best[i]), int(places[i]))
+        return out
+
+    def first_equal(self, suffix: int, width: int) -> int:
+        """Of item suffixes that begin with the same ``width`` words, the first by item and start."""
+        key = self.block.words[suffix : suffix + width].tobytes()
+        if key not in self.block.firsts:
+            lo, hi = self.block.equal_range(suffix, width)
+            self.block.firsts[key] = min((int(s) for s in self.block.sorted_suffixes[lo:hi]), key=self.block.rank)
+        return self.block.firsts[key]
+
 
-    Returns the longest match of each suffix and its place, and the places of each window.
+def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[list]:
+    """The benchmark as lists of broadcast blocks, one list for each pass.
+
+    Items reach the driver a partition at a time, and it holds one pass of them.
     """
-    order = suffix_array(words, block.depth)
-    first = words[order]
-    lo = np.searchsorted(first, block.words, "left")
-    hi = np.searchsorted(first, block.words, "right")
-    start, longest, place = np.arange(len(block.words)), np.zeros(len(block.words), np.int64), np.zeros(len(block.words), np.int64)
-    if len(order):
-        at = _lower_bound(words, order, lo, hi, block.words, start, block.end)
-        for near in (at, at - 1):
-            near = order[np.clip(near, 0, len(order) - 1)]
-            common, _ = _compare(words, near, block.words, start, block.end)
-            better = common > longest
-            longest[better], place[better] = common[better], near[better]
-    matched = np.flatnonzero(longest[block.windows] >= block.width[block.windows])
-    s = block.windows[matched]
-    e = s + block.width[s]
-    left = _lower_bound(words, order, lo[s], hi[s], block.words, s, e)
-    right = _lower_bound(words, order, lo[s], hi[s], block.words, s, e, after=True)
-    count = right - left
-    slots = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return longest, place, np.repeat(matched, count), order[slots], np.repeat(block.width[s], count)
-
-
-def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
-    """The benchmark as broadcast blocks; each is collected by itself and has a bounded size."""
-    spark = benchmark.sparkSession
+    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // BLOCK_BYTES))
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        texts = [(r.item_id, words_of(r.text.encode())) for r in rows]
-        if any(t for _, t in texts):
-            out.append(spark.sparkContext.broadcast(Block([x for x in texts if x[1]], window)))
-    return out
+    held, size, out = [], 0, []
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        if words := words_of(r.text.encode()):
+            held.append((r.item_id, words))
+            size += len(r.text)
+        if size >= BLOCK_BYTES:
+            out.append(context.broadcast(Block(held, window)))
+            held, size = [], 0
+            if len(out) == BLOCKS_A_PASS:
+                yield out
+                out = []
+    if held:
+        out.append(context.broadcast(Block(held, window)))
+    if out:
+        yield out
 
 
 class _Shard:
@@ -194,6 +278,11 @@ class _Shard:
         self.first = np.cumsum(self.size + 1) - self.size - 1  # a 0 stands behind each document
         self.lists = lists
 
+    @functools.cached_property
+    def owner(self) -> np.ndarray:
+        """The document of every place."""
+        return self.document(np.arange(int(self.size.sum()) + len(self.lists) + 1))
+
     def ids(self, block: Block) -> np.ndarray:
         out, known = np.zeros(int(self.size.sum()) + len(self.lists) + 1, np.int64), block.ids
         for at, words in zip(self.first, self.lists):
@@ -204,22 +293,25 @@ class _Shard:
         return np.searchsorted(self.first, place, "right") - 1
 
 
-def _judge(shard: _Shard, blocks: list[Block], window: int) -> dict:
+def _judge(shard: _Shard, blocks: list[Block]) -> dict:
     n = len(shard.lists)
     cover = np.zeros(int(shard.size.sum()) + n + 2, np.int64)
     items: list[set[str]] = [set() for _ in range(n)]
-    best = [(0, None, None, None)] * n
+    best: list[dict | None] = [None] * n
     for block in blocks:
-        longest, place, which, at, width = search(block, shard.ids(block), window)
+        found = Found(block, shard.ids(block))
+        which, at, width = found.windows()
         np.add.at(cover, at, 1)
         np.add.at(cover, at + width, -1)
         for pair in np.unique(shard.document(at) * len(block.windows) + which):
             items[pair // len(block.windows)] |= block.window_items[pair % len(block.windows)]
-        # Of each suffix's longest match, the document that it lies in keeps the longest.
-        some = np.flatnonzero(longest)
-        for s, d in zip(some[np.argsort(longest[some], kind="stable")], shard.document(place[some[np.argsort(longest[some], kind="stable")]])):
-            if longest[s] > best[d][0]:
-                best[d] = (int(longest[s]), block.names[block.item[s]], int(s - block.first[block.item[s]]), int(place[s] - shard.first[d]))
+        for d, match in enumerate(found.longest_by_document(shard.owner, n)):
+            if match is not None:
+                words, suffix, place = match
+                item, start = block.rank(suffix)
+                new = {"n_words": words, "item": item, "item_start": start, "start": int(place - shard.first[d])}
+                if best[d] is None or (-words, new["start"], item, start) < (-best[d]["n_words"], best[d]["start"], best[d]["item"], best[d]["item_start"]):
+                    best[d] = new
     hit = np.cumsum(cover) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
@@ -230,8 +322,7 @@ def _judge(shard: _Shard, blocks: list[Block], window: int) -> dict:
     n_hit = np.bincount(owner, ends - starts, n).astype(np.int64)
     return {
         "n_words": pa.array(shard.size), "n_hit": pa.array(n_hit),
-        "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(_SPAN)),
-        **{k: pa.array(list(v), t) for k, v, t in zip(("longest_words", "longest_item", "longest_item_start", "longest_start"), zip(*best), (pa.int64(), pa.string(), pa.int64(), pa.int64()))},
+        "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(_SPAN)), "longest": pa.array(best, _LONGEST),
     }
 
 
@@ -251,23 +342,60 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     """Every input row as the struct ``row``, with what the benchmark has in common with it.
 
     ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (ids of items
-    with a window in it, sorted), ``spans`` (hit words, as word positions), and the longest
-    match found: its words, item, and start in the item and in the document.
+    with a window in it, sorted), ``spans`` (hit words, as word positions), and ``longest``, the
+    document's longest match with any item: its words, item, and start in the item and in the
+    document (null if no word is the benchmark's).
     """
     from pyspark.sql.types import StructField, StructType
 
-    blocks, at = _blocks(benchmark, window, item_col, item_text_col), docs.columns.index(text_col)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in blocks]
-        for batch in batches:
-            for start, texts in _slices(batch.column(0).field(at).cast(pa.large_binary())):
-                found = _judge(_Shard(texts), held, window)
-                row = batch.column(0).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([row, *found.values()], names=["row", *found])
-
-    schema = StructType([StructField("row", docs.schema), *StructType.fromDDL(FOUND).fields])
-    return docs.select(F.struct("*").alias("row")).mapInArrow(slim(judge), schema)
+    at = docs.columns.index(text_col)
+    found_fields = StructType.fromDDL(FOUND).fields
+
+    def judged(rows: DataFrame, blocks: list, keep: StructField) -> DataFrame:
+        """``rows``: what to hand on and the text."""
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b.value for b in blocks]
+            for batch in batches:
+                kept = batch.column(0)
+                texts = kept.field(at) if batch.num_columns == 1 else batch.column(1)
+                for start, part in _slices(texts.cast(pa.large_binary())):
+                    found = _judge(_Shard(part), held)
+                    yield pa.RecordBatch.from_arrays([kept.slice(start, len(part)), *found.values()], names=[keep.name, *found])
+
+        return rows.mapInArrow(slim(judge), StructType([keep, *found_fields]))
+
+    passes = _blocks(benchmark, window, item_col, item_text_col)
+    first, second = next(passes, []), next(passes, None)
+    whole = docs.select(F.struct("*").alias("row"))
+    if second is None:
+        return judged(whole, first, StructField("row", docs.schema))
+    # More than one pass: findings are written by each, and put together by the number of the row.
+    numbered = materialize(whole.withColumn("__n", F.monotonically_increasing_id()), "numbered-documents")
+    texts = numbered.select("__n", F.col(f"row.`{text_col}`").cast("string").alias("text"))
+    parts = []
+    for blocks in itertools.chain([first, second], passes):
+        parts.append(materialize(judged(texts, blocks, StructField("__n", LongType())), "contamination"))
+        for b in blocks:
+            b.unpersist()
+    return numbered.join(_together(parts), "__n").drop("__n")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """One row for each ``__n``, from one row of each pass."""
+    each = functools.reduce(DataFrame.unionByName, parts)
+    better = F.min(F.when(F.col("longest").isNotNull(), F.struct((-F.col("longest.n_words")).alias("n"), F.col("longest.start").alias("start"), F.col("longest.item").alias("item"), F.col("longest.item_start").alias("item_start"))))
+    grouped = each.groupBy("__n").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), better.alias("b"))
+    # Sorted spans are joined where they touch.
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    last = lambda done: F.element_at(done, -1)
+    joined = lambda done, s: F.when((F.size(done) == 0) | (s["start"] > last(done)["end"]), F.concat(done, F.array(s))).otherwise(
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"))))
+    )
+    merged = grouped.withColumn("spans", F.aggregate("s", nothing, joined))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+    longest = F.when(F.col("b").isNotNull(), F.struct((-F.col("b.n")).alias("n_words"), F.col("b.item").alias("item"), F.col("b.item_start").alias("item_start"), F.col("b.start").alias("start")))
+    return merged.select("__n", "n_words", n_hit.alias("n_hit"), "items", "spans", longest.alias("longest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -276,28 +404,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """For every suffix of every item, its longest verbatim match over all shards and one place of it.
+    """For every suffix of every item, its longest verbatim match over all shards and all its places.
 
-    Returns ``item_id, item_start, n_words, doc_id, doc_start``; suffixes that match nowhere are
-    absent.  Of equally long matches the smallest ``doc_id`` and start are given.
+    Returns ``item_id, item_start, n_words, doc_id, doc_start``: one row for each place where the
+    match is that long; suffixes that match nowhere are absent.  Each shard sends the places of
+    its own longest matches, those of the longest of all are kept.
     """
-    blocks = _blocks(benchmark, window, item_col, item_text_col)
     names = ["item_id", "item_start", "n_words", "doc_id", "doc_start"]
     types = [pa.string(), *[pa.int64()] * 4]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in blocks]
-        for batch in batches:
-            for start, texts in _slices(batch.column(1).cast(pa.large_binary())):
-                shard, ids = _Shard(texts), batch.column(0).slice(start, len(texts))
-                for block in held:
-                    longest, place, *_ = search(block, shard.ids(block), window)
-                    s = np.flatnonzero(longest)
-                    d = shard.document(place[s])
-                    columns = [[block.names[i] for i in block.item[s]], s - block.first[block.item[s]], longest[s], ids.take(pa.array(d)), place[s] - shard.first[d]]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
+    schema = "item_id string, item_start long, n_words long, doc_id long, doc_start long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    each = rows.mapInArrow(slim(find), "item_id string, item_start long, n_words long, doc_id long, doc_start long")
-    best = each.groupBy("item_id", "item_start").agg(F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_start")).alias("best"))
-    return best.select("item_id", "item_start", (-F.col("best.n")).alias("n_words"), "best.doc_id", "best.doc_start")
+
+    def places(blocks: list) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b.value for b in blocks]
+            for batch in batches:
+                for start, texts in _slices(batch.column(1).cast(pa.large_binary())):
+                    shard, ids = _Shard(texts), batch.column(0).slice(start, len(texts))
+                    for block in held:
+                        found = Found(block, shard.ids(block))
+                        s = np.flatnonzero(found.longest)
+                        which, at = found.places(s, found.longest[s])
+                        d, s = shard.owner[at], s[which]
+                        columns = [[block.names[i] for i in block.item[s]], s - block.first[block.item[s]], found.longest[s], ids.take(pa.array(d)), at - shard.first[d]]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        return materialize(rows.mapInArrow(slim(find), schema), "matches")
+
+    each = functools.reduce(DataFrame.unionByName, (places(blocks) for blocks in _blocks(benchmark, window, item_col, item_text_col)), docs.sparkSession.createDataFrame([], schema))
+    best = each.groupBy("item_id", "item_start").agg(F.max("n_words").alias("n_words"))
+    return each.join(best, ["item_id", "item_start", "n_words"], "left_semi").select(names).distinct()
+
+
+#: DuckDB SQL over ``documents`` and ``benchmark`` for the query's contract columns.
+ORACLE_SQL = f"""
+WITH words AS (SELECT * FROM (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark)),
+w AS MATERIALIZED (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words),
+items AS (SELECT id AS item_id, w, least(len(w), {WINDOW}) AS k FROM w WHERE kind = 'b' AND len(w) > 0),
+win AS MATERIALIZED (SELECT DISTINCT item_id, k, w[i:i + k - 1] AS words FROM items, unnest(range(1, len(w) - k + 2)) AS t(i)),
+sizes AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT id, i, k, w[i:i + k - 1] AS words FROM w, sizes, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE kind = 'd' AND len(w) >= k),
+hits AS MATERIALIZED (SELECT g.id, g.i, g.k, win.item_id FROM grams g JOIN win ON g.words = win.words AND g.k = win.k),
+hit_words AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT id, i, k FROM hits)) GROUP BY id),
+found AS (SELECT id, list_sort(list(DISTINCT item_id)) AS items FROM hits GROUP BY id)
+SELECT CAST(w.id AS BIGINT) AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit_words USING (id) LEFT JOIN found USING (id) WHERE kind = 'd'
+"""
