@@ -79,7 +79,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("row.doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return mixed.select("row.doc_id", "source", "lang", "topic", "tokens", "weight", "residual", "probability", "kept")
 
 
 ORACLES["op8_mixing"] = mixing.oracle_sql()

@@ -15,13 +15,14 @@ def test_whole_table(spark):
 
 
 def test_marginals_are_the_targets(spark):
-    rows = [(s, x, t, 10 + 7 * i) for i, (s, x, t) in enumerate(itertools.product("abc", "pq", "uv"))]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    rows = [(s, x, t, 10 + 7 * i, 1) for i, (s, x, t) in enumerate(itertools.product("abc", "pq", "uv"))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
     share = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"p": 0.9, "q": 0.1}, "topic": {"u": 0.25, "v": 0.75}}
     targets = {d: spark.createDataFrame(list(v.items()), "value string, share double") for d, v in share.items()}
     raked = mixing.rake(cells, targets, rounds=20).toPandas()
     for d, v in share.items():
         assert raked.groupby(d).weight.sum().to_dict() == pytest.approx(v, abs=1e-6)
+    assert raked.residual.max() < 1e-6 < mixing.rake(cells, targets, rounds=1).toPandas().residual.max()
     odds = raked.assign(r=raked.weight / raked.tokens).set_index(["source", "lang", "topic"]).r
     # Raking keeps all odds ratios within the table.
     assert odds["a", "p", "u"] * odds["b", "q", "u"] == pytest.approx(odds["a", "q", "u"] * odds["b", "p", "u"])
@@ -41,7 +42,16 @@ def test_odd_rows(spark):
     frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     mixed = mixing.mix(docs.withColumns({"weight": F.lit("w"), "kept": F.lit(1), "topic": F.lit(None), "row": F.lit(0)}))
-    same(mixed.select("row.doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept"), SF, mixing.oracle_sql(), {"documents": frame})
+    same(mixed.select("row.doc_id", "source", "lang", "topic", "tokens", "weight", "residual", "probability", "kept"), SF, mixing.oracle_sql(), {"documents": frame})
     kept = mixing.sample(docs)
     assert kept.columns == docs.columns and kept.count() >= 3
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_many_cells_and_other_topics(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.row.doc_id: r.kept for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert {r.row.doc_id: r.kept for r in mixing.mix(docs).collect()} == want
+    long = mixing.mix(docs, topic_of=lambda text: F.when(F.length(text) > 500, "long").otherwise("short"))
+    assert {r.topic for r in long.select("topic").distinct().collect()} == {"long", "short"}
