@@ -1,12 +1,13 @@
-"""Iteration on DataFrames: connected components, pointer doubling, and fixpoints over tiles.
+"""Iteration on DataFrames: connected components, and fixpoints over tiles.
 
 Every round is written to the shared folder, so lineage stays short and lost executors cost a
-round at most.  Components and pointer doubling need a number of rounds that grows with the
-logarithm of the input; tile fixpoints exchange one-cell borders, so only borders cross tiles.
+round at most.  Components need a number of rounds that grows with the logarithm of the input;
+tile fixpoints exchange one-cell borders, so only borders cross tiles.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from ridgeline.session import materialize
 from ridgeline.sources.grid import Grid
 
-TILE = 256
+TILE = 512
+BLOCK = 64  # of a tile, swept at once
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -42,38 +44,6 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = materialize(small.where("a <> b").distinct(), "small-star")
 
 
-def accumulate(nodes: DataFrame) -> DataFrame:
-    """``id, total``: own plus all upstream ``weight`` of every node of ``id, ptr, weight``.
-
-    ``ptr`` is the node that a node flows to, NULL at the ends.  Pointer doubling: each round adds
-    what lies twice as far upstream, so the rounds follow the logarithm of the longest path.
-    """
-    state = materialize(nodes.select("id", "ptr", F.col("weight").alias("total")), "flow")
-    while state.where("ptr is not null").limit(1).count():
-        into = state.where("ptr is not null").groupBy("ptr").agg(F.sum("total").alias("more")).select(F.col("ptr").alias("to"), "more")
-        hop = state.select(F.col("id").alias("via"), F.col("ptr").alias("next"))
-        moved = state.join(into, F.col("id") == F.col("to"), "left").join(hop, F.col("ptr") == F.col("via"), "left")
-        state = materialize(moved.select("id", F.col("next").alias("ptr"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")), "flow")
-    return state.select("id", "total")
-
-
-def chains(pointers: DataFrame, starts: DataFrame) -> DataFrame:
-    """``start, step, id``: the nodes that each start reaches by following ``id, ptr``, in order.
-
-    Doubles pointers too: in each round the nodes found so far jump as far as all found so far.
-    """
-    jump = materialize(pointers.where("ptr is not null").select("id", "ptr"), "jumps")
-    found, reach = materialize(starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("step"), "id"), "chain"), 1
-    while True:
-        new = found.join(jump, "id").select("start", (F.col("step") + reach).alias("step"), F.col("ptr").alias("id"))
-        new = materialize(new, "chain")
-        if not new.limit(1).count():
-            return found
-        found = materialize(found.unionByName(new), "chain")
-        jump = materialize(jump.join(jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("far")), "ptr").select("id", F.col("far").alias("ptr")), "jumps")
-        reach *= 2
-
-
 # -- tiles ----------------------------------------------------------------------------------
 
 
@@ -105,7 +75,7 @@ def to_tiles(cells: DataFrame, grid: Grid, names: list[str], size: int = TILE) -
     return inside.groupBy("tr", "tc").applyInArrow(pack, "tr long, tc long, " + ", ".join(f"{n} binary" for n in names))
 
 
-def _unpack(row: dict, names: list[str], grid: Grid, size: int) -> dict[str, np.ndarray]:
+def unpack(row: dict, names: list[str], grid: Grid, size: int) -> dict[str, np.ndarray]:
     h, w = _shape(grid, row["tr"], row["tc"], size)
     return {n: np.frombuffer(row[n]).reshape(h + 2, w + 2).copy() for n in names}
 
@@ -116,11 +86,36 @@ def _edges(a: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return {(dr, dc): a[cut[dr], cut[dc]] for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc}
 
 
+def settle(state: np.ndarray, sweep: Callable, block: int = BLOCK) -> np.ndarray:
+    """Bring one tile (with its border) to a fixpoint, block by block, and return it.
+
+    ``sweep(rows, cols, window)`` brings ``window``, the state of those inner rows and columns and
+    the cells around them, to its own fixpoint in place and tells whether it changed.  Only
+    blocks beside one that changed are swept again, so work follows the front of the change.
+    """
+    high, wide = state.shape[0] - 2, state.shape[1] - 2
+    places = [(r, c) for r in range(0, high, block) for c in range(0, wide, block)]
+    waiting, queued = deque(places), set(places)
+    while waiting:
+        at = waiting.popleft()
+        queued.discard(at)
+        rows, cols = (slice(a, min(a + block, n)) for a, n in zip(at, (high, wide)))
+        if sweep(rows, cols, state[rows.start : rows.stop + 2, cols.start : cols.stop + 2]):
+            for dr in (-block, 0, block):
+                for dc in (-block, 0, block):
+                    beside = (at[0] + dr, at[1] + dc)
+                    if (dr or dc) and 0 <= beside[0] < high and 0 <= beside[1] < wide and beside not in queued:
+                        waiting.append(beside)
+                        queued.add(beside)
+    return state
+
+
 def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Callable, size: int = TILE, state: str = "state", most_rounds: int = 100_000) -> DataFrame:
     """Iterate ``kernel(static arrays, state array) -> state array`` on all tiles until nothing changes.
 
     The kernel brings one tile to its own fixpoint, given its border.  A round sends the edges
-    of tiles that changed to their neighbours, which run again; other tiles pass through.
+    of tiles that changed to their neighbours, which run again; other tiles pass through.  A
+    grid of one tile needs no round.
     """
     names = [*static, state]
     fields = [("tr", pa.int64()), ("tc", pa.int64()), *((n, pa.binary()) for n in names), ("changed", pa.bool_())]
@@ -129,14 +124,14 @@ def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Calla
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a = _unpack(row, names, grid, size)
+                a = unpack(row, names, grid, size)
                 row[state] = kernel({n: a[n] for n in static}, a[state]).tobytes()
                 yield pa.RecordBatch.from_pylist([row | {"changed": True}], schema=schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a = _unpack(row, [state], grid, size)[state]
+                a = unpack(row, [state], grid, size)[state]
                 out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in _edges(a).items()]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())]))
 
@@ -146,7 +141,7 @@ def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Calla
             return schema.empty_table()
         row = rows[0] | {"changed": False}
         if strips.num_rows:
-            a = _unpack(row, names, grid, size)
+            a = unpack(row, names, grid, size)
             border = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
             before, moved = a[state].copy(), a[state]
             for s in strips.to_pylist():
@@ -158,7 +153,10 @@ def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Calla
                 row[state] = after.tobytes()
         return pa.Table.from_pylist([row], schema=schema)
 
-    now = materialize(tiles.select("tr", "tc", *names).mapInArrow(first, ddl), "tiles")
+    now = tiles.select("tr", "tc", *names).mapInArrow(first, ddl)
+    if max(grid.rows, grid.cols) <= size:
+        return now.drop("changed")
+    now = materialize(now, "tiles")
     for _ in range(most_rounds):
         changed = now.where("changed")
         if not changed.select("tr").limit(1).count():
@@ -172,10 +170,10 @@ def to_cells(tiles: DataFrame, grid: Grid, names: list[str], finish: Callable |
     """``r, c`` and doubles (NaN as NULL): the arrays themselves or what ``finish`` makes of them."""
     outputs = outputs or names
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                arrays = _unpack(row, names, grid, size)
+                arrays = unpack(row, names, grid, size)
                 made = finish(arrays) if finish else arrays
                 h, w = _shape(grid, row["tr"], row["tc"], size)
                 r, c = np.divmod(np.arange(h * w), w)
@@ -183,7 +181,7 @@ def to_cells(tiles: DataFrame, grid: Grid, names: list[str], finish: Callable |
                 columns += [pa.array(np.ascontiguousarray(made[n][1:-1, 1:-1]).ravel(), from_pandas=True, type=pa.float64()) for n in outputs]
                 yield pa.RecordBatch.from_arrays(columns, names=["r", "c", *outputs])
 
-    return tiles.select("tr", "tc", *names).mapInArrow(unpack, "r long, c long, " + ", ".join(f"{n} double" for n in outputs))
+    return tiles.select("tr", "tc", *names).mapInArrow(spread, "r long, c long, " + ", ".join(f"{n} double" for n in outputs))
 
 
 def shifted(a: np.ndarray, dr: int, dc: int) -> np.ndarray:

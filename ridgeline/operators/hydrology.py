@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.fixpoint import TILE, accumulate, shifted, tile_fixpoint, to_cells, to_tiles
+from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles
 from ridgeline.operators.stencil import OFFSETS, gradients, with_neighbours
 from ridgeline.operators.terrain import flow_direction
 from ridgeline.sources.grid import Grid
@@ -20,13 +20,17 @@ LEAST_GRADE = 1e-3
 def _pour(static: dict, water: np.ndarray, rise: float) -> np.ndarray:
     """Lowest surface that drains: each cell at its height, or just above its lowest neighbour."""
     z = static["z"][1:-1, 1:-1]
-    inner = water[1:-1, 1:-1]
-    while True:
-        low = np.minimum.reduce([np.where(np.isnan(n := shifted(water, *o)), np.inf, n) for o in OFFSETS.values()])
-        new = np.minimum(inner, np.where(z > low, z, low + rise))  # NaN stays
-        if np.array_equal(new, inner, equal_nan=True):
-            return water
-        inner[...] = new
+
+    def sweep(rows: slice, cols: slice, window: np.ndarray) -> bool:
+        here, inner, changed = z[rows, cols], window[1:-1, 1:-1], False
+        while True:
+            low = np.minimum.reduce([np.where(np.isnan(n := shifted(window, *o)), np.inf, n) for o in OFFSETS.values()])
+            new = np.minimum(inner, np.where(here > low, here, low + rise))  # NaN stays
+            if np.array_equal(new, inner, equal_nan=True):
+                return changed
+            inner[...], changed = new, True
+
+    return settle(water, sweep)
 
 
 def fill(cells: DataFrame, grid: Grid, rise: float = RISE, size: int = TILE) -> DataFrame:
@@ -46,15 +50,45 @@ def fill(cells: DataFrame, grid: Grid, rise: float = RISE, size: int = TILE) ->
     return to_cells(settled, grid, ["state"], size=size).withColumnRenamed("state", "filled")
 
 
-def flow(cells: DataFrame, grid: Grid, name: str = "filled") -> DataFrame:
-    """``r, c, d8, upstream``: direction and number of cells that drain through each, itself included."""
+def _gather(static: dict, total: np.ndarray) -> np.ndarray:
+    """Own cell and all that drains into it: cells pass their total on once nothing more comes."""
+    high, wide = total.shape
+    to = np.full((high, wide), -1)
+    for k, (dr, dc) in enumerate(OFFSETS.values()):
+        r, c = np.nonzero(static["d8"] == k)
+        inside = (r + dr > 0) & (r + dr < high - 1) & (c + dc > 0) & (c + dc < wide - 1)
+        to[r[inside], c[inside]] = ((r + dr) * wide + c + dc)[inside]
+    to = to.ravel()
+    inner = np.zeros((high, wide), bool)
+    inner[1:-1, 1:-1] = ~np.isnan(static["d8"][1:-1, 1:-1])
+    inner = inner.ravel()
+    sums = np.where(inner, 1.0, 0.0)
+    border = np.flatnonzero(~inner & (to >= 0) & ~np.isnan(total.ravel()))  # what other tiles have gathered so far
+    np.add.at(sums, to[border], total.ravel()[border])
+    waits = np.bincount(to[inner & (to >= 0)], minlength=len(to))
+    front = np.flatnonzero(inner & (waits == 0))
+    while len(front):
+        front = front[to[front] >= 0]
+        np.add.at(sums, to[front], sums[front])
+        np.subtract.at(waits, to[front], 1)
+        front = np.unique(to[front])
+        front = front[waits[front] == 0]
+    out = total.copy()
+    out[1:-1, 1:-1] = np.where(inner, sums, np.nan).reshape(high, wide)[1:-1, 1:-1]
+    return out
+
+
+def flow(cells: DataFrame, grid: Grid, name: str = "filled", size: int = TILE) -> DataFrame:
+    """``r, c, d8, upstream``: direction and number of cells that drain through each, itself included.
+
+    Tiles add up their own cells, and pass on what leaves them; rounds follow the number of
+    tiles on the longest way down.
+    """
     directed = flow_direction(cells, grid, name).where(F.col(name).isNotNull())
-    steps = list(OFFSETS.values())
-    dr, dc = (F.element_at(F.array(*(F.lit(s[k]) for s in steps)), F.col("d8") + 1) for k in (0, 1))
-    ident = F.col("r") * grid.cols + F.col("c")
-    nodes = directed.select(ident.alias("id"), F.when(F.col("d8") >= 0, (F.col("r") + dr) * grid.cols + F.col("c") + dc).alias("ptr"), F.lit(1).cast("long").alias("weight"))
-    totals = accumulate(nodes).withColumnRenamed("total", "upstream")
-    return directed.select("r", "c", "d8", ident.alias("id")).join(totals, "id").drop("id")
+    tiles = to_tiles(directed.select("r", "c", "d8", F.lit(1.0).alias("state")), grid, ["d8", "state"], size)
+    settled = tile_fixpoint(tiles, grid, ["d8"], _gather, size)
+    found = to_cells(settled, grid, ["d8", "state"], size=size).where("d8 is not null")
+    return found.select("r", "c", F.col("d8").cast("int").alias("d8"), F.col("state").cast("long").alias("upstream"))
 
 
 def wetness(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -69,7 +103,7 @@ def wetness(cells: DataFrame, grid: Grid) -> DataFrame:
 def analyse(cells: DataFrame, grid: Grid, least_basin_km2: float = 1.0, size: int = TILE) -> DataFrame:
     """``r, c, z, filled, d8, upstream, basin_km2, channel, twi`` of every cell."""
     filled = cells.select("r", "c", "z").join(fill(cells, grid, size=size), ["r", "c"])
-    joined = filled.join(flow(filled, grid), ["r", "c"], "left")
+    joined = filled.join(flow(filled, grid, size=size), ["r", "c"], "left")
     basin = (F.col("upstream") * grid.cell_area / 1e6).cast("float")
     return wetness(joined, grid).withColumn("basin_km2", basin).withColumn("channel", F.coalesce(F.col("basin_km2") >= least_basin_km2, F.lit(False)))
 

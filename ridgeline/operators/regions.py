@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators.fixpoint import TILE, connected, to_cells, to_tiles
+from ridgeline.operators.fixpoint import TILE, connected, settle, shifted, to_cells, to_tiles
 from ridgeline.operators.terrain import flat
 from ridgeline.session import materialize
 from ridgeline.sources.grid import Grid
@@ -21,15 +21,20 @@ def _spread(arrays: dict, offsets: list) -> dict:
     ids = arrays["id"][1:-1, 1:-1].copy()
     label = np.full(arrays["id"].shape, np.inf)
     label[1:-1, 1:-1] = np.where(np.isnan(ids), np.inf, ids)
-    inner, mask = label[1:-1, 1:-1], ~np.isnan(ids)
-    while True:
-        low = np.minimum.reduce([label[1 + a : label.shape[0] - 1 + a, 1 + b : label.shape[1] - 1 + b] for a, b in offsets])
-        new = np.where(mask, np.minimum(inner, low), np.inf)
-        if np.array_equal(new, inner):
-            out = np.full(label.shape, np.nan)
-            out[1:-1, 1:-1] = np.where(mask, inner, np.nan)
-            return {"label": out}
-        inner[...] = new
+    mask = ~np.isnan(ids)
+
+    def sweep(rows: slice, cols: slice, window: np.ndarray) -> bool:
+        inner, open_, changed = window[1:-1, 1:-1], mask[rows, cols], False
+        while True:
+            new = np.where(open_, np.minimum.reduce([inner, *(shifted(window, *o) for o in offsets)]), np.inf)
+            if np.array_equal(new, inner):
+                return changed
+            inner[...], changed = new, True
+
+    settle(label, sweep)
+    out = np.full(label.shape, np.nan)
+    out[1:-1, 1:-1] = np.where(mask, label[1:-1, 1:-1], np.nan)
+    return {"label": out}
 
 
 def regions(cells: DataFrame, grid: Grid, mask: str, connectivity: int = 8, size: int = TILE) -> DataFrame:

@@ -1,27 +1,30 @@
 """Least-cost routes on the grid: edges, distances, paths, orders of waypoints, corridors.
 
 Distances are fixpoints over tiles: each tile relaxes its own cells and only borders travel, so
-a search is bound by no task.  Paths follow the predecessors by pointer doubling.
+a search is bound by no task.  Paths are walked back tile by tile.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
 from ridgeline.operators.distance import distance_to
-from ridgeline.operators.fixpoint import TILE, chains, shifted, tile_fixpoint, to_cells, to_tiles
+from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles, unpack
 from ridgeline.operators.regions import regions
 from ridgeline.operators.stencil import OFFSETS, with_neighbours
-from ridgeline.session import materialize
+from ridgeline.session import materialize, run_path
 from ridgeline.sources.grid import Grid
 
 STEPS = list(OFFSETS.values())
 DETOUR_RATIO, DETOUR_METRES = 1.25, 500.0
+LEGS_AT_ONCE = 4
 
 
 def edges(cells: DataFrame, grid: Grid, cost: str = "cost", z: str | None = None) -> DataFrame:
@@ -66,16 +69,21 @@ def _moves(static: dict, px: float, timed: bool, reverse: bool):
 
 
 def _relax(static: dict, far: np.ndarray, px: float, timed: bool, reverse: bool) -> np.ndarray:
-    moves, inner = list(_moves(static, px, timed, reverse)), far[1:-1, 1:-1]
+    moves = list(_moves(static, px, timed, reverse))
     closed = np.isnan(static["cost"][1:-1, 1:-1])
-    outside = np.isnan(far)
-    far[outside] = np.inf
-    while True:
-        new = np.minimum.reduce([inner, *(shifted(far, *o) + w for o, w in moves)])
-        new[closed] = np.inf
-        if np.array_equal(new, inner):
-            return far
-        inner[...] = new
+    far[np.isnan(far)] = np.inf
+
+    def sweep(rows: slice, cols: slice, window: np.ndarray) -> bool:
+        inner, shut, changed = window[1:-1, 1:-1], closed[rows, cols], False
+        here = [(o, w[rows, cols]) for o, w in moves]
+        while True:
+            new = np.minimum.reduce([inner, *(shifted(window, *o) + w for o, w in here)])
+            new[shut] = np.inf
+            if np.array_equal(new, inner):
+                return changed
+            inner[...], changed = new, True
+
+    return settle(far, sweep)
 
 
 def _came_from(arrays: dict, px: float, timed: bool) -> dict:
@@ -90,49 +98,96 @@ def _came_from(arrays: dict, px: float, timed: bool) -> dict:
     return out
 
 
-def distances(cells: DataFrame, grid: Grid, source: tuple[int, int], cost: str = "cost", z: str | None = None, reverse: bool = False, size: int = TILE) -> DataFrame:
-    """``r, c, distance, back`` from a cell to all others (to it from all, reversed).
+class Search:
+    """Least costs from a cell to all others (to it from all, reversed), as tiles."""
+
+    def __init__(self, cells: DataFrame, grid: Grid, source: tuple[int, int], cost: str = "cost", z: str | None = None, reverse: bool = False, size: int = TILE):
+        self.grid, self.size, self.timed, self.px = grid, size, z is not None, grid.cell_area**0.5
+        self.names = ["cost", "inside", *(["z"] if z else [])]
+        start = F.when((F.col("r") == source[0]) & (F.col("c") == source[1]) & F.col(cost).isNotNull(), 0.0).otherwise(float("inf"))
+        rows = cells.select("r", "c", F.col(cost).cast("double").alias("cost"), F.lit(1.0).alias("inside"), *([F.col(z).cast("double").alias("z")] if z else []), start.alias("state"))
+        tiles = to_tiles(rows, grid, [*self.names, "state"], size)
+        self.tiles = tile_fixpoint(tiles, grid, self.names, partial(_relax, px=self.px, timed=self.timed, reverse=reverse), size)
+
+    def cells(self) -> DataFrame:
+        """``r, c, distance, back``: ``back`` is the offset's index towards the predecessor; unreached cells have NULLs."""
+        return to_cells(self.tiles, self.grid, [*self.names, "state"], partial(_came_from, px=self.px, timed=self.timed), ["distance", "back"], self.size)
+
+    def paths(self, targets: list[tuple[int, int]]) -> DataFrame:
+        """``target, seq, r, c, distance``: the cells from the source to each target, in order.
+
+        A path is walked back inside one tile at a time; what goes from tile to tile is the
+        cell where it leaves, so the work follows the path and not the grid.
+        """
+        tiles, grid, size = materialize(self.tiles, "settled-tiles"), self.grid, self.size
+        names, px, timed = self.names, self.px, self.timed
+        spark, folder = tiles.sparkSession, run_path(tiles.sparkSession, "walked")
+        schema = "target long, step long, r long, c long, distance double, out_r long, out_c long"
+        waiting = [(r * grid.cols + c, 0, r, c) for r, c in targets]
+        while waiting:
+            by_tile: dict = {}
+            for target, step, r, c in waiting:
+                by_tile.setdefault((r // size, c // size), []).append((target, step, r, c))
+
+            def walk(batches, by_tile=by_tile):
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        made = _came_from(unpack(row, [*names, "state"], grid, size), px, timed)
+                        far, back = (made[n][1:-1, 1:-1] for n in ("distance", "back"))
+                        top, left = row["tr"] * size, row["tc"] * size
+                        out: list = []
+                        for target, step, r, c in by_tile[row["tr"], row["tc"]]:
+                            r, c = r - top, c - left
+                            while not np.isnan(far[r, c]):
+                                here, toward = (target, step, r + top, c + left, float(far[r, c])), back[r, c]
+                                if not np.isnan(toward):
+                                    r, c = r + STEPS[int(toward)][0], c + STEPS[int(toward)][1]
+                                inside = 0 <= r < far.shape[0] and 0 <= c < far.shape[1]
+                                out.append((*here, *((None, None) if inside else (r + top, c + left))))
+                                step += 1
+                                if np.isnan(toward) or not inside:
+                                    break
+                        columns = list(zip(*out)) or [()] * 7
+                        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [*[pa.int64()] * 4, pa.float64(), *[pa.int64()] * 2])], names=["target", "step", "r", "c", "distance", "out_r", "out_c"])
+
+            wanted = reduce(lambda x, y: x | y, ((F.col("tr") == a) & (F.col("tc") == b) for a, b in by_tile))
+            part = run_path(spark, "walked-tile")
+            tiles.where(wanted).mapInArrow(walk, schema).write.parquet(part)
+            made = spark.read.schema(schema).parquet(part)
+            made.drop("out_r", "out_c").coalesce(1).write.mode("append").parquet(folder)
+            waiting = [(x.target, x.step + 1, x.out_r, x.out_c) for x in made.where("out_r is not null").collect()]  # a row for each target at most
+        walked = spark.read.schema("target long, step long, r long, c long, distance double").parquet(folder)
+        last = Window.partitionBy("target")
+        return walked.select("target", (F.max("step").over(last) - F.col("step")).alias("seq"), "r", "c", "distance")
 
-    ``back`` is the offset's index towards the predecessor; unreached cells have NULLs.
-    """
-    px = grid.cell_area**0.5
-    start = F.when((F.col("r") == source[0]) & (F.col("c") == source[1]) & F.col(cost).isNotNull(), 0.0).otherwise(float("inf"))
-    names = ["cost", "inside", *(["z"] if z else [])]
-    rows = cells.select("r", "c", F.col(cost).cast("double").alias("cost"), F.lit(1.0).alias("inside"), *([F.col(z).cast("double").alias("z")] if z else []), start.alias("state"))
-    tiles = to_tiles(rows, grid, [*names, "state"], size)
-    settled = tile_fixpoint(tiles, grid, names, partial(_relax, px=px, timed=z is not None, reverse=reverse), size)
-    return to_cells(settled, grid, [*names, "state"], partial(_came_from, px=px, timed=z is not None), ["distance", "back"], size)
-
-
-def paths(found: DataFrame, grid: Grid, targets: list[tuple[int, int]]) -> DataFrame:
-    """``target, seq, r, c, distance``: the cells from the source of ``distances`` to each target, in order."""
-    ident = F.col("r") * grid.cols + F.col("c")
-    dr, dc = (F.element_at(F.array(*(F.lit(s[k]) for s in STEPS)), F.col("back").cast("int") + 1) for k in (0, 1))
-    nodes = materialize(found.select(ident.alias("id"), "distance", F.when(F.col("back").isNotNull(), (F.col("r") + dr) * grid.cols + F.col("c") + dc).alias("ptr")), "tree")
-    wanted = nodes.where(F.col("id").isin([r * grid.cols + c for r, c in targets]) & F.col("distance").isNotNull()).select("id")
-    walked = chains(nodes.select("id", "ptr"), wanted)
-    lengths = walked.groupBy("start").agg(F.max("step").alias("last"))
-    joined = walked.join(lengths, "start").join(nodes.select("id", "distance"), "id")
-    return joined.select(F.col("start").alias("target"), (F.col("last") - F.col("step")).alias("seq"), F.expr(f"id div {grid.cols}").alias("r"), (F.col("id") % grid.cols).alias("c"), "distance")
+
+def distances(cells: DataFrame, grid: Grid, source: tuple[int, int], cost: str = "cost", z: str | None = None, reverse: bool = False, size: int = TILE) -> DataFrame:
+    """``r, c, distance, back`` from a cell to all others (to it from all, reversed); see ``Search``."""
+    return Search(cells, grid, source, cost, z, reverse, size).cells()
 
 
 def route(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str = "cost", z: str | None = None, optimise: bool = False, size: int = TILE) -> DataFrame:
     """``leg, seq, r, c, distance`` through the points in order (or in the best order of the inner ones).
 
-    Legs share no cell twice: each but the first starts after its first cell.  Raises if a leg
-    has no way or two points in a row are one cell.
+    Legs are searched side by side.  They share no cell twice: each but the first starts after
+    its first cell.  Raises if a leg has no way or two points in a row are one cell.
     """
     order = waypoint_order(cells, grid, points, cost, z, size) if optimise and len(points) > 3 else list(range(len(points)))
     points = [points[i] for i in order]
-    legs = []
-    for k, (a, b) in enumerate(zip(points, points[1:])):
+    pairs = list(enumerate(zip(points, points[1:])))
+    for k, (a, b) in pairs:
         if a == b:
             raise ValueError(f"points {k} and {k + 1} of the route are in one cell")
-        leg = materialize(paths(distances(cells, grid, a, cost, z, size=size), grid, [b]), "leg")
-        if not leg.limit(1).count():
+
+    def leg(pair) -> DataFrame:
+        k, (a, b) = pair
+        found = materialize(Search(cells, grid, a, cost, z, size=size).paths([b]), "leg")
+        if found.isEmpty():
             raise ValueError(f"no way from {a} to {b}")
-        legs.append(leg.where("seq > 0" if k else "true").select(F.lit(k).alias("leg"), "seq", "r", "c", "distance"))
-    return reduce(DataFrame.unionByName, legs)
+        return found.where("seq > 0" if k else "true").select(F.lit(k).alias("leg"), "seq", "r", "c", "distance")
+
+    with ThreadPoolExecutor(LEGS_AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(leg, pairs))
 
 
 def pair_costs(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str = "cost", z: str | None = None, size: int = TILE) -> dict[tuple[int, int], float]:

@@ -1,8 +1,8 @@
 """Shared storage: where intermediate tables go so that lost executors cost no work.
 
 Everything written here goes to the folder that the session names in
-``spark.checkpoint.dir``; executors and the driver of a cluster all see it.  Only a session
-without that setting (local runs, tests) gets a folder of this process.
+``spark.checkpoint.dir``; executors and the driver of a cluster all see it.  Only a local session
+without that setting (tests) gets a folder of this process; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ def _local_root() -> str:
 
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
     if not root:
+        master = conf.get("spark.master") or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return _local_root()
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
 

@@ -85,11 +85,42 @@ def test_accumulation_on_a_ramp(spark):
     assert up.sum() >= 60 and (up[:, 0] == 1).all() and up.max() >= 12
 
 
-def test_chains(spark):
-    pointers = spark.range(1, 101).select("id", (F.col("id") - 1).alias("ptr")).union(spark.sql("SELECT 0L, CAST(NULL AS BIGINT)"))
-    got = fixpoint.chains(pointers, spark.createDataFrame([(37,), (100,), (0,)], "id long")).collect()
-    for s in (37, 100, 0):
-        assert [r.id for r in sorted((r for r in got if r.start == s), key=lambda r: r.step)] == list(range(s, -1, -1))
+def slow_upstream(z, d8):
+    total = np.where(np.isnan(z), 0, 1)
+    steps = list(OFFSETS.values())
+    for r, c in sorted(zip(*np.nonzero(~np.isnan(z))), key=lambda p: -z[p]):
+        if d8[r, c] >= 0:
+            dr, dc = steps[int(d8[r, c])]
+            total[r + dr, c + dc] += total[r, c]
+    return np.where(np.isnan(z), np.nan, total)
+
+
+def test_accumulation_across_tiles(spark):
+    rng = np.random.default_rng(4)
+    z = rng.random((26, 33)) + np.abs(np.arange(33) - 16) * 0.05
+    z[rng.random(z.shape) < 0.05] = np.nan
+    for size in (7, 512):
+        found = hydrology.flow(frame(spark, filled=z), Grid(26, 33), size=size)
+        assert np.array_equal(dense(found, "upstream", z.shape), slow_upstream(z, dense(found, "d8", z.shape)), equal_nan=True)
+
+
+def test_settling_by_blocks(spark):
+    """Blocks smaller than the tile give what one sweep over all gives."""
+    rng = np.random.default_rng(9)
+    z = rng.random((41, 37))
+    water = np.full((43, 39), np.nan)
+    water[1:-1, 1:-1] = np.inf
+    water[1, 1:-1] = z[0]
+    grown = np.full((43, 39), np.nan)
+    grown[1:-1, 1:-1] = z
+    whole = [hydrology._pour({"z": grown}, water.copy(), 1e-3)]
+    fixpoint_block = fixpoint.settle.__defaults__
+    try:
+        fixpoint.settle.__defaults__ = (8,)
+        whole.append(hydrology._pour({"z": grown}, water.copy(), 1e-3))
+    finally:
+        fixpoint.settle.__defaults__ = fixpoint_block
+    assert np.array_equal(*whole, equal_nan=True)
 
 
 @pytest.mark.parametrize("connectivity", [4, 8])
@@ -149,7 +180,7 @@ def test_distances_and_paths(spark, timed):
     assert np.allclose(np.where(np.isinf(far), np.nan, far), got, equal_nan=True, rtol=1e-12)
     reached = [tuple(map(int, x)) for x in np.argwhere(np.isfinite(far))]
     target = max(reached, key=lambda p: far[p])
-    walked = sorted(routing.paths(found, g, [target]).collect(), key=lambda r: r.seq)
+    walked = sorted(routing.Search(cells, g, (0, 0), z="z" if timed else None, size=9).paths([target]).collect(), key=lambda r: r.seq)
     assert (walked[0].r, walked[0].c) == (0, 0) and (walked[-1].r, walked[-1].c) == target
     assert all(max(abs(a.r - b.r), abs(a.c - b.c)) == 1 and a.distance < b.distance for a, b in zip(walked, walked[1:]))
     back = dense(routing.distances(cells, g, target, z="z" if timed else None, reverse=True, size=9), "distance", cost.shape)
