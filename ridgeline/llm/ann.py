@@ -4,17 +4,20 @@ The trees are fitted on a bounded sample (``SAMPLE`` vectors): each node splits
 the projection on the widest of a few directions between random pairs.  Every vector is then
 put into one leaf of each tree.  A query searches all trees through one priority queue of
 nodes, nearest first by the distance to the splitting planes crossed, until the leaves it has
-taken hold ``REACH`` times as many rows as the table.  Rows of those leaves are compared with
-the query exactly, in double precision, on the original vectors.
-
-Queries go in blocks of bounded size; a leaf with many rows is cut into buckets; equal vectors
-are one point of the index that carries its smallest ids, since no more can be among the
-nearest.  So neither a leaf, a vector nor a query block grows with the table.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, nor do null ids; rows with equal id and vector are one row;
-fewer candidates than ``k`` are all returned; ties go to the smaller id; an empty table gives an
-empty result; other columns are not read.
+taken hold ``REACH`` times as many rows as the table (trees overlap, so fewer distinct ones).
+Rows of those leaves are ranked by the query exactly, in double precision, on the original vectors.
+
+The index is never shuffled: queries go to its tasks in blocks of bounded size, each query with
+a bit for every leaf that it takes, and a task ranks the rows whose leaves a query has taken.
+Matrix products only tell which rows can be among the nearest, with room for their rounding.
+Equal vectors are one point of the index that carries its smallest ids, since no more can be
+among the nearest.  So neither a leaf, a vector nor a query block grows with the table.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
+nor do null ids; vectors are only near others of their length, and each length has an index of its
+own; of rows that share an id the one with the smallest vector, component by component, counts; fewer
+candidates than ``k`` are all returned; ties go to the smaller id; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from ridgeline.session import materialize, run_path
 
 TREES = 8
 SAMPLE = 16_384
-LEAF = 24  # sampled vectors in a leaf
+LEAF = 8  # sampled vectors in a leaf
 DIRECTIONS = 8
-REACH = 1.3
-BUCKET = 8_192
-QUERY_BLOCK = 50_000
+REACH = 0.8
+QUERY_BLOCK = 8_192
+AT_ONCE = 512  # queries in one matrix product
 
 
 class Forest:
@@ -97,9 +100,7 @@ class Forest:
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0")
-    sound = rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
-    length = sound.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return sound.where(F.size("vec") == (length.n if length else 0))
+    return rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -118,15 +119,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, reach: float = REACH, id_
     ``score`` is the Euclidean distance.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    usable = materialize(_usable(vectors, id_col, vec_col).distinct(), "vectors")
+    usable = materialize(_usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
+    lengths = [r[0] for r in usable.groupBy(F.size("vec")).count().collect()]  # a row for each length of a vector
+    target = run_path(spark, "neighbours")
+    for dim in lengths:
+        _nearest_of_length(usable.where(F.size("vec") == dim) if len(lengths) > 1 else usable, dim, is_query, k, reach, target)
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(target)
+    return _top(found, "query_id", ["score", "vec_id"], k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(usable: DataFrame, dim: int, is_query, k: int, reach: float, target: str) -> None:
+    """Append ``query_id, vec_id, score`` for all vectors of one length to ``target``."""
+    spark = usable.sparkSession
     few = _top(usable, "vec", ["vec_id"], k + 1)
     points = materialize(few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.col("ids")[0]), "points")
     n = points.count()
-    if not n:
-        return spark.createDataFrame([], schema)
     sample = points.where(F.pmod(F.xxhash64("point"), F.lit(1 << 30)) < 1.2 * SAMPLE / n * (1 << 30)).orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vec").toArrow()
-    dim = len(sample.column(0)[0]) if sample.num_rows else points.first().vec.__len__()
     forest = spark.sparkContext.broadcast(Forest(_matrix(sample.column(0), dim) if sample.num_rows else np.zeros((0, dim))))
     kind = dict(points.dtypes)["vec"]
 
@@ -137,59 +147,92 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, reach: float = REACH, id_
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], names=["point", "vec", "leaves"])
 
     index = materialize(points.select("point", "vec").mapInArrow(place, f"point long, vec {kind}, leaves array<int>"), "forest-index")
-    dealt = index.select("point", "vec", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((TREES, forest.value.leaves), np.int64)
-    for row in dealt.groupBy("tree", "leaf").count().collect():  # at most the forest's leaves
+    for row in index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():  # at most the forest's leaves
         sizes[row.tree, row.leaf] = row["count"]
     shared = spark.sparkContext.broadcast(sizes)
 
-    asked = materialize(usable.where(is_query).join(points.select("vec", "point"), "vec").select(F.col("vec_id").alias("query_id"), "point"), "queries")
-    blocks = max(1, -(-asked.select("point").distinct().count() // QUERY_BLOCK))
-    target = run_path(spark, "neighbours")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for q in _matrix(batch.column(1), dim) if len(batch) else ():
+                taken = np.zeros(sizes.shape, bool)
+                taken[tuple(np.array(forest.value.search(q, shared.value, reach * n)).T)] = True
+                bits.append(np.packbits(taken.ravel()).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=["query", "vec", "taken"])
+
+    asked = materialize(usable.where(is_query).join(points.select("vec", "point"), "vec").select(F.col("vec_id").alias("query_id"), F.col("point").alias("asked")), "queries")
+    wanted = materialize(points.join(asked.select(F.col("asked").alias("point")).distinct(), "point", "left_semi").select(F.col("point").alias("query"), "vec").mapInArrow(take, f"query long, vec {kind}, taken binary"), "asked")
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    hits = run_path(spark, "hits")
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("point"), F.lit(blocks)) == block).select("point").distinct().join(points.select("point", "vec"), "point")
-        found = _candidates(part, dealt, forest, shared, dim, kind, reach * n, k + 1)
-        _top(_top(found, "query", ["score", "point"], (k + 1) * TREES).drop("rank").dropDuplicates(["query", "point"]), "query", ["score", "point"], k + 1).drop("rank").write.mode("append").parquet(target)
-    hits = spark.read.schema("query long, point long, score double").parquet(target)
-    each = hits.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
-    few = _top(each, "query", ["score", "vec_id"], k + 1).drop("rank")
-    own = asked.join(few, asked.point == few["query"]).where("query_id <> vec_id").select("query_id", "vec_id", "score")
-    return _top(own, "query_id", ["score", "vec_id"], k).select("query_id", "rank", "vec_id", "score")
-
-
-def _candidates(part: DataFrame, dealt: DataFrame, forest, sizes, dim: int, kind: str, wanted: float, k: int) -> DataFrame:
-    """``query, point, score`` of the k nearest rows in each leaf bucket that a query takes."""
-
-    def buckets(count: int) -> int:
-        return -(-int(count) // BUCKET)
+        part = wanted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow().combine_chunks()  # a block of queries
+        if part.num_rows:
+            queries = spark.sparkContext.broadcast(_Queries(part, dim, sizes.size))
+            each = index.mapInArrow(_ranking(queries, dim, k + 1), "query long, point long, score double")
+            _top(each, "query", ["score", "point"], k + 1).drop("rank").write.mode("append").parquet(hits)
+            queries.unpersist()
+    if wanted.isEmpty():
+        spark.createDataFrame([], "query_id long, vec_id long, score double").write.mode("append").parquet(target)
+        return
+    found = spark.read.schema("query long, point long, score double").parquet(hits)
+    ids = found.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
+    few = _top(ids, "query", ["score", "vec_id"], k + 1).drop("rank")
+    own = asked.join(few, asked.asked == few["query"]).where("query_id <> vec_id").select("query_id", "vec_id", "score")
+    own.write.mode("append").parquet(target)
+
+
+class _Queries:
+    """A block of queries: ids, vectors, and for each leaf the queries that take it, as bits."""
+
+    def __init__(self, rows: pa.Table, dim: int, leaves: int):
+        self.ids = rows.column("query").to_numpy()
+        self.vectors = _matrix(rows.column("vec"), dim)
+        self.square = (self.vectors**2).sum(axis=1)
+        taken = np.stack([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=leaves) for b in rows.column("taken")])
+        self.takers = np.packbits(taken.T, axis=1)  # leaf of all trees x queries
+
+
+def _ranking(shared, dim: int, k: int):
+    """The task's k nearest points of each query among those whose leaves it takes."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        bound = np.full(len(q.ids), np.inf)  # the k-th least distance so far, squared
+        held: tuple = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))  # query, point, distance
+        fresh: list[tuple] = []
+
+        def best() -> tuple:
+            who, point, far = (np.concatenate([held[i], *(f[i] for f in fresh)]) for i in range(3))
+            order = np.lexsort((point, far, who))
+            who, point, far = who[order], point[order], far[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who, "left")
+            bound[who[place == k - 1]] = far[place == k - 1] ** 2
+            return who[place < k], point[place < k], far[place < k]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (point, q) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(1), dim) if len(batch) else ())):
-                places = [(t, leaf, b) for t, leaf in forest.value.search(q, sizes.value, wanted) for b in range(buckets(sizes.value[t, leaf]))]
-                columns = [pa.array(list(c), pa.int32()) for c in zip(*places)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([point] * len(places), pa.int64()), batch.column(1).take(pa.array([at] * len(places)))], names=["tree", "leaf", "bucket", "query", "vec"])
-
-    def compare(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if rows.num_rows and queries.num_rows:
-            points, x, y = rows.column("point").to_numpy(), _matrix(rows.column("vec"), dim), _matrix(queries.column("vec"), dim)
-            for query, q in zip(queries.column("query").to_numpy(), y):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                best = best[np.lexsort((points[best], d[best]))[:k]]
-                out[0].append(np.full(len(best), query))
-                out[1].append(points[best])
-                out[2].append(d[best])
-        cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.zeros(0), t)
-        return pa.table({"query": cat(out[0], pa.int64()), "point": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
-
-    counts = [[buckets(c) for c in tree] for tree in sizes.value]
-    if max(map(max, counts)) > 1:
-        many = F.element_at(F.array(*(F.array(*map(F.lit, tree)) for tree in counts))[F.col("tree")], F.col("leaf") + 1)
-        rows = dealt.withColumn("bucket", F.pmod(F.xxhash64("point"), many).cast("int"))
-    else:
-        rows = dealt.withColumn("bucket", F.lit(0))
-    places = part.select("point", "vec").mapInArrow(ask, f"tree int, leaf int, bucket int, query long, vec {kind}")
-    keys = ["tree", "leaf", "bucket"]
-    return rows.groupBy(*keys).cogroup(places.groupBy(*keys)).applyInArrow(compare, "query long, point long, score double")
+            if not len(batch):
+                continue
+            points, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            leaves = batch.column(2).flatten().to_numpy().reshape(len(points), -1)
+            tree = np.arange(leaves.shape[1]) * (len(q.takers) // leaves.shape[1])
+            takers = np.bitwise_or.reduce(q.takers[leaves + tree], axis=1)  # row x queries
+            square = (x**2).sum(axis=1)
+            for lo in range(0, len(q.ids), AT_ONCE):
+                part = slice(lo, lo + AT_ONCE)
+                own = np.unpackbits(takers[:, lo // 8 : (lo + AT_ONCE) // 8], axis=1, count=min(AT_ONCE, len(q.ids) - lo)).view(bool)
+                about = square[:, None] + q.square[None, part] - 2.0 * (x @ q.vectors[part].T)
+                slack = 1e-9 * (square.max() + q.square[part].max())  # far more than the products' rounding
+                about[~own] = np.inf
+                limit = np.minimum(bound[part], np.partition(about, k - 1, axis=0)[k - 1] if len(x) > k else np.inf) + slack
+                row, col = np.nonzero(about <= limit[None, :])
+                keep = own[row, col]
+                row, col = row[keep], col[keep]
+                if len(row):
+                    fresh.append((col + lo, points[row], np.sqrt(((x[row] - q.vectors[col + lo]) ** 2).sum(axis=1))))
+            if sum(len(f[0]) for f in fresh) > 2 * k * len(q.ids):
+                held, fresh = best(), []
+        held = best()
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query", "point", "score"])
+
+    return rank

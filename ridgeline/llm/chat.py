@@ -17,8 +17,8 @@ that no text can hold one (in roles, before all but letters and digits); droppin
 the text back.
 
 Defined results: null roles and texts are empty; turns go by ``turn`` (null first), then role and
-text; a null ``conv_id`` is a conversation; the system turn is the first turn if its role is
-``system``; a turn longer than the budget has a window of its own and is never cut; repeated rows
+text, so repeated rows lie side by side; a null ``conv_id`` is a conversation; the system turn is the first turn if its role is
+``system``; a turn longer than the budget, however long, has a window of its own and is never cut; repeated rows
 are turns like any other; an empty table gives no windows; other columns are not read.
 """
 
@@ -26,15 +26,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.llm.tasks import slim
+from ridgeline.llm.token_records import encoder
 from ridgeline.session import materialize
 
 BUDGET = 1024
@@ -68,21 +70,15 @@ def _mark(role: str) -> str:
     return f"<|{_MARKED.sub(lambda m: chr(92) + m[0], role)}|>"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def _count_tokens(turns: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(path)
+        size = np.dtype(words.width).itemsize
         for batch in batches:
-            encoded = _tokenizer(path).encode_batch_fast(batch.column(3).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e.ids) + MARK_TOKENS for e in encoded], pa.int64())], names=[*batch.schema.names, "n_tokens"])
+            n = [len(words.encode(t.as_py())) // size + MARK_TOKENS for t in batch.column(3).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
-    return turns.mapInArrow(count, "conv_id long, turn long, role string, text string, n_tokens long")
+    return turns.mapInArrow(slim(count), "conv_id long, turn long, role string, text string, n_tokens long")
 
 
 def _placed(turns: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :probe), (-1L, 1L, 'assistant', :probe) AS t(conv_id, turn, role, text)", {"probe": probe})
-    return chat.format_and_read_back(spark, turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.format_and_read_back(spark, turns.unionByName(extra), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query

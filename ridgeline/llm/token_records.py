@@ -12,13 +12,15 @@ has a row per record: ``doc_id, part, file, offset, n_bytes, n_tokens, first`` w
 counts the ids before the record in its file.  Any order of reads is served by the index.
 
 Defined results: null text is an empty document (its end id only); a null ``doc_id`` sorts
-first; rows that share a ``doc_id`` keep one record each; an empty table gives an empty
-index; other columns are not read.
+first; rows that share a ``doc_id`` keep one record each, in the order of their texts' arrival; a very
+long text is one record, which its task holds whole; an empty table gives an empty index; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -39,19 +41,26 @@ from ridgeline.session import materialize, run_path
 END_ID = 1
 HEADER = 12
 READ_AHEAD = 4 << 20
+PIECE_BYTES = 8 << 20  # of a file, read by one task
 INDEX_SCHEMA = "doc_id long, part int, file string, offset long, n_bytes long, n_tokens long, first long"
 _INDEX_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.string()), *((n, pa.int64()) for n in ("offset", "n_bytes", "n_tokens", "first"))])
 
-#: The splits that the tokenizer file names in its "pre_tokenizer".
+#: The splits that word tokenizers' files name in their "pre_tokenizer", and all else there that matters.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
 class Encoder:
     """Encodes texts with a tokenizer file, remembering the ids of words.
 
-    White space always ends a token of this kind of tokenizer, so a text's ids are those of
-    its words, one after another, and each word goes through the library once while it is
-    remembered.  Memory is bounded: of the words, the last one or two ``limit`` are kept.
+    White space always ends a token of a word tokenizer, so a text's ids are those of its
+    words, one after another, and each word goes through the library once while it is
+    remembered.  Memory is bounded: of the words, the last one or two ``limit`` are kept.  Texts
+    of any other tokenizer go through the library whole.
     """
 
     def __init__(self, path: str, limit: int = 250_000):
@@ -65,16 +74,18 @@ class Encoder:
         self.pieces, self.older_pieces = {}, {}
         specials = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = regex.compile("|".join(map(regex.escape, specials)) or "(?!)")
-        self.by_piece = self._pieces_are_enough()
+        self.by_word = self._splits_at_blanks()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.packers = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(17)]
 
-    def _pieces_are_enough(self) -> bool:
-        """Whether the file lower-cases, splits as PIECES does and maps bytes, so pieces stand alone."""
-        state = self.tokenizer.to_str()
-        return PIECES.pattern in state.replace("\\\\", "\\") and '"Lowercase"' in state and '"ByteLevel"' in state
+    def _splits_at_blanks(self) -> bool:
+        """Whether the tokenizer is of the kind whose words, and pieces of words, stand alone."""
+        state = json.loads(self.tokenizer.to_str())
+        normalizer, splits, model = state["normalizer"] or {}, state["pre_tokenizer"] or {}, state["model"]
+        plain = not any(state[k] for k in ("truncation", "padding", "post_processor")) and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in state["added_tokens"])
+        return plain and normalizer.get("normalizers") == _WORD_NORMALIZER and splits.get("pretokenizers") == _WORD_SPLITS and model["type"] == "BPE" and not model["dropout"] and not model["byte_fallback"]
 
     def _ids(self, ids: list[int]) -> bytes:
         return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, self.width).tobytes()
@@ -90,13 +101,15 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         # Up to U+00FF lower-casing is plain and no characters combine; all else is left to the library.
-        if self.by_piece and (word.isascii() or max(text) <= "ÿ") and not self.special.search(text):
+        if (word.isascii() or max(text) <= "ÿ") and not self.special.search(text):
             # ASCII letters alone are one piece.
             return self._piece(text.lower()) if word.isalpha() else b"".join([self._piece(p) for p in PIECES.findall(text.lower())])
         return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text, as little-endian bytes of ``width``."""
+        if not self.by_word:
+            return self._ids(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         words = text.split()
         if len(self.words) > self.limit:
             self.words, self.older_words = {}, self.words
@@ -194,7 +207,10 @@ def read_records(index: DataFrame, target: str, width: str = "<u2") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(data, pa.large_binary())], schema=schema)
                 lo = hi
 
-    placed = index.repartition("file").sortWithinPartitions("file", "offset")
+    # A stated number of partitions: left to itself, Spark would size them by the few bytes of the index.
+    total = index.agg(F.sum("n_bytes")).first()[0] or 0
+    pieces = max(1, -(-total // PIECE_BYTES))
+    placed = index.repartition(pieces, "file", F.floor(F.col("offset") / PIECE_BYTES)).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(slim(read), f"{INDEX_SCHEMA}, ids binary")
 
 

@@ -36,8 +36,8 @@ def test_recall_on_whole_table(spark):
     assert all(abs(near[q, i] - s) < 1e-12 for q, v in got.items() for i, s in v if (q, i) in near)
 
 
-def test_copies_ties_and_small_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BUCKET", 7)
+def test_copies_ties_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "AT_ONCE", 8)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
     monkeypatch.setattr(ann, "LEAF", 4)
     rng = np.random.default_rng(2)
@@ -49,9 +49,19 @@ def test_copies_ties_and_small_buckets(spark, monkeypatch):
 
 
 def test_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0]), (7, [1.0]), (8, []), (9, [4.0, 6.0])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0]), (7, [1.0]), (8, []), (9, [4.0, 6.0]), (20, [5.0]), (21, [2.0] * 3), (9, [4.0, 7.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"vec": F.lit(1), "score": F.lit("s")})
     every = F.col("vec_id") >= 0
-    assert result(ann.nearest(vectors, every)) == {0: [(6, 0.0), (9, 5.0)], 6: [(0, 0.0), (9, 5.0)], 9: [(0, 5.0), (6, 5.0)]}
+    assert result(ann.nearest(vectors, every)) == {0: [(6, 0.0), (9, 5.0)], 6: [(0, 0.0), (9, 5.0)], 9: [(0, 5.0), (6, 5.0)], 7: [(20, 4.0)], 20: [(7, 4.0)]}
     assert ann.nearest(vectors.limit(0), every).count() == 0
     assert ann.nearest(vectors.where("vec_id = 0"), every).count() == 0
+
+
+def test_recall_grows_not_worse_with_the_table(spark):
+    """At two sizes of a table without clusters, the hardest kind."""
+    for n in (1500, 6000):
+        x = np.random.default_rng(n).normal(size=(n, 24))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        want = brute(rows, lambda i: i % 100 == 0)
+        got = result(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0))
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9

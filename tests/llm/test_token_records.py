@@ -56,6 +56,21 @@ def test_odd_texts(spark):
     assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == expected(rows)
 
 
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+
+    texts = ["Hello  world, it's\n a Test", " x", "", "é\u0301 a"]
+    state = json.load(open(PATH))
+    state["normalizer"]["normalizers"].append({"type": "Prepend", "prepend": "_"})
+    changed = tmp_path / "changed.json"
+    changed.write_text(json.dumps(state))
+    for path, by_word in ((PATH, True), (str(changed), False), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        e, tok = token_records.Encoder(path), Tokenizer.from_file(path)
+        assert e.by_word is by_word
+        for t in texts:
+            assert np.frombuffer(e.encode(t.encode()), e.width).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_records.token_ids(spark, empty, PATH).count() == 0
