@@ -50,7 +50,7 @@ def route_edges(spark, sf_dir):
     return routing.edges(cells, grid).select("src", "dst", F.round("w", 4).alias("w"))
 
 
-_ROUNDS = 7  # 2 ** 7 steps are more than any way down on these tables
+_ROUNDS = 20  # 2 ** 20 steps: no way down is longer than all cells of these tables
 _DOUBLING = ",\n".join(
     f"""s{i + 1} AS MATERIALIZED (SELECT a.id, n.ptr, a.total + coalesce(u.more, 0) AS total FROM s{i} a LEFT JOIN s{i} n ON a.ptr = n.id
   LEFT JOIN (SELECT ptr, sum(total)::BIGINT AS more FROM s{i} WHERE ptr IS NOT NULL GROUP BY ptr) u ON a.id = u.ptr)"""
@@ -69,25 +69,24 @@ def flow_accumulation(spark, sf_dir):
     return hydrology.flow(cells, grid, "z").select("r", "c", "upstream")
 
 
-@query(f"""WITH {ORDERS_SQL}, f AS (SELECT r, c FROM cells WHERE (r * w + c) % 211 = 7)
+@query(f"""WITH {ORDERS_SQL}, f AS (SELECT r, c FROM cells WHERE blocked)
 SELECT a.r, a.c, round(sqrt(min((a.r - f.r) * (a.r - f.r) * 900.0::DOUBLE + (a.c - f.c) * (a.c - f.c) * 900.0::DOUBLE)), 6) AS distance FROM cells a, f GROUP BY a.r, a.c""")
 def distance_to_marks(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    marked = cells.withColumn("mark", (F.col("r") * grid.cols + F.col("c")) % 211 == 7)
-    return distance.distance_to(marked, grid, "mark").select("r", "c", F.round("distance", 6).alias("distance"))
+    return distance.distance_to(cells, grid, "blocked").select("r", "c", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {ORDERS_SQL}, f AS (SELECT r, c FROM cells WHERE (r * w + c) % 211 = 7)
+@query(f"""WITH {ORDERS_SQL}, f AS (SELECT r, c FROM cells WHERE blocked)
 SELECT DISTINCT a.r, a.c FROM cells a JOIN f ON a.r BETWEEN f.r - 4 AND f.r + 4 AND a.c BETWEEN f.c - 4 AND f.c + 4 WHERE (a.r - f.r) * (a.r - f.r) * 900 + (a.c - f.c) * (a.c - f.c) * 900 <= 100 * 100""")
 def buffer_of_marks(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    return distance.buffer(cells.withColumn("mark", (F.col("r") * grid.cols + F.col("c")) % 211 == 7), grid, "mark", 100.0)
+    return distance.buffer(cells, grid, "blocked", 100.0)
 
 
-@query(f"""WITH {ORDERS_SQL}, p AS (SELECT r * w + c AS ord, r, c FROM cells WHERE (r * w + c) % 97 = 13),
-d AS (SELECT p.ord, p.r, p.c, a.r AS ar, a.c AS ac, (a.r - p.r) * (a.r - p.r) * 900.0::DOUBLE + (a.c - p.c) * (a.c - p.c) * 900.0::DOUBLE AS d2 FROM p JOIN cells a ON abs(a.r - p.r) <= 5 AND abs(a.c - p.c) <= 5 WHERE a.z IS NOT NULL AND NOT a.blocked),
+@query(f"""WITH {ORDERS_SQL}, p AS (SELECT r * w + c AS ord, r, c FROM cells WHERE z IS NULL),
+d AS (SELECT p.ord, a.r AS ar, a.c AS ac, (a.r - p.r) * (a.r - p.r) * 900.0::DOUBLE + (a.c - p.c) * (a.c - p.c) * 900.0::DOUBLE AS d2 FROM p JOIN cells a ON a.r BETWEEN p.r - 5 AND p.r + 5 AND a.c BETWEEN p.c - 5 AND p.c + 5 WHERE a.z IS NOT NULL AND NOT a.blocked),
 k AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY d2, ar, ac) AS n FROM d)
-SELECT ord, r, c, ar AS snap_r, ac AS snap_c, round(sqrt(d2), 6) AS moved_m FROM k WHERE n = 1""")
+SELECT p.ord, p.r, p.c, ar AS snap_r, ac AS snap_c, round(sqrt(d2), 6) AS moved_m FROM p LEFT JOIN k ON k.ord = p.ord AND n = 1""")
 def snapped_points(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
     free = cells.withColumn("free", F.col("z").isNotNull() & ~F.col("blocked"))
@@ -203,13 +202,20 @@ def leave_one_out(spark, sf_dir):
     return sequences.leave_one_out(results)
 
 
-# Iterative ones, which SQL does not express; tests hold them against heaps and union-find.
+# Iterative ones.  DuckDB follows them with recursive tables that keep one row for each key.
 
+FILLED = f"""{OFFSET_SQL},
+f0 AS MATERIALIZED (SELECT a.r * a.w + a.c AS id, a.r, a.c, a.w, a.z::DOUBLE AS z, count(b.z) < 8 AS outlet FROM cells a, o LEFT JOIN cells b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z IS NOT NULL GROUP BY ALL),
+nb AS MATERIALIZED (SELECT a.id, b.id AS nid, b.z AS nz FROM f0 a, o JOIN f0 b ON b.r = a.r + dr AND b.c = a.c + dc),
+fl(id, level) USING KEY (id) AS (SELECT id, z FROM f0 WHERE outlet UNION
+  SELECT nid, min(new) FROM (SELECT nb.nid, CASE WHEN nz > fl.level THEN nz ELSE fl.level + 0.001::DOUBLE END AS new FROM fl JOIN nb ON nb.id = fl.id)
+  LEFT JOIN recurring.fl AS old ON old.id = nid WHERE new < coalesce(old.level, 'inf'::DOUBLE) GROUP BY nid)"""
 
-@query()
+
+@query(f"WITH RECURSIVE {ORDERS_SQL}, {FILLED} SELECT cells.r, cells.c, round(fl.level, 6) AS filled FROM cells LEFT JOIN fl ON fl.id = r * w + c")
 def depression_filling(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    return hydrology.fill(cells, grid)
+    return hydrology.fill(cells, grid).select("r", "c", F.round("filled", 6).alias("filled"))
 
 
 @query()
@@ -224,7 +230,11 @@ def drainage_metrics(spark, sf_dir):
     return hydrology.metrics(materialize(hydrology.analyse(cells, grid, 0.05), "drainage"), grid)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERS_SQL}, {OFFSET_SQL}, b AS MATERIALIZED (SELECT r * w + c AS id, r, c FROM cells WHERE blocked),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM b a, o JOIN b ON b.r = a.r + dr AND b.c = a.c + dc),
+reach(id, src) AS (SELECT id, id FROM b UNION SELECT e.b, reach.src FROM reach JOIN e ON e.a = reach.id),
+m AS (SELECT id, min(src) AS region FROM reach GROUP BY id)
+SELECT region, r, c, dense_rank() OVER (ORDER BY region)::INT AS label FROM m JOIN b USING (id)""")
 def blocked_regions(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
     return regions.numbered(regions.regions(cells, grid, "blocked"))
@@ -237,7 +247,7 @@ def zone_outlines(spark, sf_dir):
 
 
 def _ends(grid: Grid) -> tuple[tuple[int, int], tuple[int, int]]:
-    return (1, 1), (grid.rows - 3, grid.cols - 4)
+    return (grid.rows // 5, grid.cols * 3 // 4), (grid.rows * 2 // 3, grid.cols * 5 // 8)
 
 
 def _open(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -246,26 +256,53 @@ def _open(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.withColumn("cost", F.when((F.col("r") * grid.cols + F.col("c")).isin(ends), F.coalesce("cost", F.lit(1.0))).otherwise(F.col("cost")))
 
 
-@query()
+def _far(name: str, source: str) -> str:
+    """A recursive table of least costs from the node that ``source`` gives."""
+    return f"""{name}(id, far) USING KEY (id) AS (SELECT {source}, 0.0::DOUBLE FROM dims UNION
+  SELECT dst, min(new) FROM (SELECT dst, {name}.far + g.w AS new FROM {name} JOIN g ON g.src = {name}.id) LEFT JOIN recurring.{name} AS old ON old.id = dst WHERE new < coalesce(old.far, 'inf'::DOUBLE) GROUP BY dst)"""
+
+
+_START, _END = "w // 5 * w + w * 3 // 4", "w * 2 // 3 * w + w * 5 // 8"
+GRAPH = f"""{COST}, {OFFSET_SQL},
+q AS MATERIALIZED (SELECT r, c, w, coalesce(cost, CASE WHEN r * w + c IN ({_START}, {_END}) THEN 1.0::DOUBLE END) AS cost FROM k),
+g AS MATERIALIZED (SELECT a.r * a.w + a.c AS src, b.r * a.w + b.c AS dst, (a.cost + b.cost) / 2 * CASE WHEN dr <> 0 AND dc <> 0 THEN 42.42640687119285::DOUBLE ELSE 30 END AS w
+  FROM q a, o JOIN q b ON b.r = a.r + dr AND b.c = a.c + dc LEFT JOIN q n ON n.r = a.r + dr AND n.c = a.c LEFT JOIN q m ON m.r = a.r AND m.c = a.c + dc
+  WHERE a.cost IS NOT NULL AND b.cost IS NOT NULL AND (dr = 0 OR dc = 0 OR (n.cost IS NOT NULL AND m.cost IS NOT NULL)))"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {_far('d', _START)} SELECT r, c, round(far, 4) AS distance FROM q LEFT JOIN d ON d.id = r * w + c")
 def travel_distances(spark, sf_dir):
     cells, grid = costs(spark, sf_dir)
-    return routing.distances(_open(cells, grid), grid, _ends(grid)[0])
+    return routing.distances(_open(cells, grid), grid, _ends(grid)[0]).select("r", "c", F.round("distance", 4).alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, {_far('d', _START)},
+best AS MATERIALIZED (SELECT dst, arg_min(src, far + g.w) AS src FROM g JOIN d ON d.id = g.src GROUP BY dst),
+walk(id, step) AS (SELECT {_END}, 0 FROM dims UNION ALL SELECT best.src, step + 1 FROM walk JOIN best ON best.dst = walk.id JOIN d ON d.id = walk.id WHERE far > 0)
+SELECT 0 AS leg, (SELECT max(step) FROM walk) - step AS seq, walk.id // w AS r, walk.id % w AS c, round(far, 4) AS distance FROM walk JOIN d ON d.id = walk.id, dims""")
 def least_cost_route(spark, sf_dir):
     cells, grid = costs(spark, sf_dir)
-    return routing.route(_open(cells, grid), grid, list(_ends(grid)))
+    found = routing.route(_open(cells, grid), grid, list(_ends(grid)))
+    return found.select("leg", "seq", "r", "c", F.round("distance", 4).alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, {_far('d', _START)}, {_far('u', _END)}, t AS (SELECT far AS total FROM d, dims WHERE id = {_END})
+SELECT d.id // w AS r, d.id % w AS c, round((d.far + u.far) / total - 1, 6) AS slack FROM d JOIN u ON u.id = d.id, t, dims WHERE (d.far + u.far) / total - 1 <= 0.05::DOUBLE + 1e-9::DOUBLE""")
 def alternatives_corridor(spark, sf_dir):
     cells, grid = costs(spark, sf_dir)
-    return routing.corridor(_open(cells, grid), grid, [_ends(grid)], 0.05)
+    return routing.corridor(_open(cells, grid), grid, [_ends(grid)], 0.05).select("r", "c", F.round("slack", 6).alias("slack"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRACKS}, x AS MATERIALIZED (SELECT track, row_number() OVER (PARTITION BY track ORDER BY seq) AS k, x, y, y / 10 AS ele, seq * 100.0::DOUBLE AS t FROM tr),
+s(track, k, win, sx, sele, st, px, py, pt, dist, paused, done, wdist, wdt, wrise, wpaused) AS (
+  SELECT track, k, 0, x, ele, t, x, y, t, 0.0::DOUBLE, FALSE, FALSE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, FALSE FROM x WHERE k = 1 UNION ALL
+  SELECT track, k, win + done::INT, sx, CASE WHEN done THEN ele ELSE sele END, CASE WHEN done THEN t ELSE st END, x, y, t, CASE WHEN done THEN 0 ELSE far END, hold AND NOT done, done, far, t - st, ele - sele, hold
+  FROM (SELECT x.*, win, sx, sele, st, dist + sqrt(power(x.x - px, 2) + power(x.y - py, 2)) AS far, paused OR x.t - pt > 150 AS hold, dist + sqrt(power(x.x - px, 2) + power(x.y - py, 2)) >= 500 AS done
+        FROM s JOIN x ON x.track = s.track AND x.k = s.k + 1))
+SELECT track, win - 1 AS win, round(wrise / wdist, 6) AS gradient, round(wdist / wdt * 3.6::DOUBLE, 6) AS speed_kmh, round(wdist, 4) AS dist_m, wdt AS dt_s
+FROM s WHERE done AND NOT wpaused AND wdt > 0 AND wdist / wdt * 3.6::DOUBLE BETWEEN 0.2 AND 100""")
 def track_windows(spark, sf_dir):
     e = tracks(spark, sf_dir)
     fixes = e.select("track", "seq", "x", "y", (F.col("y") / 10).alias("ele"), (F.col("seq") * 100).alias("t"))
-    return sequences.distance_windows(fixes, 500.0, 150.0, (0.2, 100.0))
+    found = sequences.distance_windows(fixes, 500.0, 150.0, (0.2, 100.0))
+    return found.select("track", "win", F.round("gradient", 6).alias("gradient"), F.round("speed_kmh", 6).alias("speed_kmh"), F.round("dist_m", 4).alias("dist_m"), "dt_s")

@@ -70,10 +70,10 @@ def walkable_fraction(spark, sf_dir):
     return classes.classify(terrain.slope(cells, grid)).agg(stats.walkable_fraction().alias("walkable"))
 
 
-@query(f"WITH {SLOPE} SELECT r, c, round(zx, 6) AS zx, round(zy, 6) AS zy, round(CAST(slope AS DOUBLE), 3) AS slope FROM t1")
+@query(f"WITH {SLOPE} SELECT r, c, round(zx, 10) AS zx, round(zy, 10) AS zy, round(CAST(slope AS DOUBLE), 3) AS slope FROM t1")
 def slope_percent(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    return terrain.slope(cells, grid).select("r", "c", F.round("zx", 6).alias("zx"), F.round("zy", 6).alias("zy"), F.round(F.col("slope").cast("double"), 3).alias("slope"))
+    return terrain.slope(cells, grid).select("r", "c", F.round("zx", 10).alias("zx"), F.round("zy", 10).alias("zy"), F.round(F.col("slope").cast("double"), 3).alias("slope"))
 
 
 @query(f"WITH {CURVE} SELECT r, c, round(CAST(plan AS DOUBLE), 6) AS plan, round(CAST(profile AS DOUBLE), 6) AS profile FROM t2")

@@ -143,26 +143,28 @@ def analytic_scene(spark: SparkSession) -> tuple[DataFrame, Grid]:
 
 
 def scene_from_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
-    """A square relief that grows with the table: ``r, c, z, extra, blocked``."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    w = math.isqrt(orders.count())
-    r, c = F.expr(f"o_orderkey div {w}"), F.col("o_orderkey") % w
-    cells = orders.select(r.alias("r"), c.alias("c"), "o_orderkey", "o_totalprice", "o_orderpriority").where(F.col("r") < w)
-    u, v = F.col("r") / w, F.col("c") / w
+    """A square relief that grows with the table: ``r, c, z, extra, blocked``.
+
+    Every order is a cell, by its key; cells without an order have NULLs and are not blocked.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    w = max(2, math.isqrt(orders.agg(F.max("o_orderkey")).first()[0] or 0) + 1)
+    cells = spark.range(w * w).join(orders, F.col("id") == F.col("o_orderkey"), "left")
+    r, c = F.expr(f"id div {w}"), F.col("id") % w
+    u, v = r / w, c / w
     z = F.lit(800.0) + u * (1.0 - u) * v * (1.0 - v) * 6000.0 + v * 200.0 - u * 90.0 + F.col("o_totalprice") % 50.0 / 10.0
     return cells.select(
-        "r", "c", F.when(F.col("o_orderkey") % 97 == 13, None).otherwise(z.cast("float")).alias("z"),
-        F.col("o_totalprice").alias("extra"), (F.col("o_orderpriority") == "1-URGENT").alias("blocked"),
+        r.alias("r"), c.alias("c"), F.when(F.col("id") % 97 == 13, None).otherwise(z.cast("float")).alias("z"),
+        F.col("o_totalprice").alias("extra"), F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).alias("blocked"),
     ), Grid(w, w, 500_000.0, 30.0, 7_500_000.0, -30.0)
 
 
 #: The same relief for DuckDB: common table expressions ``dims`` and ``cells``.
 ORDERS_SQL = """
-dims AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM orders),
+dims AS (SELECT greatest(2, CAST(ceil(sqrt(max(o_orderkey) + 1)) AS BIGINT)) AS w FROM orders),
 cells AS MATERIALIZED (
   SELECT r, c, CASE WHEN k % 97 = 13 THEN NULL
                     ELSE CAST(800.0::DOUBLE + u * (1.0::DOUBLE - u) * v * (1.0::DOUBLE - v) * 6000.0::DOUBLE + v * 200.0::DOUBLE - u * 90.0::DOUBLE + p % 50.0::DOUBLE / 10.0::DOUBLE AS FLOAT) END AS z,
-         p AS extra, prio = '1-URGENT' AS blocked, w
-  FROM (SELECT o_orderkey AS k, o_orderkey // w AS r, o_orderkey % w AS c, w, CAST(o_orderkey // w AS DOUBLE) / w AS u, CAST(o_orderkey % w AS DOUBLE) / w AS v,
-               o_totalprice AS p, o_orderpriority AS prio FROM orders, dims)
-  WHERE r < w)"""
+         p AS extra, coalesce(prio = '1-URGENT', FALSE) AS blocked, w
+  FROM (SELECT k, k // w AS r, k % w AS c, w, CAST(k // w AS DOUBLE) / w AS u, CAST(k % w AS DOUBLE) / w AS v,
+               o_totalprice AS p, o_orderpriority AS prio FROM (SELECT unnest(range(w * w)) AS k, w FROM dims) LEFT JOIN orders ON o_orderkey = k))"""
