@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles
+from ridgeline.operators.stats import percentiles
 from ridgeline.operators.stencil import OFFSETS, gradients, with_neighbours
 from ridgeline.operators.terrain import flow_direction
 from ridgeline.sources.grid import Grid
@@ -117,8 +118,9 @@ def metrics(drainage: DataFrame, grid: Grid) -> DataFrame:
     valid = drainage.where("z is not null")
     found = valid.agg(
         F.count("*").alias("valid"), F.sum(F.col("channel").cast("int")).alias("channels"), (F.sum(F.when(F.col("channel"), step)) / 1000.0).alias("network_km"),
-        F.sum(F.when(F.col("d8") < 0, 1).otherwise(0)).alias("sinks"), *(F.percentile("twi", F.lit(p / 100)).alias(f"twi_p{p}") for p in (5, 50, 95)),
+        F.sum(F.when(F.col("d8") < 0, 1).otherwise(0)).alias("sinks"),
     )
+    found = found.join(F.broadcast(percentiles(valid, {f"twi_p{p}": (F.col("twi"), p) for p in (5, 50, 95)})))  # one row each
     return found.withColumns({"channel_share": F.col("channels") / F.col("valid"), "density": F.coalesce("network_km", F.lit(0.0)) / (F.col("valid") * grid.cell_area / 1e6)})
 
 

@@ -52,27 +52,25 @@ def percentiles(cells: DataFrame, wanted: dict[str, tuple[Column, float]], most:
     return found.agg(*(pick(n, p) for n, (_, p) in wanted.items()))
 
 
-def diagnostics(cells: DataFrame, names: list[str]) -> DataFrame:
+def keyed_percentiles(rows: DataFrame, key: str, value: str, percents: list[float], most: int = IN_ONE_TASK) -> DataFrame:
+    """``key`` and ``p5, p25, ...``: percentiles of each key; ranges take over above ``most`` rows."""
+    if rows.count() <= most:
+        return rows.groupBy(key).agg(*(percentile(F.col(value), p).alias(f"p{p:g}") for p in percents))
+    found = order_statistics(rows, key, value, percents)
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("percent") == float(p), F.col(value))).alias(f"p{p:g}") for p in percents))
+
+
+def diagnostics(cells: DataFrame, names: list[str], most: int = IN_ONE_TASK) -> DataFrame:
     """One row for each raster: counts, range, mean, population deviation and percentiles."""
     long = cells.select(F.explode(F.array(*(F.struct(F.lit(n).alias("raster"), F.col(n).cast("double").alias("v")) for n in names))).alias("e")).select("e.*")
-    return long.groupBy("raster").agg(
+    plain = long.groupBy("raster").agg(
         F.count("*").alias("total"), F.count("v").alias("valid"), (F.count("*") - F.count("v")).alias("nodata"),
         F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"),
-        *(percentile(F.col("v"), p).alias(f"p{p}") for p in PERCENTS),
     )
+    return plain.join(keyed_percentiles(long, "raster", "v", PERCENTS, most), "raster", "left")
 
 
-def _first_positive(*values: Column) -> Column:
-    return F.coalesce(*(F.when(v > 0, v) for v in values), F.lit(1.0))
-
-
-def limit(v: Column, percent: float) -> Column:
-    """Aggregate: a high percentile of the magnitude, else its maximum, else 1."""
-    size = F.abs(v.cast("double"))
-    return _first_positive(percentile(size, percent), F.max(size))
-
-
-def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score", most: int | None = None) -> DataFrame:
+def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score", most: int = IN_ONE_TASK) -> DataFrame:
     """``band, low, high, n, threshold``: the percentile of the score in each altitude band with enough cells.
 
     ``most``: with more cells than this, ranges of scores take the place of one task for each band.
@@ -80,11 +78,9 @@ def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least
     size = max(50.0, size)
     band = F.floor(F.col(z).cast("double") / size)
     rows = cells.where(F.col(score).isNotNull() & F.col(z).isNotNull()).select(band.alias("band"), F.col(score).alias("threshold"))
-    if most is not None and rows.count() > most:
-        counts = rows.groupBy("band").agg(F.count("*").alias("n"))
-        found = order_statistics(rows, "band", "threshold", [percent]).join(counts, "band")
-    else:
-        found = rows.groupBy("band").agg(F.count("*").alias("n"), percentile(F.col("threshold"), percent).alias("threshold"))
+    name = f"p{percent:g}"
+    counts = rows.groupBy("band").agg(F.count("*").alias("n"))
+    found = counts.join(keyed_percentiles(rows, "band", "threshold", [percent], most).withColumnRenamed(name, "threshold"), "band")
     return found.where(F.col("n") >= least_cells).select("band", (F.col("band") * size).alias("low"), ((F.col("band") + 1) * size).alias("high"), "n", "threshold")
 
 
@@ -115,14 +111,14 @@ def walkable_fraction(name: str = "class", up_to: int = 2) -> Column:
     return F.avg(F.when(F.col(name) > 0, F.when(F.col(name) <= up_to, 1.0).otherwise(0.0)))
 
 
-def discrimination(cells: DataFrame, score: str = "score", saturated: float = 0.999) -> DataFrame:
+def discrimination(cells: DataFrame, score: str = "score", saturated: float = 0.999, most: int = IN_ONE_TASK) -> DataFrame:
     """How well a score tells cells apart: share at the top, spread, suggested thresholds, and a warning."""
     v = F.col(score).cast("double")
-    found = cells.where(v.isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(F.when(v >= saturated, 1.0).otherwise(0.0)).alias("saturated"),
-        (percentile(v, 95) - percentile(v, 5)).alias("amplitude"), *(percentile(v, p).alias(f"p{p}") for p in (50, 90, 99)),
-    )
-    return found.withColumn("weak", (F.col("saturated") >= 0.40) | (F.col("amplitude") < 0.05))
+    rows = cells.where(v.isNotNull())
+    plain = rows.agg(F.count("*").alias("n"), F.avg(F.when(v >= saturated, 1.0).otherwise(0.0)).alias("saturated"))
+    wide = percentiles(rows, {f"p{p}": (v, p) for p in (5, 50, 90, 95, 99)}, most)
+    found = plain.join(F.broadcast(wide)).withColumn("amplitude", F.col("p95") - F.col("p5"))  # one row each
+    return found.select("n", "saturated", "amplitude", "p50", "p90", "p99", ((F.col("saturated") >= 0.40) | (F.col("amplitude") < 0.05)).alias("weak"))
 
 
 def absurd_values(cells: DataFrame, names: list[str], most: float = 1e6) -> DataFrame:
@@ -158,7 +154,7 @@ def ks_distance(cells: DataFrame, value: str, zone: str = "zone", bins: int = 10
     return running.agg(F.max(F.abs("gap")).alias("ks"))
 
 
-def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width: bool = True, least_share: float = 0.2, least_area: float = 0.005, zone: str = "zone") -> DataFrame:
+def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width: bool = True, least_share: float = 0.2, least_area: float = 0.005, zone: str = "zone", most: int = IN_ONE_TASK) -> DataFrame:
     """``bin, low, high, area_share, zone_share, covered, gap``: how the zones cover the range of a variable.
 
     Bins are of equal width, or deciles.  A bin with a fair share of the area is covered if its
@@ -168,7 +164,8 @@ def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width
     if equal_width:
         edges = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(bins)).alias("edges"))
     else:
-        edges = rows.agg(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("edges"))
+        names = {f"e{i}": (F.col("v"), 100.0 * i / bins) for i in range(bins + 1)}
+        edges = percentiles(rows, names, most).select(F.array(*names).alias("edges"))
     inside = F.size(F.filter(F.slice("edges", 2, bins - 1), lambda e: F.col("v") >= e))
     placed = rows.join(F.broadcast(edges)).groupBy(inside.alias("bin")).agg(F.first("edges").alias("edges"), F.count("*").alias("n"), F.sum(F.when(F.col("z"), 1).otherwise(0)).alias("nz"))
     all_ = Window.partitionBy(F.lit(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators import classes, distance, sequences, terrain, validation
@@ -183,3 +186,14 @@ def scene_route(spark, sf_dir):
     made, grid = whole_scene(spark, sf_dir)
     end = 30.0 * (grid.rows - 3)
     return scene.route(made, grid, [(grid.x0 + 45.0, grid.y0 - 45.0), (grid.x0 + end, grid.y0 - end)], SCENE)["attributes"]
+
+
+@query()
+def example_scene(spark, sf_dir):
+    """All products of the analytic scene of 90,000 cells, written and counted."""
+    cells, grid = analytic_scene(spark)
+    target = run_path(spark, "example-scene")
+    made = scene.run(materialize(cells, "analytic"), grid, target, [(500_900, 7_491_900), (506_600, 7_493_700), (508_100, 7_499_100)])
+    counts = [F.lit(name).alias("product") for name in made]
+    each = [frame.agg(F.count("*").alias("n")).select(label, "n") for label, frame in zip(counts, made.values())]
+    return reduce(DataFrame.unionByName, each)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import cellwise as fn
 from ridgeline.operators import classes, distance, hydrology, regions, routing, score, sequences, stats, terrain
 from ridgeline.session import materialize
+from ridgeline.sources import geotiff, rasters, vectors
 from ridgeline.sources.grid import Grid
 
 
@@ -121,3 +122,38 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
         out["alternatives"] = materialize(routing.corridor(crop, grid, list(zip(stops, stops[1:])), o.alternatives, z=timed), "alternatives")
         out["alternatives_extent"] = routing.corridor_extent(out["alternatives"], found, crop, grid)
     return out
+
+
+RASTERS = ("score", "risk", "class", "zone", "cost")
+
+
+def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, float]] | None = None, o: SceneOptions = SceneOptions(), constraint: str | None = None) -> dict[str, DataFrame]:
+    """The whole scene: computes everything, writes products and a log below ``target``, returns the products as written.
+
+    Rasters are GeoTIFF tiles in a folder for each; zones, route, stream crossings and
+    alternatives are Parquet tables, zones also as GeoJSON lines.  The log has an event for each step.
+    """
+    spark, folder = cells.sparkSession, target.rstrip("/")
+    log: list[tuple[str, dict]] = [("start", {"rows": grid.rows, "cols": grid.cols, "crs": grid.crs, "points": len(points or [])})]
+    if note := grid.size_warning():
+        log.append(("large", {"note": note}))
+    made = materialize(surface(cells, grid, o, constraint), "scene")
+    layers: dict[str, DataFrame] = {"classes": stats.class_shares(made), "discrimination": stats.discrimination(made), "zones": zones(made, grid, o)}
+    if o.streams:
+        layers["drainage"] = hydrology.metrics(made, grid)
+    if points:
+        found = route(made, grid, points, o)
+        layers |= {"route" if k == "path" else f"route_{k}": v for k, v in found.items()}
+    out = {}
+    for name, frame in layers.items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out[name] = spark.read.parquet(f"{folder}/{name}")
+        log.append(("layer", {"name": name, "rows": out[name].count()}))
+    corner = lambda p: F.array(F.lit(grid.x0) + p["c"] * grid.dx + p["r"] * grid.rx, F.lit(grid.y0) + p["c"] * grid.ry + p["r"] * grid.dy)
+    rings = F.transform("rings", lambda ring: F.transform(ring, corner))
+    vectors.to_geojson(out["zones"], "Polygon", rings, ["region", "n_cells", "area_ha"]).write.mode("overwrite").text(f"{folder}/zones.geojsonl")
+    for name in RASTERS:
+        geotiff.write_geotiff(made.select("r", "c", F.col(name).cast("float").alias(name)), grid, name, f"{folder}/{name}")
+        log.append(("raster", {"name": name}))
+    rasters.log_events(spark, [*log, ("end", {})], f"{folder}/log", first=True)
+    return out

@@ -21,5 +21,11 @@ def test_large_scenes_take_ranges(spark):
     cells = spark.range(1000).select((F.col("id") % 37 / 7).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("b"), F.lit(150.0).alias("z"))
     wanted = {"x": (F.col("a"), 90), "y": (F.col("b"), 5)}
     assert stats.percentiles(cells, wanted, most=10).first().asDict() == pytest.approx(stats.percentiles(cells, wanted).first().asDict())
-    few, many = (stats.band_thresholds(cells, 75.0, 100.0, 10, score="a", most=m).first().asDict() for m in (None, 10))
+    few, many = (stats.band_thresholds(cells, 75.0, 100.0, 10, score="a", most=m).first().asDict() for m in (stats.IN_ONE_TASK, 10))
     assert few == pytest.approx(many)
+    for f, args in ((stats.diagnostics, (["a", "b", "z"],)), (stats.discrimination, ("a",))):
+        few, many = (sorted(map(str, f(cells, *args, most=m).select("*").collect())) for m in (stats.IN_ONE_TASK, 10))
+        assert few == many
+    marked = cells.withColumn("zone", F.col("a") > 2)
+    few, many = (sorted(map(str, stats.representativeness(marked, "a", equal_width=False, most=m).collect())) for m in (stats.IN_ONE_TASK, 10))
+    assert few == many
