@@ -112,3 +112,13 @@ def slope_class(slope: Column, breaks: tuple[float, ...] = (20.0, 35.0, 60.0, 10
     for b in breaks:
         out = out + F.when(slope >= b, 1).otherwise(0)
     return F.when(slope.isNull(), 0).otherwise(out)
+
+
+#: What the cost of a cell is in each model, for logs.
+COST_MODELS = {"tobler": "walking time by gradient, slowed by low scores", "exponential": "exp(contrast * (1 - score))", "inverse": "1 / (score + 0.05)"}
+
+
+def cost_model_text(model: Column) -> Column:
+    """The model's name with what it computes; NULL for an unknown one."""
+    known = F.create_map(*(F.lit(x) for pair in COST_MODELS.items() for x in pair))
+    return F.concat_ws(": ", model, known[model])

@@ -146,15 +146,33 @@ def agreement(points: DataFrame, lines: DataFrame, by: list[str], within: float)
 
 
 def fit_tobler(windows: DataFrame, optima: list[float]) -> DataFrame:
-    """``best, fastest, decay, r2, n``: the walking-speed curve that fits gradients and speeds best.
+    """``best, fastest, decay, r2, n, fastest_se, decay_se``: the walking-speed curve that fits gradients and speeds best.
 
-    For a fixed best gradient the logarithm of speed is linear, so a regression fits it; the
+    The last two are standard errors at that best gradient.  For a fixed best gradient the logarithm of speed is linear, so a regression fits it; the
     best gradient comes from a grid, all of it in one pass.
     """
     tried = windows.where("speed_kmh > 0").select(F.explode(F.array(*map(F.lit, optima))).alias("best"), F.ln("speed_kmh").alias("y"), F.col("gradient")).withColumn("x", F.abs(F.col("gradient") + F.col("best")))
-    fitted = tried.groupBy("best").agg(F.regr_slope("y", "x").alias("k"), F.regr_intercept("y", "x").alias("a"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.count("*").alias("n"))
-    top = fitted.where("r2 is not null").agg(F.max_by(F.struct("best", "k", "a", "r2", "n"), F.struct("r2", -F.abs("best"))).alias("t"))
-    return top.select("t.best", F.exp("t.a").alias("fastest"), (-F.col("t.k")).alias("decay"), "t.r2", "t.n")
+    fitted = tried.groupBy("best").agg(F.regr_slope("y", "x").alias("k"), F.regr_intercept("y", "x").alias("a"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.avg("x").alias("mx"), F.count("*").alias("n"))
+    variance = F.try_divide(F.col("syy") * (1.0 - F.col("r2")), F.col("n") - 2)
+    fitted = fitted.withColumns({"k_se": F.sqrt(F.try_divide(variance, F.col("sxx"))), "a_se": F.sqrt(variance * (1.0 / F.col("n") + F.try_divide(F.col("mx") ** 2, F.col("sxx"))))})
+    top = fitted.where("r2 is not null").agg(F.max_by(F.struct("best", "k", "a", "r2", "n", "k_se", "a_se"), F.struct("r2", -F.abs("best"))).alias("t"))
+    return top.select("t.best", F.exp("t.a").alias("fastest"), (-F.col("t.k")).alias("decay"), "t.r2", "t.n", (F.exp("t.a") * F.col("t.a_se")).alias("fastest_se"), F.col("t.k_se").alias("decay_se"))
+
+
+def fit_with_factor(windows: DataFrame, optima: list[float], factor: str) -> DataFrame:
+    """``best, fastest, decay, effect, r2, n``: the curve with a further linear term of the logarithm of speed.
+
+    Least squares in two variables from sums alone, for every best gradient of the grid in one pass.
+    """
+    tried = windows.where(F.col("speed_kmh") > 0).where(F.col(factor).isNotNull() & F.col("gradient").isNotNull())
+    tried = tried.select(F.explode(F.array(*map(F.lit, optima))).alias("best"), F.ln("speed_kmh").alias("y"), F.col("gradient"), F.col(factor).cast("double").alias("f")).withColumn("x", F.abs(F.col("gradient") + F.col("best")))
+    pairs = {"xx": ("x", "x"), "ff": ("f", "f"), "xf": ("x", "f"), "xy": ("x", "y"), "fy": ("f", "y"), "yy": ("y", "y")}
+    sums = tried.groupBy("best").agg(F.count("*").alias("n"), *(F.avg(v).alias(f"m{v}") for v in "xfy"), *(F.covar_pop(a, b).alias(n) for n, (a, b) in pairs.items()))
+    det = F.col("xx") * F.col("ff") - F.col("xf") ** 2
+    solved = sums.withColumns({"k": F.try_divide(F.col("xy") * F.col("ff") - F.col("fy") * F.col("xf"), det), "e": F.try_divide(F.col("fy") * F.col("xx") - F.col("xy") * F.col("xf"), det)})
+    solved = solved.withColumns({"a": F.col("my") - F.col("k") * F.col("mx") - F.col("e") * F.col("mf"), "r2": F.try_divide(F.col("k") * F.col("xy") + F.col("e") * F.col("fy"), F.col("yy"))})
+    top = solved.where("r2 is not null").agg(F.max_by(F.struct("best", "k", "a", "e", "r2", "n"), F.struct("r2", -F.abs("best"))).alias("t"))
+    return top.select("t.best", F.exp("t.a").alias("fastest"), (-F.col("t.k")).alias("decay"), F.col("t.e").alias("effect"), "t.r2", "t.n")
 
 
 def leave_one_out(results: DataFrame) -> DataFrame:

@@ -174,3 +174,18 @@ def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width
     by_bin = Window.partitionBy(F.lit(0)).orderBy("bin")
     starts = F.when(~F.col("covered") & F.coalesce(F.lag("covered").over(by_bin), F.lit(True)), 1).otherwise(0)
     return covered.withColumn("__s", starts).withColumn("gap", F.when(~F.col("covered"), F.sum("__s").over(by_bin))).drop("__s")
+
+
+def describe_representativeness(found: DataFrame, name: str, unit: str = "") -> DataFrame:
+    """``variable, covered, bins, missing, text, warn``: a sentence on the rows of ``representativeness``.
+
+    ``missing`` are the runs of bins that the zones leave out; it is a warning if there are any.
+    """
+    runs = found.where("gap is not null").groupBy("gap").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    missing = runs.agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("missing"))
+    counts = found.agg(F.count("*").alias("bins"), F.coalesce(F.sum(F.col("covered").cast("int")), F.lit(0)).alias("covered"))
+    number = lambda v: F.regexp_replace(F.format_number(v, 2), ",", "")
+    gaps = F.array_join(F.transform("missing", lambda m: F.concat(number(m["low"]), F.lit(" to "), number(m["high"]))), ", ")
+    text = F.concat(F.lit(f"{name}: zones cover "), F.col("covered"), F.lit(" of "), F.col("bins"), F.lit(" bins"), F.when(F.size("missing") > 0, F.concat(F.lit("; missing "), gaps, F.lit(f" {unit}".rstrip()))).otherwise(""))
+    both = counts.join(F.broadcast(missing))  # one row each
+    return both.select(F.lit(name).alias("variable"), "covered", "bins", "missing", text.alias("text"), (F.size("missing") > 0).alias("warn"))

@@ -192,6 +192,21 @@ def walking_speed_fit(spark, sf_dir):
     return fit.select("best", F.round("fastest", 4).alias("fastest"), F.round("decay", 4).alias("decay"), F.round("r2", 5).alias("r2"), "n")
 
 
+@query(f"""WITH {ORDERS_SQL}, g AS (SELECT (lead(z::DOUBLE) OVER (PARTITION BY r ORDER BY c) - z::DOUBLE) / 30 AS g, extra FROM cells),
+s AS (SELECT g, extra / 100000 AS f, ln(6 * exp(abs(g + 0.05::DOUBLE) * -3.5::DOUBLE) * (0.8::DOUBLE + extra / 1000000)) AS y FROM g WHERE g IS NOT NULL AND extra IS NOT NULL),
+t AS (SELECT o / 100.0::DOUBLE AS best, y, f, abs(g + o / 100.0::DOUBLE) AS x FROM s, range(0, 11) q(o)),
+c AS (SELECT best, count(*) AS n, avg(x) AS mx, avg(f) AS mf, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(f, f) AS ff, covar_pop(x, f) AS xf, covar_pop(x, y) AS xy, covar_pop(f, y) AS fy, covar_pop(y, y) AS yy FROM t GROUP BY best),
+k AS (SELECT *, (xy * ff - fy * xf) / (xx * ff - xf * xf) AS k, (fy * xx - xy * xf) / (xx * ff - xf * xf) AS e FROM c)
+SELECT best, round(exp(my - k * mx - e * mf), 4) AS fastest, round(-k, 4) AS decay, round(e, 4) AS effect, round((k * xy + e * fy) / yy, 5) AS r2, n FROM k ORDER BY (k * xy + e * fy) / yy DESC LIMIT 1""")
+def walking_speed_with_factor(spark, sf_dir):
+    cells, _ = relief(spark, sf_dir)
+    z = F.col("z").cast("double")
+    g = cells.select(((F.lead(z).over(along_row()) - z) / 30).alias("gradient"), "extra").where("gradient is not null")
+    windows = g.select("gradient", (F.col("extra") / 100_000).alias("factor"), (tobler_speed(F.col("gradient")) * (0.8 + F.col("extra") / 1_000_000)).alias("speed_kmh"))
+    fit = sequences.fit_with_factor(windows, OPTIMA, "factor")
+    return fit.select("best", *(F.round(c, 4).alias(c) for c in ("fastest", "decay", "effect")), F.round("r2", 5).alias("r2"), "n")
+
+
 @query("""WITH s AS (SELECT l_linenumber AS setting, l_suppkey % 7 AS "case", round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2),
 o AS (SELECT *, (sum(value) OVER w - value) / (count(*) OVER w - 1) AS others FROM s WINDOW w AS (PARTITION BY setting)),
 k AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY others DESC, setting DESC) AS n FROM o)

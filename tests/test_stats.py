@@ -29,3 +29,25 @@ def test_large_scenes_take_ranges(spark):
     marked = cells.withColumn("zone", F.col("a") > 2)
     few, many = (sorted(map(str, stats.representativeness(marked, "a", equal_width=False, most=m).collect())) for m in (stats.IN_ONE_TASK, 10))
     assert few == many
+
+
+def test_representativeness_in_words(spark):
+    rows = [(0, 0.0, 10.0, True, None), (1, 10.0, 20.0, False, 1), (2, 20.0, 30.0, False, 1), (3, 30.0, 40.0, True, None)]
+    found = spark.createDataFrame(rows, "bin int, low double, high double, covered boolean, gap long")
+    said = stats.describe_representativeness(found, "altitude", "m").first()
+    assert said.text == "altitude: zones cover 2 of 4 bins; missing 10.00 to 30.00 m" and said.warn
+    all_ = stats.describe_representativeness(found.where("covered"), "altitude").first()
+    assert all_.text == "altitude: zones cover 2 of 2 bins" and not all_.warn
+
+
+def test_standard_errors(spark):
+    from ridgeline.operators import sequences
+
+    rng = np.random.default_rng(6)
+    g = rng.uniform(-0.4, 0.4, 400)
+    y = np.log(5.0) - 3.0 * np.abs(g + 0.05) + rng.normal(0, 0.2, 400)
+    fit = sequences.fit_tobler(spark.createDataFrame([(float(a), float(b)) for a, b in zip(g, np.exp(y))], "gradient double, speed_kmh double"), [0.05]).first()
+    x = np.stack([np.ones(400), np.abs(g + 0.05)], axis=1)
+    beta, sse = np.linalg.lstsq(x, y, rcond=None)[:2]
+    cov = np.linalg.inv(x.T @ x) * sse[0] / 398
+    assert fit.decay == pytest.approx(-beta[1]) and fit.decay_se == pytest.approx(cov[1, 1] ** 0.5) and fit.fastest_se == pytest.approx(np.exp(beta[0]) * cov[0, 0] ** 0.5)
