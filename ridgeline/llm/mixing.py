@@ -105,7 +105,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, topic_of: Callable[[
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text", topic_of: Callable[[Column], Column] = topic) -> DataFrame:
     """Every input row as the struct ``row`` with its cell, tokens, ``weight``, ``probability``, ``residual`` and ``kept``."""
     described = _described(docs, id_col, text_col, topic_of)
-    cells = described.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    cells = materialize(described.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "document-cells")
     chosen = materialize(probabilities(rake(cells, targets, rounds, temperature)), "probabilities")
     # Cells are few; where they are not, only those of many documents are broadcast.
     joined = described.join(F.broadcast(chosen), list(DIMENSIONS)) if chosen.count() <= MOST_BROADCAST else join_counted(described, chosen, list(DIMENSIONS), "docs", "inner")
