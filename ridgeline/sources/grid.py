@@ -128,7 +128,10 @@ ANALYTIC = Grid(300, 300, 500_000.0, 30.0, 7_500_000.0, -30.0)
 
 
 def analytic_scene(spark: SparkSession) -> tuple[DataFrame, Grid]:
-    """A closed-form relief with two massifs, a river and an escarpment: ``r, c, z``."""
+    """A closed-form relief with two massifs, a river and an escarpment: ``r, c, z``.
+
+    Fixed values: all numbers below are those of the published example.
+    """
     x, y = F.col("c") * 30.0, F.col("r") * 30.0
     sq = lambda v: v * v
     bell = lambda height, mx, my, s: F.exp(-(sq(x - mx) + sq(y - my)) / (2.0 * s * s)) * height
