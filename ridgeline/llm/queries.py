@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, token_records, toxicity, warc
+from ridgeline.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, spelling, token_records, toxicity, warc
 from ridgeline.llm.tasks import small_batches
 
 QUERIES: dict = {}
@@ -94,3 +94,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
+ORACLES["op11_spelling_variants"] = spelling.ORACLE_SQL
