@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, spelling, token_counts, token_records, toxicity, warc
+from ridgeline.llm import ann, chat, collocations, decontaminate, langid, line_dedup, mixing, simhash, spelling, token_counts, token_records, toxicity, warc
 from ridgeline.llm.tasks import small_batches
 
 QUERIES: dict = {}
@@ -104,6 +104,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_spelling_variants"] = spelling.ORACLE_SQL
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE_SQL
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.cache_folder(spark))
