@@ -183,7 +183,7 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str
         k, (a, b) = pair
         found = materialize(Search(cells, grid, a, cost, z, size=size).paths([b]), "leg")
         if found.isEmpty():
-            raise ValueError(f"no way from {a} to {b}")
+            raise NoWay(f"no way from {a} to {b}")
         return found.where("seq > 0" if k else "true").select(F.lit(k).alias("leg"), "seq", "r", "c", "distance")
 
     with ThreadPoolExecutor(LEGS_AT_ONCE) as pool:
@@ -216,7 +216,7 @@ def best_order(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
     ends = [(total + costs[j, n - 1], (*way, n - 1)) for (_, j), (total, way) in best.items()] or [(costs[0, n - 1], (0, n - 1))]
     total, way = min(ends)
     if total == float("inf"):
-        raise ValueError("no order joins all points")
+        raise NoWay("no order joins all points")
     return list(way)
 
 
@@ -238,35 +238,89 @@ def corridor(cells: DataFrame, grid: Grid, legs: list[tuple[tuple[int, int], tup
     return reduce(DataFrame.unionByName, parts).groupBy("r", "c").agg(F.min("slack").alias("slack"))
 
 
-def joined(cells: DataFrame, grid: Grid, a: tuple[int, int], b: tuple[int, int], mask: str, connectivity: int = 4, size: int = TILE) -> bool:
-    """Whether two cells lie in one region of the mask."""
-    found = regions(cells, grid, mask, connectivity, size)
-    at = found.where((F.col("r") * grid.cols + F.col("c")).isin([p[0] * grid.cols + p[1] for p in (a, b)])).collect()  # two rows at most
-    return len(at) == (1 if a == b else 2) and len({row.region for row in at}) == 1
+class NoWay(ValueError):
+    """Points of a route that no way joins, with what would join them.
+
+    ``needed``: the least slope limit, in whole percent, that would do, or None; ``by_corner``: whether
+    the points only meet where cells touch at a corner.
+    """
+
+    def __init__(self, message: str, needed: int | None = None, by_corner: bool = False):
+        super().__init__(message)
+        self.needed, self.by_corner = needed, by_corner
+
+
+def _highest(static: dict, least: np.ndarray) -> np.ndarray:
+    """One tile's least highest value on the way from the source, over four neighbours."""
+    own = static["value"][1:-1, 1:-1]
+    least[np.isnan(least)] = np.inf
+
+    def sweep(rows: slice, cols: slice, window: np.ndarray) -> bool:
+        inner, here, changed = window[1:-1, 1:-1], own[rows, cols], False
+        shut = np.isnan(here)
+        while True:
+            new = np.minimum(inner, np.maximum(here, np.minimum.reduce([shifted(window, *o) for o in ((-1, 0), (0, -1), (0, 1), (1, 0))])))
+            new[shut] = np.inf
+            if np.array_equal(new, inner):
+                return changed
+            inner[...], changed = new, True
+
+    return settle(least, sweep)
 
 
-def only_by_corner(cells: DataFrame, grid: Grid, a: tuple[int, int], b: tuple[int, int], mask: str, size: int = TILE) -> bool:
-    """Whether the ways between two cells all pass a corner where four cells touch."""
-    return joined(cells, grid, a, b, mask, 8, size) and not joined(cells, grid, a, b, mask, 4, size)
+def least_limits(cells: DataFrame, grid: Grid, source: tuple[int, int], value: str = "slope", size: int = TILE) -> DataFrame:
+    """``r, c, limit``: the least limit on ``value`` under which a cell is joined to the source.
+
+    That is the smallest, over all ways, of the greatest value on the way, both ends included: one fixpoint in
+    place of labelling once for each limit.  A way takes four neighbours, since a diagonal step needs both
+    cells beside it.  Cells without a value are closed; what nothing joins has NULL.
+    """
+    start = F.when((F.col("r") == source[0]) & (F.col("c") == source[1]), F.col(value).cast("double")).otherwise(float("inf"))
+    rows = cells.select("r", "c", F.col(value).cast("double").alias("value"), start.alias("state"))
+    tiles = tile_fixpoint(to_tiles(rows, grid, ["value", "state"], size), grid, ["value"], _highest, size)
+    found = to_cells(tiles, grid, ["state"], None, ["state"], size)
+    return found.select("r", "c", F.when(F.col("state") < float("inf"), F.col("state")).alias("limit"))
+
+
+def _at(cells: DataFrame, grid: Grid, points: list[tuple[int, int]]) -> DataFrame:
+    """The rows of the points, as many at most."""
+    return cells.where((F.col("r") * grid.cols + F.col("c")).isin([r * grid.cols + c for r, c in points]))
+
+
+def joined(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], mask: str, connectivity: int = 4, size: int = TILE) -> bool:
+    """Whether cells lie in one region of the mask."""
+    at = _at(regions(cells, grid, mask, connectivity, size), grid, points).collect()
+    return len(at) == len(set(points)) and len({row.region for row in at}) == 1
+
+
+def only_by_corner(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], mask: str, size: int = TILE) -> bool:
+    """Whether some of the ways between cells all pass a corner where four cells touch."""
+    return joined(cells, grid, points, mask, 8, size) and not joined(cells, grid, points, mask, 4, size)
+
+
+def connecting_slope(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], slope: str = "slope", least: float = 0.0, size: int = TILE) -> int | None:
+    """Least slope limit, in whole percent and not under ``least``, that joins all points; None if none does.
+
+    Cells that are closed for other reasons have a NULL slope.
+    """
+    found = {(row.r, row.c): row.limit for row in _at(least_limits(cells, grid, points[0], slope, size), grid, points).collect()}
+    limits = [found.get(tuple(p)) for p in points]
+    return None if None in limits else int(np.ceil(max(*limits, least)))
 
 
-def connecting_slope(cells: DataFrame, grid: Grid, a: tuple[int, int], b: tuple[int, int], slope: str = "slope", rounds: int = 20, size: int = TILE) -> int | None:
-    """Least slope limit, in whole percent, that joins two cells; found by bisection."""
+def explain_no_way(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], slope_max: float, cost: str = "cost", slope: str = "slope", size: int = TILE) -> NoWay:
+    """The error for points that no way joins.  ``slope`` is NULL where more than the slope closes a cell."""
     top = cells.agg(F.max(slope)).first()[0]
-    rows = materialize(cells.select("r", "c", F.col(slope).alias("slope")), "slopes")
-
-    def joins(limit: float) -> bool:
-        return joined(rows.withColumn("open", F.col("slope") <= limit), grid, a, b, "open", 4, size)
-
-    if top is None or not joins(top):
-        return None
-    low, high = 0.0, float(top)
-    for _ in range(rounds):
-        if np.ceil(low) >= np.ceil(high) and low > 0:
-            break
-        middle = (low + high) / 2
-        low, high = (low, middle) if joins(middle) else (middle, high)
-    return int(np.ceil(high))
+    # With no slope above the limit, the limit is not what parts the points.
+    needed = connecting_slope(cells, grid, points, slope, slope_max, size) if top is not None and top > slope_max else None
+    by_corner = only_by_corner(cells.withColumn("__open", F.col(cost).isNotNull()), grid, points, "__open", size)
+    if needed is not None:
+        hint = f"a slope limit of {needed} % would join them; it is {slope_max:g} % now, on cells of {grid.cell_area**0.5:g} m"
+    elif by_corner:
+        hint = "their ways only meet where cells touch at a corner, which has no width to walk through"
+    else:
+        hint = "no slope limit joins them: barriers, water or cells without data lie between"
+    return NoWay(f"no way between the points: {hint}", needed, by_corner)
 
 
 def path_metrics(path: DataFrame, grid: Grid, by: list[str], z: str = "z") -> DataFrame:

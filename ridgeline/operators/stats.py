@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ridgeline.session import materialize
 
 PERCENTS = (5, 25, 50, 75, 95)
-IN_ONE_TASK = 20_000_000  # values that one aggregation may hold
+STEPS_A_DOUBLING = 64  # coarse buckets between a value and twice that
+FINE_BUCKETS = 4096  # of a coarse bucket
 
 
 def percentile(v: Column, p: float) -> Column:
@@ -16,71 +17,85 @@ def percentile(v: Column, p: float) -> Column:
     return F.percentile(v.cast("double"), F.lit(p / 100.0))
 
 
-def order_statistics(rows: DataFrame, key: str, value: str, percents: list[float]) -> DataFrame:
-    """``key, percent, value``: exact percentiles of each key, however many values there are.
+def _coarse(v: Column) -> Column:
+    """A bucket that never falls as the value grows: by the logarithm of its size, with NaN last."""
+    step = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * STEPS_A_DOUBLING) + 1100 * STEPS_A_DOUBLING
+    return F.when(F.isnan(v), 1 << 20).when(v == 0, 0).when(v > 0, step).otherwise(-step)
+
+
+def _fine(v: Column, lo: Column, hi: Column) -> Column:
+    return F.when(hi > lo, F.floor((v - lo) / (hi - lo) * FINE_BUCKETS)).otherwise(0)
 
-    Values are counted, and the counts are dealt out by ranges of key and value.  Totals of the
-    ranges are added up first, so that running counts need no other range, and only the ranks
-    that are asked for are kept: no task holds more than a range.
+
+def _holding(counts: DataFrame, inside: list[str], by: str, asked: DataFrame) -> DataFrame:
+    """Those of ``counts`` that hold an asked rank, with ``percent, rank`` and ``below``, the number of values before them.
+
+    ``counts`` has ``n`` for each ``inside, by``; ``asked`` has ``inside, percent, rank, below``.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    placed = materialize(counts.repartitionByRange("k", "v").withColumn("range", F.spark_partition_id()), "ranges")
-    totals = placed.groupBy("k", "range").agg(F.sum("n").alias("t"))
-    by_range = Window.partitionBy("k").orderBy("range")  # a row for each range
-    bases = totals.select("k", "range", (F.sum("t").over(by_range) - F.col("t")).alias("base"), F.sum("t").over(Window.partitionBy("k")).alias("all"))
-    within = Window.partitionBy("k", "range").orderBy("v")
-    running = placed.join(bases, ["k", "range"]).withColumn("to", F.col("base") + F.sum("n").over(within)).withColumn("from", F.col("to") - F.col("n"))
-    # Rank p (n - 1) lies between two order statistics.
-    asked = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("percent"), (F.col("all") - 1).cast("double").alias("top")) for p in percents)))
-    ranks = running.select("k", "v", "from", "to", asked.alias("a")).withColumn("rank", F.col("a.percent") / 100.0 * F.col("a.top"))
-    low, high = ((F.col("from") <= f("rank")) & (f("rank") < F.col("to")) for f in (F.floor, F.ceil))
-    found = ranks.where(low | high).groupBy("k", F.col("a.percent").alias("percent")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"))
-    between = F.col("rank") - F.floor("rank")
-    return found.select(F.col("k").alias(key), "percent", (F.col("lo") + (F.col("hi") - F.col("lo")) * between).alias(value))
+    to = F.sum("n").over(Window.partitionBy(*inside).orderBy(by))
+    placed = counts.withColumn("before", to - F.col("n")).join(asked, inside).withColumn("below", F.col("below") + F.col("before"))
+    low, high = ((F.col("below") <= f("rank")) & (f("rank") < F.col("below") + F.col("n")) for f in (F.floor, F.ceil))
+    return placed.where(low | high).drop("before", "n")
 
 
-def percentiles(cells: DataFrame, wanted: dict[str, tuple[Column, float]], most: int = IN_ONE_TASK) -> DataFrame:
-    """One row with each wanted percentile.
+def order_statistics(rows: DataFrame, key: str, value: str, percents: list[float]) -> DataFrame:
+    """``key, percent, value``: exact, interpolated percentiles of each key, at any number of values.
 
-    Up to ``most`` cells one aggregation holds the values of a raster; above, ranges do.
+    Three passes over ``rows``, which should be a written table, move counts only.  The first counts
+    coarse buckets, of which a key has a fixed number at most; the second counts fine buckets of the coarse
+    ones that hold an asked rank, the third the values of such fine ones.  Null keys and values are left out.
     """
-    if cells.count() <= most:
-        return cells.agg(*(percentile(v, p).alias(n) for n, (v, p) in wanted.items()))
+    rows = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null").withColumn("b", _coarse(F.col("v")))
+    extent = (F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    coarse = rows.groupBy("k", "b").agg(*extent)
+    wanted = F.explode(F.array(*(F.lit(float(p)) for p in percents)))
+    coarse = coarse.withColumn("all", F.sum("n").over(Window.partitionBy("k")))
+    to = F.sum("n").over(Window.partitionBy("k").orderBy("b"))
+    ranked = coarse.withColumn("below", to - F.col("n")).withColumn("percent", wanted).withColumn("rank", F.col("percent") / 100.0 * (F.col("all") - 1).cast("double"))
+    low, high = ((F.col("below") <= f("rank")) & (f("rank") < F.col("below") + F.col("n")) for f in (F.floor, F.ceil))
+    first = materialize(ranked.where(low | high).select("k", "b", "lo", "hi", "percent", "rank", "below"), "coarse-buckets")
+    within = rows.join(first.select("k", "b", "lo", "hi").distinct(), ["k", "b"]).select("k", "b", "v", _fine(F.col("v"), F.col("lo"), F.col("hi")).alias("f"))
+    fine = within.groupBy("k", "b", "f").agg(F.count("*").alias("n"))
+    second = materialize(_holding(fine, ["k", "b"], "f", first.drop("lo", "hi")), "fine-buckets")
+    values = within.join(second.select("k", "b", "f").distinct(), ["k", "b", "f"]).groupBy("k", "b", "f", "v").agg(F.count("*").alias("n"))
+    # A rank between two values has one of them before it and one after it.
+    found = _holding(values, ["k", "b", "f"], "v", second).groupBy("k", "percent").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"))
+    between = F.col("rank") - F.floor("rank")
+    return found.select(F.col("k").alias(key), "percent", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * between).alias(value))
+
+
+def percentiles(cells: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row with each wanted percentile; ``cells`` should be a written table."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in wanted.items())))
     found = order_statistics(cells.select(each.alias("e")).select("e.*"), "name", "v", sorted({p for _, p in wanted.values()}))
     pick = lambda n, p: F.max(F.when((F.col("name") == n) & (F.col("percent") == float(p)), F.col("v"))).alias(n)
     return found.agg(*(pick(n, p) for n, (_, p) in wanted.items()))
 
 
-def keyed_percentiles(rows: DataFrame, key: str, value: str, percents: list[float], most: int = IN_ONE_TASK) -> DataFrame:
-    """``key`` and ``p5, p25, ...``: percentiles of each key; ranges take over above ``most`` rows."""
-    if rows.count() <= most:
-        return rows.groupBy(key).agg(*(percentile(F.col(value), p).alias(f"p{p:g}") for p in percents))
+def keyed_percentiles(rows: DataFrame, key: str, value: str, percents: list[float]) -> DataFrame:
+    """``key`` and ``p5, p25, ...``: percentiles of each key; ``rows`` should be a written table."""
     found = order_statistics(rows, key, value, percents)
     return found.groupBy(key).agg(*(F.max(F.when(F.col("percent") == float(p), F.col(value))).alias(f"p{p:g}") for p in percents))
 
 
-def diagnostics(cells: DataFrame, names: list[str], most: int = IN_ONE_TASK) -> DataFrame:
+def diagnostics(cells: DataFrame, names: list[str]) -> DataFrame:
     """One row for each raster: counts, range, mean, population deviation and percentiles."""
     long = cells.select(F.explode(F.array(*(F.struct(F.lit(n).alias("raster"), F.col(n).cast("double").alias("v")) for n in names))).alias("e")).select("e.*")
     plain = long.groupBy("raster").agg(
         F.count("*").alias("total"), F.count("v").alias("valid"), (F.count("*") - F.count("v")).alias("nodata"),
         F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"),
     )
-    return plain.join(keyed_percentiles(long, "raster", "v", PERCENTS, most), "raster", "left")
-
+    return plain.join(keyed_percentiles(long, "raster", "v", PERCENTS), "raster", "left")
 
-def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score", most: int = IN_ONE_TASK) -> DataFrame:
-    """``band, low, high, n, threshold``: the percentile of the score in each altitude band with enough cells.
 
-    ``most``: with more cells than this, ranges of scores take the place of one task for each band.
-    """
+def band_thresholds(cells: DataFrame, percent: float, size: float = 200.0, least_cells: int = 50, z: str = "z", score: str = "score") -> DataFrame:
+    """``band, low, high, n, threshold``: the percentile of the score in each altitude band with enough cells."""
     size = max(50.0, size)
     band = F.floor(F.col(z).cast("double") / size)
     rows = cells.where(F.col(score).isNotNull() & F.col(z).isNotNull()).select(band.alias("band"), F.col(score).alias("threshold"))
     name = f"p{percent:g}"
     counts = rows.groupBy("band").agg(F.count("*").alias("n"))
-    found = counts.join(keyed_percentiles(rows, "band", "threshold", [percent], most).withColumnRenamed(name, "threshold"), "band")
+    found = counts.join(keyed_percentiles(rows, "band", "threshold", [percent]).withColumnRenamed(name, "threshold"), "band")
     return found.where(F.col("n") >= least_cells).select("band", (F.col("band") * size).alias("low"), ((F.col("band") + 1) * size).alias("high"), "n", "threshold")
 
 
@@ -111,12 +126,12 @@ def walkable_fraction(name: str = "class", up_to: int = 2) -> Column:
     return F.avg(F.when(F.col(name) > 0, F.when(F.col(name) <= up_to, 1.0).otherwise(0.0)))
 
 
-def discrimination(cells: DataFrame, score: str = "score", saturated: float = 0.999, most: int = IN_ONE_TASK) -> DataFrame:
+def discrimination(cells: DataFrame, score: str = "score", saturated: float = 0.999) -> DataFrame:
     """How well a score tells cells apart: share at the top, spread, suggested thresholds, and a warning."""
     v = F.col(score).cast("double")
     rows = cells.where(v.isNotNull())
     plain = rows.agg(F.count("*").alias("n"), F.avg(F.when(v >= saturated, 1.0).otherwise(0.0)).alias("saturated"))
-    wide = percentiles(rows, {f"p{p}": (v, p) for p in (5, 50, 90, 95, 99)}, most)
+    wide = percentiles(rows, {f"p{p}": (v, p) for p in (5, 50, 90, 95, 99)})
     found = plain.join(F.broadcast(wide)).withColumn("amplitude", F.col("p95") - F.col("p5"))  # one row each
     return found.select("n", "saturated", "amplitude", "p50", "p90", "p99", ((F.col("saturated") >= 0.40) | (F.col("amplitude") < 0.05)).alias("weak"))
 
@@ -154,7 +169,7 @@ def ks_distance(cells: DataFrame, value: str, zone: str = "zone", bins: int = 10
     return running.agg(F.max(F.abs("gap")).alias("ks"))
 
 
-def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width: bool = True, least_share: float = 0.2, least_area: float = 0.005, zone: str = "zone", most: int = IN_ONE_TASK) -> DataFrame:
+def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width: bool = True, least_share: float = 0.2, least_area: float = 0.005, zone: str = "zone") -> DataFrame:
     """``bin, low, high, area_share, zone_share, covered, gap``: how the zones cover the range of a variable.
 
     Bins are of equal width, or deciles.  A bin with a fair share of the area is covered if its
@@ -165,7 +180,7 @@ def representativeness(cells: DataFrame, value: str, bins: int = 10, equal_width
         edges = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(bins)).alias("edges"))
     else:
         names = {f"e{i}": (F.col("v"), 100.0 * i / bins) for i in range(bins + 1)}
-        edges = percentiles(rows, names, most).select(F.array(*names).alias("edges"))
+        edges = percentiles(rows, names).select(F.array(*names).alias("edges"))
     inside = F.size(F.filter(F.slice("edges", 2, bins - 1), lambda e: F.col("v") >= e))
     placed = rows.join(F.broadcast(edges)).groupBy(inside.alias("bin")).agg(F.first("edges").alias("edges"), F.count("*").alias("n"), F.sum(F.when(F.col("z"), 1).otherwise(0)).alias("nz"))
     all_ = Window.partitionBy(F.lit(0))

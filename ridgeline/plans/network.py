@@ -308,6 +308,21 @@ def alternatives_corridor(spark, sf_dir):
     return routing.corridor(_open(cells, grid), grid, [_ends(grid)], 0.05).select("r", "c", F.round("slack", 6).alias("slack"))
 
 
+@query(f"""WITH RECURSIVE {SLOPE}, {OFFSET_SQL},
+s AS MATERIALIZED (SELECT r * w + c AS id, r, c, CASE WHEN r * w + c = {_START} THEN coalesce(CASE WHEN NOT blocked THEN slope END, 0) WHEN NOT blocked THEN slope END::DOUBLE AS slope FROM t1),
+nb AS MATERIALIZED (SELECT a.id, b.id AS nid, b.slope FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc WHERE (dr = 0 OR dc = 0) AND a.slope IS NOT NULL AND b.slope IS NOT NULL),
+m(id, lim) USING KEY (id) AS (SELECT id, slope FROM s, dims WHERE id = {_START} UNION
+  SELECT nid, min(new) FROM (SELECT nb.nid, greatest(m.lim, nb.slope) AS new FROM m JOIN nb ON nb.id = m.id) LEFT JOIN recurring.m AS old ON old.id = nid WHERE new < coalesce(old.lim, 'inf'::DOUBLE) GROUP BY nid)
+SELECT s.r, s.c, round(lim, 4) AS "limit" FROM s LEFT JOIN m ON m.id = s.id""")
+def connecting_slopes(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    start = _ends(grid)[0]
+    at_start = (F.col("r") == start[0]) & (F.col("c") == start[1])
+    slope = F.when(~F.col("blocked"), F.col("slope"))
+    sloped = terrain.slope(cells, grid).select("r", "c", F.when(at_start, F.coalesce(slope, F.lit(0.0))).otherwise(slope).alias("slope"))
+    return routing.least_limits(sloped, grid, start).select("r", "c", F.round("limit", 4).alias("limit"))
+
+
 @query(f"""WITH RECURSIVE {TRACKS}, x AS MATERIALIZED (SELECT track, row_number() OVER (PARTITION BY track ORDER BY seq) AS k, x, y, y / 10 AS ele, seq * 100.0::DOUBLE AS t FROM tr),
 s(track, k, win, sx, sele, st, px, py, pt, dist, paused, done, wdist, wdt, wrise, wpaused) AS (
   SELECT track, k, 0, x, ele, t, x, y, t, 0.0::DOUBLE, FALSE, FALSE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, FALSE FROM x WHERE k = 1 UNION ALL

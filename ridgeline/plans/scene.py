@@ -84,7 +84,10 @@ def zones(cells: DataFrame, grid: Grid, o: SceneOptions = SceneOptions()) -> Dat
 
 
 def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: SceneOptions = SceneOptions()) -> dict[str, DataFrame]:
-    """The route through points (coordinates of the grid): its cells, attributes, stream events and alternatives."""
+    """The route through points (coordinates of the grid): its cells, attributes, stream events and alternatives.
+
+    Raises ``routing.NoWay``, with the slope limit that would join them, if the points are not joined.
+    """
     spark = cells.sparkSession
     asked = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "ord long, x double, y double")
     r, c = grid.to_cell(F.col("x"), F.col("y"))
@@ -96,9 +99,14 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
     window = [(min(p[k] for p in ends) - margin, max(p[k] for p in ends) + margin) for k in (0, 1)]
     crop = materialize(cells.where(F.col("r").between(*window[0]) & F.col("c").between(*window[1])), "crop")
     timed = "z" if o.cost_model == "tobler" else None
-    order = routing.waypoint_order(crop, grid, ends, z=timed) if o.optimise_order and len(ends) > 3 else range(len(ends))
-    stops = [ends[i] for i in order]
-    found = materialize(routing.route(crop, grid, stops, z=timed), "route")
+    open_ = F.col("valid") & F.col("slope").isNotNull() & ~F.col("barrier") & (F.col("water").isNull() if o.streams else F.lit(True))
+    try:
+        order = routing.waypoint_order(crop, grid, ends, z=timed) if o.optimise_order and len(ends) > 3 else range(len(ends))
+        stops = [ends[i] for i in order]
+        found = materialize(routing.route(crop, grid, stops, z=timed), "route")
+    except routing.NoWay:
+        closed = crop.withColumn("slope", F.when(open_, F.col("slope")))
+        raise routing.explain_no_way(closed, grid, ends, o.score.slope_max) from None
     path = found.join(crop.drop("distance"), ["r", "c"])
     line_order = found.select("leg", "seq", "r", "c").withColumn("k", F.col("leg") * (1 << 32) + F.col("seq"))
     whole = path.withColumn("all", F.lit(0)).withColumn("seq", F.col("leg") * (1 << 32) + F.col("seq"))
@@ -106,7 +114,6 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
     cost = found.groupBy("leg").agg(F.max("distance").alias("d")).agg(F.sum("d").alias("cost"))
     attributes = metrics.join(F.broadcast(cost)).withColumns({"field_hours": F.col("hours") * (fn.BEST_SPEED / o.field_speed_kmh), "time_text": fn.hours_text(F.col("hours"))}).drop("all")
     out = {"path": found, "attributes": attributes, "ends": snapped}
-    open_ = F.col("valid") & F.col("slope").isNotNull() & ~F.col("barrier") & (F.col("water").isNull() if o.streams else F.lit(True))
     free_cost = fn.route_cost(F.col("raw_score").cast("double"), o.cost_model, o.contrast, F.col("penalty")).cast("float")
     if crop.where(open_ & ~F.col("passable")).limit(1).count():
         unlimited = materialize(crop.withColumn("cost", F.when(open_, free_cost)), "unlimited")
@@ -142,7 +149,12 @@ def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, flo
     if o.streams:
         layers["drainage"] = hydrology.metrics(made, grid)
     if points:
-        found = route(made, grid, points, o)
+        try:
+            found = route(made, grid, points, o)
+        except routing.NoWay as no_way:
+            log.append(("no_way", {"needed_slope": no_way.needed, "only_by_corner": no_way.by_corner}))
+            rasters.log_events(spark, log, f"{folder}/log", first=True)
+            raise
         layers |= {"route" if k == "path" else f"route_{k}": v for k, v in found.items()}
     out = {}
     for name, frame in layers.items():

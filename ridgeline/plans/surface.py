@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import cellwise as fn
 from ridgeline.operators import classes, score, stats, terrain
 from ridgeline.operators.stencil import OFFSETS, along_row, sql_gradient
+from ridgeline.session import materialize
 from ridgeline.sources.grid import ORDERS_SQL, Grid, scene_from_orders
 
 QUERIES: dict = {}
@@ -50,8 +51,9 @@ def relief(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
+    """The relief with its derivatives, written once: what follows reads it several times."""
     cells, grid = relief(spark, sf_dir)
-    return terrain.derive(cells, grid), grid
+    return materialize(terrain.derive(cells, grid), "derived"), grid
 
 
 CLASS_SQL = "CASE WHEN slope IS NULL THEN 0 ELSE 1 + (slope >= 20)::INT + (slope >= 35)::INT + (slope >= 60)::INT + (slope >= 100)::INT END"
@@ -199,12 +201,12 @@ zones AS MATERIALIZED (SELECT s3.*, coalesce(score >= CAST(threshold AS FLOAT),
 
 @query(f"WITH {BANDS} SELECT band, band * 100.0::DOUBLE AS low, (band + 1) * 100.0::DOUBLE AS high, n, round(threshold, 5) AS threshold FROM bands")
 def band_thresholds(spark, sf_dir):
-    found = stats.band_thresholds(scored(spark, sf_dir), 75.0, 100.0)
+    found = stats.band_thresholds(materialize(scored(spark, sf_dir), "scored"), 75.0, 100.0)
     return found.select("band", "low", "high", "n", F.round("threshold", 5).alias("threshold"))
 
 
 def zoned(spark, sf_dir):
-    return stats.select_zones(scored(spark, sf_dir), 75.0, 100.0)
+    return stats.select_zones(materialize(scored(spark, sf_dir), "scored"), 75.0, 100.0)
 
 
 @query(f"WITH {BANDS} SELECT CAST(floor(z::DOUBLE / 100.0::DOUBLE) AS BIGINT) AS band, count(*) AS cells, sum(zone::INT)::BIGINT AS in_zone FROM zones GROUP BY 1")
@@ -215,16 +217,17 @@ def zones_by_band(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT sum((score >= CAST(t AS FLOAT))::INT)::BIGINT AS cells, round(any_value(t), 5) AS threshold FROM s3, (SELECT quantile_cont(score::DOUBLE, 0.75) AS t FROM s3)")
 def scene_threshold(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = materialize(scored(spark, sf_dir), "scored")
     zones = stats.select_zones(s, 75.0, None).agg(F.sum(F.col("zone").cast("int")).alias("cells"))
-    return zones.join(F.broadcast(s.agg(F.round(stats.percentile(F.col("score"), 75), 5).alias("threshold"))))
+    limit = stats.percentiles(s, {"threshold": (F.col("score"), 75)})
+    return zones.join(F.broadcast(limit.select(F.round("threshold", 5).alias("threshold"))))  # one row each
 
 
 @query(f"""WITH {SCORED}, d AS (SELECT count(*) AS n, avg((score >= 0.999::DOUBLE)::INT::DOUBLE) AS saturated, quantile_cont(score::DOUBLE, 0.95) - quantile_cont(score::DOUBLE, 0.05) AS amplitude,
   quantile_cont(score::DOUBLE, 0.5) AS p50, quantile_cont(score::DOUBLE, 0.9) AS p90, quantile_cont(score::DOUBLE, 0.99) AS p99 FROM s3 WHERE score IS NOT NULL)
 SELECT n, round(saturated, 6) AS saturated, round(amplitude, 4) AS amplitude, round(p50, 4) AS p50, round(p90, 4) AS p90, round(p99, 4) AS p99, saturated >= 0.4 OR amplitude < 0.05 AS weak FROM d""")
 def discrimination(spark, sf_dir):
-    found = stats.discrimination(scored(spark, sf_dir))
+    found = stats.discrimination(materialize(scored(spark, sf_dir), "scored"))
     return found.select("n", F.round("saturated", 6).alias("saturated"), *(F.round(c, 4).alias(c) for c in ("amplitude", "p50", "p90", "p99")), "weak")
 
 

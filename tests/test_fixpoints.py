@@ -221,10 +221,10 @@ def test_connectivity(spark):
     s = np.full((8, 10), 10.0)
     s[:, 5] = 70.0
     g, cells = Grid(8, 10), frame(spark, slope=s)
-    assert routing.connecting_slope(cells, g, (0, 0), (0, 9), size=16) == 70
+    assert routing.connecting_slope(cells, g, [(0, 0), (0, 9)], size=16) == 70
     m = np.zeros((6, 6), bool)
     m[:3, :3] = m[3:, 3:] = True
-    assert routing.only_by_corner(frame(spark, m=m), Grid(6, 6), (0, 0), (5, 5), "m", size=16)
+    assert routing.only_by_corner(frame(spark, m=m), Grid(6, 6), [(0, 0), (5, 5)], "m", size=16)
 
 
 def test_distance_and_nearest_against_all_pairs(spark):

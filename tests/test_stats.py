@@ -17,18 +17,37 @@ def test_order_statistics_are_exact(spark):
     assert len(got) == 18
 
 
-def test_large_scenes_take_ranges(spark):
+def test_order_statistics_of_odd_values(spark):
+    rng = np.random.default_rng(1)
+    values = {
+        "wide": [float(s * 2.0**e) for e in range(-1074, 1024, 13) for s in (-1, 1)],
+        "narrow": [float(1 + k * 2.0**-52) for k in range(300)],
+        "zeros": [0.0] * 90 + [-0.0, 5e-324, -5e-324],
+        "floats": [float(x) for x in rng.normal(1000, 1e-3, 5000).astype("float32")],
+        "infinite": [float("-inf"), -1.0, 2.0, 3.0, float("inf"), float("inf")],
+        "one": [4.25],
+    }
+    frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [(None, 1.0), ("one", None)], "k string, v double").repartition(5)
+    percents = [0, 1, 25, 50, 62.5, 99.9, 100]
+    got = {(r.k, r.percent): r.v for r in stats.order_statistics(frame, "k", "v", percents).collect()}
+    assert len(got) == len(values) * len(percents)
+    for k, vs in values.items():
+        for p in percents:
+            rank = p / 100 * (len(vs) - 1)
+            lo, hi = sorted(vs)[int(np.floor(rank))], sorted(vs)[int(np.ceil(rank))]
+            want = lo if lo == hi else lo + (hi - lo) * float(rank - np.floor(rank))
+            assert got[k, p] == want or np.isnan(got[k, p]) and np.isnan(want), (k, p)
+
+
+def test_percentiles_have_one_way_at_every_size(spark):
     cells = spark.range(1000).select((F.col("id") % 37 / 7).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("b"), F.lit(150.0).alias("z"))
     wanted = {"x": (F.col("a"), 90), "y": (F.col("b"), 5)}
-    assert stats.percentiles(cells, wanted, most=10).first().asDict() == pytest.approx(stats.percentiles(cells, wanted).first().asDict())
-    few, many = (stats.band_thresholds(cells, 75.0, 100.0, 10, score="a", most=m).first().asDict() for m in (stats.IN_ONE_TASK, 10))
-    assert few == pytest.approx(many)
-    for f, args in ((stats.diagnostics, (["a", "b", "z"],)), (stats.discrimination, ("a",))):
-        few, many = (sorted(map(str, f(cells, *args, most=m).select("*").collect())) for m in (stats.IN_ONE_TASK, 10))
-        assert few == many
-    marked = cells.withColumn("zone", F.col("a") > 2)
-    few, many = (sorted(map(str, stats.representativeness(marked, "a", equal_width=False, most=m).collect())) for m in (stats.IN_ONE_TASK, 10))
-    assert few == many
+    plain = cells.agg(*(stats.percentile(v, p).alias(n) for n, (v, p) in wanted.items())).first().asDict()
+    assert stats.percentiles(cells, wanted).first().asDict() == pytest.approx(plain)
+    band = stats.band_thresholds(cells, 75.0, 100.0, 10, score="a").first()
+    assert (band.band, band.n) == (1, 1000) and band.threshold == pytest.approx(np.percentile([i % 37 / 7 for i in range(1000)], 75))
+    assert stats.percentiles(cells.where("false"), wanted).first().asDict() == {"x": None, "y": None}
+    assert {r.raster: r.p50 for r in stats.diagnostics(cells, ["a", "z"]).collect()} == pytest.approx({"a": np.percentile([i % 37 / 7 for i in range(1000)], 50), "z": 150.0})
 
 
 def test_representativeness_in_words(spark):
