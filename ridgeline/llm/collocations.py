@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ SCALE = 2_000_000
 INSIDE_PERCENT = 80  # of a phrase's occurrences lie in a longer one: it is part of that
 BEST = 2_000  # of a language
 BITS_A_PHRASE, MOST_BITS = 32, 1 << 28
-PASS_WORDS = 1 << 21
+PASS_WORDS = 1 << 20
 PIECES_OF_A_LANGUAGE = 64
 
 #: Upper case, what ends a piece, what parts words.  0xFF is in no UTF-8 text.
@@ -82,60 +83,69 @@ class Bits:
         return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+class _Ids(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Pass:
-    """Texts whose phrases of ``k`` words are counted together."""
+    """Texts whose phrases of ``k`` words are counted together; distinct words are kept once, all words as numbers."""
 
     def __init__(self, k: int, frequent: Bits):
         self.k, self.frequent = k, frequent
-        self.words: list[bytes] = []
-        self.sizes: list[int] = []
-        self.langs: list[str] = []
+        self.ids, self.lang_ids = _Ids(), _Ids()
+        self.end = self.ids[_END]
+        self.texts: list[np.ndarray] = []
+        self.langs: list[int] = []
+        self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
         words = words_of(text)
         words.append(_END)
-        self.words += words
-        self.sizes.append(len(words))
-        self.langs.append(lang)
+        self.texts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+        self.langs.append(self.lang_ids[lang])
+        self.size += len(words)
 
-    def counts(self) -> pa.RecordBatch:
-        """``lang, phrase, n`` for each distinct phrase whose parts are frequent."""
-        ids: dict[bytes, int] = {}
-        for w in dict.fromkeys(self.words):
-            ids[w] = len(ids)
-        word = np.fromiter(map(ids.__getitem__, self.words), np.int64, len(self.words))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in ids], np.uint64)[word]
-        langs = list(dict.fromkeys(self.langs))
-        lang_ids = {x: i for i, x in enumerate(langs)}
-        lang = np.repeat([lang_ids[x] for x in self.langs], self.sizes)
-        lang_hash = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], np.uint64)[lang]
-        end = word == ids.get(_END, -1)
-        # Places where a phrase of k words starts, and those of its parts' hashes.
+    def _starts(self, word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Where a phrase of k words starts whose first and last k - 1 words may be frequent."""
         n = len(word) - self.k + 1
-        if n <= 0:
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in _COUNTS.types], schema=_COUNTS)
-        inside = np.ones(n, bool)
-        for j in range(self.k):
+        inside, end = np.ones(max(n, 0), bool), word == self.end
+        for j in range(self.k if n > 0 else 0):
             inside &= ~end[j : j + n]
         at = np.flatnonzero(inside)
         if self.k > 1:
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.ids], np.uint64)
+            of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.lang_ids], np.uint64)
             for first in (0, 1):
-                part = lang_hash[at]
+                part = of_lang[lang[at]]
                 for j in range(first, first + self.k - 1):
-                    part = _rolled(part, hashes[at + j])
+                    part = _rolled(part, hashes[word[at + j]])
                 at = at[self.frequent.has(part)]
-        # Distinct phrases, as numbers to the base of the words; those are made dense before they pass 63 bits.
-        group, most = lang[at], len(langs)
+        return at
+
+    def counts(self) -> pa.RecordBatch:
+        """``lang, phrase, n`` for each distinct phrase whose parts may be frequent."""
+        word, lang = np.concatenate(self.texts), np.repeat(np.array(self.langs, np.int64), [len(t) for t in self.texts])
+        at, base = self._starts(word, lang), len(self.ids)
+        # A phrase is a number to the base of the words, made dense where it would pass 62 bits.
+        group, most, dense = lang[at], len(self.lang_ids), {}
         for j in range(self.k):
-            if most * len(ids) >= 1 << 62:
-                known, group = np.unique(group, return_inverse=True)
-                most = len(known)
-            group, most = group * len(ids) + word[at + j], most * len(ids)
-        _, first, n_of = np.unique(group, return_index=True, return_counts=True)
-        starts = at[first].tolist()
-        phrases = [b" ".join(self.words[s : s + self.k]) for s in starts]
-        columns = [pa.array(langs, pa.string()).take(pa.array(lang[starts] if starts else [], pa.int64())), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n_of, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
+            if most * base >= 1 << 62:
+                dense[j], group = np.unique(group, return_inverse=True)
+                most = len(dense[j])
+            group, most = group * base + word[at + j], most * base
+        group, n_of = np.unique(group, return_counts=True)
+        names, columns = pa.array(list(self.ids), pa.binary()), []
+        for j in reversed(range(self.k)):
+            columns.insert(0, names.take(pa.array(group % base)))
+            group = group // base
+            if j in dense:
+                group = dense[j][group]
+        phrases = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(self.lang_ids), pa.string()).take(pa.array(group)), phrases, pa.array(n_of, pa.int64())], schema=_COUNTS)
 
 
 def phrase_counts(docs: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
@@ -145,15 +155,14 @@ def phrase_counts(docs: DataFrame, k: int, frequent: Broadcast) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size = Pass(k, frequent.value), 0
+        now = Pass(k, frequent.value)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 now.add(lang, text.as_py())
-                size += now.sizes[-1]
-                if size >= PASS_WORDS:
+                if now.size >= PASS_WORDS:
                     yield now.counts()
-                    now, size = Pass(k, frequent.value), 0
-        if size:
+                    now = Pass(k, frequent.value)
+        if now.size:
             yield now.counts()
 
     each = docs.select("lang", "text").mapInArrow(slim(count), "lang string, phrase string, n long")
