@@ -65,3 +65,58 @@ def test_recall_grows_not_worse_with_the_table(spark):
         want = brute(rows, lambda i: i % 100 == 0)
         got = result(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0))
         assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def clustered(n, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, 24))
+    return centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 24)) * 0.05
+
+
+def placed(x, reach, monkeypatch):
+    """Products of all rows and one query in ten, at a reach, and the result."""
+    forest = ann.Forest(x)
+    leaves = forest.place(x) + np.arange(ann.TREES) * forest.leaves
+    sizes = np.stack([np.bincount(c, minlength=forest.leaves) for c in forest.place(x).T])
+    who = np.arange(0, len(x), 10)
+    taken = np.zeros((len(who), *sizes.shape), bool)
+    for i, q in enumerate(who):
+        taken[(i, *np.array(forest.search(x[q], sizes, reach * len(x))).T)] = True
+    kind = ann.pa.list_(ann.pa.float64())
+    rows = ann.pa.table({"query": who, "vec": ann.pa.array([v.tolist() for v in x[who]], kind), "taken": [np.packbits(t.ravel()).tobytes() for t in taken]})
+    best = ann._Best(ann._Queries(rows.combine_chunks(), x.shape[1], sizes.size), 11)
+    for lo in range(0, len(x), 500):
+        part = slice(lo, lo + 500)
+        ann.rank_rows(best, np.arange(len(x))[part], x[part], leaves[part])
+    best.settle()
+    own = taken.reshape(len(who), -1)[:, leaves].any(axis=2)
+    far = np.where(own, ((x[who][:, None] - x[None]) ** 2).sum(axis=2), np.inf)
+    want = [sorted((f, j) for j, f in enumerate(row) if f < np.inf)[:11] for row in far]
+    got = {i: [] for i in range(len(who))}
+    for i, point, distance in zip(*best.held):
+        got[i].append((distance, point))
+    assert all(len(g) == len(w) and np.allclose([d for d, _ in g], [f**0.5 for f, _ in w]) for g, w in zip(got.values(), want))
+    return best.products
+
+
+def test_products_follow_the_reach(monkeypatch):
+    """What is multiplied falls with the reach, at two sizes, and each way gives what its leaves hold."""
+    for n in (2000, 6000):
+        x = clustered(n)
+        few, some, all_ = (placed(x, reach, monkeypatch) for reach in (0.05, 0.2, 8.0))
+        print("products", n, few, some, all_, "all pairs", n * n // 10)
+        assert few < 0.15 * n * n / 10 and few < some < all_ == n * n // 10
+
+
+def test_the_reach_is_fitted_to_the_data():
+    for x, low, high in ((clustered(3000), 0.0, 0.2), (np.random.default_rng(3).normal(size=(3000, 64)), 0.4, 2.0)):
+        assert low < ann.fitted_reach(ann.Forest(x), x, 10) <= high
+    assert ann.fitted_reach(ann.Forest(np.ones((5, 2))), np.ones((5, 2)), 10) == ann.REACHES[-1]
+
+
+def test_clustered_vectors(spark):
+    x = clustered(4000, 2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows, lambda i: i % 100 == 0)
+    got = result(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0))
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
