@@ -47,7 +47,7 @@ def connected(edges: DataFrame) -> DataFrame:
 # -- tiles ----------------------------------------------------------------------------------
 
 
-def _shape(grid: Grid, tr: int, tc: int, size: int) -> tuple[int, int]:
+def tile_shape(grid: Grid, tr: int, tc: int, size: int) -> tuple[int, int]:
     return min(size, grid.rows - tr * size), min(size, grid.cols - tc * size)
 
 
@@ -63,7 +63,7 @@ def to_tiles(cells: DataFrame, grid: Grid, names: list[str], size: int = TILE) -
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         tr, tc = key[0].as_py(), key[1].as_py()
-        h, w = _shape(grid, tr, tc, size)
+        h, w = tile_shape(grid, tr, tc, size)
         r, c = rows.column("r").to_numpy() - tr * size + 1, rows.column("c").to_numpy() - tc * size + 1
         out = {"tr": [tr], "tc": [tc]}
         for n in names:
@@ -76,11 +76,11 @@ def to_tiles(cells: DataFrame, grid: Grid, names: list[str], size: int = TILE) -
 
 
 def unpack(row: dict, names: list[str], grid: Grid, size: int) -> dict[str, np.ndarray]:
-    h, w = _shape(grid, row["tr"], row["tc"], size)
+    h, w = tile_shape(grid, row["tr"], row["tc"], size)
     return {n: np.frombuffer(row[n]).reshape(h + 2, w + 2).copy() for n in names}
 
 
-def _edges(a: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+def edge_strips(a: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """What each of the eight neighbours needs of a tile's own cells."""
     cut = {-1: slice(1, 2), 0: slice(1, -1), 1: slice(-2, -1)}
     return {(dr, dc): a[cut[dr], cut[dc]] for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc}
@@ -132,7 +132,7 @@ def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Calla
         for batch in batches:
             for row in batch.to_pylist():
                 a = unpack(row, [state], grid, size)[state]
-                out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in _edges(a).items()]
+                out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in edge_strips(a).items()]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())]))
 
     def step(key: tuple, tile: pa.Table, strips: pa.Table) -> pa.Table:
@@ -175,7 +175,7 @@ def to_cells(tiles: DataFrame, grid: Grid, names: list[str], finish: Callable |
             for row in batch.to_pylist():
                 arrays = unpack(row, names, grid, size)
                 made = finish(arrays) if finish else arrays
-                h, w = _shape(grid, row["tr"], row["tc"], size)
+                h, w = tile_shape(grid, row["tr"], row["tc"], size)
                 r, c = np.divmod(np.arange(h * w), w)
                 columns = [pa.array(r + row["tr"] * size), pa.array(c + row["tc"] * size)]
                 columns += [pa.array(np.ascontiguousarray(made[n][1:-1, 1:-1]).ravel(), from_pandas=True, type=pa.float64()) for n in outputs]

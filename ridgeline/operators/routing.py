@@ -1,30 +1,27 @@
 """Least-cost routes on the grid: edges, distances, paths, orders of waypoints, corridors.
 
-Distances are fixpoints over tiles: each tile relaxes its own cells and only borders travel, so
-a search is bound by no task.  Paths are walked back tile by tile.
+Distances are fixpoints over tiles (``searches``): each tile relaxes its own cells and only borders
+travel, so a search is bound by no task, and all searches of a route or corridor run together.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
 from ridgeline.operators.distance import distance_to
-from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles, unpack
+from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles
 from ridgeline.operators.regions import regions
+from ridgeline.operators.searches import ROUNDING, Ask, Searches
 from ridgeline.operators.stencil import OFFSETS, with_neighbours
-from ridgeline.session import materialize, run_path
+from ridgeline.session import materialize
 from ridgeline.sources.grid import Grid
 
-STEPS = list(OFFSETS.values())
 DETOUR_RATIO, DETOUR_METRES = 1.25, 500.0
-LEGS_AT_ONCE = 4
 
 
 def edges(cells: DataFrame, grid: Grid, cost: str = "cost", z: str | None = None) -> DataFrame:
@@ -50,154 +47,39 @@ def edges(cells: DataFrame, grid: Grid, cost: str = "cost", z: str | None = None
     return each.select("src", "e.dst", "e.w")
 
 
-def _moves(static: dict, px: float, timed: bool, reverse: bool):
-    """For each offset, the cost of coming from that neighbour (or of going there, reversed)."""
-    cost, inside = static["cost"], ~np.isnan(static["inside"])
-    here = cost[1:-1, 1:-1]
-    for dr, dc in STEPS:
-        length = px * (2**0.5 if dr and dc else 1.0)
-        w = (here + shifted(cost, dr, dc)) / 2.0
-        if timed:
-            rise = (static["z"][1:-1, 1:-1] - shifted(static["z"], dr, dc)) * (-1.0 if reverse else 1.0)
-            w = w * (length / 1000.0 / (np.exp(-fn.DECAY * np.abs(rise / length + fn.BEST_GRADE)) * fn.BEST_SPEED))
-        else:
-            w = w * length
-        if dr and dc:
-            for o in ((dr, 0), (0, dc)):
-                w = np.where(np.isnan(shifted(cost, *o)) & shifted(inside, *o), np.nan, w)
-        yield (dr, dc), np.where(np.isnan(w), np.inf, w)
-
-
-def _relax(static: dict, far: np.ndarray, px: float, timed: bool, reverse: bool) -> np.ndarray:
-    moves = list(_moves(static, px, timed, reverse))
-    closed = np.isnan(static["cost"][1:-1, 1:-1])
-    far[np.isnan(far)] = np.inf
-
-    def sweep(rows: slice, cols: slice, window: np.ndarray) -> bool:
-        inner, shut, changed = window[1:-1, 1:-1], closed[rows, cols], False
-        here = [(o, w[rows, cols]) for o, w in moves]
-        while True:
-            new = np.minimum.reduce([inner, *(shifted(window, *o) + w for o, w in here)])
-            new[shut] = np.inf
-            if np.array_equal(new, inner):
-                return changed
-            inner[...], changed = new, True
-
-    return settle(far, sweep)
-
-
-def _came_from(arrays: dict, px: float, timed: bool) -> dict:
-    far = np.where(np.isnan(arrays["state"]), np.inf, arrays["state"])
-    sums = np.stack([shifted(far, *o) + w for o, w in _moves(arrays, px, timed, False)])
-    best = sums.argmin(axis=0).astype(float)
-    here = far[1:-1, 1:-1]
-    reached = np.isfinite(here)
-    out = {n: np.full(far.shape, np.nan) for n in ("distance", "back")}
-    out["distance"][1:-1, 1:-1] = np.where(reached, here, np.nan)
-    out["back"][1:-1, 1:-1] = np.where(reached & (here > 0), best, np.nan)
-    return out
-
-
-class Search:
-    """Least costs from a cell to all others (to it from all, reversed), as tiles."""
-
-    def __init__(self, cells: DataFrame, grid: Grid, source: tuple[int, int], cost: str = "cost", z: str | None = None, reverse: bool = False, size: int = TILE):
-        self.grid, self.size, self.timed, self.px = grid, size, z is not None, grid.cell_area**0.5
-        self.names = ["cost", "inside", *(["z"] if z else [])]
-        start = F.when((F.col("r") == source[0]) & (F.col("c") == source[1]) & F.col(cost).isNotNull(), 0.0).otherwise(float("inf"))
-        rows = cells.select("r", "c", F.col(cost).cast("double").alias("cost"), F.lit(1.0).alias("inside"), *([F.col(z).cast("double").alias("z")] if z else []), start.alias("state"))
-        tiles = to_tiles(rows, grid, [*self.names, "state"], size)
-        self.tiles = tile_fixpoint(tiles, grid, self.names, partial(_relax, px=self.px, timed=self.timed, reverse=reverse), size)
-
-    def cells(self) -> DataFrame:
-        """``r, c, distance, back``: ``back`` is the offset's index towards the predecessor; unreached cells have NULLs."""
-        return to_cells(self.tiles, self.grid, [*self.names, "state"], partial(_came_from, px=self.px, timed=self.timed), ["distance", "back"], self.size)
-
-    def paths(self, targets: list[tuple[int, int]]) -> DataFrame:
-        """``target, seq, r, c, distance``: the cells from the source to each target, in order.
-
-        A path is walked back inside one tile at a time; what goes from tile to tile is the
-        cell where it leaves, so the work follows the path and not the grid.
-        """
-        tiles, grid, size = materialize(self.tiles, "settled-tiles"), self.grid, self.size
-        names, px, timed = self.names, self.px, self.timed
-        spark, folder = tiles.sparkSession, run_path(tiles.sparkSession, "walked")
-        schema = "target long, step long, r long, c long, distance double, out_r long, out_c long"
-        waiting = [(r * grid.cols + c, 0, r, c) for r, c in targets]
-        while waiting:
-            by_tile: dict = {}
-            for target, step, r, c in waiting:
-                by_tile.setdefault((r // size, c // size), []).append((target, step, r, c))
-
-            def walk(batches, by_tile=by_tile):
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        made = _came_from(unpack(row, [*names, "state"], grid, size), px, timed)
-                        far, back = (made[n][1:-1, 1:-1] for n in ("distance", "back"))
-                        top, left = row["tr"] * size, row["tc"] * size
-                        out: list = []
-                        for target, step, r, c in by_tile[row["tr"], row["tc"]]:
-                            r, c = r - top, c - left
-                            while not np.isnan(far[r, c]):
-                                here, toward = (target, step, r + top, c + left, float(far[r, c])), back[r, c]
-                                if not np.isnan(toward):
-                                    r, c = r + STEPS[int(toward)][0], c + STEPS[int(toward)][1]
-                                inside = 0 <= r < far.shape[0] and 0 <= c < far.shape[1]
-                                out.append((*here, *((None, None) if inside else (r + top, c + left))))
-                                step += 1
-                                if np.isnan(toward) or not inside:
-                                    break
-                        columns = list(zip(*out)) or [()] * 7
-                        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [*[pa.int64()] * 4, pa.float64(), *[pa.int64()] * 2])], names=["target", "step", "r", "c", "distance", "out_r", "out_c"])
-
-            wanted = reduce(lambda x, y: x | y, ((F.col("tr") == a) & (F.col("tc") == b) for a, b in by_tile))
-            part = run_path(spark, "walked-tile")
-            tiles.where(wanted).mapInArrow(walk, schema).write.parquet(part)
-            made = spark.read.schema(schema).parquet(part)
-            made.drop("out_r", "out_c").coalesce(1).write.mode("append").parquet(folder)
-            waiting = [(x.target, x.step + 1, x.out_r, x.out_c) for x in made.where("out_r is not null").collect()]  # a row for each target at most
-        walked = spark.read.schema("target long, step long, r long, c long, distance double").parquet(folder)
-        last = Window.partitionBy("target")
-        return walked.select("target", (F.max("step").over(last) - F.col("step")).alias("seq"), "r", "c", "distance")
-
-
 def distances(cells: DataFrame, grid: Grid, source: tuple[int, int], cost: str = "cost", z: str | None = None, reverse: bool = False, size: int = TILE) -> DataFrame:
-    """``r, c, distance, back`` from a cell to all others (to it from all, reversed); see ``Search``."""
-    return Search(cells, grid, source, cost, z, reverse, size).cells()
+    """``r, c, distance, back`` from a cell to all others (to it from all, reversed); see ``Searches``."""
+    return Searches(cells, grid, [Ask(source, cost=cost, reverse=reverse)], z, size=size).cells().drop("search")
 
 
-def route(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str = "cost", z: str | None = None, optimise: bool = False, size: int = TILE) -> DataFrame:
+def route(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str = "cost", z: str | None = None, optimise: bool = False, ford: str | None = None, size: int = TILE) -> DataFrame:
     """``leg, seq, r, c, distance`` through the points in order (or in the best order of the inner ones).
 
-    Legs are searched side by side.  They share no cell twice: each but the first starts after
-    its first cell.  Raises if a leg has no way or two points in a row are one cell.
+    All legs are one set of searches, each bounded by what its end costs.  They share no cell twice: each
+    but the first starts after its first cell.  ``ford`` is a raster of factors for crossing streams.
+    Raises if a leg has no way or two points in a row are one cell.
     """
     order = waypoint_order(cells, grid, points, cost, z, size) if optimise and len(points) > 3 else list(range(len(points)))
     points = [points[i] for i in order]
-    pairs = list(enumerate(zip(points, points[1:])))
-    for k, (a, b) in pairs:
+    pairs = list(zip(points, points[1:]))
+    for k, (a, b) in enumerate(pairs):
         if a == b:
             raise ValueError(f"points {k} and {k + 1} of the route are in one cell")
-
-    def leg(pair) -> DataFrame:
-        k, (a, b) = pair
-        found = materialize(Search(cells, grid, a, cost, z, size=size).paths([b]), "leg")
-        if found.isEmpty():
+    found = materialize(Searches(cells, grid, [Ask(a, (b,), cost) for a, b in pairs], z, ford, size, bounded=True).paths(), "legs")
+    reached = {row.search for row in found.select("search").distinct().collect()}  # a row for each leg
+    for k, (a, b) in enumerate(pairs):
+        if k not in reached:
             raise NoWay(f"no way from {a} to {b}")
-        return found.where("seq > 0" if k else "true").select(F.lit(k).alias("leg"), "seq", "r", "c", "distance")
-
-    with ThreadPoolExecutor(LEGS_AT_ONCE) as pool:
-        return reduce(DataFrame.unionByName, pool.map(leg, pairs))
+    return found.where("search = 0 or seq > 0").select(F.col("search").alias("leg"), "seq", "r", "c", "distance")
 
 
 def pair_costs(cells: DataFrame, grid: Grid, points: list[tuple[int, int]], cost: str = "cost", z: str | None = None, size: int = TILE) -> dict[tuple[int, int], float]:
-    """Costs between points, but into the first and out of the last: one search for each start."""
-    out = {}
-    for i, a in enumerate(points[:-1]):
-        found = distances(cells, grid, a, cost, z, size=size).where((F.col("r") * grid.cols + F.col("c")).isin([r * grid.cols + c for r, c in points]))
-        at = {(row.r, row.c): row.distance for row in found.collect()}  # at most one row for each point
-        out |= {(i, j): at.get(b) if at.get(b) is not None else float("inf") for j, b in enumerate(points) if j not in (i, 0)}
-    return out
+    """Costs between points, but into the first and out of the last: one set of searches, one for each start."""
+    n = len(points)
+    into = [[j for j in range(1, n) if j != i] for i in range(n - 1)]
+    asks = [Ask(points[i], tuple(points[j] for j in into[i]), cost) for i in range(n - 1)]
+    found = Searches(cells, grid, asks, z, size=size, bounded=True).costs_of_targets()
+    return {(i, j): found.get((i, k), float("inf")) for i in range(n - 1) for k, j in enumerate(into[i])}
 
 
 def best_order(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
@@ -227,15 +109,19 @@ def waypoint_order(cells: DataFrame, grid: Grid, points: list[tuple[int, int]],
 
 
 def corridor(cells: DataFrame, grid: Grid, legs: list[tuple[tuple[int, int], tuple[int, int]]], slack: float, cost: str = "cost", z: str | None = None, size: int = TILE) -> DataFrame:
-    """``r, c, slack``: cells on ways that cost at most ``slack`` (a share) more than the best, least over legs."""
-    parts = []
-    for a, b in legs:
-        out = distances(cells, grid, a, cost, z, size=size).select("r", "c", F.col("distance").alias("d1"))
-        back = distances(cells, grid, b, cost, z, reverse=True, size=size).select("r", "c", F.col("distance").alias("d2"))
-        both = materialize(out.join(back, ["r", "c"]).where("d1 is not null and d2 is not null"), "corridor")
-        best = both.where((F.col("r") == b[0]) & (F.col("c") == b[1])).select(F.col("d1").alias("best")).where("best > 0")
-        parts.append(both.join(F.broadcast(best)).select("r", "c", ((F.col("d1") + F.col("d2")) / F.col("best") - 1.0).alias("slack")).where(F.col("slack") <= slack + 1e-9))
-    return reduce(DataFrame.unionByName, parts).groupBy("r", "c").agg(F.min("slack").alias("slack"))
+    """``r, c, slack``: cells on ways that cost at most ``slack`` (a share) more than the best, least over legs.
+
+    Both searches of every leg are one set, bounded by that cost.  Legs without a way, or of no cost, have no corridor.
+    """
+    asks = [ask for a, b in legs for ask in (Ask(a, (b,), cost), Ask(b, (a,), cost, reverse=True))]
+    found = Searches(cells, grid, asks, z, size=size, bounded=True, beyond=1.0 + slack + ROUNDING)
+    far = materialize(found.cells().where("distance is not null").select((F.col("search") / 2).cast("int").alias("leg"), (F.col("search") % 2).alias("way"), "r", "c", "distance"), "corridor")
+    there, back = (far.where(F.col("way") == k).select("leg", "r", "c", F.col("distance").alias(f"d{k}")) for k in (0, 1))
+    best = [far.where((F.col("leg") == k) & (F.col("way") == 0) & (F.col("r") == b[0]) & (F.col("c") == b[1]) & (F.col("distance") > 0)) for k, (_, b) in enumerate(legs)]
+    best = reduce(DataFrame.unionByName, best).select("leg", F.col("distance").alias("best"))
+    both = there.join(back, ["leg", "r", "c"]).join(F.broadcast(best), "leg")  # a row for each leg
+    inside = both.select("r", "c", ((F.col("d0") + F.col("d1")) / F.col("best") - 1.0).alias("slack")).where(F.col("slack") <= slack + ROUNDING)
+    return inside.groupBy("r", "c").agg(F.min("slack").alias("slack"))
 
 
 class NoWay(ValueError):

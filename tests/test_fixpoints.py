@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import distance, fixpoint, hydrology, regions, routing
 from ridgeline.operators.stencil import OFFSETS
+from ridgeline.operators.searches import Ask, Searches
 from ridgeline.sources.grid import Grid
 
 STEPS = list(OFFSETS.values())
@@ -180,7 +181,7 @@ def test_distances_and_paths(spark, timed):
     assert np.allclose(np.where(np.isinf(far), np.nan, far), got, equal_nan=True, rtol=1e-12)
     reached = [tuple(map(int, x)) for x in np.argwhere(np.isfinite(far))]
     target = max(reached, key=lambda p: far[p])
-    walked = sorted(routing.Search(cells, g, (0, 0), z="z" if timed else None, size=9).paths([target]).collect(), key=lambda r: r.seq)
+    walked = sorted(Searches(cells, g, [Ask((0, 0), (target,))], z="z" if timed else None, size=9).paths().collect(), key=lambda r: r.seq)
     assert (walked[0].r, walked[0].c) == (0, 0) and (walked[-1].r, walked[-1].c) == target
     assert all(max(abs(a.r - b.r), abs(a.c - b.c)) == 1 and a.distance < b.distance for a, b in zip(walked, walked[1:]))
     back = dense(routing.distances(cells, g, target, z="z" if timed else None, reverse=True, size=9), "distance", cost.shape)
