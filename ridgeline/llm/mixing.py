@@ -87,11 +87,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
 
 
 def probabilities(raked: DataFrame) -> DataFrame:
-    """``source, lang, topic, docs, weight, residual, probability``: the largest ratio of weight to tokens is kept whole."""
+    """``source, lang, topic, docs, weight, residual, probability, p``: the largest ratio of weight to tokens is kept whole.
+
+    ``p`` is the probability unrounded, which draws take, so that cells of any size are sampled.
+    """
     ratio = raked.withColumn("ratio", F.try_divide("weight", "tokens"))
     top = ratio.agg(F.max("ratio").alias("top"))
     p = F.coalesce(F.try_divide("ratio", "top"), F.lit(1.0))
-    return ratio.join(F.broadcast(top)).select(*DIMENSIONS, "docs", F.round("weight", DIGITS).alias("weight"), F.round("residual", DIGITS).alias("residual"), F.round(p, DIGITS).alias("probability"))
+    return ratio.join(F.broadcast(top)).select(*DIMENSIONS, "docs", F.round("weight", DIGITS).alias("weight"), F.round("residual", DIGITS).alias("residual"), F.round(p, DIGITS).alias("probability"), p.alias("p"))
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, topic_of: Callable[[Column], Column]) -> DataFrame:
@@ -109,7 +112,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: in
     chosen = materialize(probabilities(rake(cells, targets, rounds, temperature)), "probabilities")
     # Cells are few; where they are not, only those of many documents are broadcast.
     joined = described.join(F.broadcast(chosen), list(DIMENSIONS)) if chosen.count() <= MOST_BROADCAST else join_counted(described, chosen, list(DIMENSIONS), "docs", "inner")
-    return joined.select("row", *DIMENSIONS, "tokens", "weight", "residual", "probability", (draw(F.col("id")) < F.col("probability")).alias("kept"))
+    return joined.select("row", *DIMENSIONS, "tokens", "weight", "residual", "probability", (draw(F.col("id")) < F.col("p")).alias("kept"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -143,8 +146,8 @@ start AS (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM cells JOIN s_source US
 {", ".join(steps)},
 ratio AS (SELECT *, weight / nullif(tokens, 0) AS ratio FROM {last}),
 gap AS (SELECT round(coalesce(max(greatest({gaps})), 0), {DIGITS}) AS residual FROM (SELECT *, {sums} FROM {last})),
-p AS (SELECT source, lang, topic, round(weight, {DIGITS}) AS weight, round(coalesce(ratio / nullif(max(ratio) OVER (), 0), 1), {DIGITS}) AS probability FROM ratio)
+p AS (SELECT source, lang, topic, round(weight, {DIGITS}) AS weight, coalesce(ratio / nullif(max(ratio) OVER (), 0), 1) AS p, round(p, {DIGITS}) AS probability FROM ratio)
 SELECT doc_id, source, lang, topic, tokens, weight, residual, probability,
-       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
+       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < p AS kept
 FROM described JOIN p USING (source, lang, topic), gap
 """

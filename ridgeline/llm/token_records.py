@@ -12,7 +12,7 @@ has a row per record: ``doc_id, part, file, offset, n_bytes, n_tokens, first`` w
 counts the ids before the record in its file.  Any order of reads is served by the index.
 
 Defined results: null text is an empty document (its end id only); a null ``doc_id`` sorts
-first; rows that share a ``doc_id`` keep one record each, in the order of their texts' arrival; a very
+first; rows that share a ``doc_id`` keep one record each, in the order of a hash of their texts; a very
 long text is one record, which its task holds whole; an empty table gives an empty index; other
 columns are not read.
 """
@@ -172,7 +172,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
                 out.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return materialize(ordered.mapInArrow(slim(write), INDEX_SCHEMA), "token-index")
 
 
