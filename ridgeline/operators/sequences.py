@@ -73,38 +73,46 @@ def rising_edges(path: DataFrame, by: list[str], on: str) -> DataFrame:
     return marked.groupBy(*by).agg(F.sum("__up").alias("entries"))
 
 
-def distance_windows(fixes: DataFrame, length: float = 180.0, most_pause: float = 120.0, speeds: tuple[float, float] = (0.2, 12.0), by: str = "track") -> DataFrame:
-    """``track, win, gradient, speed_kmh, dist_m, dt_s``: windows of a track that end when ``length`` is reached.
+def windows_of_settings(fixes: DataFrame, settings: list[tuple[float, float]], speeds: tuple[float, float] = (0.2, 12.0), by: str = "track") -> DataFrame:
+    """``setting, track, win, gradient, speed_kmh, dist_m, dt_s``: windows of a track that end when a length is reached.
 
-    The distance starts anew with each window, so it is a fold over the fixes in order; each
-    task streams its tracks and holds one window.  A pause longer than ``most_pause`` drops the
-    window.  Fixes are ``track, seq, x, y, ele, t``; those with a NULL are skipped.
+    ``settings`` are pairs of the length and the longest pause; a longer pause drops the window.  The distance
+    starts anew with each window, so it is a fold over the fixes in order; each task streams its tracks once and
+    holds one window for each setting.  Fixes are ``track, seq, x, y, ele, t``; those with a NULL are skipped.
     """
+    lengths = [length for length, _ in settings]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        track, win, last, start, dist, paused = None, 0, None, None, 0.0, False
+        track, last, open_ = None, None, []  # open_: number, start, distance, paused of each setting's window
         for batch in batches:
             out = []
             for key, x, y, ele, t in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is None or key != track:
-                    track, win, dist, paused = key, 0, 0.0, False
-                    last = start = (x, y, ele, t)
+                    track, last = key, (x, y, ele, t)
+                    open_ = [[0, last, 0.0, False] for _ in settings]
                     continue
-                dist += math.hypot(x - last[0], y - last[1])
-                paused |= t - last[3] > most_pause
-                last = (x, y, ele, t)
-                if dist >= length:
-                    dt = t - start[3]
-                    speed = dist / dt * 3.6 if dt > 0 else math.inf
-                    if not paused and speeds[0] <= speed <= speeds[1]:
-                        out.append((track, win, (ele - start[2]) / dist, speed, dist, float(dt)))
-                    win, dist, paused, start = win + 1, 0.0, False, last
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.types[0], pa.int32(), *[pa.float64()] * 4))], names=[by, "win", "gradient", "speed_kmh", "dist_m", "dt_s"])
+                step, pause, last = math.hypot(x - last[0], y - last[1]), t - last[3], (x, y, ele, t)
+                for k, window in enumerate(open_):
+                    window[2] += step
+                    window[3] |= pause > settings[k][1]
+                    if window[2] >= lengths[k]:
+                        win, start, dist, paused = window
+                        dt = t - start[3]
+                        speed = dist / dt * 3.6 if dt > 0 else math.inf
+                        if not paused and speeds[0] <= speed <= speeds[1]:
+                            out.append((k, track, win, (ele - start[2]) / dist, speed, dist, float(dt)))
+                        open_[k] = [win + 1, last, 0.0, False]
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), batch.schema.types[0], pa.int32(), *[pa.float64()] * 4))], names=["setting", by, "win", "gradient", "speed_kmh", "dist_m", "dt_s"])
 
     rows = fixes.select(by, "seq", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "ele", "t"))).dropna()
     ordered = rows.repartition(by).sortWithinPartitions(by, "seq").select(by, "x", "y", "ele", "t")
-    return ordered.mapInArrow(fold, f"{by} {dict(rows.dtypes)[by]}, win int, gradient double, speed_kmh double, dist_m double, dt_s double")
+    return ordered.mapInArrow(fold, f"setting int, {by} {dict(rows.dtypes)[by]}, win int, gradient double, speed_kmh double, dist_m double, dt_s double")
+
+
+def distance_windows(fixes: DataFrame, length: float = 180.0, most_pause: float = 120.0, speeds: tuple[float, float] = (0.2, 12.0), by: str = "track") -> DataFrame:
+    """``track, win, gradient, speed_kmh, dist_m, dt_s``: see ``windows_of_settings``."""
+    return windows_of_settings(fixes, [(length, most_pause)], speeds, by).drop("setting")
 
 
 def densify(line: DataFrame, step: float, by: list[str]) -> DataFrame:
@@ -145,18 +153,18 @@ def agreement(points: DataFrame, lines: DataFrame, by: list[str], within: float)
     return nearest.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("d") <= within, 1.0).otherwise(0.0)).alias("share"))
 
 
-def fit_tobler(windows: DataFrame, optima: list[float]) -> DataFrame:
-    """``best, fastest, decay, r2, n, fastest_se, decay_se``: the walking-speed curve that fits gradients and speeds best.
+def fit_tobler(windows: DataFrame, optima: list[float], by: list[str] = ()) -> DataFrame:
+    """``best, fastest, decay, r2, n, fastest_se, decay_se``: the walking-speed curve that fits gradients and speeds best, for each ``by``.
 
     The last two are standard errors at that best gradient.  For a fixed best gradient the logarithm of speed is linear, so a regression fits it; the
     best gradient comes from a grid, all of it in one pass.
     """
-    tried = windows.where("speed_kmh > 0").select(F.explode(F.array(*map(F.lit, optima))).alias("best"), F.ln("speed_kmh").alias("y"), F.col("gradient")).withColumn("x", F.abs(F.col("gradient") + F.col("best")))
-    fitted = tried.groupBy("best").agg(F.regr_slope("y", "x").alias("k"), F.regr_intercept("y", "x").alias("a"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.avg("x").alias("mx"), F.count("*").alias("n"))
+    tried = windows.where("speed_kmh > 0").select(*by, F.explode(F.array(*map(F.lit, optima))).alias("best"), F.ln("speed_kmh").alias("y"), F.col("gradient")).withColumn("x", F.abs(F.col("gradient") + F.col("best")))
+    fitted = tried.groupBy(*by, "best").agg(F.regr_slope("y", "x").alias("k"), F.regr_intercept("y", "x").alias("a"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.avg("x").alias("mx"), F.count("*").alias("n"))
     variance = F.try_divide(F.col("syy") * (1.0 - F.col("r2")), F.col("n") - 2)
     fitted = fitted.withColumns({"k_se": F.sqrt(F.try_divide(variance, F.col("sxx"))), "a_se": F.sqrt(variance * (1.0 / F.col("n") + F.try_divide(F.col("mx") ** 2, F.col("sxx"))))})
-    top = fitted.where("r2 is not null").agg(F.max_by(F.struct("best", "k", "a", "r2", "n", "k_se", "a_se"), F.struct("r2", -F.abs("best"))).alias("t"))
-    return top.select("t.best", F.exp("t.a").alias("fastest"), (-F.col("t.k")).alias("decay"), "t.r2", "t.n", (F.exp("t.a") * F.col("t.a_se")).alias("fastest_se"), F.col("t.k_se").alias("decay_se"))
+    top = fitted.where("r2 is not null").groupBy(*by).agg(F.max_by(F.struct("best", "k", "a", "r2", "n", "k_se", "a_se"), F.struct("r2", -F.abs("best"))).alias("t"))
+    return top.select(*by, "t.best", F.exp("t.a").alias("fastest"), (-F.col("t.k")).alias("decay"), "t.r2", "t.n", (F.exp("t.a") * F.col("t.a_se")).alias("fastest_se"), F.col("t.k_se").alias("decay_se"))
 
 
 def fit_with_factor(windows: DataFrame, optima: list[float], factor: str) -> DataFrame:

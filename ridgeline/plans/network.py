@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.cellwise import tobler_speed
-from ridgeline.operators import distance, hydrology, regions, routing, sequences, terrain
+from ridgeline.operators import distance, hydrology, regions, routing, sequences, terrain, validation
 from ridgeline.operators.stencil import OFFSETS, along_row
 from ridgeline.plans.surface import SLOPE, relief
 from ridgeline.session import materialize
@@ -336,3 +336,47 @@ def track_windows(spark, sf_dir):
     fixes = e.select("track", "seq", "x", "y", (F.col("y") / 10).alias("ele"), (F.col("seq") * 100).alias("t"))
     found = sequences.distance_windows(fixes, 500.0, 150.0, (0.2, 100.0))
     return found.select("track", "win", F.round("gradient", 6).alias("gradient"), F.round("speed_kmh", 6).alias("speed_kmh"), F.round("dist_m", 4).alias("dist_m"), "dt_s")
+
+
+SETTINGS = [validation.Setting(0.0), validation.Setting(1.0), validation.Setting(2.0, 1.3), validation.Setting(4.0, 5.0)]
+_SETTINGS_SQL = "p(setting, slowdown, decay) AS (VALUES " + ", ".join(f"({k}, {s.slowdown}::DOUBLE, {s.decay}::DOUBLE)" for k, s in enumerate(SETTINGS)) + ")"
+
+
+@query(f"""WITH RECURSIVE {COST}, {OFFSET_SQL}, {_SETTINGS_SQL},
+q AS MATERIALIZED (SELECT r, c, w, z::DOUBLE AS z, CASE WHEN r * w + c IN ({_START}, {_END}) OR (slope <= 60 AND NOT blocked) THEN greatest(1 - coalesce(slope, 0)::DOUBLE / 60.0::DOUBLE, 0) END AS score FROM t1),
+e AS MATERIALIZED (SELECT a.r * a.w + a.c AS src, b.r * a.w + b.c AS dst, (2 - a.score - b.score) / 2 AS rough, b.z - a.z AS dz, CASE WHEN dr <> 0 AND dc <> 0 THEN 42.42640687119285::DOUBLE ELSE 30 END AS len
+  FROM q a, o JOIN q b ON b.r = a.r + dr AND b.c = a.c + dc LEFT JOIN q n ON n.r = a.r + dr AND n.c = a.c LEFT JOIN q m ON m.r = a.r AND m.c = a.c + dc
+  WHERE a.score IS NOT NULL AND b.score IS NOT NULL AND a.z IS NOT NULL AND b.z IS NOT NULL AND (dr = 0 OR dc = 0 OR (n.score IS NOT NULL AND m.score IS NOT NULL))),
+g AS MATERIALIZED (SELECT setting, src, dst, (1 + slowdown * rough) * len / 1000 / (exp(abs(dz / len + 0.05::DOUBLE) * -decay) * 6) AS w FROM e, p),
+d(setting, id, far) USING KEY (setting, id) AS (SELECT setting, {_START}, 0.0::DOUBLE FROM p, dims UNION
+  SELECT setting, dst, min(new) FROM (SELECT g.setting, dst, d.far + g.w AS new FROM d JOIN g ON g.src = d.id AND g.setting = d.setting)
+  LEFT JOIN (SELECT setting AS s, id, far FROM recurring.d) AS old ON old.id = dst AND old.s = setting WHERE new < coalesce(old.far, 'inf'::DOUBLE) GROUP BY setting, dst)
+SELECT p.setting, r, c, round(far, 6) AS hours FROM p, q JOIN d ON d.id = r * w + c AND d.setting = p.setting""")
+def parameter_sweep(spark, sf_dir):
+    cells, grid = costs(spark, sf_dir)
+    start, end = _ends(grid)
+    ends = (F.col("r") * grid.cols + F.col("c")).isin([r * grid.cols + c for r, c in (start, end)])
+    score = F.when(ends | F.col("cost").isNotNull(), F.greatest(1.0 - F.coalesce("slope", F.lit(0.0)).cast("double") / 60.0, F.lit(0.0)))
+    found = validation.sweep(cells.select("r", "c", "z", score.alias("score")), grid, SETTINGS, [(start, ())]).cells()
+    return found.where("distance is not null").select(F.col("search").alias("setting"), "r", "c", F.round("distance", 6).alias("hours"))
+
+
+WINDOWS = [(250.0, 150.0), (500.0, 150.0), (1000.0, 150.0), (500.0, 50.0), (500.0, 1000.0)]
+_WINDOWS_SQL = "p(setting, length, pause) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(WINDOWS)) + ")"
+
+
+@query(f"""WITH RECURSIVE {TRACKS}, {_WINDOWS_SQL}, x AS MATERIALIZED (SELECT track, row_number() OVER (PARTITION BY track ORDER BY seq) AS k, x, y, y / 10 AS ele, seq * 100.0::DOUBLE AS t FROM tr),
+s(setting, length, pause, track, k, sele, st, px, py, pt, dist, paused, done, wdist, wdt, wrise, wpaused) AS (
+  SELECT setting, length, pause, track, k, ele, t, x, y, t, 0.0::DOUBLE, FALSE, FALSE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, FALSE FROM x, p WHERE k = 1 UNION ALL
+  SELECT setting, length, pause, track, k, CASE WHEN done THEN ele ELSE sele END, CASE WHEN done THEN t ELSE st END, x, y, t, CASE WHEN done THEN 0 ELSE far END, hold AND NOT done, done, far, t - st, ele - sele, hold
+  FROM (SELECT setting, length, s.pause, x.*, sele, st, dist + sqrt(power(x.x - px, 2) + power(x.y - py, 2)) AS far, paused OR x.t - pt > s.pause AS hold, dist + sqrt(power(x.x - px, 2) + power(x.y - py, 2)) >= length AS done
+        FROM s JOIN x ON x.track = s.track AND x.k = s.k + 1)),
+v AS (SELECT setting, wrise / wdist AS g, ln(wdist / wdt * 3.6::DOUBLE) AS y FROM s WHERE done AND NOT wpaused AND wdt > 0 AND wdist / wdt * 3.6::DOUBLE BETWEEN 0.2 AND 100),
+t AS (SELECT setting, o / 100.0::DOUBLE AS best, y, abs(g + o / 100.0::DOUBLE) AS x FROM v, range(0, 11) q(o)),
+f AS (SELECT setting, best, regr_slope(y, x) AS k, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n FROM t GROUP BY setting, best)
+SELECT setting, best, round(exp(a), 4) AS fastest, round(-k, 4) AS decay, round(r2, 5) AS r2, n FROM f WHERE r2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY setting ORDER BY f.r2 DESC, best) = 1""")
+def window_sensitivity(spark, sf_dir):
+    e = tracks(spark, sf_dir)
+    fixes = e.select("track", "seq", "x", "y", (F.col("y") / 10).alias("ele"), (F.col("seq") * 100).alias("t"))
+    fit = sequences.fit_tobler(sequences.windows_of_settings(fixes, WINDOWS, (0.2, 100.0)), OPTIMA, ["setting"])
+    return fit.select("setting", "best", F.round("fastest", 4).alias("fastest"), F.round("decay", 4).alias("decay"), F.round("r2", 5).alias("r2"), "n")
