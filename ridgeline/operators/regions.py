@@ -60,9 +60,14 @@ def regions(cells: DataFrame, grid: Grid, mask: str, connectivity: int = 8, size
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Regions numbered from 1 in the order of their first cells.  The ranking runs over regions, not cells."""
-    names = found.select("region").distinct()
-    return found.join(names.select("region", F.dense_rank().over(Window.orderBy("region")).alias("label")), "region")
+    """Regions numbered from 1 in the order of their first cells: ranks within ranges of names, and the ranges' totals before them."""
+    names = found.select("region").distinct().repartitionByRange("region").withColumn("range", F.spark_partition_id())
+    names = materialize(names, "region-names")
+    totals = names.groupBy("range").agg(F.count("*").alias("n"))
+    before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("region"))
+    labels = names.withColumn("rank", rank).join(before, "range").select("region", (F.col("rank") + F.col("before")).cast("int").alias("label"))
+    return found.join(labels, "region")
 
 
 def large_regions(cells: DataFrame, grid: Grid, mask: str, least_ha: float, size: int = TILE) -> DataFrame:
@@ -83,44 +88,107 @@ def flat_water(cells: DataFrame, grid: Grid, least_m2: float = 5e5, sea_level: f
     return found.join(named, "region").select("r", "c", "water")
 
 
-def outlines(found: DataFrame, grid: Grid) -> DataFrame:
-    """``region, n_cells, area_m2, area_ha, rings``: closed rings of grid corners (row, col) around each region.
+# Directions of cell sides, in the order of where they lead from a corner.
+HEADINGS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+#: For each neighbour that is not of the region: the corner of the cell where its side starts, and the heading with the region on the right.
+SIDES = {(-1, 0): ((0, 0), 2), (0, 1): ((0, 1), 3), (1, 0): ((1, 1), 1), (0, -1): ((1, 0), 0)}
+_CHAIN = "region long, id long, first_r long, first_c long, first_d int, last_d int, end_r long, end_c long, closed boolean, n long, low long, off long, corners array<struct<at:long,r:long,c:long>>"
+_CHAIN_ARROW = pa.schema(
+    [("region", pa.int64()), ("id", pa.int64()), ("first_r", pa.int64()), ("first_c", pa.int64()), ("first_d", pa.int32()), ("last_d", pa.int32()), ("end_r", pa.int64()), ("end_c", pa.int64()), ("closed", pa.bool_()), ("n", pa.int64()), ("low", pa.int64()), ("off", pa.int64())]
+    + [("corners", pa.list_(pa.struct([("at", pa.int64()), ("r", pa.int64()), ("c", pa.int64())])))]
+)
 
-    Cell sides without the same region beyond them are found by one join; the sides of a
-    region are then strung together in one task for each region, outer ring first.
-    """
-    cells = found.select("r", "c", "region")
-    # A side runs with its region on the right: from corner to corner.
-    sides = {(-1, 0): ((0, 0), (0, 1)), (0, 1): ((0, 1), (1, 1)), (1, 0): ((1, 1), (1, 0)), (0, -1): ((1, 0), (0, 0))}
-    each = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), *(F.lit(v).alias(n) for n, v in zip(("r0", "c0", "r1", "c1"), (*p, *q)))) for (a, b), (p, q) in sides.items())))
-    around = cells.select("region", "r", "c", each.alias("s"))
-    other = cells.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("region").alias("nregion"))
-    free = around.join(other, (F.col("r") + F.col("s.dr") == F.col("nr")) & (F.col("c") + F.col("s.dc") == F.col("nc")) & (F.col("region") == F.col("nregion")), "left_anti")
-    loose = free.select("region", *((F.col(a) + F.col(f"s.{a}{i}")).alias(f"{a}{i}") for i in (0, 1) for a in ("r", "c")))
+
+def _turn(d: int, to: int) -> int:
+    """Least for the turn to the left, which a side takes where corners touch: the cells there are one region."""
+    return HEADINGS[d][1] * HEADINGS[to][0] - HEADINGS[d][0] * HEADINGS[to][1]
+
+
+def sides(found: DataFrame) -> DataFrame:
+    """``region, r, c, d``: sides of cells with another region, or none, beyond them, from corner ``r, c`` on with heading ``d``."""
+    cells = found.select("region", "r", "c")
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(p).alias("r"), F.lit(q).alias("c"), F.lit(d).alias("d")) for (a, b), ((p, q), d) in SIDES.items())))
+    around = cells.select("region", "r", "c", each.alias("s")).select("region", "r", "c", "s", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"))
+    other = cells.select("region", F.col("r").alias("nr"), F.col("c").alias("nc"))
+    free = around.join(other, ["region", "nr", "nc"], "left_anti")
+    return free.select("region", (F.col("r") + F.col("s.r")).alias("r"), (F.col("c") + F.col("s.c")).alias("c"), F.col("s.d").alias("d"))
+
+
+def _chains(loose: DataFrame, grid: Grid, size: int) -> DataFrame:
+    """Sides strung together as far as one tile goes: closed rings, and chains that end at a corner of another tile."""
+    wide = grid.cols + 1
 
     def string(key: tuple, t: pa.Table) -> pa.Table:
-        a = list(zip(t.column("r0").to_pylist(), t.column("c0").to_pylist()))
-        b = list(zip(t.column("r1").to_pylist(), t.column("c1").to_pylist()))
+        top, left = (k.as_py() * size for k in key)
+        region, r, c, d = (t.column(n).to_pylist() for n in ("region", "r", "c", "d"))
         leaving: dict = {}
-        for p, q in sorted(zip(a, b)):
-            leaving.setdefault(p, []).append(q)
-        rings = []
-        for start in sorted(leaving):
-            while leaving.get(start):
-                ring, at, came = [start], start, None
-                while True:
-                    choices = leaving[at]
-                    # Where two corners touch, turn left: the cells there are one region.
-                    k = 0 if came is None or len(choices) == 1 else max(range(len(choices)), key=lambda i: (came[1] * (choices[i][0] - at[0]) - came[0] * (choices[i][1] - at[1])) * -1)
-                    to = choices.pop(k)
-                    came, at = (to[0] - at[0], to[1] - at[1]), to
-                    if at == start:
-                        break
-                    ring.append(at)
-                kept = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0], p[1] - ring[i - 1][1]) != (ring[(i + 1) % len(ring)][0] - p[0], ring[(i + 1) % len(ring)][1] - p[1])]
-                rings.append([*kept, kept[0]])
-        return pa.table({"region": [key[0].as_py()], "rings": [[[{"r": p[0], "c": p[1]} for p in ring] for ring in rings]]}, schema=pa.schema([("region", pa.int64()), ("rings", pa.list_(pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())]))))]))
-
-    rings = loose.groupBy("region").applyInArrow(string, "region long, rings array<array<struct<r:long,c:long>>>")
-    sizes = cells.groupBy("region").agg(F.count("*").alias("n_cells"))
-    return sizes.join(rings, "region").select("region", "n_cells", (F.col("n_cells") * grid.cell_area).alias("area_m2"), (F.col("n_cells") * grid.cell_area / 1e4).alias("area_ha"), "rings")
+        for i, at in enumerate(zip(region, r, c)):
+            leaving.setdefault(at, []).append(i)
+        after: list = [None] * len(r)
+        for i in range(len(r)):
+            to = (r[i] + HEADINGS[d[i]][0], c[i] + HEADINGS[d[i]][1])
+            if top <= to[0] < top + size and left <= to[1] < left + size:
+                after[i] = min(leaving[(region[i], *to)], key=lambda j: _turn(d[i], d[j]))
+        name = [(r[i] * wide + c[i]) * 4 + d[i] for i in range(len(r))]
+        led, seen, out = set(after), [False] * len(r), []
+        first = [i for i in range(len(r)) if i not in led] + sorted(range(len(r)), key=name.__getitem__)
+        for start in first:
+            if seen[start]:
+                continue
+            chain, i = [], start
+            while i is not None and not seen[i]:
+                seen[i] = True
+                chain.append(i)
+                i = after[i]
+            last = chain[-1]
+            low = min(range(len(chain)), key=lambda k: name[chain[k]])
+            corners = [{"at": k, "r": r[j], "c": c[j]} for k, j in enumerate(chain) if k and d[j] != d[chain[k - 1]]]
+            out.append((region[start], name[start], r[start], c[start], d[start], d[last], r[last] + HEADINGS[d[last]][0], c[last] + HEADINGS[d[last]][1], i is not None, len(chain), name[chain[low]], low, corners))
+        return pa.Table.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), _CHAIN_ARROW)], schema=_CHAIN_ARROW)
+
+    tile = [F.floor(F.col(n) / size).alias(f"t{n}") for n in "rc"]
+    return loose.select("region", "r", "c", "d", *tile).groupBy("tr", "tc").applyInArrow(string, _CHAIN)
+
+
+def boundaries(found: DataFrame, grid: Grid, size: int = TILE) -> DataFrame:
+    """``region, ring, seq, r, c``: the corners (row, col) of each region's closed rings, in order, where they turn.
+
+    Sides are strung within tiles.  What goes over tiles are chains, which find their successors by one join and
+    their places in the ring by pointer doubling (list ranking), in as many rounds as the logarithm of the chains of the longest ring.
+    A ring starts at its first side in the order of corners, which names it; ``seq`` counts sides from there.
+    """
+    chains = materialize(_chains(sides(found), grid, size), "chains")
+    starts = chains.where("not closed").select("region", F.col("first_r").alias("end_r"), F.col("first_c").alias("end_c"), F.col("id").alias("ptr"), F.col("first_d").alias("next_d"))
+    turn = F.element_at(F.array(*(F.lit(_turn(a, b)) for a in range(4) for b in range(4))), F.col("last_d") * 4 + F.col("next_d") + 1)
+    led = chains.where("not closed").join(starts, ["region", "end_r", "end_c"])
+    # A chain's end has two chains to go on with where corners touch, and one elsewhere.
+    linked = led.groupBy("id").agg(F.min(F.struct(turn.alias("turn"), "ptr")).alias("go")).select("id", F.col("go.ptr").alias("ptr"))
+    state = materialize(chains.join(linked, "id", "left").select("id", F.coalesce("ptr", "id").alias("ptr"), F.col("id").alias("pred"), F.col("ptr").alias("to"), "last_d", "low", "off", F.col("n").alias("len"), "closed"), "chain-places")
+    before = state.select(F.coalesce("to", "pred").alias("id"), F.col("last_d").alias("before_d"))
+    places = state.select("id", "ptr", "low", "off", "len")
+    while not state.where("not closed").isEmpty():
+        onward = places.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"), F.col("off").alias("off2"), F.col("len").alias("len2"))
+        best = F.least(F.struct("low", "off"), F.struct(F.col("low2").alias("low"), (F.col("len") + F.col("off2")).alias("off")))
+        moved = places.join(onward, "ptr").select("id", F.col("next").alias("ptr"), best["low"].alias("low"), best["off"].alias("off"), (F.col("len") + F.col("len2")).alias("len"), (F.col("low2") < F.col("low")).alias("changed"))
+        moved = materialize(moved, "chain-places")
+        if moved.where("changed").isEmpty():  # each chain's stretch holds its ring's first side: all have gone round
+            break
+        places = moved.drop("changed")
+    ringed = chains.drop("low", "off").join(places.select("id", F.col("low").alias("ring"), "off"), "id").join(before, "id")
+    lengths = ringed.groupBy("ring").agg(F.sum("n").alias("all"))
+    own = F.when(F.col("first_d") != F.col("before_d"), F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("first_r").alias("r"), F.col("first_c").alias("c"))))
+    corners = ringed.join(lengths, "ring").select("region", "ring", "off", "all", F.explode(F.concat(F.coalesce(own, F.expr("CAST(array() AS array<struct<at:bigint,r:bigint,c:bigint>>)")), "corners")).alias("k"))
+    return corners.select("region", "ring", F.pmod(F.col("k.at") - F.col("off"), F.col("all")).alias("seq"), "k.r", "k.c")
+
+
+def outlines(found: DataFrame, grid: Grid, size: int = TILE) -> DataFrame:
+    """``region, n_cells, area_m2, area_ha, rings``: closed rings of grid corners (row, col) around each region, outer ring first.
+
+    ``boundaries`` has put the corners in order; here the corners of a region become one value.
+    """
+    corners = boundaries(found, grid, size).groupBy("region", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "r", "c"))).alias("k"))
+    ring = F.transform("k", lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c")))
+    rings = corners.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("ring", F.concat(ring, F.slice(ring, 1, 1)).alias("k")))).alias("rings"))
+    sizes = found.groupBy("region").agg(F.count("*").alias("n_cells"))
+    area = F.col("n_cells") * grid.cell_area
+    return sizes.join(rings, "region").select("region", "n_cells", area.alias("area_m2"), (area / 1e4).alias("area_ha"), F.transform("rings", lambda x: x["k"]).alias("rings"))

@@ -255,6 +255,21 @@ def blocked_regions(spark, sf_dir):
     return regions.numbered(regions.regions(cells, grid, "blocked"))
 
 
+@query(f"""WITH RECURSIVE {ORDERS_SQL}, {OFFSET_SQL}, b AS MATERIALIZED (SELECT r * w + c AS id, r, c FROM cells WHERE blocked),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM b a, o JOIN b ON b.r = a.r + dr AND b.c = a.c + dc),
+reach(id, src) AS (SELECT id, id FROM b UNION SELECT e.b, reach.src FROM reach JOIN e ON e.a = reach.id),
+m AS MATERIALIZED (SELECT r, c, min(src) AS region FROM reach JOIN b USING (id) GROUP BY r, c),
+h(dr, dc, sr, sc, d, vr, vc) AS (VALUES (-1, 0, 0, 0, 2, 0, 1), (0, 1, 0, 1, 3, 1, 0), (1, 0, 1, 1, 1, 0, -1), (0, -1, 1, 0, 0, -1, 0)),
+s AS MATERIALIZED (SELECT m.region, m.r + sr AS r, m.c + sc AS c, d, vr, vc, ((m.r + sr) * (w + 1) + m.c + sc) * 4 + d AS id FROM dims, m, h WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.region = m.region AND n.r = m.r + dr AND n.c = m.c + dc)),
+nx AS MATERIALIZED (SELECT x.id, y.id AS nid, y.d <> x.d AS turns FROM s x JOIN s y ON y.region = x.region AND y.r = x.r + x.vr AND y.c = x.c + x.vc QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY x.vc * y.vr - x.vr * y.vc) = 1),
+walk(id, cur, seq) AS (SELECT id, id, 0 FROM s UNION ALL SELECT walk.id, nid, seq + 1 FROM walk JOIN nx ON nx.id = walk.cur WHERE nid <> walk.id),
+heads AS (SELECT id FROM walk GROUP BY id HAVING min(cur) = id)
+SELECT s.region, walk.id AS ring, seq, s.r, s.c FROM walk JOIN heads USING (id) JOIN s ON s.id = walk.cur JOIN nx ON nx.nid = walk.cur WHERE turns""")
+def blocked_outlines(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    return regions.boundaries(regions.regions(cells, grid, "blocked"), grid)
+
+
 @query()
 def zone_outlines(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
