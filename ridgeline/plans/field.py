@@ -128,14 +128,14 @@ def transects(spark, sf_dir):
     return found.select("r", "n", *(F.round(f"p{p}", 4).alias(f"p{p}") for p in (50, 75, 90, 99)), F.round("over60", 6).alias("over60"), F.round("over100", 6).alias("over100"))
 
 
-@query(f"""WITH {SLOPE}, d AS (SELECT r AS leg, c AS seq, r + (c % 2) AS r, c FROM cells WHERE r % 2 = 0 AND r < w - 1),
+@query(f"""WITH {SLOPE}, d AS (SELECT r AS leg, c AS seq, r + (c % 2) AS r, c FROM cells WHERE r < w - 1),
 n AS (SELECT *, lead(r) OVER (PARTITION BY leg ORDER BY seq) AS nr, lead(c) OVER (PARTITION BY leg ORDER BY seq) AS nc FROM d),
 k AS (SELECT leg, seq, r AS kr, nc AS kc, 0 AS k FROM n WHERE nr <> r AND nc <> c UNION ALL SELECT leg, seq, nr, c, 1 FROM n WHERE nr <> r AND nc <> c),
 h AS (SELECT k.*, extra, row_number() OVER (PARTITION BY leg, seq ORDER BY extra DESC, k) AS i FROM k JOIN cells ON kr = cells.r AND kc = cells.c AND blocked)
 SELECT leg, row_number() OVER (PARTITION BY leg ORDER BY seq) - 1 AS seq, r, c FROM (SELECT leg, seq::DOUBLE AS seq, r, c FROM d UNION ALL SELECT leg, seq + 0.5::DOUBLE, kr, kc FROM h WHERE i = 1)""")
 def corner_cells(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    zigzag = cells.where((F.col("r") % 2 == 0) & (F.col("r") < grid.rows - 1)).select(F.col("r").alias("leg"), F.col("c").alias("seq"), (F.col("r") + F.col("c") % 2).alias("r"), "c")
+    zigzag = cells.where(F.col("r") < grid.rows - 1).select(F.col("r").alias("leg"), F.col("c").alias("seq"), (F.col("r") + F.col("c") % 2).alias("r"), "c")
     streams = cells.where("blocked").select("r", "c", F.col("extra").alias("area"))
     return sequences.with_corners(zigzag, ["leg"], streams).withColumn("seq", F.col("seq").cast("long"))
 

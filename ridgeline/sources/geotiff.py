@@ -1,11 +1,12 @@
 """Relief tiles from and to GeoTIFF files.
 
-A large relief comes as a mosaic of files.  Spark's ``binaryFile`` source deals the files to
-tasks; each task unpacks one block (strip or tile) of a file at a time and yields its cells.
-Going out, cells are grouped by tiles of bounded size, and each tile becomes a file of its own.
+A relief comes as one file or a mosaic of files.  A first pass reads headers only and gives a row for each
+block (strip or tile) with its place in the file; blocks are then dealt to tasks by their bytes, and each
+task reads the byte ranges of its blocks, so one large file is the work of many tasks and no file is
+ever a single value.  Going out, cells are grouped by tiles of bounded size, and each tile becomes a file of its own.
 
-Read are band 1 of one or more bands, integers and floats of 8 to 64 bits, both byte orders,
-plain, Deflate, PackBits and LZW blocks, and horizontal prediction.  Other files raise.
+Read are band 1 of one or more bands, integers and floats of 8 to 64 bits, both byte orders, plain and Deflate
+blocks, and both predictors.  Other files raise.  Paths are URIs that Arrow opens.
 
 Defined results: values equal to the file's NoData, and NaN, are NULL; cells that no file
 covers are absent; where files overlap, a cell is there once for each.
@@ -37,7 +38,12 @@ WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, BANDS, STRIP_ROWS, STRIP_BYTES,
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, TRANSFORM, GEO_KEYS, NODATA_TAG = 33550, 33922, 34264, 34735, 42113
 GEOGRAPHIC_KEY, PROJECTED_KEY = 2048, 3072
-PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACK_BITS = 1, 5, 8, 32946, 32773
+PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
+
+PIECE_BYTES = 8 << 20  # of blocks, for one task
+PAGE = 1 << 16  # of a header, read at once
+STRIP = 64  # rows of a strip that is written
+_HEAD = "file string, rows long, cols long, x0 double, dx double, y0 double, dy double, rx double, ry double, crs string, block_rows int, block_cols int, dtype string, bands int, compression int, predictor int, nodata double, places array<struct<at:long,n:long>>"
 
 
 @dataclass(frozen=True)
@@ -52,19 +58,30 @@ class Header:
     nodata: float | None
 
 
-def _fields(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+class _Pages:
+    """Bytes of a file by place, read a page or more at a time."""
+
+    def __init__(self, read):
+        self.read, self.start, self.held = read, 0, b""
+
+    def get(self, form: str, at: int) -> tuple:
+        n = struct.calcsize(form)
+        if not self.start <= at <= at + n <= self.start + len(self.held):
+            self.start, self.held = at, self.read(max(n, PAGE), at)
+        return struct.unpack_from(form, self.held, at - self.start)
+
+
+def _fields(pages: _Pages) -> tuple[str, dict[int, tuple]]:
+    order = {b"II": "<", b"MM": ">"}.get(pages.get("2s", 0)[0])
+    if order is None or pages.get(order + "H", 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    at = pages.get(order + "I", 4)[0]
+    entries = [(at + 2 + 12 * k, *pages.get(order + "HHI", at + 2 + 12 * k)) for k in range(pages.get(order + "H", at)[0])]
     found = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        entry = at + 2 + 12 * k
-        tag, kind, n = struct.unpack_from(order + "HHI", data, entry)
+    for entry, tag, kind, n in entries:
         if kind in FIELD_TYPES:
             form = f"{order}{n}{FIELD_TYPES[kind]}"
-            place = entry + 8 if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            found[tag] = struct.unpack_from(form, data, place)
+            found[tag] = pages.get(form, entry + 8 if struct.calcsize(form) <= 4 else pages.get(order + "I", entry + 8)[0])
     return order, found
 
 
@@ -75,9 +92,9 @@ def _crs(fields: dict[int, tuple]) -> str:
     return f"EPSG:{code}" if code else ""
 
 
-def header(data: bytes) -> Header:
-    """What a file says of itself."""
-    order, f = _fields(data)
+def header(read) -> Header:
+    """What a file says of itself; ``read(n, at)`` gives ``n`` of its bytes, or what there is."""
+    order, f = _fields(_Pages(read))
     first = lambda tag, default=None: f[tag][0] if tag in f else default
     rows, cols, bands = first(HEIGHT), first(WIDTH), first(BANDS, 1)
     if TRANSFORM in f:
@@ -102,54 +119,12 @@ def header(data: bytes) -> Header:
     return Header(grid, f"{order}{kind}{first(BITS) // 8}", 1 if apart else bands, first(COMPRESSION, PLAIN), first(PREDICTOR, 1), block, places, float(nodata) if nodata else None)
 
 
-def _unpack_bits(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        n = data[at]
-        if n < 128:
-            out += data[at + 1 : at + 2 + n]
-            at += n + 2
-        else:
-            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
-            at += 2 if n > 128 else 1
-    return bytes(out)
-
-
-def _unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first; 256 clears the table and 257 ends the block."""
-    start = [bytes([b]) for b in range(256)] + [b"", b""]
-    table, out, last, width, held, bits = list(start), [], b"", 9, 0, 0
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, last, width = list(start), b"", 9
-            continue
-        word = table[code] if code < len(table) else last + last[:1]
-        out.append(word)
-        if last:
-            table.append(last + word[:1])
-        last = word
-        # The width grows one code early in this format.
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-    return b"".join(out)
-
-
 def block_values(head: Header, packed: bytes) -> np.ndarray:
     """Band 1 of one block, as doubles; the last strip may be short."""
     if head.compression == PLAIN:
         raw = packed
     elif head.compression in (DEFLATE, OLD_DEFLATE):
         raw = zlib.decompress(packed)
-    elif head.compression == LZW:
-        raw = _unpack_lzw(packed)
-    elif head.compression == PACK_BITS:
-        raw = _unpack_bits(packed)
     else:
         raise ValueError(f"compression {head.compression} is not read")
     dtype, cols = np.dtype(head.dtype), head.block[1]
@@ -167,65 +142,94 @@ def block_values(head: Header, packed: bytes) -> np.ndarray:
     return values[:, :, 0].astype(np.float64)
 
 
-def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
-    """``r, c, z`` of all files of ``path`` and the grid that they share.
+def _open(uri: str) -> pa.NativeFile:
+    store, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":/", ":///", 1))
+    return store.open_input_file(path)
 
-    The grid is that of the files together: same cell size and CRS, corners on one lattice.
-    """
-    files = spark.read.format("binaryFile").load(path)
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file of ``path``: its grid, how its values are kept, and where its blocks are.  Only headers are read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = [header(memoryview(x.as_buffer())).grid for x in batch.column(0)]
-            corners = [[getattr(x, n) for x in g] for n in ("x0", "dx", "y0", "dy", "rx", "ry")]
-            yield pa.RecordBatch.from_arrays([pa.array([x.rows for x in g], pa.int64()), pa.array([x.cols for x in g], pa.int64()), *(pa.array(v, pa.float64()) for v in corners), pa.array([x.crs for x in g])], names=["rows", "cols", "x0", "dx", "y0", "dy", "rx", "ry", "crs"])
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                with _open(uri) as source:
+                    size = source.size()
+                    h = header(lambda n, at: source.read_at(min(n, max(0, size - at)), at))
+                g = h.grid
+                rows.append({"file": uri, **{n: getattr(g, n) for n in ("rows", "cols", "x0", "dx", "y0", "dy", "rx", "ry", "crs")}, "block_rows": h.block[0], "block_cols": h.block[1], "dtype": h.dtype, "bands": h.bands, "compression": h.compression, "predictor": h.predictor, "nodata": h.nodata, "places": [{"at": a, "n": n} for a, n in h.places]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_HEAD_ARROW)
+
+    # The source lists files without reading them, since their content is not selected.
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(read, _HEAD)
+
+
+_HEAD_ARROW = pa.schema(
+    [("file", pa.string()), ("rows", pa.int64()), ("cols", pa.int64()), *((n, pa.float64()) for n in ("x0", "dx", "y0", "dy", "rx", "ry")), ("crs", pa.string()), ("block_rows", pa.int32()), ("block_cols", pa.int32()), ("dtype", pa.string())]
+    + [("bands", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("nodata", pa.float64()), ("places", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))]
+)
 
-    found = files.select("content").mapInArrow(heads, "rows long, cols long, x0 double, dx double, y0 double, dy double, rx double, ry double, crs string")
-    same = [F.struct("dx", "dy", "rx", "ry", "crs")]
+
+def _shared_grid(found: DataFrame, path: str) -> Grid:
+    """The grid of all files together: same cell size and CRS, corners on one lattice."""
     row0, col0 = F.col("y0") / F.col("dy"), F.col("x0") / F.col("dx")
     one = found.agg(
-        F.countDistinct(*same).alias("kinds"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.max("rx").alias("rx"), F.max("ry").alias("ry"), F.first("crs").alias("crs"), F.count("*").alias("n"),
+        F.countDistinct(F.struct("dx", "dy", "rx", "ry", "crs")).alias("kinds"), *(F.first(n).alias(n) for n in ("dx", "dy", "rx", "ry", "crs", "rows", "cols")), F.count("*").alias("n"),
         F.min_by("y0", row0).alias("y0"), F.min_by("x0", col0).alias("x0"), F.max(row0 + F.col("rows")).alias("row1"), F.min(row0).alias("row0"), F.max(col0 + F.col("cols")).alias("col1"), F.min(col0).alias("col0"),
     ).first()
     if one.kinds != 1 or (one.n > 1 and (one.rx or one.ry)):
         raise ValueError(f"the files of {path} do not share one grid")
     if one.n == 1:
-        row = found.first()
-        grid = Grid(row.rows, row.cols, row.x0, row.dx, row.y0, row.dy, row.rx, row.ry, row.crs)
-    else:
-        grid = Grid(round(one.row1 - one.row0), round(one.col1 - one.col0), one.x0, one.dx, one.y0, one.dy, crs=one.crs)
+        return Grid(one.rows, one.cols, one.x0, one.dx, one.y0, one.dy, one.rx, one.ry, one.crs)
+    return Grid(round(one.row1 - one.row0), round(one.col1 - one.col0), one.x0, one.dx, one.y0, one.dy, crs=one.crs)
+
+
+def read_geotiff(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, Grid]:
+    """``r, c, z`` of all files of ``path`` and the grid that they share."""
+    found = materialize(heads(spark, path), "geotiff-heads")
+    grid = _shared_grid(found, path)
+    off = {"r0": (F.col("y0") - grid.y0) / grid.dy, "c0": (F.col("x0") - grid.x0) / grid.dx}
+    if not found.where(F.greatest(*(F.abs(v - F.round(v)) for v in off.values())) > 1e-3).isEmpty():
+        raise ValueError("a file lies between the cells of the others")
+    across = F.ceil(F.col("cols") / F.col("block_cols"))
+    top, left = F.floor(F.col("k") / across) * F.col("block_rows"), F.col("k") % across * F.col("block_cols")
+    each = found.withColumns({n: F.round(v).cast("long") for n, v in off.items()}).select("*", F.posexplode("places").alias("k", "place"))
+    blocks = each.select(
+        "file", "place.at", "place.n", (F.col("r0") + top).cast("long").alias("top"), (F.col("c0") + left).cast("long").alias("left"), (F.col("rows") - top).cast("long").alias("high"), (F.col("cols") - left).cast("long").alias("wide"),
+        "block_rows", "block_cols", "dtype", "bands", "compression", "predictor", "nodata",
+    )
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, source = None, None
         for batch in batches:
-            for content in batch.column(0):
-                data = memoryview(content.as_buffer())
-                head = header(data)
-                off = [(head.grid.y0 - grid.y0) / grid.dy, (head.grid.x0 - grid.x0) / grid.dx]
-                r0, c0 = (round(v) for v in off)
-                if max(abs(off[0] - r0), abs(off[1] - c0)) > 1e-3:
-                    raise ValueError("a file lies between the cells of the others")
-                across = -(-head.grid.cols // head.block[1])
-                for k, (at, n) in enumerate(head.places):
-                    z = block_values(head, bytes(data[at : at + n]))
-                    top, left = k // across * head.block[0], k % across * head.block[1]
-                    z = z[: head.grid.rows - top, : head.grid.cols - left]
-                    gone = np.isnan(z) | (z == head.nodata if head.nodata is not None else False)
-                    r, c = np.indices(z.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array((r + r0 + top).ravel()), pa.array((c + c0 + left).ravel()), pa.array(z.astype(np.float32).ravel(), mask=gone.ravel())], names=["r", "c", "z"])
-
-    return files.select("content").mapInArrow(cells, "r long, c long, z float"), grid
+            for b in batch.to_pylist():
+                if b["file"] != name:
+                    name, source = b["file"], _open(b["file"])
+                head = Header(grid, b["dtype"], b["bands"], b["compression"], b["predictor"], (b["block_rows"], b["block_cols"]), (), b["nodata"])
+                z = block_values(head, source.read_at(b["n"], b["at"]))[: b["high"], : b["wide"]]
+                gone = np.isnan(z) | (z == head.nodata if head.nodata is not None else False)
+                r, c = np.indices(z.shape)
+                yield pa.RecordBatch.from_arrays([pa.array((r + b["top"]).ravel()), pa.array((c + b["left"]).ravel()), pa.array(z.astype(np.float32).ravel(), mask=gone.ravel())], names=["r", "c", "z"])
+
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    placed = blocks.repartition(max(1, -(-total // piece_bytes)), "file", F.floor(F.col("at") / piece_bytes)).sortWithinPartitions("file", "at")
+    return placed.mapInArrow(cells, "r long, c long, z float"), grid
 
 
 def pack(values: np.ndarray, grid: Grid, nodata: float = NODATA, kind: str = "f4") -> bytes:
-    """A GeoTIFF file with one Deflate strip; ``kind`` is a NumPy type, such as ``f4`` or ``u1``."""
-    strip = zlib.compress(np.ascontiguousarray(values, f"<{kind}").tobytes(), 6)
+    """A GeoTIFF file with Deflate strips of ``STRIP`` rows; ``kind`` is a NumPy type, such as ``f4`` or ``u1``."""
+    strips = [zlib.compress(np.ascontiguousarray(values[k : k + STRIP], f"<{kind}").tobytes(), 6) for k in range(0, len(values), STRIP)]
+    sizes = [len(x) for x in strips]
+    strip, places = b"".join(strips), [8 + sum(sizes[:k]) for k in range(len(sizes))]
     model, key = (2, GEOGRAPHIC_KEY) if grid.geographic else (1, PROJECTED_KEY)
     keys = (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, key, 0, 1, int(grid.crs.removeprefix("EPSG:") or 32767))
     where = (grid.dx, grid.rx, 0.0, grid.x0, grid.ry, grid.dy, 0.0, grid.y0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)
     text = f"{nodata:g}".encode() + b"\0"
     entries = [
-        (WIDTH, "I", (values.shape[1],)), (HEIGHT, "I", (values.shape[0],)), (BITS, "H", (8 * int(kind[1:]),)), (COMPRESSION, "H", (DEFLATE,)), (262, "H", (1,)), (STRIP_OFFSETS, "I", (8,)),
-        (BANDS, "H", (1,)), (STRIP_ROWS, "I", (values.shape[0],)), (STRIP_BYTES, "I", (len(strip),)), (SAMPLE_FORMAT, "H", ("uif".index(kind[0]) + 1,)), (TRANSFORM, "d", where), (GEO_KEYS, "H", keys), (NODATA_TAG, "s", (text,)),
+        (WIDTH, "I", (values.shape[1],)), (HEIGHT, "I", (values.shape[0],)), (BITS, "H", (8 * int(kind[1:]),)), (COMPRESSION, "H", (DEFLATE,)), (262, "H", (1,)), (STRIP_OFFSETS, "I", tuple(places)),
+        (BANDS, "H", (1,)), (STRIP_ROWS, "I", (STRIP,)), (STRIP_BYTES, "I", tuple(sizes)), (SAMPLE_FORMAT, "H", ("uif".index(kind[0]) + 1,)), (TRANSFORM, "d", where), (GEO_KEYS, "H", keys), (NODATA_TAG, "s", (text,)),
     ]
     codes = {v: k for k, v in FIELD_TYPES.items() if k in (2, 3, 4, 12)}
     start = 8 + len(strip) + len(strip) % 2

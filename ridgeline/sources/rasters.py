@@ -11,7 +11,11 @@ NODATA = -9999.0
 
 
 def read_ascii_grid(spark: SparkSession, path: str, crs: str = "EPSG:32723") -> tuple[DataFrame, Grid]:
-    """``r, c, z`` and the grid of an ESRI ASCII grid; the file is read by lines, the header alone by the driver."""
+    """``r, c, z`` and the grid of an ESRI ASCII grid; the file is read by lines, the header alone by the driver.
+
+    Lines are numbered within the parts of the file and moved by the lines of the parts before, which are summed
+    first: no task sees all lines.
+    """
     lines = spark.read.text(path)
     # At most six header lines start with a letter.
     head = {k.lower(): float(v) for k, v in (r.value.split() for r in lines.where(F.col("value").rlike("^[A-Za-z]")).limit(6).collect())}
@@ -19,7 +23,11 @@ def read_ascii_grid(spark: SparkSession, path: str, crs: str = "EPSG:32723") ->
     half = size / 2 if "xllcenter" in head else 0.0
     grid = Grid(rows, cols, head.get("xllcorner", head.get("xllcenter", 0.0)) - half, size, head.get("yllcorner", head.get("yllcenter", 0.0)) - half + rows * size, -size, crs=crs)
     body = lines.where(~F.col("value").rlike("^[A-Za-z]") & (F.trim("value") != "")).withColumn("__at", F.monotonically_increasing_id())
-    numbered = body.select("value", (F.row_number().over(Window.orderBy("__at")) - 1).cast("long").alias("r"))
+    # The upper bits of __at number the part, the lower 33 the line in it.
+    parts = body.select("value", F.shiftright("__at", 33).alias("part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("line"))
+    totals = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    numbered = parts.join(F.broadcast(before), "part").select("value", (F.col("line") + F.col("before")).alias("r"))
     values = numbered.select("r", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("c", "v"))
     return values.select("r", F.col("c").cast("long").alias("c"), nodata_to_null(F.col("v").cast("double"), head.get("nodata_value", NODATA)).cast("float").alias("z")), grid
 

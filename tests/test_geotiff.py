@@ -17,51 +17,8 @@ def cells_of(spark, rows, cols):
     return spark.range(rows * cols).select(F.expr(f"id div {cols}").alias("r"), (id_ % cols).alias("c"), z.alias("z"))
 
 
-def codes(data):
-    """LZW as the format has it: 9 to 12 bits, the width one code early, cleared before 12 bits run out."""
-    out, table, word = [], {}, b""
-
-    def clear():
-        table.clear()
-        table.update({bytes([b]): b for b in range(256)})
-
-    def put(code):
-        out.append((code, width()))
-
-    def width():
-        return max(9, (len(table) + 2).bit_length())
-
-    clear()
-    put(256)
-    for b in data:
-        if word + bytes([b]) in table:
-            word += bytes([b])
-            continue
-        put(table[word])
-        table[word + bytes([b])] = len(table) + 2
-        word = bytes([b])
-        if len(table) + 2 >= 4094:
-            put(table[word])
-            put(256)
-            clear()
-            word = b""
-    if word:
-        put(table[word])
-        table[word + b"\0\0"] = len(table) + 2
-    put(257)
-    bits = "".join(f"{code:0{n}b}" for code, n in out)
-    bits += "0" * (-len(bits) % 8)
-    return int(bits, 2).to_bytes(len(bits) // 8, "big")
-
-
-def test_lzw():
-    rng = np.random.default_rng(1)
-    for data in (b"a", b"aaaaaaaaaaaa", bytes(300), rng.integers(0, 4, 3000, np.uint8).tobytes(), rng.integers(0, 256, 9000, np.uint8).tobytes()):
-        assert geotiff._unpack_lzw(codes(data)) == data
-
-
-def test_pack_bits():
-    assert geotiff._unpack_bits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7])) == bytes([1, 2, 3, 9, 9, 9, 7])
+def reader(data):
+    return lambda n, at: data[at : at + n]
 
 
 @pytest.mark.parametrize("order", "<>")
@@ -101,14 +58,14 @@ def test_classes_and_rotation(spark, tmp_path):
 def test_strips_and_damage():
     z = np.arange(35, dtype="<f4").reshape(5, 7)
     data = geotiff.pack(z, GRID)
-    head = geotiff.header(data)
+    head = geotiff.header(reader(data))
     assert head.grid == GRID and head.nodata == -9999.0 and head.block == (5, 7)
     (at, n), = head.places
     assert (geotiff.block_values(head, data[at : at + n]) == z).all()
     with pytest.raises(ValueError):
-        geotiff.header(b"PK" + data[2:])
+        geotiff.header(reader(b"PK" + data[2:]))
     with pytest.raises(ValueError):
-        geotiff.header(data.replace(struct.pack("<HH", geotiff.TRANSFORM, 12), struct.pack("<HH", 65000, 12)))
+        geotiff.header(reader(data.replace(struct.pack("<HH", geotiff.TRANSFORM, 12), struct.pack("<HH", 65000, 12))))
 
 
 def test_grids_that_differ(spark, tmp_path):
@@ -116,3 +73,32 @@ def test_grids_that_differ(spark, tmp_path):
         (tmp_path / f"{k}.tif").write_bytes(geotiff.pack(np.zeros((5, 7), "<f4"), Grid(5, 7, 1000.0, size, 5000.0, -size)))
     with pytest.raises(ValueError):
         geotiff.read_geotiff(spark, f"file://{tmp_path}/*.tif")
+
+
+def test_one_file_of_many_blocks_is_read_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    z = rng.normal(500, 100, (700, 300)).astype("<f4")
+    z[rng.random(z.shape) < 0.05] = -9999.0
+    grid = Grid(700, 300, 1000.0, 10.0, 5000.0, -10.0)
+    (tmp_path / "one.tif").write_bytes(geotiff.pack(z, grid))
+    (head,) = geotiff.heads(spark, f"file://{tmp_path}").collect()
+    assert len(head.places) == 11 and head.rows == 700
+    back, found = geotiff.read_geotiff(spark, f"file://{tmp_path}", piece_bytes=100_000)
+    assert found == grid
+    rows = back.select("r", "c", "z", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in rows}) >= 4
+    got = np.zeros(z.shape)
+    for r in rows:
+        got[r.r, r.c] = -9999.0 if r.z is None else r.z
+    assert len(rows) == z.size and (got == z).all()
+
+
+def test_headers_larger_than_a_page(monkeypatch):
+    monkeypatch.setattr(geotiff, "PAGE", 16)
+    monkeypatch.setattr(geotiff, "STRIP", 2)
+    z = np.arange(700, dtype="<f4").reshape(100, 7)
+    data = geotiff.pack(z, Grid(100, 7, 1000.0, 10.0, 5000.0, -10.0))
+    head = geotiff.header(reader(data))
+    assert len(head.places) == 50 and (np.concatenate([geotiff.block_values(head, data[a : a + n]) for a, n in head.places]) == z).all()
+    with pytest.raises(ValueError, match="compression 5"):
+        geotiff.block_values(geotiff.Header(GRID, "<f4", 1, 5, 1, (5, 7), (), None), b"")
