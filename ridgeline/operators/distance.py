@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.sources.grid import Grid
 
+GATHER_TILE = 512  # rows and columns of the source, gathered from at once
+
 
 def _envelope(height: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
     """For each place, min over k of height[k] + (spacing * (place - k))**2 and its k, by the lower envelope of parabolas."""
@@ -111,43 +113,105 @@ def rasterize(edges: DataFrame, grid: Grid) -> DataFrame:
 
 
 def constraint_cells(edges: DataFrame, grid: Grid, margin: float = 0.0) -> DataFrame:
-    """Cells inside polygons, or within ``margin`` of those."""
+    """Cells whose centre is inside polygons, or at most ``margin`` from their sides."""
     inside = rasterize(edges, grid)
-    return inside if margin <= 0 else buffer(inside.withColumn("hit", F.lit(True)), grid, "hit", margin)
+    return inside if margin <= 0 else inside.union(within(edges, grid, margin)).distinct()
+
+
+TAPS = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}
 
 
-def resample(cells: DataFrame, source: Grid, target: Grid, value: str, method: str = "bilinear", x=None, y=None) -> DataFrame:
+def _weights(d: np.ndarray, method: str) -> np.ndarray:
+    d = np.abs(d)
+    if method == "nearest":
+        return np.ones_like(d)
+    if method == "bilinear":
+        return np.maximum(1.0 - d, 0.0)
+    return np.where(d <= 1, d * d * (d * 1.5 - 2.5) + 1.0, np.where(d < 2, ((d * -0.5 + 2.5) * d - 4.0) * d + 2.0, 0.0))
+
+
+def resample(cells: DataFrame, source: Grid, target: Grid, value: str, method: str = "bilinear", x=None, y=None, size: int | None = None) -> DataFrame:
     """``r, c, value`` on the target grid.
 
     ``x`` and ``y`` give the source coordinates of a target cell, if not its own centre's (see
-    ``crs``).  Each target cell meets 1, 4 or 16 source cells by an equi-join; NoData is left out
-    and the weights of the rest are scaled up.
+    ``crs``).  Target cells go to the source tile that they lie in, and source cells to their tile and, at its edge,
+    to those beside it, so every row is sent about once; a tile then gathers the 1, 4 or 16 values of each of
+    its target cells.  NoData is left out and the weights of the rest are scaled up.
     """
-    taps = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}
-    if method not in taps:
+    if method not in TAPS:
         raise ValueError(f"no resampling method {method}")
     spark = cells.sparkSession
     every = spark.range(target.rows * target.cols).select(F.expr(f"id div {target.cols}").alias("r"), (F.col("id") % target.cols).alias("c"))
     wx, wy = target.to_world(F.col("r"), F.col("c"))
     at = every.withColumns({"__x": wx if x is None else x, "__y": wy if y is None else y})
-    fc, fr = (F.col("__x") - source.x0) / source.dx, (F.col("__y") - source.y0) / source.dy
+    det = source.dx * source.dy - source.rx * source.ry
+    u, v = F.col("__x") - source.x0, F.col("__y") - source.y0
+    fc, fr = (u * source.dy - v * source.rx) / det, (v * source.dx - u * source.ry) / det
+    if not source.rotated:
+        fc, fr = u / source.dx, v / source.dy
     at = at.where((fc >= 0) & (fc < source.cols) & (fr >= 0) & (fr < source.rows))
     shift = 0.0 if method == "nearest" else 0.5
-    at = at.withColumns({"fr": fr - shift, "fc": fc - shift})
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in taps[method] for b in taps[method])))
-    near = at.select("r", "c", "fr", "fc", offsets.alias("o")).select(
-        "r", "c", (F.floor("fr") + F.col("o.a")).alias("sr"), (F.floor("fc") + F.col("o.b")).alias("sc"), "fr", "fc",
-    )
-
-    def weight(d):
-        d = F.abs(d)
-        if method == "nearest":
-            return F.lit(1.0)
-        if method == "bilinear":
-            return F.greatest(1.0 - d, F.lit(0.0))
-        return F.when(d <= 1, d * d * (d * 1.5 - 2.5) + 1.0).when(d < 2, ((d * -0.5 + 2.5) * d - 4.0) * d + 2.0).otherwise(0.0)
-
-    w = weight(F.col("fr") - F.col("sr")) * weight(F.col("fc") - F.col("sc"))
-    known = cells.where(F.col(value).isNotNull()).select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).cast("double").alias("v"))
-    joined = near.join(known, ["sr", "sc"]).withColumn("w", w)
-    return joined.groupBy("r", "c").agg((F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w"))).alias(value))
+    # A tile of finer target cells holds fewer source cells, so that it has as many rows.
+    size = size or max(16, int(GATHER_TILE * min(1.0, (target.rows * target.cols / (source.rows * source.cols)) ** -0.5)))
+    asked = at.select("r", "c", (fr - shift).alias("fr"), (fc - shift).alias("fc")).withColumns({"tr": F.floor(F.col("fr") / size), "tc": F.floor(F.col("fc") / size)})
+    # A source cell is needed where the row before a target cell's place is at most two above it or one below.
+    near = [F.array_distinct(F.array(*(F.floor((F.col(n) + d) / size) for d in (-2, 1)))) for n in "rc"]
+    known = cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("v"), F.explode(near[0]).alias("tr"), near[1].alias("tcs")).withColumn("tc", F.explode("tcs")).drop("tcs")
+    taps = TAPS[method]
+    schema = pa.schema([("r", pa.int64()), ("c", pa.int64()), ("v", pa.float64())])
+
+    def gather(key: tuple, wanted: pa.Table, have: pa.Table) -> pa.Table:
+        if not wanted.num_rows or not have.num_rows:
+            return schema.empty_table()
+        top, left = (k.as_py() * size - 1 for k in key)
+        values = np.full((size + 3, size + 3), np.nan)
+        values[have.column("r").to_numpy() - top, have.column("c").to_numpy() - left] = have.column("v").to_numpy()
+        fr, fc = wanted.column("fr").to_numpy(), wanted.column("fc").to_numpy()
+        r0, c0 = np.floor(fr), np.floor(fc)
+        total, weight, some = np.zeros(len(fr)), np.zeros(len(fr)), np.zeros(len(fr), bool)
+        for a in taps:
+            for b in taps:
+                v = values[(r0 + a).astype(np.int64) - top, (c0 + b).astype(np.int64) - left]
+                here = ~np.isnan(v)
+                w = _weights(fr - r0 - a, method) * _weights(fc - c0 - b, method)
+                total += np.where(here, w * np.where(here, v, 0.0), 0.0)
+                weight += np.where(here, w, 0.0)
+                some |= here
+        made = np.divide(total, weight, out=np.full(len(fr), np.nan), where=weight != 0)
+        rows = pa.table([wanted.column("r"), wanted.column("c"), pa.array(made, mask=weight == 0)], schema=schema)
+        return rows.filter(pa.array(some))
+
+    found = asked.groupBy("tr", "tc").cogroup(known.groupBy("tr", "tc")).applyInArrow(gather, "r long, c long, v double")
+    return found.select("r", "c", F.col("v").alias(value))
+
+
+def within(edges: DataFrame, grid: Grid, margin: float) -> DataFrame:
+    """``r, c`` of cells whose centre is at most ``margin`` from a side of ``x1, y1, x2, y2``: round corners, exactly.
+
+    Sides are cut to pieces of twice the margin, and a piece meets the cells of its own box alone, so work follows the outline.
+    """
+    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / max(2 * margin, 4 * max(grid.px, grid.py))), F.lit(1))
+    cut = edges.select("x1", "y1", "x2", "y2", n.alias("n")).select("x1", "y1", "x2", "y2", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    along = lambda a, k: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * (F.col("k") + k) / F.col("n")
+    pieces = cut.select(*(along(a, k).alias(f"{p}{a}") for p, k in (("p", 0), ("q", 1)) for a in "xy"))
+
+    def span(name: str, origin: float, step: float, count: int):
+        """Rows or columns whose centres may be near enough, with one to spare at each end."""
+        ends = [(F.col(f"{p}{name}") - origin) / step - 0.5 for p in "pq"]
+        reach = margin / abs(step) + 1
+        return F.greatest(F.ceil(F.least(*ends) - reach), F.lit(0)).cast("long"), F.least(F.floor(F.greatest(*ends) + reach), F.lit(count - 1)).cast("long")
+
+    rows, cols = span("y", grid.y0, grid.dy, grid.rows), span("x", grid.x0, grid.dx, grid.cols)
+    boxed = pieces.where((rows[0] <= rows[1]) & (cols[0] <= cols[1])).select("*", F.explode(F.sequence(*rows)).alias("r")).select("*", F.explode(F.sequence(*cols)).alias("c"))
+    x, y = grid.to_world(F.col("r"), F.col("c"))
+    vx, vy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    t = F.coalesce(F.try_divide((x - F.col("px")) * vx + (y - F.col("py")) * vy, vx * vx + vy * vy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    near = (x - F.col("px") - vx * t) ** 2 + (y - F.col("py") - vy * t) ** 2 <= margin * margin
+    return boxed.where(near).select("r", "c").distinct()
+
+
+def polygon_measures(edges: DataFrame) -> DataFrame:
+    """``fid, area, length`` of polygons by their sides; holes run the other way round."""
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    return edges.groupBy("fid").agg(F.abs(F.sum(cross) / 2).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"))

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions import crs
 from ridgeline.operators import classes, distance, sequences, terrain, validation
 from ridgeline.plans import scene
 from ridgeline.plans.surface import CLASS_SQL, SLOPE, relief
 from ridgeline.session import materialize, run_path
-from ridgeline.sources import geotiff
+from ridgeline.sources import geotiff, working
 from ridgeline.sources.grid import ORDERS_SQL, Grid, analytic_scene
 
 QUERIES: dict = {}
@@ -73,6 +74,75 @@ def polygon_cells(spark, sf_dir):
     return distance.constraint_cells(triangles(spark, sf_dir), grid)
 
 
+@query(f"""WITH {ORDERS_SQL}, {TRIANGLES}, p AS (SELECT r, c, 500000 + (c + 0.5::DOUBLE) * 30 AS x, 7500000 - (r + 0.5::DOUBLE) * 30 AS y FROM cells),
+inside AS (SELECT r, c FROM (SELECT r, c, fid FROM p JOIN sides ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY r, c, fid HAVING count(*) % 2 = 1)),
+near AS (SELECT r, c, x, y, x1, y1, x2 - x1 AS vx, y2 - y1 AS vy FROM p JOIN sides ON x BETWEEN least(x1, x2) - 75 AND greatest(x1, x2) + 75 AND y BETWEEN least(y1, y2) - 75 AND greatest(y1, y2) + 75),
+t AS (SELECT *, least(greatest(((x - x1) * vx + (y - y1) * vy) / (vx * vx + vy * vy), 0), 1) AS t FROM near)
+SELECT r, c FROM inside UNION SELECT r, c FROM t WHERE power(x - x1 - vx * t, 2) + power(y - y1 - vy * t, 2) <= 75 * 75""")
+def polygon_margin(spark, sf_dir):
+    _, grid = relief(spark, sf_dir)
+    return distance.constraint_cells(triangles(spark, sf_dir), grid, 75.0)
+
+
+@query(f"WITH {TRIANGLES} SELECT fid, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 2) AS area, round(sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))), 4) AS length FROM sides GROUP BY fid")
+def polygon_measures(spark, sf_dir):
+    return distance.polygon_measures(triangles(spark, sf_dir)).select("fid", F.round("area", 2).alias("area"), F.round("length", 4).alias("length"))
+
+
+def _cubic(d: str) -> str:
+    return f"CASE WHEN abs({d}) <= 1 THEN {d} * {d} * (abs({d}) * 1.5::DOUBLE - 2.5::DOUBLE) + 1 ELSE ((abs({d}) * -0.5::DOUBLE + 2.5::DOUBLE) * abs({d}) - 4) * abs({d}) + 2 END"
+
+
+@query(f"""WITH {ORDERS_SQL}, t AS (SELECT r, c, w, (r + 0.5::DOUBLE) * 2 / 3 - 0.5::DOUBLE AS fr, (c + 0.5::DOUBLE) * 2 / 3 - 0.5::DOUBLE AS fc FROM cells),
+k AS (SELECT t.r, t.c, s.z::DOUBLE AS z, fr - s.r AS a, fc - s.c AS b FROM t, range(-1, 3) i(i), range(-1, 3) j(j) JOIN cells s ON s.r = floor(fr) + i AND s.c = floor(fc) + j WHERE s.z IS NOT NULL)
+SELECT r, c, round(sum({_cubic("a")} * ({_cubic("b")}) * z) / sum({_cubic("a")} * ({_cubic("b")})), 4) AS z FROM (SELECT r, c, z, a, b FROM k) GROUP BY r, c HAVING abs(sum({_cubic("a")} * ({_cubic("b")}))) > 1e-6""")
+def resampled_cubic(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    target = Grid(grid.rows, grid.cols, grid.x0, 20.0, grid.y0, -20.0)
+    return distance.resample(cells, grid, target, "z", "cubic").where("z is not null").select("r", "c", F.round("z", 4).alias("z"))
+
+
+DEGREE_CELL = 1 / 3600  # of a second of arc, as the common reliefs have it
+
+
+def _series(of: str, factors: tuple, even: str, other: str, sign: str = "+") -> str:
+    return of + "".join(f" {sign} {a!r}::DOUBLE * {even.format(k=2 * k)} * {other.format(k=2 * k)}" for k, a in enumerate(factors, 1))
+
+
+def _utm_sql() -> str:
+    """Tables ``corners`` (of the relief in degrees, in UTM) and, for lattice cells ``x, y``, ``back`` with their longitude and latitude."""
+    e, radius, middle = crs._e, crs.SCALE * crs._radius, -45.0
+    t = f"sinh(atanh(sin(radians(lat))) - atanh(sin(radians(lat)) * {e!r}::DOUBLE) * {e!r}::DOUBLE)"
+    x = _series("eta", crs._ALPHA, "cos(xi * {k})", "sinh(eta * {k})")
+    y = _series("xi", crs._ALPHA, "sin(xi * {k})", "cosh(eta * {k})")
+    u = _series("xi", crs._BETA, "sin(xi * {k})", "cosh(eta * {k})", "-")
+    v = _series("eta", crs._BETA, "cos(xi * {k})", "sinh(eta * {k})", "-")
+    lat = _series("chi", crs._DELTA, "sin(chi * {k})", "1")
+    return f"""edge AS (SELECT -45.2::DOUBLE + a * w / 3600.0::DOUBLE AS lon, -22.1::DOUBLE - b * w / 3600.0::DOUBLE AS lat FROM dims, (VALUES (0, 0), (0, 1), (1, 0), (1, 1), (0.5, 0), (0.5, 1)) q(a, b)),
+f1 AS (SELECT {t} AS t, radians(lon - ({middle!r}::DOUBLE)) AS lam FROM edge),
+f2 AS (SELECT atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(t * t + 1)) AS eta FROM f1),
+corners AS (SELECT ({x}) * {radius!r}::DOUBLE + 500000 AS x, ({y}) * {radius!r}::DOUBLE + 10000000 AS y FROM f2),
+span AS (SELECT floor(min(x) / 30)::BIGINT - 2 AS c0, ceil(max(x) / 30)::BIGINT + 2 AS c1, floor(min(y) / 30)::BIGINT - 2 AS r0, ceil(max(y) / 30)::BIGINT + 2 AS r1 FROM corners),
+lattice AS (SELECT (c + 0.5::DOUBLE) * 30 AS x, (r + 0.5::DOUBLE) * 30 AS y FROM (SELECT unnest(range(c0, c1)) AS c FROM span), (SELECT unnest(range(r0, r1)) AS r FROM span)),
+b1 AS (SELECT x, y, (y - 10000000) / {radius!r}::DOUBLE AS xi, (x - 500000) / {radius!r}::DOUBLE AS eta FROM lattice),
+b2 AS (SELECT x, y, {u} AS u, {v} AS v FROM b1),
+b3 AS (SELECT x, y, u, v, asin(sin(u) / cosh(v)) AS chi FROM b2),
+back AS (SELECT x, y, degrees(atan2(sinh(v), cos(u))) + ({middle!r}::DOUBLE) AS lon, degrees({lat}) AS lat FROM b3)"""
+
+
+@query(f"""WITH {ORDERS_SQL}, {_utm_sql()},
+p AS (SELECT x, y, (lon + 45.2::DOUBLE) * 3600 AS fc, (-22.1::DOUBLE - lat) * 3600 AS fr, w FROM back, dims),
+t AS (SELECT x, y, fr - 0.5::DOUBLE AS fr, fc - 0.5::DOUBLE AS fc FROM p WHERE fc >= 0 AND fc < w AND fr >= 0 AND fr < w),
+k AS (SELECT x, y, (1 - abs(fr - r)) * (1 - abs(fc - c)) AS weight, z::DOUBLE AS z FROM t, range(0, 2) i(i), range(0, 2) j(j) JOIN cells ON r = floor(fr) + i AND c = floor(fc) + j WHERE z IS NOT NULL)
+SELECT x, y, round(sum(weight * z) / sum(weight), 2) AS z FROM k GROUP BY x, y""")
+def warped_to_utm(spark, sf_dir):
+    cells, grid = relief(spark, sf_dir)
+    in_degrees = Grid(grid.rows, grid.cols, -45.2, DEGREE_CELL, -22.1, -DEGREE_CELL, crs="EPSG:4326")
+    made = working.working_relief(cells.select("r", "c", "z"), in_degrees, cell=30.0)
+    x, y = made.grid.to_world(F.col("r"), F.col("c"))
+    return made.cells.where("z is not null").select(x.alias("x"), y.alias("y"), F.round("z", 2).alias("z"))
+
+
 POINTS = "pts AS (SELECT event_id, 500000 + value * 12 AS x, 7500000 - (event_id * 7 % 1500) AS y FROM events)"
 
 
