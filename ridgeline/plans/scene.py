@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
 from ridgeline.operators import classes, distance, hydrology, regions, routing, score, sequences, stats, terrain
-from ridgeline.session import materialize
+from ridgeline.session import materialize, remove, scratch
 from ridgeline.sources import geotiff, rasters, vectors
 from ridgeline.sources.grid import Grid
 
@@ -134,14 +136,49 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
 RASTERS = ("score", "risk", "class", "zone", "cost")
 
 
+def products(spark: SparkSession, target: str) -> dict[str, str]:
+    """Name and place of the products of the last complete run into ``target``; none before the first."""
+    try:
+        runs = spark.read.schema(_MANIFEST).json(f"{target.rstrip('/')}/manifest")
+    except AnalysisException:
+        return {}
+    last = runs.orderBy(F.desc("at"), F.desc("run")).first()
+    return {p.name: p.place for p in last.products} if last else {}
+
+
+_MANIFEST = "run string, at timestamp, products array<struct<name:string,place:string>>"
+
+
 def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, float]] | None = None, o: SceneOptions = SceneOptions(), constraint: str | None = None) -> dict[str, DataFrame]:
-    """The whole scene: computes everything, writes products and a log below ``target``, returns the products as written.
+    """The whole scene: computes everything, publishes products and a log below ``target``, returns the products as written.
 
     Rasters are GeoTIFF tiles in a folder for each; zones, route, stream crossings and
     alternatives are Parquet tables, zones also as GeoJSON lines.  The log has an event for each step.
+
+    All products go to a folder of the run.  When all are complete, one row of the manifest names them (``products``), which
+    Spark commits as a whole; a run that fails leaves its log and no product, and products of earlier runs stay as they
+    were.  Intermediate tables are removed in any case.
     """
     spark, folder = cells.sparkSession, target.rstrip("/")
-    log: list[tuple[str, dict]] = [("start", {"rows": grid.rows, "cols": grid.cols, "crs": grid.crs, "points": len(points or [])})]
+    name = f"run-{uuid.uuid4().hex}"
+    log: list[tuple[str, dict]] = [("start", {"run": name, "rows": grid.rows, "cols": grid.cols, "crs": grid.crs, "points": len(points or [])})]
+    try:
+        with scratch(spark, "scene"):
+            made = _products(cells, grid, f"{folder}/{name}", points, o, constraint, log)
+        rows = [(name, [{"name": n, "place": f"{folder}/{name}/{n}"} for n in [*made, "zones.geojsonl", *RASTERS]])]
+        manifest = spark.createDataFrame(rows, "run string, products array<struct<name:string,place:string>>").withColumn("at", F.current_timestamp())
+        manifest.coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    except BaseException as failure:
+        remove(spark, f"{folder}/{name}")
+        rasters.log_events(spark, [*log, ("failed", {"error": f"{type(failure).__name__}: {failure}"[:500]})], f"{folder}/log")
+        raise
+    rasters.log_events(spark, [*log, ("end", {"run": name})], f"{folder}/log")
+    return made
+
+
+def _products(cells: DataFrame, grid: Grid, folder: str, points: list[tuple[float, float]] | None, o: SceneOptions, constraint: str | None, log: list) -> dict[str, DataFrame]:
+    """Compute and write all products to ``folder``."""
+    spark = cells.sparkSession
     if note := grid.size_warning():
         log.append(("large", {"note": note}))
     made = materialize(surface(cells, grid, o, constraint), "scene")
@@ -153,19 +190,17 @@ def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, flo
             found = route(made, grid, points, o)
         except routing.NoWay as no_way:
             log.append(("no_way", {"needed_slope": no_way.needed, "only_by_corner": no_way.by_corner}))
-            rasters.log_events(spark, log, f"{folder}/log", first=True)
             raise
         layers |= {"route" if k == "path" else f"route_{k}": v for k, v in found.items()}
     out = {}
     for name, frame in layers.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        frame.write.parquet(f"{folder}/{name}")
         out[name] = spark.read.parquet(f"{folder}/{name}")
         log.append(("layer", {"name": name, "rows": out[name].count()}))
     corner = lambda p: F.array(F.lit(grid.x0) + p["c"] * grid.dx + p["r"] * grid.rx, F.lit(grid.y0) + p["c"] * grid.ry + p["r"] * grid.dy)
     rings = F.transform("rings", lambda ring: F.transform(ring, corner))
-    vectors.to_geojson(out["zones"], "Polygon", rings, ["region", "n_cells", "area_ha"]).write.mode("overwrite").text(f"{folder}/zones.geojsonl")
+    vectors.to_geojson(out["zones"], "Polygon", rings, ["region", "n_cells", "area_ha"]).write.text(f"{folder}/zones.geojsonl")
     for name in RASTERS:
         geotiff.write_geotiff(made.select("r", "c", F.col(name).cast("float").alias(name)), grid, name, f"{folder}/{name}")
         log.append(("raster", {"name": name}))
-    rasters.log_events(spark, [*log, ("end", {})], f"{folder}/log", first=True)
     return out

@@ -8,6 +8,7 @@ without that setting (tests) gets a folder of this process; on a cluster its abs
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_scopes: list[str] = []  # folders of runs whose tables go when the run ends
 
 
 def _local_root() -> str:
@@ -39,7 +41,26 @@ def shared_root(spark: SparkSession) -> str:
 
 def run_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; no two calls get the same one."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scope = f"{_scopes[-1]}/" if _scopes else ""
+    return f"{shared_root(spark).rstrip('/')}/{scope}{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store Spark reaches, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str = "run"):
+    """Intermediate tables of the block are removed when it ends; what it returns must be written elsewhere."""
+    scope = f"{name}-{uuid.uuid4().hex}"
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        remove(spark, f"{shared_root(spark).rstrip('/')}/{scope}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -95,6 +95,7 @@ def test_scene_route_raises_it_and_the_log_has_it(spark, tmp_path, monkeypatch):
         scene.run(cells, g, f"file://{tmp_path}/out", points, scene.SceneOptions(streams=False))
     events = {r.event: r.payload for r in spark.read.schema("event string, payload map<string,string>").json(f"file://{tmp_path}/out/log").collect()}
     assert events["no_way"]["needed_slope"] == "91" and events["no_way"]["only_by_corner"] == "False"
+    assert scene.products(spark, f"file://{tmp_path}/out") == {} and "NoWay" in events["failed"]["error"]
 
 
 def test_query(spark):
