@@ -258,6 +258,14 @@ def scene_route(spark, sf_dir):
     return scene.route(made, grid, [(grid.x0 + 45.0, grid.y0 - 45.0), (grid.x0 + end, grid.y0 - end)], SCENE)["attributes"]
 
 
+@query()
+def published_scene(spark, sf_dir):
+    """All products of the relief of the tables, published and counted."""
+    cells, grid = relief(spark, sf_dir)
+    made = scene.run(cells, grid, run_path(spark, "published-scene"), None, SCENE, "blocked")
+    return reduce(DataFrame.unionByName, [frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "n") for name, frame in made.items()])
+
+
 @query()
 def example_scene(spark, sf_dir):
     """All products of the analytic scene of 90,000 cells, written and counted."""

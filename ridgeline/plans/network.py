@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.cellwise import tobler_speed
 from ridgeline.operators import distance, hydrology, regions, routing, sequences, terrain, validation
-from ridgeline.operators.stencil import OFFSETS, along_row
-from ridgeline.plans.surface import SLOPE, relief
+from ridgeline.operators.stencil import OFFSETS, along_row, sql_gradient
+from ridgeline.plans.surface import SLOPE, relief, sql_near
 from ridgeline.session import materialize
 from ridgeline.sources.grid import ORDERS_SQL, Grid
 
@@ -233,16 +233,38 @@ def depression_filling(spark, sf_dir):
     return hydrology.fill(cells, grid).select("r", "c", F.round("filled", 6).alias("filled"))
 
 
-@query()
+_STEPS = ", ".join("42.42640687119285::DOUBLE" if dr and dc else "30.0::DOUBLE" for dr, dc in OFFSETS.values())
+DRAINED = f"""{ORDERS_SQL}, {FILLED},
+fd AS MATERIALIZED (SELECT cells.r, cells.c, z, fl.level AS filled FROM cells LEFT JOIN fl ON fl.id = r * w + c),
+nn AS ({sql_near("filled").format(source="fd")}),
+dd AS MATERIALIZED (SELECT r, c, here, list_transform(range(1, 9), lambda i: coalesce((here - near[i]) / [{_STEPS}][i], -1)) AS drops FROM nn),
+d8 AS MATERIALIZED (SELECT r, c, CASE WHEN here IS NULL THEN NULL WHEN list_max(drops) > 0 THEN CAST(list_position(drops, list_max(drops)) - 1 AS INT) ELSE -1 END AS d8 FROM dd),
+s0 AS MATERIALIZED (SELECT r * w + c AS id, CASE WHEN d8 >= 0 THEN (r + dr) * w + c + dc END AS ptr, 1::BIGINT AS total FROM d8 CROSS JOIN dims LEFT JOIN o ON o.i = d8 WHERE d8 IS NOT NULL),
+{_DOUBLING},
+gr AS (SELECT r, c, z, filled, {sql_gradient("filled", "x")} AS gx, {sql_gradient("filled", "y")} AS gy FROM fd),
+dr AS MATERIALIZED (SELECT gr.r, gr.c, z, filled, d8, total AS upstream, CAST(total * 900 / 1000000.0::DOUBLE AS FLOAT) AS basin_km2, ln(greatest(total * 900 / 30.0::DOUBLE, 1e-6) / greatest(sqrt(gx * gx + gy * gy), {hydrology.LEAST_GRADE})) AS twi
+  FROM gr CROSS JOIN dims JOIN d8 ON d8.r = gr.r AND d8.c = gr.c LEFT JOIN s{_ROUNDS} s ON s.id = gr.r * w + gr.c)"""
+
+
+@query(f"""WITH RECURSIVE {DRAINED}
+SELECT r, c, z, round(filled, 6) AS filled, d8, upstream, round(basin_km2::DOUBLE, 6) AS basin_km2, coalesce(basin_km2 >= 0.05::DOUBLE, FALSE) AS channel, CASE WHEN filled IS NOT NULL THEN round(twi, 5) END AS twi FROM dr""")
 def drainage(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    return hydrology.analyse(cells, grid, 0.05)
+    found = hydrology.analyse(cells, grid, 0.05)
+    return found.select("r", "c", "z", F.round("filled", 6).alias("filled"), "d8", "upstream", F.round(F.col("basin_km2").cast("double"), 6).alias("basin_km2"), "channel", F.round("twi", 5).alias("twi"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DRAINED},
+v AS (SELECT *, coalesce(basin_km2 >= 0.05::DOUBLE, FALSE) AS channel, CASE WHEN d8 >= 0 THEN [{_STEPS}][d8 + 1] ELSE 30 END AS step FROM dr WHERE z IS NOT NULL),
+k AS (SELECT count(*) AS valid, sum(channel::INT)::BIGINT AS channels, sum(step) FILTER (channel) / 1000 AS network_km, sum((d8 < 0)::INT)::BIGINT AS sinks,
+  quantile_cont(twi, 0.05) AS twi_p5, quantile_cont(twi, 0.5) AS twi_p50, quantile_cont(twi, 0.95) AS twi_p95 FROM v)
+SELECT valid, channels, round(network_km, 4) AS network_km, sinks, round(twi_p5, 5) AS twi_p5, round(twi_p50, 5) AS twi_p50, round(twi_p95, 5) AS twi_p95, round(channels / valid, 6) AS channel_share,
+  round(coalesce(network_km, 0) / (valid * 900 / 1000000.0::DOUBLE), 5) AS density FROM k""")
 def drainage_metrics(spark, sf_dir):
     cells, grid = relief(spark, sf_dir)
-    return hydrology.metrics(materialize(hydrology.analyse(cells, grid, 0.05), "drainage"), grid)
+    found = hydrology.metrics(materialize(hydrology.analyse(cells, grid, 0.05), "drainage"), grid)
+    digits = {"network_km": 4, "twi_p5": 5, "twi_p50": 5, "twi_p95": 5, "channel_share": 6, "density": 5}
+    return found.select("valid", "channels", "sinks", *(F.round(n, k).alias(n) for n, k in digits.items()))
 
 
 @query(f"""WITH RECURSIVE {ORDERS_SQL}, {OFFSET_SQL}, b AS MATERIALIZED (SELECT r * w + c AS id, r, c FROM cells WHERE blocked),

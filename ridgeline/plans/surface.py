@@ -37,7 +37,7 @@ t2 AS MATERIALIZED (SELECT r, c, w, z, extra, blocked, zx, zy, slope,
   FROM g2)"""
 
 
-def _near(name: str) -> str:
+def sql_near(name: str) -> str:
     """Subquery of ``cells``-like rows with the array ``near`` of the eight neighbours, in OFFSETS order."""
     pick = {-1: "lag", 1: "lead"}
     flat = ", ".join(f"{pick[d]}({name}) OVER (PARTITION BY r ORDER BY c) AS {'we'[d > 0]}" for d in (-1, 1))
@@ -84,7 +84,7 @@ def curvatures(spark, sf_dir):
     return cells.select("r", "c", F.round(F.col("plan").cast("double"), 6).alias("plan"), F.round(F.col("profile").cast("double"), 6).alias("profile"))
 
 
-@query(f"""WITH {ORDERS_SQL}, n AS ({_near("CAST(z AS DOUBLE)").format(source="cells")})
+@query(f"""WITH {ORDERS_SQL}, n AS ({sql_near("CAST(z AS DOUBLE)").format(source="cells")})
 SELECT r, c, CASE WHEN here IS NULL THEN NULL ELSE round(list_avg(list_transform(list_filter(near, lambda x: x IS NOT NULL), lambda x: abs(here - x))), 6) END AS tri FROM n""")
 def ruggedness(spark, sf_dir):
     cells, _ = relief(spark, sf_dir)
@@ -92,7 +92,7 @@ def ruggedness(spark, sf_dir):
 
 
 @query(f"""WITH {SLOPE}, k AS (SELECT r, c, CASE WHEN zx IS NULL THEN NULL ELSE [sin(atan(sqrt(zx * zx + zy * zy))) * cos(atan2(-zy, zx)), sin(atan(sqrt(zx * zx + zy * zy))) * sin(atan2(-zy, zx)), cos(atan(sqrt(zx * zx + zy * zy)))] END AS v FROM t1),
-n AS ({_near("v").format(source="k")}),
+n AS ({sql_near("v").format(source="k")}),
 f AS (SELECT r, c, here, list_filter(list_append(near, here), lambda x: x IS NOT NULL) AS l FROM n)
 SELECT r, c, CASE WHEN here IS NULL THEN NULL ELSE abs(round(least(greatest(1 - sqrt(
   power(list_sum(list_transform(l, lambda x: x[1])), 2) + power(list_sum(list_transform(l, lambda x: x[2])), 2) + power(list_sum(list_transform(l, lambda x: x[3])), 2)) / len(l), 0), 1), 6)) END AS vrm FROM f""")
@@ -125,7 +125,7 @@ def filled_slope_degrees(spark, sf_dir):
     return terrain.filled_slope_degrees(cells, grid).select("r", "c", F.round(F.col("slope_deg").cast("double"), 3).alias("slope_deg"), F.round("dxx", 6).alias("dxx"), F.round("dyy", 6).alias("dyy"))
 
 
-@query(f"""WITH {ORDERS_SQL}, q AS (SELECT r, c, CAST(floor(z / 100) AS INT) AS z FROM cells), n AS ({_near("z").format(source="q")})
+@query(f"""WITH {ORDERS_SQL}, q AS (SELECT r, c, CAST(floor(z / 100) AS INT) AS z FROM cells), n AS ({sql_near("z").format(source="q")})
 SELECT r, c, here IS NOT NULL AND coalesce(list_max(near), here) <= here AND coalesce(list_min(near), here) >= here AS flat FROM n""")
 def flat_cells(spark, sf_dir):
     cells, _ = relief(spark, sf_dir)
@@ -135,7 +135,7 @@ def flat_cells(spark, sf_dir):
 _STEPS = ", ".join("42.42640687119285::DOUBLE" if dr and dc else "30.0::DOUBLE" for dr, dc in OFFSETS.values())
 
 
-@query(f"""WITH {ORDERS_SQL}, n AS ({_near("CAST(z AS DOUBLE)").format(source="cells")}),
+@query(f"""WITH {ORDERS_SQL}, n AS ({sql_near("CAST(z AS DOUBLE)").format(source="cells")}),
 d AS (SELECT r, c, here, list_transform(range(1, 9), lambda i: coalesce((here - near[i]) / [{_STEPS}][i], -1)) AS drops FROM n)
 SELECT r, c, CASE WHEN here IS NULL THEN NULL WHEN list_max(drops) > 0 THEN CAST(list_position(drops, list_max(drops)) - 1 AS INT) ELSE -1 END AS d8 FROM d""")
 def flow_direction(spark, sf_dir):
