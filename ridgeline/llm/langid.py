@@ -15,8 +15,8 @@ language are not learned from; without any labelled row every text is ``und``; o
 language is given to every text with letters; equally near languages resolve to the one that
 sorts first, and are ambiguous; repeated rows count each time they occur, and are judged alike;
 very long texts are read whole, their weights summed up a part at a time; more than
-``MOST_LANGUAGES`` languages are an error, since the model's size follows their number; all columns
-of the input are kept, whatever their names.  A letter is a character of Unicode category L.
+``MOST_LANGUAGES`` languages are an error, since the model's size follows their number; an empty table
+gives an empty result; all columns of the input are kept, whatever their names.  A letter is a character of Unicode category L.
 """
 
 from __future__ import annotations

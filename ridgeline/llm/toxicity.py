@@ -17,7 +17,8 @@ Defined results: null and empty texts score as texts without words; very long te
 whole, as the set of their words; null ids are in a learned fold; conflicting labels of one id
 count as toxic; null labels are ignored; without positives every score is 0; if every reviewed
 text is toxic, the prior is 1; rows that share an id each count in the fit, and equal texts score
-alike; ids whose hashes tie for a place in the sample go by the id; other columns are not read.
+alike; ids whose hashes tie for a place in the sample go by the id; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

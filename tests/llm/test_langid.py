@@ -98,3 +98,11 @@ def test_folds_are_kept_apart(spark):
 
     want = {i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert {r.doc_id for r in docs.where(langid.held_out()).collect()} == want
+
+
+def test_equally_near_languages_and_repeated_rows(spark):
+    learned = spark.createDataFrame([(t, lang) for lang in ("yy", "xx") for t in ("some words here", "more of these words")] * 3, "text string, lang string")
+    model = langid.train(learned)
+    docs = spark.createDataFrame([(1, "some of these words")] * 3 + [(2, "words here " * 50_000)], "doc_id long, text string")
+    rows = langid.identify(docs, model).collect()
+    assert len(rows) == 4 and {r.lang_pred for r in rows} == {"xx"} and all(r.ambiguous for r in rows)

@@ -55,3 +55,14 @@ def test_many_cells_and_other_topics(spark, monkeypatch):
     assert {r.row.doc_id: r.kept for r in mixing.mix(docs).collect()} == want
     long = mixing.mix(docs, topic_of=lambda text: F.when(F.length(text) > 500, "long").otherwise("short"))
     assert {r.topic for r in long.select("topic").distinct().collect()} == {"long", "short"}
+
+
+def test_very_long_text_and_small_probabilities(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "word " * 200_000, "a", "en"), (2, "x", "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert {r.row.doc_id: r.tokens for r in mixing.mix(docs).collect()} == {1: 200_000, 2: 1}
+    cells = spark.createDataFrame([("a", "en", "prose", 10**12, 10**9, 1e-9), ("b", "en", "prose", 10, 10, 1.0)], "source string, lang string, topic string, tokens long, docs long, weight double").withColumn("residual", F.lit(0.0))
+    small = mixing.probabilities(cells).where("source = 'a'").first()
+    assert small.probability == 0.0 and small.p > 0.0

@@ -102,3 +102,16 @@ def test_odd_tables(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 4)}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_of_a_very_long_text():
+    import numpy as np
+    import xxhash
+
+    words = [f"w{x}" for x in np.random.default_rng(1).integers(0, 1 << 40, 70_003)]
+    counts, n = [0] * 64, len(words) - 3
+    for i in range(n):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    assert simhash.fingerprint(" ".join(words).encode()) == sum(1 << b for b in range(64) if 2 * counts[b] > n)
