@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import crs
 from ridgeline.operators.distance import resample
-from ridgeline.sources.grid import Grid, complete, problems, utm_zone
+from ridgeline.sources.grid import Grid, complete, utm_zone
 
 EDGE_POINTS = 33  # of each side, to find how far it reaches in another CRS
 POLAR = 84.0
@@ -115,8 +115,4 @@ def working_relief(cells: DataFrame, grid: Grid, value: str = "z", cell: float |
         reason = f"{'rotated grid' if grid.rotated else 'oblong cells'}: taken to square cells of {side:g}, north up"
     else:
         return Working(cells, grid, original, False, assigned, f"{grid.crs} kept", tuple([*messages, f"{grid.crs} kept"]))
-    made = align(cells, grid, target, value, method)
-    _, blocking = problems(target, target)
-    if blocking:
-        raise WorkingGridError(f"the working grid differs: {', '.join(blocking)}")
-    return Working(made, target, original, target.crs != grid.crs, assigned, reason, tuple([*messages, reason]))
+    return Working(align(cells, grid, target, value, method), target, original, target.crs != grid.crs, assigned, reason, tuple([*messages, reason]))
