@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.sources.grid import Grid
@@ -129,18 +129,23 @@ def densify(line: DataFrame, step: float, by: list[str]) -> DataFrame:
     return inner.unionByName(end)
 
 
+def _pieces(lines: DataFrame, by: list[str], longest: float) -> DataFrame:
+    """``seq, k, px, py, qx, qy``: the sides of lines (``seq, x, y``), cut to pieces no longer than ``longest``."""
+    over = Window.partitionBy(*by).orderBy("seq")
+    sides = lines.select(*by, "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(over), F.col("x")).alias("x2"), F.coalesce(F.lead("y").over(over), F.col("y")).alias("y2"))
+    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / longest), F.lit(1))
+    cut = sides.withColumn("n", n).select(*by, "seq", "x1", "y1", "x2", "y2", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    along = lambda a, k: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * (F.col("k") + k) / F.col("n")
+    return cut.select(*by, "seq", "k", along("x", 0).alias("px"), along("y", 0).alias("py"), along("x", 1).alias("qx"), along("y", 1).alias("qy"))
+
+
 def agreement(points: DataFrame, lines: DataFrame, by: list[str], within: float) -> DataFrame:
     """``n, share``: how many points (``at, x, y``) of a key lie within a distance of the key's line (``seq, x, y``).
 
     Segments are cut to pieces no longer than ``within`` and each piece goes to the square blocks
     it comes near, so a point meets the few pieces around its own block, never a whole line.
     """
-    over = Window.partitionBy(*by).orderBy("seq")
-    sides = lines.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(over), F.col("x")).alias("x2"), F.coalesce(F.lead("y").over(over), F.col("y")).alias("y2"))
-    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / within), F.lit(1))
-    cut = sides.withColumn("n", n).select(*by, "x1", "y1", "x2", "y2", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    along = lambda a, k: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * (F.col("k") + k) / F.col("n")
-    pieces = cut.select(*by, along("x", 0).alias("px"), along("y", 0).alias("py"), along("x", 1).alias("qx"), along("y", 1).alias("qy"))
+    pieces = _pieces(lines, by, within)
     block = lambda v, d: F.floor((v + d) / within)
     span = lambda a: F.explode(F.sequence(block(F.least(f"p{a}", f"q{a}"), -within), block(F.greatest(f"p{a}", f"q{a}"), within)))
     near = pieces.withColumn("bx", span("x")).withColumn("by_", span("y"))
@@ -153,6 +158,58 @@ def agreement(points: DataFrame, lines: DataFrame, by: list[str], within: float)
     return nearest.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("d") <= within, 1.0).otherwise(0.0)).alias("share"))
 
 
+def _span_where(at: Column, rate: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The least and the greatest t with ``low <= at + t * rate <= high``; NULL where no t will do."""
+    ends = (low - at) / F.nullif(rate, F.lit(0.0)), (high - at) / F.nullif(rate, F.lit(0.0))
+    still = (rate == 0) & (at >= low) & (at <= high)
+    return F.when(still, float("-inf")).otherwise(F.when(rate != 0, F.least(*ends))), F.when(still, float("inf")).otherwise(F.when(rate != 0, F.greatest(*ends)))
+
+
+def overlap(lines: DataFrame, others: DataFrame, by: list[str], within: float) -> DataFrame:
+    """``length_m, inside_m, share``: how much of each key's line (``seq, x, y``) lies within a distance of the key's other line.
+
+    Lengths are exact: what lies near a straight piece of the other line is a box with two disks at its ends, which is
+    convex, so a piece is inside it on one stretch; the union of a piece's stretches is its inside length.  Call it both
+    ways round for the agreement of two lines.
+
+    Lines are cut to pieces of twice the distance, which meet by square blocks, so work follows the lines.  A key without
+    another line has a share of 0, a line without length a NULL share; a line of one point, as other, is a disk.
+    """
+    longest = 2.0 * within
+    span = lambda a, d: F.explode(F.sequence(F.floor((F.least(f"p{a}", f"q{a}") - d) / longest), F.floor((F.greatest(f"p{a}", f"q{a}") + d) / longest)))
+    own = _pieces(lines, by, longest)
+    sided = own.where((F.col("qx") != F.col("px")) | (F.col("qy") != F.col("py"))).withColumns({"vx": F.col("qx") - F.col("px"), "vy": F.col("qy") - F.col("py")})
+    asked = sided.withColumn("bx", span("x", 0.0)).withColumn("by_", span("y", 0.0))
+    other = _pieces(others, by, longest).withColumn("bx", span("x", within)).withColumn("by_", span("y", within))
+    other = other.select(*by, "bx", "by_", F.col("px").alias("ax"), F.col("py").alias("ay"), (F.col("qx") - F.col("px")).alias("wx"), (F.col("qy") - F.col("py")).alias("wy"))
+    both = asked.join(other, [*by, "bx", "by_"])
+
+    # In steps, as each value is used more than once: one expression would be too large to compile.
+    both = both.select(*by, "seq", "k", "vx", "vy", "wx", "wy", (F.col("px") - F.col("ax")).alias("fx"), (F.col("py") - F.col("ay")).alias("fy"))
+    dot = lambda a, b: F.col(f"{a}x") * F.col(f"{b}x") + F.col(f"{a}y") * F.col(f"{b}y")
+    cross = lambda a, b: F.col(f"{a}x") * F.col(f"{b}y") - F.col(f"{a}y") * F.col(f"{b}x")
+    both = both.select(*by, "seq", "k", dot("v", "v").alias("v2"), dot("w", "w").alias("w2"), dot("f", "f").alias("f2"), dot("f", "v").alias("fv"), dot("w", "f").alias("wf"), dot("w", "v").alias("wv"), cross("w", "f").alias("c0"), cross("w", "v").alias("c1"))
+    # The disk at the far end is the one at the near end, with f - w for f.
+    both = both.withColumns({"gv": F.col("fv") - F.col("wv"), "g2": F.col("f2") - 2 * F.col("wf") + F.col("w2"), "side": within * F.sqrt("w2")})
+    under = lambda fv, f2: F.col(fv) * F.col(fv) - F.col("v2") * (F.col(f2) - within * within)
+    c, d = _span_where(F.col("c0"), F.col("c1"), -F.col("side"), F.col("side")), _span_where(F.col("wf"), F.col("wv"), F.lit(0.0), F.col("w2"))
+    ends = [e.alias(n) for (n, e) in zip(("c_lo", "c_hi", "d_lo", "d_hi"), (*c, *d))]
+    both = both.select(*by, "seq", "k", "v2", "w2", "fv", "gv", under("fv", "f2").alias("near"), under("gv", "g2").alias("far"), *ends)
+    root = lambda u: F.sqrt(F.when(F.col(u) >= 0, F.col(u)))
+    both = both.withColumns({"near": root("near"), "far": root("far"), "b_lo": F.greatest("c_lo", "d_lo"), "b_hi": F.least("c_hi", "d_hi")})
+    boxed = (F.col("w2") > 0) & F.col("c_lo").isNotNull() & F.col("d_lo").isNotNull() & (F.col("b_lo") <= F.col("b_hi"))
+    at = lambda fv, root, sign: (-F.col(fv) + sign * F.col(root)) / F.col("v2")
+    low, high = (least(at("fv", "near", sign), at("gv", "far", sign), F.when(boxed, F.col(end))) for least, sign, end in ((F.least, -1.0, "b_lo"), (F.greatest, 1.0, "b_hi")))
+    spans = both.select(*by, "seq", "k", F.sqrt("v2").alias("m"), F.greatest(low, F.lit(0.0)).alias("lo"), F.least(high, F.lit(1.0)).alias("hi"), low.isNotNull().alias("met"))
+    spans = spans.select(*by, "seq", "k", "m", *(F.when(F.col("met") & (F.col("lo") < F.col("hi")), F.col(n)).alias(n) for n in ("lo", "hi")))
+    before = Window.partitionBy(*by, "seq", "k").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("new", F.col("hi") - F.greatest("lo", F.least("hi", F.coalesce(F.max("hi").over(before), "lo"))))
+    inside = fresh.groupBy(*by).agg(F.sum(F.col("new") * F.col("m")).alias("inside_m"))
+    whole = own.groupBy(*by).agg(F.sum(F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py"))).alias("length_m"))
+    found = whole.join(inside, by, "left").withColumn("inside_m", F.coalesce("inside_m", F.lit(0.0)))
+    return found.withColumn("share", F.try_divide("inside_m", "length_m"))
+
+
 def fit_tobler(windows: DataFrame, optima: list[float], by: list[str] = ()) -> DataFrame:
     """``best, fastest, decay, r2, n, fastest_se, decay_se``: the walking-speed curve that fits gradients and speeds best, for each ``by``.
 

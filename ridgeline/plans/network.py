@@ -175,6 +175,35 @@ def line_agreement(spark, sf_dir):
     return sequences.agreement(moved, lines, ["track"], 12.0).select("track", "n", F.round("share", 6).alias("share"))
 
 
+_MOVED_SQL = "mv AS MATERIALIZED (SELECT track, seq, x + 7 AS x, y + (seq % 5) * 10 AS y FROM tr)"
+
+
+def _inside_sql(name: str, line: str, other: str) -> str:
+    """DuckDB SQL: length of each track's ``line`` within 12 of its ``other`` line, from all pairs of whole sides."""
+    side = "(SELECT track, seq, x AS x1, y AS y1, coalesce(lead(x) OVER w, x) AS x2, coalesce(lead(y) OVER w, y) AS y2 FROM {} WINDOW w AS (PARTITION BY track ORDER BY seq))"
+    limits = lambda at, rate, low, high: f"CASE WHEN {rate} <> 0 THEN [least(({low} - {at}) / {rate}, ({high} - {at}) / {rate}), greatest(({low} - {at}) / {rate}, ({high} - {at}) / {rate})] WHEN {at} BETWEEN {low} AND {high} THEN [-1.0::DOUBLE, 2.0::DOUBLE] END"
+    disk = lambda dx, dy: f"CASE WHEN power(({dx}) * vx + ({dy}) * vy, 2) >= v2 * (power({dx}, 2) + power({dy}, 2) - 144) THEN [(-(({dx}) * vx + ({dy}) * vy) - sqrt(power(({dx}) * vx + ({dy}) * vy, 2) - v2 * (power({dx}, 2) + power({dy}, 2) - 144))) / v2, (-(({dx}) * vx + ({dy}) * vy) + sqrt(power(({dx}) * vx + ({dy}) * vy, 2) - v2 * (power({dx}, 2) + power({dy}, 2) - 144))) / v2] END"
+    return f"""{name}_s AS MATERIALIZED (SELECT *, x2 - x1 AS vx, y2 - y1 AS vy, power(x2 - x1, 2) + power(y2 - y1, 2) AS v2 FROM {side.format(line)}),
+{name}_p AS (SELECT a.track, a.seq, a.vx, a.vy, a.v2, b.x2 - b.x1 AS wx, b.y2 - b.y1 AS wy, a.x1 - b.x1 AS fx, a.y1 - b.y1 AS fy FROM {name}_s a JOIN {side.format(other)} b ON a.track = b.track WHERE a.v2 > 0),
+{name}_q AS (SELECT track, seq, v2, {disk('fx', 'fy')} AS d1, {disk('fx - wx', 'fy - wy')} AS d2,
+  CASE WHEN wx <> 0 OR wy <> 0 THEN {limits('(wx * fy - wy * fx)', '(wx * vy - wy * vx)', '(-12 * sqrt(wx * wx + wy * wy))', '(12 * sqrt(wx * wx + wy * wy))')} END AS b1,
+  CASE WHEN wx <> 0 OR wy <> 0 THEN {limits('(wx * fx + wy * fy)', '(wx * vx + wy * vy)', '0', '(wx * wx + wy * wy)')} END AS b2 FROM {name}_p),
+{name}_b AS (SELECT *, CASE WHEN b1 IS NOT NULL AND b2 IS NOT NULL AND greatest(b1[1], b2[1]) <= least(b1[2], b2[2]) THEN [greatest(b1[1], b2[1]), least(b1[2], b2[2])] END AS b FROM {name}_q),
+{name}_i AS (SELECT track, seq, v2, greatest(least(d1[1], d2[1], b[1]), 0) AS lo, least(greatest(d1[2], d2[2], b[2]), 1) AS hi FROM {name}_b WHERE d1 IS NOT NULL OR d2 IS NOT NULL OR b IS NOT NULL),
+{name}_u AS (SELECT track, seq, v2, hi - greatest(lo, least(hi, coalesce(max(hi) OVER (PARTITION BY track, seq ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo))) AS fresh FROM {name}_i WHERE lo < hi),
+{name} AS (SELECT track, length_m, coalesce(inside_m, 0) AS inside_m FROM (SELECT track, sum(sqrt(v2)) AS length_m FROM {name}_s GROUP BY track) LEFT JOIN (SELECT track, sum(fresh * sqrt(v2)) AS inside_m FROM {name}_u GROUP BY track) USING (track))"""
+
+
+@query(f"""WITH {TRACKS}, {_MOVED_SQL}, {_inside_sql('a', 'mv', 'tr')}, {_inside_sql('b', 'tr', 'mv')}
+SELECT track, round(a.length_m, 3) AS length_m, round(a.inside_m, 3) AS inside_m, round(a.inside_m / nullif(a.length_m, 0), 6) AS share, round(b.inside_m / nullif(b.length_m, 0), 6) AS share_back FROM a JOIN b USING (track)""")
+def line_overlap(spark, sf_dir):
+    lines = tracks(spark, sf_dir)
+    moved = lines.select("track", "seq", (F.col("x") + 7).alias("x"), (F.col("y") + F.col("seq") % 5 * 10).alias("y"))
+    there = sequences.overlap(moved, lines, ["track"], 12.0)
+    back = sequences.overlap(lines, moved, ["track"], 12.0).select("track", F.round("share", 6).alias("share_back"))
+    return there.join(back, "track").select("track", F.round("length_m", 3).alias("length_m"), F.round("inside_m", 3).alias("inside_m"), F.round("share", 6).alias("share"), "share_back")
+
+
 OPTIMA = [i / 100 for i in range(0, 11)]
 
 
