@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
-from ridgeline.operators.distance import distance_to
+from ridgeline.operators.distance import distance_to, within
 from ridgeline.operators.fixpoint import TILE, settle, shifted, tile_fixpoint, to_cells, to_tiles
-from ridgeline.operators.regions import regions
+from ridgeline.operators.regions import outlines, regions
 from ridgeline.operators.searches import ROUNDING, Ask, Searches
 from ridgeline.operators.stencil import OFFSETS, with_neighbours
 from ridgeline.session import materialize
 from ridgeline.sources.grid import Grid
 
 DETOUR_RATIO, DETOUR_METRES = 1.25, 500.0
+SHOWN, APART_BUFFERS, APART_CELLS = 3.0, 4.0, 10.0
 
 
 def edges(cells: DataFrame, grid: Grid, cost: str = "cost", z: str | None = None) -> DataFrame:
@@ -244,6 +245,45 @@ def slope_detour(path: DataFrame, free: DataFrame, grid: Grid, by: list[str], li
     return both.withColumns({"ratio": ratio, "detour": F.coalesce(long, F.lit(False))})
 
 
+def profile(path: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """``<value>_mean, <value>_median, <value>_max`` over the vertices of each path that have the value."""
+    each = [a for v in values for a in (F.avg(v).alias(f"{v}_mean"), F.median(v).alias(f"{v}_median"), F.max(v).alias(f"{v}_max"))]
+    return path.groupBy(*by).agg(*each)
+
+
+def lines(path: DataFrame, grid: Grid, by: list[str]) -> DataFrame:
+    """``coordinates``: the cell centres ``[x, y]`` of each path in order, one value for a path, as vector files want it."""
+    whole = path.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq", F.array(*grid.to_world(F.col("r"), F.col("c"))).alias("at")))).alias("k"))
+    return whole.select(*by, F.transform("k", lambda p: p["at"]).alias("coordinates"))
+
+
+def buffered(path: DataFrame, grid: Grid, by: list[str], margin: float) -> DataFrame:
+    """``r, c`` of cells whose centre is at most ``margin`` from the paths' lines."""
+    x, y = grid.to_world(F.col("r"), F.col("c"))
+    over = Window.partitionBy(*by).orderBy("seq")
+    sides = path.select(x.alias("x1"), y.alias("y1"), F.lead(x).over(over).alias("x2"), F.lead(y).over(over).alias("y2"))
+    return within(sides.withColumns({"x2": F.coalesce("x2", "x1"), "y2": F.coalesce("y2", "y1")}), grid, margin)
+
+
+def alternatives(cells: DataFrame, grid: Grid, path: DataFrame, stops: list[tuple[int, int]], slack: float, buffer_m: float, cost: str = "cost", z: str | None = None) -> dict[str, DataFrame]:
+    """What nearly as good ways there are beside the route through ``stops``.
+
+    ``cells``: ``r, c, slack`` of cells on ways that cost at most ``slack`` (a share) more; ``raster``: ``r, c, slack_pct`` up
+    to ``SHOWN`` times as much, which also shows what nearly came in; ``extent``: one row of area, the greatest distance from
+    the route, and ``apart``, whether that is more than ``APART_BUFFERS`` buffers and ``APART_CELLS`` cells: a small change
+    of the relief may then move the whole route; ``outlines``: the parts of the corridor as rings of corners.
+
+    One corridor of the widest slack gives all of it.  ``cells`` are complete; cells of the corridor that are not in them do not count.
+    """
+    wide = materialize(corridor(cells, grid, list(zip(stops, stops[1:])), SHOWN * slack, cost, z), "alternatives")
+    near = wide.where(F.col("slack") <= slack + ROUNDING)
+    apart = F.col("farthest_m") > max(APART_BUFFERS * buffer_m, APART_CELLS * grid.px)
+    extent = corridor_extent(near, path, cells, grid).withColumns({"slack_pct": F.lit(100.0 * slack), "apart": apart})
+    parts = outlines(regions(near.withColumn("in", F.lit(True)), grid, "in"), grid)
+    raster = wide.select("r", "c", (100.0 * F.greatest("slack", F.lit(0.0))).alias("slack_pct"))
+    return {"cells": near, "raster": raster, "extent": extent, "outlines": parts}
+
+
 def corridor_extent(wide: DataFrame, path: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     """``area_ha, farthest_m``: one row of a corridor's area and its greatest distance from the route, on complete ``cells``."""
     marked = cells.select("r", "c").join(path.select("r", "c", F.lit(True).alias("on")).distinct(), ["r", "c"], "left")

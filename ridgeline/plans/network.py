@@ -374,6 +374,30 @@ def alternatives_corridor(spark, sf_dir):
     return routing.corridor(_open(cells, grid), grid, [_ends(grid)], 0.05).select("r", "c", F.round("slack", 6).alias("slack"))
 
 
+def _alternatives(spark, sf_dir):
+    cells, grid = costs(spark, sf_dir)
+    open_ = materialize(_open(cells, grid), "open-cells")
+    path = materialize(routing.route(open_, grid, list(_ends(grid))), "route")
+    return routing.alternatives(open_, grid, path, list(_ends(grid)), 0.05, 100.0)
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {_far('d', _START)}, {_far('u', _END)}, t AS (SELECT far AS total FROM d, dims WHERE id = {_END})
+SELECT d.id // w AS r, d.id % w AS c, round(100 * greatest((d.far + u.far) / total - 1, 0), 4) AS slack_pct FROM d JOIN u ON u.id = d.id, t, dims WHERE (d.far + u.far) / total - 1 <= 0.15::DOUBLE + 1e-9::DOUBLE""")
+def alternatives_slack(spark, sf_dir):
+    return _alternatives(spark, sf_dir)["raster"].select("r", "c", F.round("slack_pct", 4).alias("slack_pct"))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {_far('d', _START)}, {_far('u', _END)}, t AS (SELECT far AS total FROM d, dims WHERE id = {_END}),
+best AS MATERIALIZED (SELECT dst, arg_min(src, far + g.w) AS src FROM g JOIN d ON d.id = g.src GROUP BY dst),
+walk(id) AS (SELECT {_END} FROM dims UNION ALL SELECT best.src FROM walk JOIN best ON best.dst = walk.id JOIN d ON d.id = walk.id WHERE far > 0),
+on_way AS MATERIALIZED (SELECT id // w AS pr, id % w AS pc FROM walk, dims),
+near AS MATERIALIZED (SELECT d.id // w AS r, d.id % w AS c FROM d JOIN u ON u.id = d.id, t, dims WHERE (d.far + u.far) / total - 1 <= 0.05::DOUBLE + 1e-9::DOUBLE),
+far_off AS (SELECT r, c, min(sqrt(power(r - pr, 2) + power(c - pc, 2))) * 30 AS away FROM near, on_way GROUP BY r, c)
+SELECT round(count(*) * 0.09::DOUBLE, 4) AS area_ha, round(max(away), 3) AS farthest_m, max(away) > 400 AS apart FROM far_off""")
+def alternatives_extent(spark, sf_dir):
+    return _alternatives(spark, sf_dir)["extent"].select(F.round("area_ha", 4).alias("area_ha"), F.round("farthest_m", 3).alias("farthest_m"), "apart")
+
+
 @query(f"""WITH RECURSIVE {SLOPE}, {OFFSET_SQL},
 s AS MATERIALIZED (SELECT r * w + c AS id, r, c, CASE WHEN r * w + c = {_START} THEN coalesce(CASE WHEN NOT blocked THEN slope END, 0) WHEN NOT blocked THEN slope END::DOUBLE AS slope FROM t1),
 nb AS MATERIALIZED (SELECT a.id, b.id AS nid, b.slope FROM s a, o JOIN s b ON b.r = a.r + dr AND b.c = a.c + dc WHERE (dr = 0 OR dc = 0) AND a.slope IS NOT NULL AND b.slope IS NOT NULL),

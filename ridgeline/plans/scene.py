@@ -35,6 +35,7 @@ class SceneOptions:
     cost_model: str = "tobler"
     contrast: float = 6.0
     route_margin_m: float = 5000.0
+    route_buffer_m: float = 100.0
     field_speed_kmh: float = 2.4
     alternatives: float = 0.0
     optimise_order: bool = False
@@ -46,7 +47,7 @@ class SceneOptions:
             raise ValueError("the threshold is between 0 and 1")
         if self.zones not in ("score", "walkability") or self.constraint_mode not in ("avoid", "penalise") or self.cost_model not in ("inverse", "exponential", "tobler"):
             raise ValueError("unknown mode")
-        if self.stream_basin_km2 < 0.01 or self.ford_most_km2 < 0.1 or self.route_margin_m < 100 or not 0.1 <= self.field_speed_kmh <= 6 or not 0 <= self.alternatives <= 0.5:
+        if self.stream_basin_km2 < 0.01 or self.ford_most_km2 < 0.1 or self.route_margin_m < 100 or self.route_buffer_m < 1 or not 0.1 <= self.field_speed_kmh <= 6 or not 0 <= self.alternatives <= 0.5:
             raise ValueError("an option is out of its range")
 
 
@@ -86,17 +87,25 @@ def zones(cells: DataFrame, grid: Grid, o: SceneOptions = SceneOptions()) -> Dat
 
 
 def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: SceneOptions = SceneOptions()) -> dict[str, DataFrame]:
-    """The route through points (coordinates of the grid): its cells, attributes, stream events and alternatives.
+    """The route through points (coordinates of the grid): its cells, attributes, corridor, stream events and alternatives.
 
+    ``ends`` says how far each point moved to a cell that can be walked, and in ``warned`` whether that is more than
+    ``MOVED_WARN_M``; ``corridor`` has the outline of what lies within the route's buffer; ``lines`` has each leg as one
+    line.  A point outside of the relief, or far from every such cell, is an error that names it.
     Raises ``routing.NoWay``, with the slope limit that would join them, if the points are not joined.
     """
     spark = cells.sparkSession
     asked = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "ord long, x double, y double")
     r, c = grid.to_cell(F.col("x"), F.col("y"))
     snapped = distance.snap(asked.select("ord", r.alias("r"), c.alias("c")), cells.withColumn("open", F.col("cost").isNotNull()), grid, "open")
-    ends = [(p.snap_r, p.snap_c) for p in snapped.orderBy("ord").collect()]  # as many as the points asked for
-    if any(p[0] is None for p in ends):
-        raise ValueError("a point is far from every cell that can be walked")
+    snapped = snapped.withColumn("warned", F.col("moved_m") > MOVED_WARN_M)
+    moved = snapped.orderBy("ord").collect()  # as many as the points asked for
+    for p, (x, y) in zip(moved, points):
+        if not (0 <= p.r < grid.rows and 0 <= p.c < grid.cols):
+            raise ValueError(f"point {p.ord + 1} ({x:g}, {y:g}) is outside of the relief")
+        if p.snap_r is None:
+            raise ValueError(f"point {p.ord + 1} ({x:g}, {y:g}) is far from every cell that can be walked")
+    ends = [(p.snap_r, p.snap_c) for p in moved]
     margin = grid.to_cells_of(o.route_margin_m)
     window = [(min(p[k] for p in ends) - margin, max(p[k] for p in ends) + margin) for k in (0, 1)]
     crop = materialize(cells.where(F.col("r").between(*window[0]) & F.col("c").between(*window[1])), "crop")
@@ -112,10 +121,13 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
     path = found.join(crop.drop("distance"), ["r", "c"])
     line_order = found.select("leg", "seq", "r", "c").withColumn("k", F.col("leg") * (1 << 32) + F.col("seq"))
     whole = path.withColumn("all", F.lit(0)).withColumn("seq", F.col("leg") * (1 << 32) + F.col("seq"))
-    metrics = routing.path_metrics(whole, grid, ["all"])
+    metrics = routing.path_metrics(whole, grid, ["all"]).join(routing.profile(whole, ["all"], ["slope", "raw_score"]), "all")
     cost = found.groupBy("leg").agg(F.max("distance").alias("d")).agg(F.sum("d").alias("cost"))
     attributes = metrics.join(F.broadcast(cost)).withColumns({"field_hours": F.col("hours") * (fn.BEST_SPEED / o.field_speed_kmh), "time_text": fn.hours_text(F.col("hours"))}).drop("all")
-    out = {"path": found, "attributes": attributes, "ends": snapped}
+    strip = routing.buffered(found, grid, ["leg"], o.route_buffer_m).withColumn("in", F.lit(True))
+    corridor = regions.outlines(regions.regions(strip, grid, "in"), grid).withColumn("buffer_m", F.lit(o.route_buffer_m))
+    legs = routing.lines(found, grid, ["leg"]).join(routing.path_metrics(path, grid, ["leg"]), "leg")
+    out = {"path": found, "attributes": attributes, "ends": snapped, "corridor": corridor, "lines": legs}
     free_cost = fn.route_cost(F.col("raw_score").cast("double"), o.cost_model, o.contrast, F.col("penalty")).cast("float")
     if crop.where(open_ & ~F.col("passable")).limit(1).count():
         unlimited = materialize(crop.withColumn("cost", F.when(open_, free_cost)), "unlimited")
@@ -128,11 +140,12 @@ def route(cells: DataFrame, grid: Grid, points: list[tuple[float, float]], o: Sc
         axis = sequences.with_corners(line, ["all"], streams).join(streams, ["r", "c"], "left")
         out["crossings"] = sequences.merge_contacts(sequences.contacts(axis.withColumn("on", F.col("area").isNotNull()), ["all"], "on", "area"), ["all"], grid)
     if o.alternatives:
-        out["alternatives"] = materialize(routing.corridor(crop, grid, list(zip(stops, stops[1:])), o.alternatives, z=timed), "alternatives")
-        out["alternatives_extent"] = routing.corridor_extent(out["alternatives"], found, crop, grid)
+        beside = routing.alternatives(crop, grid, found, stops, o.alternatives, o.route_buffer_m, z=timed)
+        out |= {"alternatives" if k == "cells" else f"alternatives_{k}": v for k, v in beside.items()}
     return out
 
 
+MOVED_WARN_M = 100.0
 RASTERS = ("score", "risk", "class", "zone", "cost")
 
 
@@ -152,8 +165,9 @@ _MANIFEST = "run string, at timestamp, products array<struct<name:string,place:s
 def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, float]] | None = None, o: SceneOptions = SceneOptions(), constraint: str | None = None) -> dict[str, DataFrame]:
     """The whole scene: computes everything, publishes products and a log below ``target``, returns the products as written.
 
-    Rasters are GeoTIFF tiles in a folder for each; zones, route, stream crossings and
-    alternatives are Parquet tables, zones also as GeoJSON lines.  The log has an event for each step.
+    Rasters are GeoTIFF tiles in a folder for each, the slack of alternatives among them; zones, route, stream crossings
+    and alternatives are Parquet tables; zones, legs of the route, its corridor and the alternatives also GeoJSON lines
+    with their attributes.  The log has an event for each step, and one for each warning.
 
     All products go to a folder of the run.  When all are complete, one row of the manifest names them (``products``), which
     Spark commits as a whole; a run that fails leaves its log and no product, and products of earlier runs stay as they
@@ -164,8 +178,8 @@ def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, flo
     log: list[tuple[str, dict]] = [("start", {"run": name, "rows": grid.rows, "cols": grid.cols, "crs": grid.crs, "points": len(points or [])})]
     try:
         with scratch(spark, "scene"):
-            made = _products(cells, grid, f"{folder}/{name}", points, o, constraint, log)
-        rows = [(name, [{"name": n, "place": f"{folder}/{name}/{n}"} for n in [*made, "zones.geojsonl", *RASTERS]])]
+            made, files = _products(cells, grid, f"{folder}/{name}", points, o, constraint, log)
+        rows = [(name, [{"name": n, "place": f"{folder}/{name}/{n}"} for n in [*made, *files]])]
         manifest = spark.createDataFrame(rows, "run string, products array<struct<name:string,place:string>>").withColumn("at", F.current_timestamp())
         manifest.coalesce(1).write.mode("append").json(f"{folder}/manifest")
     except BaseException as failure:
@@ -176,8 +190,8 @@ def run(cells: DataFrame, grid: Grid, target: str, points: list[tuple[float, flo
     return made
 
 
-def _products(cells: DataFrame, grid: Grid, folder: str, points: list[tuple[float, float]] | None, o: SceneOptions, constraint: str | None, log: list) -> dict[str, DataFrame]:
-    """Compute and write all products to ``folder``."""
+def _products(cells: DataFrame, grid: Grid, folder: str, points: list[tuple[float, float]] | None, o: SceneOptions, constraint: str | None, log: list) -> tuple[dict[str, DataFrame], list[str]]:
+    """Compute and write all products to ``folder``: the tables, and the names of the other products."""
     spark = cells.sparkSession
     if note := grid.size_warning():
         log.append(("large", {"note": note}))
@@ -199,8 +213,33 @@ def _products(cells: DataFrame, grid: Grid, folder: str, points: list[tuple[floa
         log.append(("layer", {"name": name, "rows": out[name].count()}))
     corner = lambda p: F.array(F.lit(grid.x0) + p["c"] * grid.dx + p["r"] * grid.rx, F.lit(grid.y0) + p["c"] * grid.ry + p["r"] * grid.dy)
     rings = F.transform("rings", lambda ring: F.transform(ring, corner))
-    vectors.to_geojson(out["zones"], "Polygon", rings, ["region", "n_cells", "area_ha"]).write.text(f"{folder}/zones.geojsonl")
-    for name in RASTERS:
-        geotiff.write_geotiff(made.select("r", "c", F.col(name).cast("float").alias(name)), grid, name, f"{folder}/{name}")
+    shapes = {"zones": ("zones", "Polygon", rings, ["region", "n_cells", "area_ha"])}
+    if points:
+        shapes["route"] = ("route_lines", "LineString", F.col("coordinates"), ["leg", "length_m", "hours", "gain_m", "loss_m", "alt_min", "alt_max"])
+        shapes["route_corridor"] = ("route_corridor", "Polygon", rings, ["buffer_m", "n_cells", "area_ha"])
+        if o.alternatives:
+            shapes["route_alternatives"] = ("route_alternatives_outlines", "Polygon", rings, ["n_cells", "area_ha"])
+        _warn(out, log)
+    for name, (table, kind, coordinates, properties) in shapes.items():
+        vectors.to_geojson(out[table], kind, coordinates, properties).write.text(f"{folder}/{name}.geojsonl")
+    drawn = {name: made.select("r", "c", F.col(name).cast("float").alias(name)) for name in RASTERS}
+    if points and o.alternatives:
+        drawn["slack"] = made.select("r", "c").join(out["route_alternatives_raster"].select("r", "c", F.col("slack_pct").cast("float").alias("slack")), ["r", "c"], "left")
+    for name, raster in drawn.items():
+        geotiff.write_geotiff(raster, grid, name, f"{folder}/{name}")
         log.append(("raster", {"name": name}))
-    return out
+    return out, [*(f"{name}.geojsonl" for name in shapes), *drawn]
+
+
+def _warn(made: dict[str, DataFrame], log: list) -> None:
+    """Events for points that moved far, a detour forced by the slope limit, and alternatives far from the route."""
+    for p in made["route_ends"].where("moved_m > 0").orderBy("ord").collect():  # as many as the points asked for
+        log.append(("point_moved", {"point": p.ord + 1, "metres": round(p.moved_m, 1), "warned": p.warned}))
+    if "route_detour" in made:
+        row = made["route_detour"].first()
+        if row and row.detour:
+            log.append(("slope_detour", {"ratio": round(row.ratio, 3), "metres_above": round(row.metres_above, 1)}))
+    if "route_alternatives_extent" in made:
+        row = made["route_alternatives_extent"].first()
+        if row.apart:
+            log.append(("alternatives_apart", {"slack_pct": row.slack_pct, "farthest_m": round(row.farthest_m, 1), "area_ha": round(row.area_ha, 2)}))

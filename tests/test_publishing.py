@@ -41,3 +41,29 @@ def test_a_run_is_published_as_a_whole(spark, tmp_path, monkeypatch):
     assert scene.products(spark, target) != known
     # No intermediate table is left.
     assert {n for n in os.listdir(root) if n.startswith("scene-")} == before
+
+
+def test_a_route_is_published_with_its_shapes(spark, tmp_path):
+    g, target = Grid(40, 40, 500_000.0, 30.0, 7_500_000.0, -30.0), f"file://{tmp_path}/out"
+    o = scene.SceneOptions(streams=False, least_patch_ha=0.1, alternatives=0.05)
+    points = [(500_045.0, 7_499_955.0), (501_095.0, 7_498_905.0)]
+    scene.run(hill(spark, 40), g, target, points, o)
+    known = scene.products(spark, target)
+    shapes = {n: spark.read.json(known[f"{n}.geojsonl"]) for n in ("route", "route_corridor", "route_alternatives")}
+    line = shapes["route"].first()
+    assert line.geometry.type == "LineString" and line.geometry.coordinates[0] == [500_045.0, 7_499_955.0] and line.geometry.coordinates[-1] == [501_095.0, 7_498_905.0]
+    attributes = spark.read.parquet(known["route_attributes"]).first()
+    assert line.properties.length_m == pytest.approx(attributes.length_m) and attributes.slope_max >= attributes.slope_median >= 0 and 0 <= attributes.raw_score_mean <= 1
+    strip = shapes["route_corridor"].first()
+    assert strip.geometry.type == "Polygon" and strip.properties.buffer_m == 100.0 and strip.properties.n_cells > 7 * line.properties.length_m / 30 / 2
+    slack, grid = geotiff.read_geotiff(spark, known["slack"])
+    shown = spark.read.parquet(known["route_alternatives_raster"])
+    assert grid == g and slack.where("z is not null").count() == shown.count() >= spark.read.parquet(known["route_alternatives"]).count() > 0
+    assert sum(r.properties.n_cells for r in shapes["route_alternatives"].collect()) == spark.read.parquet(known["route_alternatives"]).count()
+
+
+def test_points_outside_are_named(spark):
+    g = Grid(8, 8, 500_000.0, 30.0, 7_500_000.0, -30.0)
+    cells = hill(spark, 8).withColumn("cost", F.lit(1.0))
+    with pytest.raises(ValueError, match="point 2 .* outside of the relief"):
+        scene.route(cells, g, [(500_010.0, 7_499_990.0), (499_000.0, 7_499_990.0)])
