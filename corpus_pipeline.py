@@ -6,9 +6,9 @@ the last return the columns of ``docs``.
 
 Language ID rejects documents that are null or have no letter, or whose language is ambiguous.
 Near-dedup keeps the first document of each group that
-shares four fifths of its five-word shingles.  SimHash cannot find such pairs at a bearable cost (README), so
-the stage compares shingle sets that meet on fingerprints of minima; it has the name of its place in the
-pipeline.  Decontamination removes documents that hold a benchmark window.  Mixing samples towards its target shares.  The last stage writes
+shares four fifths of its five-word shingles: SimHash links fingerprints within four bits, which finds the nearly equal,
+fingerprints of minima add the pairs that SimHash cannot reach at a bearable cost (README), and an exact check of shingle
+sets decides on both.  Decontamination removes documents that hold a benchmark window.  Mixing samples towards its target shares.  The last stage writes
 token records, and returns one row for each document, read back from the files.
 
 Defined results: every stage takes nulls in any column, empty and very long texts, repeated rows

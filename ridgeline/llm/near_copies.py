@@ -1,6 +1,8 @@
 """Near copies: documents that share four fifths or more of their distinct five-word shingles.
 
-Every distinct shingle set gets ``BANDS`` short fingerprints, each of ``ROWS`` minima of its
+Sets whose 64-bit SimHash fingerprints link at four or fewer differing bits (``simhash.links``) are candidates.  That finds
+texts that are nearly equal; at a similarity of 0.8 few fingerprints are so near.  For the rest
+every distinct shingle set gets ``BANDS`` short fingerprints, each of ``ROWS`` minima of its
 hashes.  Sets that meet on a fingerprint are candidates, and all that decides is the exact
 Jaccard similarity of the two sets.  Two sets of similarity s meet with probability
 1 - (1 - s ** ROWS) ** BANDS: all but one in ten thousand at 0.8, all but one in ten million at 0.85.
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.simhash import LOWER
+from ridgeline.llm.simhash import LOWER, RADIUS, bits_set, in_most, links
 from ridgeline.llm.skew import SHARE, join_counted
 from ridgeline.llm.tasks import slim
 from ridgeline.operators.fixpoint import connected
@@ -54,8 +56,8 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1),
 _FACTOR, _SHIFT = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the word shingles of a text in their order, repeats included."""
     words = text.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -64,7 +66,18 @@ def shingle_set(text: bytes) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     width, digest = min(SHINGLE, len(words)), xxhash.xxh64_intdigest
     pairs = zip(starts.tolist(), ends[width - 1 :].tolist())
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64, len(words) - width + 1))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64, len(words) - width + 1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    return np.unique(shingle_hashes(text))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """``simhash.fingerprint`` of a text with these hashes of shingles."""
+    counts = sum((bits_set(hashes[lo : lo + 65_536]) for lo in range(0, len(hashes), 65_536)), np.zeros(64, np.int64))
+    return in_most(counts, len(hashes))
 
 
 def short_prints(hashes: np.ndarray) -> np.ndarray:
@@ -78,17 +91,36 @@ def short_prints(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, node, n, keys, text`` of every row; equal sets have one node."""
+    """``doc_id, node, n, keys, fingerprint, text`` of every row; equal sets have one node."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+            sets, prints = [], np.zeros(len(batch), np.uint64)
+            for i, t in enumerate(batch.column(1).cast(pa.large_binary())):
+                hashes = shingle_hashes(t.as_py() or b"")
+                prints[i] = simhash_of(hashes)
+                sets.append(np.unique(hashes))
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([short_prints(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), keys, batch.column(1)], names=["doc_id", "node", "n", "keys", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), keys, pa.array(prints.view(np.int64)), batch.column(1)], names=["doc_id", "node", "n", "keys", "fingerprint", "text"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(slim(cut), "doc_id long, node long, n int, keys array<long>, text string")
+    return rows.mapInArrow(slim(cut), "doc_id long, node long, n int, keys array<long>, fingerprint long, text string")
+
+
+def simhash_pairs(table: DataFrame, first: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs ``a, b`` of sets whose SimHash fingerprints are equal or linked within ``radius`` bits, as stars around ``a``.
+
+    Of each set the fingerprint of its first row counts.  The links are those of ``simhash.links``, which joins all
+    fingerprints so near, directly or in steps.
+    """
+    sets = table.where("n > 0").join(first.select("row"), "row", "left_semi").select("fingerprint", "node")
+    prints = materialize(sets.groupBy("fingerprint").agg(F.min("node").alias("head"), F.count("*").alias("members")), "set-fingerprints")
+    equal = join_counted(sets, prints, ["fingerprint"], "members", "inner").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = materialize(links(prints.select("fingerprint"), radius).withColumnRenamed("b", "fingerprint"), "fingerprint-links")
+    hubs = materialize(near.groupBy("fingerprint").agg(F.count("*").alias("n")).join(prints.select("fingerprint", F.col("head").alias("hub")), "fingerprint"), "fingerprint-hubs")
+    hung = join_counted(near, hubs, ["fingerprint"], "n", "inner").select(F.col("a").alias("fingerprint"), F.col("hub").alias("a"))
+    return equal.union(hung.join(prints, "fingerprint").select("a", F.col("head").alias("b"))).distinct()
 
 
 def _with_heads(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -175,21 +207,29 @@ def _across(met: DataFrame, stars: DataFrame, table: DataFrame, first: DataFrame
     return pairs.join(compared, ["a", "b"], "left_anti")
 
 
+def shared_keys(dealt: DataFrame) -> DataFrame:
+    """``key, members`` of the fingerprints of minima that several sets have."""
+    return dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every document."""
+    """``doc_id, component_id`` of every document; ``simhash_pairs`` and those by minima are compared exactly."""
     table = materialize(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = materialize(table.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-sets")
+    by_print = materialize(simhash_pairs(table, first), "simhash-pairs")
 
     dealt = table.join(first.select("row"), "row", "left_semi").select("node", "n", F.explode("keys").alias("key"))
-    shared = materialize(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-prints")
+    shared = materialize(shared_keys(dealt), "shared-prints")
     meet = materialize(join_counted(dealt, shared, ["key"], "members", "inner").select("key", "node", "n", "members"), "meetings")
     meets = meet.groupBy("node").agg(F.sum("members").alias("meets"))
     heads = meet.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("head"), F.max("members").alias("members"))
     heads = materialize(heads.select("key", "members", F.col("head.node").alias("head")), "heads-of-prints")
     stars = join_counted(meet.drop("members"), heads, ["key"], "members", "inner").where("node <> head")
-    stars = materialize(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = materialize(_similar(stars, table, first), "star-links")
-    roots = materialize(connected(links), "star-roots")
+    # A pair that SimHash has too is compared once, from the side of the head.
+    stars = materialize(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "minima-stars")
+    stars = materialize(by_print.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti").union(stars), "stars")
+    found = materialize(_similar(stars, table, first), "star-links")
+    roots = materialize(connected(found), "star-roots")
 
     root = F.coalesce("root", "node").alias("root")
     rooted = meet.join(roots, "node", "left").select("key", "node", "n", root)
@@ -199,7 +239,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if across.limit(1).count():
         more = materialize(_similar(across, table, first), "across-links")
         if more.limit(1).count():
-            roots = connected(links.union(more))
+            roots = connected(found.union(more))
 
     member = first.join(roots, "node", "left").select("node", "first_id", root)
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))

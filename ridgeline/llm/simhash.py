@@ -60,8 +60,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     for lo in range(0, n, 65_536):
         part = slice(lo, min(n, lo + 65_536))
         pairs = zip(starts[part].tolist(), ends[width - 1 :][part].tolist())
-        hashes = np.array([digest(joined[s:e], seed) for s, e in pairs], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bits_set(np.array([digest(joined[s:e], seed) for s, e in pairs], np.uint64))
+    return in_most(counts, n)
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def in_most(counts: np.ndarray, n: int) -> int:
+    """The fingerprint: bits that are set in over half of ``n`` hashes."""
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 

@@ -120,3 +120,27 @@ def test_odd_rows_and_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("x") for n in ("node", "n", "keys", "row", "a", "piece")})
     found = sorted((tuple(r) for r in near_copies(docs).collect()), key=str)
     assert found == sorted([(None, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (None, 3)], key=str)
+
+
+def test_simhash_alone_finds_nearly_equal_texts(spark, monkeypatch):
+    """Without any fingerprint of minima, what SimHash links is still found, checked exactly and removed."""
+    from ridgeline.llm import near_copies, simhash
+
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 600)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"])]
+    line = " ".join(f"l{k}" for k in range(8))
+    texts += [" ".join([line] * 200 + [f"{side}{k}" for k in range(60)]) for side in "xy"]  # near by fingerprint, not by set
+    rows = list(enumerate(texts))
+    for text in (*texts[:3], "one two", ""):
+        assert near_copies.simhash_of(near_copies.shingle_hashes(text.encode())) == simhash.fingerprint(text.encode(), near_copies.SHINGLE)
+    prints = [simhash.fingerprint(t.encode(), near_copies.SHINGLE) for t in texts]
+    near = [(prints[k] ^ prints[k + 1]).bit_count() <= simhash.RADIUS for k in range(0, len(texts), 2)]
+    assert near[-1] and sum(near) > 12
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "shared_keys", lambda dealt: dealt.groupBy("key").count().where("false").withColumnRenamed("count", "members"))
+        alone = kept(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert alone == set(range(len(texts))) - {2 * k + 1 for k in range(20) if near[k]}
+    assert kept(spark, spark.createDataFrame(rows, "doc_id long, text string")) == slow_kept(rows)[0]
