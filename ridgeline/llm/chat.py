@@ -78,7 +78,7 @@ def _count_tokens(turns: DataFrame, path: str) -> DataFrame:
             n = [len(words.encode(t.as_py())) // size + MARK_TOKENS for t in batch.column(3).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
-    return turns.mapInArrow(slim(count), "conv_id long, turn long, role string, text string, n_tokens long")
+    return turns.mapInArrow(slim(count, "encoder"), "conv_id long, turn long, role string, text string, n_tokens long")
 
 
 def _placed(turns: DataFrame) -> DataFrame:

@@ -272,11 +272,14 @@ def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> It
 
 
 class _Shard:
+    """Texts as numbers of the shard's own distinct words; lists of words would take ten times the memory."""
+
     def __init__(self, texts: list[bytes]):
-        lists = [words_of(t) for t in texts]
+        number: dict[bytes, int] = {}
+        lists = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
         self.size = np.array([len(x) for x in lists], np.int64)
         self.first = np.cumsum(self.size + 1) - self.size - 1  # a 0 stands behind each document
-        self.lists = lists
+        self.words, self.lists = list(number), lists
 
     @functools.cached_property
     def owner(self) -> np.ndarray:
@@ -284,9 +287,10 @@ class _Shard:
         return self.document(np.arange(int(self.size.sum()) + len(self.lists) + 1))
 
     def ids(self, block: Block) -> np.ndarray:
-        out, known = np.zeros(int(self.size.sum()) + len(self.lists) + 1, np.int64), block.ids
+        known = np.array([block.ids.get(w, 0) for w in self.words], np.int64)
+        out = np.zeros(int(self.size.sum()) + len(self.lists) + 1, np.int64)
         for at, words in zip(self.first, self.lists):
-            out[at : at + len(words)] = [known.get(w, 0) for w in words]
+            out[at : at + len(words)] = known[words]
         return out
 
     def document(self, place: np.ndarray) -> np.ndarray:

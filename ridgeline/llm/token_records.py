@@ -19,7 +19,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import files
 from ridgeline.llm.crc32c import crc32c, masked
-from ridgeline.llm.tasks import slim
+from ridgeline.llm.tasks import kept, slim
 from ridgeline.session import materialize, run_path
 
 END_ID = 1
@@ -121,10 +120,9 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, which Spark uses again for later tasks."""
-    return Encoder(path)
+    """One for each Python worker, which Spark uses again for later tasks; tasks that encode nothing let go of it."""
+    return kept("encoder", path, lambda: Encoder(path))
 
 
 def _frames(payloads: list[bytes]) -> list[bytes]:
@@ -173,7 +171,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(slim(write), INDEX_SCHEMA), "token-index")
+    return materialize(ordered.mapInArrow(slim(write, "encoder"), INDEX_SCHEMA), "token-index")
 
 
 def read_records(index: DataFrame, target: str, width: str = "<u2") -> DataFrame:

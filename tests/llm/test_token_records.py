@@ -97,3 +97,16 @@ def test_damage_is_noticed(spark):
         assert "damaged record" in str(e)
     else:
         raise AssertionError("no error")
+
+
+def test_other_tasks_let_go_of_what_encoding_keeps():
+    import public_tokenizers
+
+    from ridgeline.llm import tasks, token_records
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = token_records.encoder(path)
+    list(tasks.slim(lambda batches: batches, "encoder")(iter([])))
+    assert token_records.encoder(path) is first
+    list(tasks.slim(lambda batches: batches)(iter([])))
+    assert not tasks._kept and token_records.encoder(path) is not first
