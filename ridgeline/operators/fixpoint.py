@@ -80,6 +80,13 @@ def unpack(row: dict, names: list[str], grid: Grid, size: int) -> dict[str, np.n
     return {n: np.frombuffer(row[n]).reshape(h + 2, w + 2).copy() for n in names}
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches; a batch may hold many tiles, of which one at a time becomes Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def edge_strips(a: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """What each of the eight neighbours needs of a tile's own cells."""
     cut = {-1: slice(1, 2), 0: slice(1, -1), 1: slice(-2, -1)}
@@ -122,18 +129,16 @@ def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Calla
     schema, ddl = pa.schema(fields), "tr long, tc long, " + ", ".join(f"{n} binary" for n in names) + ", changed boolean"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = unpack(row, names, grid, size)
-                row[state] = kernel({n: a[n] for n in static}, a[state]).tobytes()
-                yield pa.RecordBatch.from_pylist([row | {"changed": True}], schema=schema)
+        for row in one_by_one(batches):
+            a = unpack(row, names, grid, size)
+            row[state] = kernel({n: a[n] for n in static}, a[state]).tobytes()
+            yield pa.RecordBatch.from_pylist([row | {"changed": True}], schema=schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = unpack(row, [state], grid, size)[state]
-                out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in edge_strips(a).items()]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())]))
+        for row in one_by_one(batches):
+            a = unpack(row, [state], grid, size)[state]
+            out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in edge_strips(a).items()]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())]))
 
     def step(key: tuple, tile: pa.Table, strips: pa.Table) -> pa.Table:
         rows = tile.to_pylist()
@@ -171,15 +176,14 @@ def to_cells(tiles: DataFrame, grid: Grid, names: list[str], finish: Callable |
     outputs = outputs or names
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                arrays = unpack(row, names, grid, size)
-                made = finish(arrays) if finish else arrays
-                h, w = tile_shape(grid, row["tr"], row["tc"], size)
-                r, c = np.divmod(np.arange(h * w), w)
-                columns = [pa.array(r + row["tr"] * size), pa.array(c + row["tc"] * size)]
-                columns += [pa.array(np.ascontiguousarray(made[n][1:-1, 1:-1]).ravel(), from_pandas=True, type=pa.float64()) for n in outputs]
-                yield pa.RecordBatch.from_arrays(columns, names=["r", "c", *outputs])
+        for row in one_by_one(batches):
+            arrays = unpack(row, names, grid, size)
+            made = finish(arrays) if finish else arrays
+            h, w = tile_shape(grid, row["tr"], row["tc"], size)
+            r, c = np.divmod(np.arange(h * w), w)
+            columns = [pa.array(r + row["tr"] * size), pa.array(c + row["tc"] * size)]
+            columns += [pa.array(np.ascontiguousarray(made[n][1:-1, 1:-1]).ravel(), from_pandas=True, type=pa.float64()) for n in outputs]
+            yield pa.RecordBatch.from_arrays(columns, names=["r", "c", *outputs])
 
     return tiles.select("tr", "tc", *names).mapInArrow(spread, "r long, c long, " + ", ".join(f"{n} double" for n in outputs))
 

@@ -269,3 +269,18 @@ def test_resample(spark):
         for row in got:
             x, y = 31 + (row.c + 0.5) * 7, 73 - (row.r + 0.5) * 7
             assert abs(row.z - (3 * (x / 10 - 0.5) + 2 * ((100 - y) / 10 - 0.5))) <= tolerance
+
+
+def test_one_tile_of_a_batch_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ridgeline.operators.fixpoint import one_by_one
+
+    batch = pa.RecordBatch.from_pydict({"tr": list(range(32)), "state": [bytes([k]) * (1 << 20) for k in range(32)]})
+    tracemalloc.start()
+    seen = [(row["tr"], row["state"][0], len(row["state"])) for row in one_by_one(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(k, k, 1 << 20) for k in range(32)] and peak < 4 << 20
