@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ridgeline.sources.grid import Grid
 
 GATHER_TILE = 512  # rows and columns of the source, gathered from at once
+STRIP = 16  # rows whose nearest columns are sought at once
+CLOSE = 32  # columns to each side that are compared one by one
 
 
 def _envelope(height: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -33,28 +35,55 @@ def _envelope(height: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarra
     return height[k] + s2 * (place - k) ** 2, k
 
 
+def _nearest(height: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_envelope`` of each row of ``height``: what lies close is compared for all rows at once, farther places by their parabolas.
+
+    Most places of a well marked grid need few steps; a row that needs more than ``CLOSE`` is done whole.
+    """
+    n, s2 = height.shape[1], spacing * spacing
+    best, k = height.copy(), np.where(np.isfinite(height), np.arange(n), -1)
+    for step in range(1, min(CLOSE, n - 1) + 1):
+        open_ = best >= s2 * step * step  # nothing farther is nearer, nor an equal in a smaller place
+        if not open_.any():
+            return best, k
+        for here, there in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+            d2 = height[:, there] + s2 * step * step
+            place = np.arange(n)[there]
+            nearer = (d2 < best[:, here]) | (np.isfinite(d2) & (d2 == best[:, here]) & (place < k[:, here]))
+            np.copyto(best[:, here], d2, where=nearer)
+            np.copyto(k[:, here], np.broadcast_to(place, nearer.shape), where=nearer)
+    for i in np.flatnonzero((best >= s2 * min(CLOSE + 1, n) ** 2).any(axis=1)):
+        best[i], k[i] = _envelope(height[i], spacing)
+    return best, k
+
+
 def distance_to(cells: DataFrame, grid: Grid, mask: str) -> DataFrame:
     """``r, c, distance, near_r, near_c`` of every cell of a complete grid; NULL where nothing is marked.
 
-    Separable: windows over columns find the nearest marked row above and below, then each
-    row finds its nearest column in one task.
+    Separable: running windows down and up the columns find the nearest marked row above and below, then each
+    row finds its nearest column in one task, together with the rows of its strip.
     """
-    up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("c").orderBy("r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    above = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Upwards and not to an unbounded end: such a frame is gone through anew for each row.
+    below = Window.partitionBy("c").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.when(F.col(mask), F.col("r"))
-    rows = cells.select("r", "c", F.last(here, ignorenulls=True).over(up).alias("a"), F.first(here, ignorenulls=True).over(down).alias("b"))
+    rows = cells.select("r", "c", F.last(here, ignorenulls=True).over(above).alias("a"), F.last(here, ignorenulls=True).over(below).alias("b"))
     nearer = F.when(F.col("b").isNull() | (F.col("r") - F.col("a") <= F.col("b") - F.col("r")), F.col("a")).otherwise(F.col("b"))
-    tall = rows.select("r", "c", nearer.alias("near"))
-
-    def row(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("c")
-        r, near = key[0].as_py(), t.column("near").to_numpy(zero_copy_only=False).astype(float)
-        d2, k = _envelope(np.where(np.isnan(near), np.inf, ((near - r) * grid.py) ** 2), grid.px)
-        c, some = t.column("c").to_numpy(), np.isfinite(d2)
+    tall = rows.select("r", "c", nearer.alias("near"), F.floor(F.col("r") / STRIP).alias("strip"))
+
+    def strip(key: tuple, t: pa.Table) -> pa.Table:
+        top = key[0].as_py() * STRIP
+        r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
+        near = np.full((STRIP, grid.cols), np.nan)
+        near[r - top, c] = t.column("near").to_numpy(zero_copy_only=False)
+        away = (near - np.arange(top, top + STRIP)[:, None]) * grid.py
+        d2, k = _nearest(np.where(np.isnan(near), np.inf, away**2), grid.px)
+        d2, k, row = d2[r - top, c], k[r - top, c], near[r - top, k[r - top, c]]
+        some = np.isfinite(d2)
         pick = lambda v: pa.array(np.where(some, v, 0), mask=~some)
-        return pa.table({"r": pa.array(np.full(len(c), r)), "c": c, "distance": pick(np.sqrt(np.where(some, d2, 0))), "near_r": pick(np.nan_to_num(near[k]).astype(np.int64)), "near_c": pick(c[k])})
+        return pa.table({"r": r, "c": c, "distance": pick(np.sqrt(np.where(some, d2, 0))), "near_r": pick(np.nan_to_num(row).astype(np.int64)), "near_c": pick(k)})
 
-    return tall.groupBy("r").applyInArrow(row, "r long, c long, distance double, near_r long, near_c long")
+    return tall.groupBy("strip").applyInArrow(strip, "r long, c long, distance double, near_r long, near_c long")
 
 
 def buffer(cells: DataFrame, grid: Grid, mask: str, radius: float) -> DataFrame:

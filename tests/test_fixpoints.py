@@ -284,3 +284,21 @@ def test_one_tile_of_a_batch_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen == [(k, k, 1 << 20) for k in range(32)] and peak < 4 << 20
+
+
+def test_distance_windows_run_one_way(spark):
+    """No frame to an unbounded end, which Spark goes through anew for each row of a column."""
+    cells = frame(spark, m=np.eye(5, dtype=bool))
+    plan = distance.distance_to(cells, Grid(5, 5), "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("share", [0.3, 0.01, 0.0])
+def test_nearest_of_whole_strips(share):
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 150):
+        height = np.where(rng.random((6, n)) < share, rng.integers(0, 9, (6, n)) ** 2 * 900.0, np.inf)
+        every = height[:, None, :] + 900.0 * (np.arange(n)[:, None] - np.arange(n)) ** 2
+        best, k = distance._nearest(height, 30.0)
+        assert np.array_equal(best, every.min(axis=2))
+        assert np.array_equal(k, np.where(np.isfinite(best), every.argmin(axis=2), -1))
