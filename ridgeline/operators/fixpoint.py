@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.session import materialize
+from ridgeline.session import materialize, run_path
 from ridgeline.sources.grid import Grid
 
 TILE = 512
@@ -117,57 +117,90 @@ def settle(state: np.ndarray, sweep: Callable, block: int = BLOCK) -> np.ndarray
     return state
 
 
+def changed_edges(before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """Offset and values of those edges of a tile that are not what they were; the other neighbours know them already."""
+    old = edge_strips(before)
+    return [(*at, strip) for at, strip in edge_strips(after).items() if not np.array_equal(strip, old[at], equal_nan=True)]
+
+
+def edges_to(changed: DataFrame, by: list[str]) -> DataFrame:
+    """``by, tr, tc`` of the tiles that edges of ``changed`` go to: a few numbers for each tile at most, to be broadcast."""
+    each = changed.select(*by, "tr", "tc", F.explode("edges").alias("e"))
+    return each.select(*by, (F.col("tr") + F.col("e.dr")).alias("tr"), (F.col("tc") + F.col("e.dc")).alias("tc")).distinct()
+
+
+def latest(every: DataFrame, keys: list[str], among: DataFrame | None = None) -> DataFrame:
+    """The newest row of each key (or of those ``among`` them), found by its round, so that no state is shuffled for it."""
+    rounds = every.select(*keys, "round")
+    if among is not None:
+        rounds = rounds.join(F.broadcast(among), keys, "left_semi")
+    return every.join(F.broadcast(rounds.groupBy(*keys).agg(F.max("round").alias("round"))), [*keys, "round"], "left_semi")
+
+
 def tile_fixpoint(tiles: DataFrame, grid: Grid, static: list[str], kernel: Callable, size: int = TILE, state: str = "state", most_rounds: int = 100_000) -> DataFrame:
     """Iterate ``kernel(static arrays, state array) -> state array`` on all tiles until nothing changes.
 
-    The kernel brings one tile to its own fixpoint, given its border.  A round sends the edges
-    of tiles that changed to their neighbours, which run again; other tiles pass through.  A
-    grid of one tile needs no round.
+    The kernel brings one tile to its own fixpoint, given its border.  A round sends the edges that
+    changed to the tiles beside them, which run again.  Only those are read for it, and only
+    states that changed are written, as a delta beside the earlier ones; when the deltas outgrow the states they
+    are merged.  A grid of one tile needs no round.
     """
     names = [*static, state]
-    fields = [("tr", pa.int64()), ("tc", pa.int64()), *((n, pa.binary()) for n in names), ("changed", pa.bool_())]
-    schema, ddl = pa.schema(fields), "tr long, tc long, " + ", ".join(f"{n} binary" for n in names) + ", changed boolean"
+    fields = [("tr", pa.int64()), ("tc", pa.int64()), ("round", pa.int32()), (state, pa.binary()), ("edges", pa.list_(pa.struct([("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())])))]
+    schema, ddl = pa.schema(fields), f"tr long, tc long, round int, {state} binary, edges array<struct<dr:int,dc:int,strip:binary>>"
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in one_by_one(batches):
-            a = unpack(row, names, grid, size)
-            row[state] = kernel({n: a[n] for n in static}, a[state]).tobytes()
-            yield pa.RecordBatch.from_pylist([row | {"changed": True}], schema=schema)
+    def stepper(round_: int) -> Callable:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            border = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+            for row in one_by_one(batches):
+                a = unpack(row, names, grid, size)
+                before, moved = a[state].copy(), a[state]
+                for s in row.get("strips") or ():
+                    part = moved[border[s["dr"]], border[s["dc"]]]
+                    part[...] = np.frombuffer(s["strip"]).reshape(part.shape)
+                if round_ and np.array_equal(before, moved, equal_nan=True):
+                    continue
+                after = kernel({n: a[n] for n in static}, moved)
+                if round_ and np.array_equal(after, before, equal_nan=True):
+                    continue
+                edges = [{"dr": dr, "dc": dc, "strip": np.ascontiguousarray(strip).tobytes()} for dr, dc, strip in changed_edges(before, after)]
+                yield pa.RecordBatch.from_pylist([{"tr": row["tr"], "tc": row["tc"], "round": round_, state: after.tobytes(), "edges": edges}], schema=schema)
+
+        return step
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in one_by_one(batches):
-            a = unpack(row, [state], grid, size)[state]
-            out = [{"tr": row["tr"] + dr, "tc": row["tc"] + dc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(s).tobytes()} for (dr, dc), s in edge_strips(a).items()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())]))
-
-    def step(key: tuple, tile: pa.Table, strips: pa.Table) -> pa.Table:
-        rows = tile.to_pylist()
-        if not rows:
-            return schema.empty_table()
-        row = rows[0] | {"changed": False}
-        if strips.num_rows:
             a = unpack(row, names, grid, size)
-            border = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
-            before, moved = a[state].copy(), a[state]
-            for s in strips.to_pylist():
-                part = moved[border[s["dr"]], border[s["dc"]]]
-                part[...] = np.frombuffer(s["strip"]).reshape(part.shape)
-            if not np.array_equal(before, moved, equal_nan=True):
-                after = kernel({n: a[n] for n in static}, moved)
-                row["changed"] = not np.array_equal(after[1:-1, 1:-1], before[1:-1, 1:-1], equal_nan=True)
-                row[state] = after.tobytes()
-        return pa.Table.from_pylist([row], schema=schema)
+            row[state] = kernel({n: a[n] for n in static}, a[state]).tobytes()
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("tr", pa.int64()), ("tc", pa.int64()), *((n, pa.binary()) for n in names)]))
 
-    now = tiles.select("tr", "tc", *names).mapInArrow(first, ddl)
+    tiles = tiles.select("tr", "tc", *names)
     if max(grid.rows, grid.cols) <= size:
-        return now.drop("changed")
-    now = materialize(now, "tiles")
-    for _ in range(most_rounds):
-        changed = now.where("changed")
-        if not changed.select("tr").limit(1).count():
-            return now.drop("changed")
-        strips = changed.select("tr", "tc", state).mapInArrow(send, "tr long, tc long, dr int, dc int, strip binary")
-        now = materialize(now.groupBy("tr", "tc").cogroup(strips.groupBy("tr", "tc")).applyInArrow(step, ddl), "tiles")
+        return tiles.mapInArrow(alone, tiles.schema)
+    spark, keys = tiles.sparkSession, ["tr", "tc"]
+    tiles = materialize(tiles, "tiles")
+    still = tiles.drop(state)
+    work, paths, merged, pending = tiles, [], 0, 0
+    for round_ in range(most_rounds):
+        path = run_path(spark, "tile-states")
+        work.mapInArrow(stepper(round_), ddl).write.parquet(path)
+        changed = spark.read.schema(ddl).parquet(path)
+        n = changed.select("tr").count()
+        paths.append(path)
+        if not n:
+            return still.join(latest(spark.read.schema(ddl).parquet(*paths), keys).select(*keys, state), keys)
+        pending += n
+        if pending > 2 * max(merged, 1) and len(paths) > 4:
+            whole = run_path(spark, "tile-states")
+            latest(spark.read.schema(ddl).parquet(*paths), keys).write.parquet(whole)
+            paths, pending = [whole], 0
+            merged = spark.read.schema(ddl).parquet(whole).select("tr").count()
+        asked = edges_to(changed, [])
+        sent = changed.select(*keys, F.explode("edges").alias("e"))
+        strips = sent.select((F.col("tr") + F.col("e.dr")).alias("tr"), (F.col("tc") + F.col("e.dc")).alias("tc"), F.struct((-F.col("e.dr")).alias("dr"), (-F.col("e.dc")).alias("dc"), F.col("e.strip").alias("strip")).alias("s"))
+        strips = strips.groupBy(*keys).agg(F.collect_list("s").alias("strips"))  # of eight neighbours at most
+        known = latest(spark.read.schema(ddl).parquet(*paths), keys, asked).select(*keys, state)
+        work = still.join(F.broadcast(asked), keys, "left_semi").join(known, keys).join(strips, keys)
     raise RuntimeError("no fixpoint within the rounds allowed")
 
 

@@ -65,11 +65,11 @@ def order_statistics(rows: DataFrame, key: str, value: str, percents: list[float
 
 
 def percentiles(cells: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """One row with each wanted percentile; ``cells`` should be a written table."""
+    """One row with each wanted percentile, written, as several steps beside it read it; ``cells`` should be a written table."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in wanted.items())))
     found = order_statistics(cells.select(each.alias("e")).select("e.*"), "name", "v", sorted({p for _, p in wanted.values()}))
     pick = lambda n, p: F.max(F.when((F.col("name") == n) & (F.col("percent") == float(p)), F.col("v"))).alias(n)
-    return found.agg(*(pick(n, p) for n, (_, p) in wanted.items()))
+    return materialize(found.agg(*(pick(n, p) for n, (_, p) in wanted.items())), "percentiles")
 
 
 def keyed_percentiles(rows: DataFrame, key: str, value: str, percents: list[float]) -> DataFrame:

@@ -54,7 +54,7 @@ class SceneOptions:
 def surface(cells: DataFrame, grid: Grid, o: SceneOptions = SceneOptions(), constraint: str | None = None) -> DataFrame:
     """Every raster of the scene beside each other: derivatives, drainage, score, risk, class, cost and zone.
 
-    Steps that several others need are written once: derivatives, drainage, and the result.
+    Steps that several others need are written once: derivatives, drainage, water and strips along streams, and the result.
     """
     derived = materialize(terrain.derive(cells, grid), "derived")
     if o.streams:
@@ -62,7 +62,7 @@ def surface(cells: DataFrame, grid: Grid, o: SceneOptions = SceneOptions(), cons
         derived = materialize(derived.join(drained, ["r", "c"]), "drained")
         water = regions.flat_water(derived.select("r", "c", "z"), grid)
         strip = distance.nearest_feature(derived, grid, "channel", "basin_km2", o.stream_buffer_m).select("r", "c", F.col("value").alias("stream_km2"))
-        derived = derived.join(water, ["r", "c"], "left").join(strip, ["r", "c"], "left")
+        derived = materialize(derived.join(water, ["r", "c"], "left").join(strip, ["r", "c"], "left"), "with-water")
         derived = derived.withColumn("stream_class", hydrology.ford_class(F.col("stream_km2"), o.ford_most_km2))
     scored = score.constrain(score.score(derived, o.score), constraint, "stream_class" if o.streams else None, o.constraint_mode)
     dry = F.lit(True) if not o.streams else F.col("water").isNull()

@@ -302,3 +302,32 @@ def test_nearest_of_whole_strips(share):
         best, k = distance._nearest(height, 30.0)
         assert np.array_equal(best, every.min(axis=2))
         assert np.array_equal(k, np.where(np.isfinite(best), every.argmin(axis=2), -1))
+
+
+def test_rounds_write_the_tiles_that_changed(spark, monkeypatch):
+    """A round of filling writes no tile that it left as it was."""
+    paths = []
+    monkeypatch.setattr(fixpoint, "run_path", lambda s, name, made=fixpoint.run_path: paths.append(made(s, name)) or paths[-1])
+    z = np.tile(100.0 - np.arange(24.0), (24, 1))
+    z[3:6, 7:9] = 50.0  # a pit on the border of two of nine tiles
+    got = dense(hydrology.fill(frame(spark, z=z), Grid(24, 24), size=8), "filled", z.shape)
+    assert np.allclose(got, heap_fill(z), atol=1e-9)
+    written = [spark.read.parquet(p).count() for p in paths]
+    assert len(written) > 1 and written[0] == 9 and sum(written[1:]) < 9 * (len(written) - 1)
+
+
+def test_scores_read_a_written_table(spark, monkeypatch):
+    """Percentiles go over the cells several times, so water and stream strips are not found anew for each."""
+    from ridgeline.plans import scene
+
+    class Seen(Exception):
+        pass
+
+    def stop(cells, o):
+        raise Seen(cells._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(scene.score, "score", stop)
+    z = np.random.default_rng(2).random((12, 12)) * 9
+    with pytest.raises(Seen) as seen:
+        scene.surface(frame(spark, z=z), Grid(12, 12))
+    assert "Join" not in str(seen.value) and "Window" not in str(seen.value)
