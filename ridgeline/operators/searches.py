@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import cellwise as fn
-from ridgeline.operators.fixpoint import TILE, edge_strips, settle, shifted, tile_shape, to_tiles, unpack
+from ridgeline.operators.fixpoint import TILE, changed_edges, edges_to, latest, one_by_one, settle, shifted, tile_shape, to_tiles, unpack
 from ridgeline.operators.stencil import OFFSETS
 from ridgeline.session import materialize, run_path
 from ridgeline.sources.grid import Grid
 
 STEPS = list(OFFSETS.values())
 ROUNDING = 1e-9  # of costs, when they are compared with a bound
-_STATE = "search int, tr long, tc long, round int, state binary, goals array<struct<target:int,far:double>>"
-_STATE_ARROW = pa.schema([("search", pa.int32()), ("tr", pa.int64()), ("tc", pa.int64()), ("round", pa.int32()), ("state", pa.binary()), ("goals", pa.list_(pa.struct([("target", pa.int32()), ("far", pa.float64())])))])
-_STRIP = pa.schema([("search", pa.int32()), ("tr", pa.int64()), ("tc", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32()), ("strip", pa.binary())])
+_STATE = "search int, tr long, tc long, round int, state binary, goals array<struct<target:int,far:double>>, edges array<struct<dr:int,dc:int,least:double,strip:binary>>"
+_EDGES = pa.list_(pa.struct([("dr", pa.int32()), ("dc", pa.int32()), ("least", pa.float64()), ("strip", pa.binary())]))
+_STATE_ARROW = pa.schema([("search", pa.int32()), ("tr", pa.int64()), ("tc", pa.int64()), ("round", pa.int32()), ("state", pa.binary()), ("goals", pa.list_(pa.struct([("target", pa.int32()), ("far", pa.float64())]))), ("edges", _EDGES)])
 
 
 @dataclass(frozen=True)
@@ -136,45 +136,34 @@ class Searches:
         """Function that brings rows of tile, state and strips to their fixpoints and returns the states that changed."""
         asks, grid, size, px, timed, read = self.asks, self.grid, self.size, self.px, self.timed, self._reader()
 
+        high, wide = -(-grid.rows // size), -(-grid.cols // size)
+
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    ask, at = asks[row["search"]], (row["tr"] * size, row["tc"] * size)
-                    h, w = tile_shape(grid, row["tr"], row["tc"], size)
-                    own = read(row, ask)
-                    far = np.full((h + 2, w + 2), np.inf) if row["state"] is None else np.frombuffer(row["state"]).reshape(h + 2, w + 2).copy()
-                    before, ring = far[1:-1, 1:-1].copy(), {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
-                    for s in row["strips"] or ():
-                        part = far[ring[s["dr"]], ring[s["dc"]]]
-                        np.minimum(part, np.frombuffer(s["strip"]).reshape(part.shape), out=part)
-                    r, c = ask.source[0] - at[0], ask.source[1] - at[1]
-                    if 0 <= r < h and 0 <= c < w and not np.isnan(own["cost"][r + 1, c + 1]):
-                        far[r + 1, c + 1] = 0.0
-                    after = relax(own, far, px, timed, ask.reverse, ask.decay)
-                    if np.array_equal(after[1:-1, 1:-1], before):
-                        continue
-                    goals = [{"target": k, "far": float(after[r - at[0] + 1, c - at[1] + 1])} for k, (r, c) in enumerate(ask.targets) if 0 <= r - at[0] < h and 0 <= c - at[1] < w]
-                    yield pa.RecordBatch.from_pylist([{"search": row["search"], "tr": row["tr"], "tc": row["tc"], "round": round_, "state": after.tobytes(), "goals": goals}], schema=_STATE_ARROW)
+            for row in one_by_one(batches):
+                ask, at = asks[row["search"]], (row["tr"] * size, row["tc"] * size)
+                h, w = tile_shape(grid, row["tr"], row["tc"], size)
+                own = read(row, ask)
+                far = np.full((h + 2, w + 2), np.inf) if row["state"] is None else np.frombuffer(row["state"]).reshape(h + 2, w + 2).copy()
+                before, ring = far.copy(), {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+                for s in row["strips"] or ():
+                    part = far[ring[s["dr"]], ring[s["dc"]]]
+                    np.minimum(part, np.frombuffer(s["strip"]).reshape(part.shape), out=part)
+                r, c = ask.source[0] - at[0], ask.source[1] - at[1]
+                if 0 <= r < h and 0 <= c < w and not np.isnan(own["cost"][r + 1, c + 1]):
+                    far[r + 1, c + 1] = 0.0
+                after = relax(own, far, px, timed, ask.reverse, ask.decay)
+                if np.array_equal(after[1:-1, 1:-1], before[1:-1, 1:-1]):
+                    continue
+                goals = [{"target": k, "far": float(after[r - at[0] + 1, c - at[1] + 1])} for k, (r, c) in enumerate(ask.targets) if 0 <= r - at[0] < h and 0 <= c - at[1] < w]
+                edges = [{"dr": dr, "dc": dc, "least": float(strip.min()), "strip": np.ascontiguousarray(strip).tobytes()} for dr, dc, strip in changed_edges(before, after) if 0 <= row["tr"] + dr < high and 0 <= row["tc"] + dc < wide]
+                yield pa.RecordBatch.from_pylist([{"search": row["search"], "tr": row["tr"], "tc": row["tc"], "round": round_, "state": after.tobytes(), "goals": goals, "edges": edges}], schema=_STATE_ARROW)
 
         return step
 
-    def _send(self):
-        """Function from changed states to the strips that tiles beside them need."""
-        grid, size, limits = self.grid, self.size, {k: self._limit(k) for k in range(len(self.asks))}
-        high, wide = -(-grid.rows // size), -(-grid.cols // size)
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    h, w = tile_shape(grid, row["tr"], row["tc"], size)
-                    far, out = np.frombuffer(row["state"]).reshape(h + 2, w + 2), []
-                    for (dr, dc), strip in edge_strips(far).items():
-                        tr, tc = row["tr"] + dr, row["tc"] + dc
-                        if 0 <= tr < high and 0 <= tc < wide and np.isfinite(least := strip.min()) and least <= limits[row["search"]]:
-                            out.append({"search": row["search"], "tr": tr, "tc": tc, "dr": -dr, "dc": -dc, "strip": np.ascontiguousarray(strip).tobytes()})
-                    yield pa.RecordBatch.from_pylist(out, schema=_STRIP)
-
-        return send
+    def _sent(self, changed: DataFrame) -> DataFrame:
+        """Changed states with those of their changed edges that may still matter to the search's targets."""
+        limit = F.element_at(F.array(*(F.lit(self._limit(k)) for k in range(len(self.asks)))), F.col("search") + 1)
+        return changed.select("search", "tr", "tc", F.filter("edges", lambda e: (e["least"] < float("inf")) & (e["least"] <= limit)).alias("edges"))
 
     def _limit(self, search: int) -> float:
         targets = range(len(self.asks[search].targets))
@@ -193,7 +182,7 @@ class Searches:
     def _settle(self) -> None:
         keys, size = ["search", "tr", "tc"], self.size
         sources = self.spark.createDataFrame([(k, a.source[0] // size, a.source[1] // size) for k, a in enumerate(self.asks)], "search int, tr long, tc long")
-        work = sources.join(self.tiles, ["tr", "tc"]).select("*", F.lit(None).cast("binary").alias("state"), F.lit(None).cast("array<struct<dr:int,dc:int,strip:binary>>").alias("strips"))
+        work = self.tiles.join(F.broadcast(sources), ["tr", "tc"]).select("*", F.lit(None).cast("binary").alias("state"), F.lit(None).cast("array<struct<dr:int,dc:int,strip:binary>>").alias("strips"))
         paths, merged, pending = [], 0, 0
         while True:
             path = run_path(self.spark, "search-states")
@@ -207,16 +196,19 @@ class Searches:
             if pending > 2 * max(merged, 1) and len(paths) > 4:
                 whole = materialize(self._latest(paths), "search-states")
                 paths, merged, pending = [whole.inputFiles()[0].rsplit("/", 1)[0]], whole.count(), 0
-            strips = changed.select("search", "tr", "tc", "state").mapInArrow(self._send(), "search int, tr long, tc long, dr int, dc int, strip binary")
-            asked = strips.groupBy(*keys).agg(F.collect_list(F.struct("dr", "dc", "strip")).alias("strips"))  # of eight neighbours at most
+            sent = self._sent(changed)
+            asked = edges_to(sent, ["search"])  # a row of three numbers for each tile and search at most
+            each = sent.select(*keys, F.explode("edges").alias("e"))
+            strips = each.select("search", (F.col("tr") + F.col("e.dr")).alias("tr"), (F.col("tc") + F.col("e.dc")).alias("tc"), F.struct((-F.col("e.dr")).alias("dr"), (-F.col("e.dc")).alias("dc"), F.col("e.strip").alias("strip")).alias("s"))
+            strips = strips.groupBy(*keys).agg(F.collect_list("s").alias("strips"))  # of eight neighbours at most
             near = self.spark.read.schema(_STATE).parquet(*paths).where(F.col("tr").between(extent[0] - 1, extent[1] + 1) & F.col("tc").between(extent[2] - 1, extent[3] + 1))
-            known = near.groupBy(*keys).agg(F.max_by("state", "round").alias("state"))
-            work = asked.join(known, keys, "left").join(self.tiles, ["tr", "tc"])
+            known = latest(near, keys, asked).select(*keys, "state")
+            wanted = self.tiles.join(F.broadcast(asked.select("tr", "tc").distinct()), ["tr", "tc"], "left_semi")
+            work = strips.join(known, keys, "left").join(wanted, ["tr", "tc"])
         self.states = self._latest(paths)
 
     def _latest(self, paths: list[str]) -> DataFrame:
-        every = self.spark.read.schema(_STATE).parquet(*paths)
-        return every.groupBy("search", "tr", "tc").agg(F.max("round").alias("round"), F.max_by("state", "round").alias("state"), F.max_by("goals", "round").alias("goals"))
+        return latest(self.spark.read.schema(_STATE).parquet(*paths), ["search", "tr", "tc"])
 
     def costs_of_targets(self) -> dict[tuple[int, int], float]:
         """``(search, target) -> cost``, of what can be reached."""
@@ -230,22 +222,27 @@ class Searches:
         asks, grid, size, px, timed, read = self.asks, self.grid, self.size, self.px, self.timed, self._reader()
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    h, w = tile_shape(grid, row["tr"], row["tc"], size)
-                    distance = back = np.full((h, w), np.nan)
-                    if row["state"] is not None:
-                        ask = asks[row["search"]]
-                        far = np.frombuffer(row["state"]).reshape(h + 2, w + 2)
-                        distance, back = came_from(read(row, ask), far, px, timed, ask.reverse, ask.decay)
-                    r, c = np.divmod(np.arange(h * w), w)
-                    columns = [pa.array(np.full(h * w, row["search"], np.int32)), pa.array(r + row["tr"] * size), pa.array(c + row["tc"] * size)]
-                    columns += [pa.array(np.ascontiguousarray(a).ravel(), from_pandas=True, type=pa.float64()) for a in (distance, back)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["search", "r", "c", "distance", "back"])
-
-        every = self.tiles.withColumn("search", F.explode(F.array(*(F.lit(k) for k in range(len(self.asks))))))
-        both = every.join(self.states.select("search", "tr", "tc", "state"), ["search", "tr", "tc"], "left")
-        return both.mapInArrow(spread, "search int, r long, c long, distance double, back double")
+            for row in one_by_one(batches):
+                h, w = tile_shape(grid, row["tr"], row["tc"], size)
+                distance = back = np.full((h, w), np.nan)
+                if row["state"] is not None:
+                    ask = asks[row["search"]]
+                    far = np.frombuffer(row["state"]).reshape(h + 2, w + 2)
+                    distance, back = came_from(read(row, ask), far, px, timed, ask.reverse, ask.decay)
+                r, c = np.divmod(np.arange(h * w), w)
+                columns = [pa.array(np.full(h * w, row["search"], np.int32)), pa.array(r + row["tr"] * size), pa.array(c + row["tc"] * size)]
+                columns += [pa.array(np.ascontiguousarray(a).ravel(), from_pandas=True, type=pa.float64()) for a in (distance, back)]
+                yield pa.RecordBatch.from_arrays(columns, names=["search", "r", "c", "distance", "back"])
+
+        spread_ddl, names = "search int, r long, c long, distance double, back double", ["search", "tr", "tc", "state", *self.names]
+        if self.one_tile:
+            every = self.tiles.withColumn("search", F.explode(F.array(*(F.lit(k) for k in range(len(self.asks))))))
+            return every.join(self.states.select("search", "tr", "tc", "state"), ["search", "tr", "tc"], "left").mapInArrow(spread, spread_ddl)
+        reached = self.states.select("search", "tr", "tc", "state").join(self.tiles, ["tr", "tc"]).select(*names)
+        every = self.tiles.select("tr", "tc", F.explode(F.array(*(F.lit(k) for k in range(len(self.asks))))).alias("search"))
+        missed = every.join(F.broadcast(self.states.select("search", "tr", "tc")), ["search", "tr", "tc"], "left_anti")  # three numbers for each tile
+        missed = missed.select("search", "tr", "tc", *(F.lit(None).cast("binary").alias(n) for n in ("state", *self.names)))
+        return reached.unionByName(missed).mapInArrow(spread, spread_ddl)
 
     def paths(self) -> DataFrame:
         """``search, target, seq, r, c, distance``: the cells from each source to each of its targets (by index), in order.
@@ -288,7 +285,8 @@ class Searches:
 
             wanted = spark.createDataFrame(list(at_tile), "search int, tr long, tc long")  # a row for each way at most
             part = run_path(spark, "walked-tile")
-            rows = self.states.select("search", "tr", "tc", "state").join(F.broadcast(wanted), ["search", "tr", "tc"], "left_semi").join(self.tiles, ["tr", "tc"])
+            own = self.tiles.join(F.broadcast(wanted.select("tr", "tc").distinct()), ["tr", "tc"], "left_semi")
+            rows = self.states.select("search", "tr", "tc", "state").join(F.broadcast(wanted), ["search", "tr", "tc"], "left_semi").join(own, ["tr", "tc"])
             rows.mapInArrow(walk, schema).write.parquet(part)
             made = spark.read.schema(schema).parquet(part)
             made.drop("out_r", "out_c").coalesce(1).write.mode("append").parquet(folder)

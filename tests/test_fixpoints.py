@@ -331,3 +331,15 @@ def test_scores_read_a_written_table(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         scene.surface(frame(spark, z=z), Grid(12, 12))
     assert "Join" not in str(seen.value) and "Window" not in str(seen.value)
+
+
+def test_searches_find_states_without_shuffling_them(spark):
+    """The newest state of a tile is picked by its round beside the data; nothing groups the states themselves."""
+    cost = np.random.default_rng(5).random((20, 20)) + 1
+    cost[3:17, 10] = np.nan
+    found = Searches(frame(spark, cost=cost), Grid(20, 20), [Ask((0, 0)), Ask((19, 3))], size=7)
+    plan = found.states._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "LeftSemi" in plan and "edges" in found.states.columns
+    far = found.cells().where("search = 1")
+    want = dijkstra(cost, (19, 3))
+    assert np.allclose(dense(far, "distance", cost.shape), np.where(np.isfinite(want), want, np.nan), equal_nan=True)
